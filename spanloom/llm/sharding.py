@@ -34,10 +34,9 @@ def sizes(docs: DataFrame, overhead: int = OVERHEAD) -> DataFrame:
 
 def _order(rows: DataFrame, buckets: int, hot_share: int, salts: int) -> DataFrame:
     """Adds bucket (string key of one bounded group, sorting as the total order does)."""
-    total = rows.agg(F.count("*").alias("all_rows"))
     # At most hot_share keys can hold more than 1 / hot_share of the rows each: a proven bound for the broadcast.
     hot = (
-        rows.groupBy("key").agg(F.count("*").alias("n")).join(F.broadcast(total), F.col("n") * hot_share > F.col("all_rows")).where(F.col("n") > 1000)
+        rows.groupBy("key").agg(F.count("*").alias("n")).where((F.col("n") > 1000) & (F.col("n") * hot_share > rows.count()))
         .select("key", F.lit(1).alias("is_hot"))
     )
     bucket = F.pmod(F.shiftrightunsigned("key", 40), F.lit(buckets))
