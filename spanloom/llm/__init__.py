@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that register queries, by operator number.
-MODULES = ("bpe", "decontam", "neardup", "sharding")
+MODULES = ("toxicity", "bpe", "decontam", "neardup", "sharding")
 
 
 def registry() -> tuple[dict, dict]:
