@@ -28,7 +28,9 @@ from .batches import column, record_batch
 
 CHUNK, OVERLAP = 32_768, 1_024
 #: Pieces whose ids a worker remembers.
-CACHE = 200_000
+CACHE = 400_000
+#: Bytes up to which scanning a piece for its lowest pair is faster than a heap.
+SCANNED = 48
 #: A match that ends this near to a chunk's end may depend on what follows.
 LOOKAHEAD = 3
 
@@ -91,7 +93,23 @@ class Coder:
         raw = text.encode("utf-8")
         if (whole := self.ranks.get(raw)) is not None:
             return (whole,)
-        return tuple(self._merged(raw))
+        return tuple(self._scanned(raw) if len(raw) <= SCANNED else self._merged(raw))
+
+    def _scanned(self, raw: bytes) -> list[int]:
+        """The merges of a short piece: the lowest rank is looked for again after each."""
+        rank = self.ranks.get
+        none = len(self.ranks)
+        part = [raw[i : i + 1] for i in range(len(raw))]
+        pair = [rank(raw[i : i + 2], none) for i in range(len(raw) - 1)]
+        while pair and (low := min(pair)) < none:
+            i = pair.index(low)
+            part[i] = both = part[i] + part[i + 1]
+            del part[i + 1], pair[i]
+            if i:
+                pair[i - 1] = rank(part[i - 1] + both, none)
+            if i < len(pair):
+                pair[i] = rank(both + part[i + 1], none)
+        return [self.ranks[p] for p in part]
 
     def _merged(self, raw: bytes) -> list[int]:
         """Merges the adjacent pair of lowest rank, the leftmost of equals, until none is left."""
@@ -117,8 +135,9 @@ class Coder:
 
     def encode(self, pieces: list[str]) -> list[int]:
         known = self.known
-        for p in set(pieces) - known.keys():
-            known[p] = self.piece(p)
+        for p in set(pieces):
+            if p not in known:
+                known[p] = self.piece(p)
         out = list(chain.from_iterable([known[p] for p in pieces]))
         if len(known) > CACHE:
             known.clear()
