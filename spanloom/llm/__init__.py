@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that register queries, by operator number.
-MODULES = ("langid", "quality", "warc", "toxicity", "bpe", "decontam", "neardup", "sharding")
+MODULES = ("langid", "quality", "warc", "toxicity", "ann", "bpe", "decontam", "neardup", "sharding")
 
 
 def registry() -> tuple[dict, dict]:
