@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import store
 from .batches import column, record_batch
 
-K, TREES, LEAF_ROWS, SEARCH, SEED = 20, 8, 1_000, 0.36, 5
+K, TREES, LEAF_ROWS, SEARCH, SEED = 20, 8, 1_000, 0.16, 5
 #: Rows that the planes' medians are taken from at most, and the rows of it that a node needs to be split.
 SAMPLE, NODE_SAMPLE = 20_000, 16
 MEMBER_CHUNK, QUERY_CHUNK = 4_096, 2_048
@@ -127,10 +127,10 @@ def _ranked(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     n = min(len(m), k + 4)
     best = np.argpartition(-rough, n - 1, axis=1)[:, :n]
     ids = m["ids"].to_list()
+    exact = (a[:, None, :] * b[best]).sum(2)  # the same order of sums for a pair wherever it meets
     out_ids, out_scores = [], []
-    for i, own in enumerate(best):
-        found = [(-math.fsum(a[i] * b[j]), x) for j in own for x in ids[j]]
-        found = heapq.nsmallest(k + 1, found)
+    for own, scores in zip(best.tolist(), exact.tolist(), strict=True):
+        found = heapq.nsmallest(k + 1, [(-s, x) for j, s in zip(own, scores, strict=True) for x in ids[j]])
         out_ids.append([x for _, x in found])
         out_scores.append([-s for s, _ in found])
     return pd.DataFrame({"k1": q["k1"].to_numpy(), "k2": q["k2"].to_numpy(), "ids": out_ids, "scores": out_scores})
