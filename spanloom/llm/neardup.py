@@ -8,15 +8,16 @@
    about 1e-7 at k = 32), so it is enough to look up each sketch's rarest values,
    all but the last RATIO * k - 1: values that many unrelated texts share (a
    passage, a licence line) stand last and open no list.
-3. Short lists give all their pairs. A long list gives pairs with a pivot drawn
+3. Of what stands in a list, a full set of which more than a fifth is in no other
+   listed set can't reach the similarity and leaves. Short lists give all their pairs. A long list gives pairs with a pivot drawn
    by hash, another one in each list, so a group of n near copies costs n pairs a
    list and not n * n.
 4. The union sketch estimates each pair's similarity and drops what can't reach
    it; exact Jaccard on the full sets confirms the rest.
 5. Confirmed links join components by alternating star contraction.
-6. Members of a long list that are still in different components are compared
-   all with all across components, in blocks, by estimate and then exactly: so
-   the pivots cost no link.
+6. Members of long lists that are still in different components are compared all
+   with all across components, exactly and in blocks, and a block sends no more
+   links than it takes to join them: so the pivots cost no link.
 """
 
 from __future__ import annotations
@@ -125,40 +126,72 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(F.col("i").cast("long") * 100 >= (F.col("t") - F.col("i")) * percent).select("a", "b")
 
 
-def _block_pairs(batch_key, rows, k: int):
-    """Of one block of a list: pairs of different components that the union sketch doesn't rule out."""
+def overlaps(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, width: int = 8_192) -> np.ndarray:
+    """Sizes of the intersections of some sets with others, by products of 0/1 matrices over the values that occur more than once."""
+    values, inverse, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    new = np.cumsum(n > 1) - 1
+    keep = n[inverse] > 1
+    owner, place = owner[keep], new[inverse[keep]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    for low in range(0, int(new[-1]) + 1 if len(values) else 0, width):
+        part = slice(np.searchsorted(place, low), np.searchsorted(place, low + width))
+        has = np.zeros((len(sets), width), np.float32)
+        has[owner[part], place[part] - low] = 1
+        out += has[rows] @ has[columns].T
+    return out
+
+
+def _block_links(rows, percent: int):
+    """Of one block of a group: exact links between members of different components, no more than it takes to join them."""
     import pandas as pd
 
-    del batch_key
-    values, inverse = np.unique(np.concatenate(rows["sketch"].to_list()), return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), rows["sketch"].str.len())
-    has = np.zeros((len(rows), len(values)), np.float32)
-    has[owner, inverse] = 1
     query, target = np.flatnonzero(rows["is_query"]), np.flatnonzero(~rows["is_query"])
-    rep, label, stray = (rows[c].to_numpy() for c in ("rep", "label", "stray"))
-    rough = has[query] @ has[target].T
-    keep = (rough >= 1) & (label[query][:, None] != label[target][None, :]) & ~(stray[target][None, :] & (rep[target][None, :] < rep[query][:, None]))
+    if not len(query) or not len(target):
+        return pd.DataFrame({"a": [], "b": []})
+    sets = [np.asarray(x, np.int64) for x in rows["hashes"]]
+    size = np.array([len(x) for x in sets], np.float32)
+    shared = overlaps(sets, query, target)
+    rep, label = rows["rep"].to_numpy(), rows["label"].to_numpy()
+    linked = (100 * shared >= percent * (size[query][:, None] + size[target][None, :] - shared)) & (label[query][:, None] != label[target][None, :])
+    root = {x: x for x in label}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
     out = []
-    for i, j in np.argwhere(keep):
-        x, y = has[query[i]] > 0, has[target[j]] > 0
-        union = np.flatnonzero(x | y)[:k]
-        if np.count_nonzero(x[union] & y[union]) >= ESTIMATE * len(union):
-            out.append((min(rep[query[i]], rep[target[j]]), max(rep[query[i]], rep[target[j]])))
+    for i, j in np.argwhere(linked):
+        x, y = find(label[query[i]]), find(label[target[j]])
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((rep[query[i]], rep[target[j]]))
     return pd.DataFrame(out, columns=["a", "b"])
 
 
-def _across(members: DataFrame, labels: DataFrame, sketch: DataFrame, k: int, block: int) -> DataFrame:
-    """Pairs within long lists whose members are in different components: strays (outside the list's largest component) against all."""
-    m = members.join(labels, members["rep"] == labels["node"], "left").select("v", "rep", F.coalesce("label", "rep").alias("label"))
+def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links within groups (g, rep) whose members are in different components: strays (outside the group's largest component) against all."""
+    m = members.join(labels, members["rep"] == labels["node"], "left").select("g", "rep", F.coalesce("label", "rep").alias("label"))
     m = store.written(m, "members")
-    per = m.groupBy("v", "label").agg(F.count("*").alias("n"))
-    top = per.groupBy("v").agg(F.count("*").alias("n_labels"), F.sum("n").alias("size"), F.max(F.struct("n", "label"))["label"].alias("main"), (F.sum("n") - F.max("n")).alias("n_strays")).where("n_labels > 1")
-    m = m.join(top, "v").withColumn("stray", F.col("label") != F.col("main")).join(sketch, "rep")
+    per = m.groupBy("g", "label").agg(F.count("*").alias("n"))
+    top = per.groupBy("g").agg(F.count("*").alias("n_labels"), F.sum("n").alias("size"), F.max(F.struct("n", "label"))["label"].alias("main"), (F.sum("n") - F.max("n")).alias("n_strays")).where("n_labels > 1")
+    m = m.join(top, "g").join(sets.withColumnRenamed("id", "rep"), "rep")
     parts = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
     number = lambda n: F.pmod(F.xxhash64("rep"), parts(n).cast("long")).cast("int")
-    queries = m.where("stray").select("v", "rep", "label", "stray", "sketch", F.lit(True).alias("is_query"), number("n_strays").alias("q"), F.explode(F.sequence(F.lit(0), parts("size") - 1)).alias("t"))
-    targets = m.select("v", "rep", "label", "stray", "sketch", F.lit(False).alias("is_query"), F.explode(F.sequence(F.lit(0), parts("n_strays") - 1)).alias("q"), number("size").alias("t"))
-    return queries.unionByName(targets).groupBy("v", "q", "t").applyInPandas(lambda key, rows: _block_pairs(key, rows, k), "a long, b long").distinct()
+    queries = m.where("label <> main").select("g", "rep", "label", "hashes", F.lit(True).alias("is_query"), number("n_strays").alias("q"), F.explode(F.sequence(F.lit(0), parts("size") - 1)).alias("t"))
+    targets = m.select("g", "rep", "label", "hashes", F.lit(False).alias("is_query"), F.explode(F.sequence(F.lit(0), parts("n_strays") - 1)).alias("q"), number("size").alias("t"))
+    return queries.unionByName(targets).groupBy("g", "q", "t").applyInPandas(lambda rows: _block_links(rows, percent), "a long, b long")
+
+
+def _possible(sets: DataFrame, percent: int) -> DataFrame:
+    """Ids whose share of values that another set holds too reaches ``percent``: no other can have a link."""
+    alone = sets.select("id", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    alone = alone.groupBy("id").agg(F.count("*").alias("alone"))
+    sizes = sets.select("id", F.size("hashes").cast("long").alias("size"))
+    return sizes.join(alone, "id", "left").where((F.col("size") - F.coalesce("alone", F.lit(0))) * 100 >= F.col("size") * percent).select("id")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = K, short_list: int = SHORT_LIST, block: int = BLOCK) -> DataFrame:
@@ -179,26 +212,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     lookup = shared.where(F.size("vs") >= need).select("rep", F.explode(F.slice("vs", F.lit(1), F.size("vs") - need + 1)).alias("x")).select("rep", F.col("x.v").alias("v"))
     lookup = store.written(lookup, "lookup")
 
+    # Full sets of what is listed; a set with too many values of its own has no partner and leaves.
+    wide = F.col("doc_id").cast("long")
+    listed = lookup.select(F.col("rep").alias("doc_id")).distinct()
+    all_sets = store.written(full_sets(docs.withColumn("doc_id", wide).join(listed, "doc_id", "left_semi"), width), "sets")
+    sets = store.written(all_sets.join(_possible(all_sets, percent), "id", "left_semi"), "sets")
+    left = sets.select(F.col("id").alias("rep")).distinct()
+    store.drop(all_sets)
+
+    lookup = store.written(lookup.join(left, "rep", "left_semi"), "lookup")
     pivot = F.min(F.struct(F.xxhash64("v", "rep").alias("h"), F.col("rep").alias("pivot")))["pivot"]
-    lists = lookup.groupBy("v").agg(F.count("*").alias("n"), pivot.alias("pivot")).where("n > 1")
+    lists = lookup.groupBy("v").agg(F.count("*").alias("n"), pivot.alias("pivot"), F.min("rep").alias("g")).where("n > 1")
     members = store.written(lookup.join(lists, "v"), "members")
     few = members.where(F.col("n") <= short_list).groupBy("v").agg(F.collect_set("rep").alias("r"))  # at most short_list
     few = few.select(F.explode(F.expr("flatten(transform(r, x -> transform(filter(r, y -> y > x), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
     many = members.where((F.col("n") > short_list) & (F.col("rep") != F.col("pivot"))).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
-    sketch = store.written(reps.join(members.select("rep").distinct(), "rep", "left_semi"), "listed")
-    pairs = store.written(_estimated(few.union(many).distinct(), sketch, k), "pairs")
-
-    named = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(sketch.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = store.written(full_sets(named, width), "sets")
-    links = store.written(_confirmed(pairs, sets, percent), "links")
+    sketch = store.written(reps.join(left, "rep", "left_semi"), "listed")
+    links = store.written(_confirmed(_estimated(few.union(many).distinct(), sketch, k), sets, percent), "links")
     labels = components(links)
-    # What the pivots have left apart; most often nothing.
-    apart = _across(members.where(F.col("n") > short_list).select("v", "rep").distinct(), labels, sketch, k, block)
-    more = store.written(_confirmed(apart, sets, percent), "links")
+    # What the pivots have left apart. Lists with one smallest member go together: those of one group of near copies do.
+    more = store.written(_across(members.where(F.col("n") > short_list).select("g", "rep").distinct(), labels, sets, percent, block), "links")
     if not more.isEmpty():
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
     found = store.written(labels, "labels")
-    for table in (sets, pairs, links, more, lookup, sketch):
+    for table in (sets, links, more, lookup, sketch, members):
         store.drop(table)
 
     # Rows of a class with copies look up its smallest doc_id; large classes (at most 500) by broadcast, so no key is hot.
