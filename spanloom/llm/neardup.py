@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from . import store
 from .batches import chunks, column, lower_ascii, mix, record_batch, run_hashes, runs
+from .samples import matched
 
 K, RATIO, ESTIMATE, SHORT_LIST, BLOCK = 32, 0.35, 0.4, 8, 256
 
@@ -215,7 +216,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     # Full sets of what is listed; a set with too many values of its own has no partner and leaves.
     wide = F.col("doc_id").cast("long")
     listed = lookup.select(F.col("rep").alias("doc_id")).distinct()
-    all_sets = store.written(full_sets(docs.withColumn("doc_id", wide).join(listed, "doc_id", "left_semi"), width), "sets")
+    all_sets = store.written(full_sets(matched(docs.select(wide.alias("doc_id"), "text"), listed, "left_semi"), width), "sets")
     sets = store.written(all_sets.join(_possible(all_sets, percent), "id", "left_semi"), "sets")
     left = sets.select(F.col("id").alias("rep")).distinct()
     store.drop(all_sets)
@@ -258,7 +259,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group stays (five words, 0.8)."""
     del spark, sf_dir
     kept = near_duplicates(docs, 5).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return matched(docs, kept, "left_semi").select(docs.columns)
 
 
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
