@@ -27,6 +27,8 @@ from .samples import lowest, matched, remainder
 SAMPLE = 1_500
 BUCKETS, DIM, WIDTHS, FILTERS, PREFIX = 1 << 15, 12, (1, 2, 3), 8, 5
 EPOCHS, BATCH, RATE, SEED = 6, 32, 0.08, 7
+#: Steps at least: a small sample is gone through more often.
+STEPS = 600
 PAD = max(WIDTHS) - 1
 
 
@@ -125,9 +127,10 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, langua
     shift_square = 1e-4
     rows = np.flatnonzero(~held)
     weight = np.where(labels == 1, 0.5 / max(labels[rows].mean(), 1e-3), 0.5 / max(1 - labels[rows].mean(), 1e-3))
+    epochs = max(epochs, -(-STEPS * BATCH // max(1, len(rows))))
     for epoch in range(epochs):
         draw.shuffle(rows)
-        rate = RATE / (1 + epoch)
+        rate = RATE / (1 + EPOCHS * epoch / epochs)
         for lo in range(0, len(rows), BATCH):
             own = [r for r in rows[lo : lo + BATCH] if len(texts[r][0])]
             if not own:
