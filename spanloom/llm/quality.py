@@ -125,9 +125,12 @@ class Model:
                 weight[context] = left
                 if n == 1:
                     p = here + weight[0] * p
-                else:
-                    p = (here.reshape(CLASSES, -1, CLASSES) + weight.reshape(CLASSES, -1, 1) * p.reshape(1, -1, CLASSES)).ravel()
-            self._logs = np.log(np.maximum(p, 1e-12))
+                else:  # first symbol by first symbol, in place
+                    for own, left_over in zip(here.reshape(CLASSES, -1, CLASSES), weight.reshape(CLASSES, -1, 1), strict=True):
+                        own += left_over * p.reshape(-1, CLASSES)
+                    p = here
+            np.maximum(p, 1e-12, out=p)
+            self._logs = np.log(p, out=p)
         return self._logs
 
     def log_perplexities(self, texts: list[str | None]) -> np.ndarray:
@@ -152,12 +155,19 @@ def fit(trusted: DataFrame) -> Model | None:
         # A lower order counts the different symbols before an n-gram.
         table = table.groupBy(F.col("code").bitwiseAND(CLASSES ** (n - 1) - 1).alias("code")).agg(F.count("*").alias("n"))
     model = Model(levels[::-1])
-    full = top.toArrow()
+    sent = trusted.sparkSession.sparkContext.broadcast(model)
+    part = pa.schema([("n", pa.float64()), ("total", pa.float64())])
+
+    def entropy(batches):
+        for batch in batches:
+            n = column(batch, "n").to_numpy().astype(float)
+            yield record_batch(part, [n.sum()], [float(-(n * sent.value.logs[column(batch, "code").to_numpy()]).sum())])
+
+    sums = top.select("code", "n").mapInArrow(entropy, "n double, total double").agg(F.sum("n"), F.sum("total")).first()
     top.unpersist()
-    if not full.num_rows:
+    if not sums[0]:
         return None
-    n = full["n"].to_numpy().astype(float)
-    model.entropy = float(-(n * model.logs[full["code"].to_numpy()]).sum() / n.sum())
+    model.entropy = sums[1] / sums[0]
     return model
 
 
