@@ -161,10 +161,10 @@ def nearest(vectors: DataFrame, is_query, k: int = K, trees: int = TREES, leaf_r
     classes = store.written(classes, "classes")
     stats = classes.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("square")).first()
     total, longest = stats["n"], math.sqrt(stats["square"] or 1.0)
-    sample = np.array([r["v"] for r in classes.orderBy(F.xxhash64("k1", "k2")).limit(SAMPLE).select("v").collect()], np.float64).reshape(min(total, SAMPLE), -1)
+    sample = np.array([r["v"] for r in classes.orderBy(F.xxhash64("k1", "k2")).limit(SAMPLE).select("v").collect()], np.float64)
     depth = max(0, math.ceil(math.log2(max(1, total) / leaf_rows))) if total else 0
     depth = min(depth, int(math.log2(max(1, len(sample) / NODE_SAMPLE))))
-    forest = spark.sparkContext.broadcast(Forest(extended(sample, longest), trees, depth) if total else Forest(np.zeros((1, 2), np.float32), 1, 0))
+    forest = spark.sparkContext.broadcast(Forest(extended(sample, longest) if total else np.zeros((1, 2), np.float32), trees, depth))
     routed = store.written(_routed(classes, forest, longest), "routed")
 
     # One row a leaf: bounded by the sample.
