@@ -59,11 +59,16 @@ def f1_scores(df: DataFrame, truth: str, guess: str) -> DataFrame:
     return both.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)).drop("hit", "guessed")
 
 
-def correlation(a: Column, b: Column) -> Column:
-    """Normalised cross-correlation of two arrays of one length; 0 where either is flat."""
-    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
-    centred = lambda x: F.transform(x, lambda v: v - mean(x))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    ca, cb = centred(a), centred(b)
-    norm = F.sqrt(dot(ca, ca) * dot(cb, cb))
-    return F.when(norm > 0, dot(ca, cb) / norm).otherwise(0.0)
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also where lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
+def unit(x: Column) -> Column:
+    """An array less its mean, of length one; zeros where it is flat. The dot product of two is their normalised cross-correlation."""
+    centred = let(F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x), lambda m: F.transform(x, lambda v: v - m))
+    return let(centred, lambda c: let(F.sqrt(dot(c, c)), lambda n: F.transform(c, lambda v: F.when(n > 0, v / n).otherwise(0.0))))

@@ -112,9 +112,9 @@ def median_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def template_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every frame vector's best of five template vectors."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", ag.unit(F.col("embedding").cast("array<double>")).alias("v"))
     t = F.broadcast(e.where("vec_id < 5").select(F.col("vec_id").alias("template"), F.col("v").alias("t")))  # five rows
-    r = e.where("vec_id >= 5").join(t, F.size("v") == F.size("t")).select("vec_id", "template", F.round(ag.correlation(F.col("v"), F.col("t")), 6).alias("corr"))
+    r = e.where("vec_id >= 5").join(t, F.size("v") == F.size("t")).select("vec_id", "template", F.round(ag.dot(F.col("v"), F.col("t")), 6).alias("corr"))
     return ag.best_by(r, ["vec_id"], [F.col("corr")], "template", ["template", "corr"])
 
 
