@@ -5,26 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Words, patterns and texts that decide the results.
+BANNER_WORDS = ("GOAL", "QOAL", "GOAI", "ASSIST", "SCORED", "SCORER")
+CLOCK, LONE_DIGIT, SHOTS = r"\d{1,2}:\d{2}", r"(?<![:\d])(\d)(?!\d)", r"^\d{1,2}$"
+ONE_LIKE = "[FIlO|]"
+STAR_STATS = r"^GOALS: (\d+) \| ASSISTS: (\d+) \| HITS: (\d+)$"
+SCORE_LINE = r"(?i)(END|GAME|OVER|\d\s*[-–]\s*\d)"
+KINDS = {"intro": "VS screen → opening faceoff", "game_end": "final buzzer / scoreboard", "end_of_regulation": "3rd-period buzzer"}
+
 _DIGITS = r"^\d+$"
 
 
 def looks_like_banner(text: Column) -> Column:
     """An overlay and no scoreboard: a keyword, or five capitals in a row."""
-    return F.upper(text).rlike("GOAL|QOAL|GOAI|ASSIST|SCORED|SCORER|[A-Z]{5,}")
+    return F.upper(text).rlike("|".join(BANNER_WORDS) + "|[A-Z]{5,}")
 
 
 def parse_score(text: Column) -> Column:
     """The last lone digit, without a clock; an O that ends two or three capitals, or stands alone, is a zero."""
-    s = F.regexp_replace(text, r"\d{1,2}:\d{2}", "")
+    s = F.regexp_replace(text, CLOCK, "")
     s = F.regexp_replace(s, r"([A-Z]{2,3})O\b", "$1 0")
     s = F.regexp_replace(s, r"\bO\b", "0")
-    found = F.regexp_extract_all(s, F.lit(r"(?<![:\d])(\d)(?!\d)"), F.lit(1))
+    found = F.regexp_extract_all(s, F.lit(LONE_DIGIT), F.lit(1))
     return F.when(F.size(found) > 0, F.element_at(found, -1).cast("int"))
 
 
 def parse_shots(text: Column) -> Column:
     """One or two digits and nothing else, else null."""
-    return F.when(F.trim(text).rlike(r"^\d{1,2}$"), F.trim(text).cast("int"))
+    return F.when(F.trim(text).rlike(SHOTS), F.trim(text).cast("int"))
 
 
 def parse_board(text: Column) -> Column:
@@ -108,7 +116,7 @@ def safe_int(text: Column) -> Column:
 def star_line(stats: Column) -> Column:
     """``GOALS: 2 | ASSISTS: 0 | HITS: 8`` as ``2 G, 0 A, 8 hits``; other text stays."""
     s = F.trim(stats)
-    return F.when(s.rlike(r"^GOALS: (\d+) \| ASSISTS: (\d+) \| HITS: (\d+)$"), F.regexp_replace(s, r"^GOALS: (\d+) \| ASSISTS: (\d+) \| HITS: (\d+)$", "$1 G, $2 A, $3 hits")).otherwise(s)
+    return F.when(s.rlike(STAR_STATS), F.regexp_replace(s, STAR_STATS, "$1 G, $2 A, $3 hits")).otherwise(s)
 
 
 def skater_line(player: Column, minutes: Column, goals: Column, assists: Column, points: Column, hits: Column) -> Column:
@@ -161,7 +169,7 @@ def strip_suffix(stem: Column, labels: list[str]) -> Column:
 
 def digit_line(text: Column) -> Column:
     """Letters that a one is taken for."""
-    return F.regexp_replace(text, r"[FIlO|]", "1")
+    return F.regexp_replace(text, ONE_LIKE, "1")
 
 
 def id_from_output(text: Column) -> Column:
@@ -173,7 +181,7 @@ def id_from_output(text: Column) -> Column:
 def score_line(text: Column) -> Column:
     """The first line with END, GAME, OVER or a score, else the first line, else empty."""
     lines = F.split(F.trim(text), "\n")
-    hit = F.filter(lines, lambda x: x.rlike(r"(?i)(END|GAME|OVER|\d\s*[-–]\s*\d)"))
+    hit = F.filter(lines, lambda x: x.rlike(SCORE_LINE))
     return F.coalesce(F.trim(F.coalesce(F.get(hit, F.lit(0)), F.get(lines, F.lit(0)))), F.lit(""))
 
 
@@ -188,9 +196,9 @@ def group_kind(row: dict[str, Column]) -> Column:
     name = F.when(row["to_period"] == 2, "2ND PERIOD").when(row["to_period"] == 3, "3RD PERIOD").otherwise("OVERTIME")
     return (
         F.when(row["transition"], F.struct(F.lit("transition").alias("kind"), name.alias("detail")))
-        .when(row["intro"], pair("intro", "VS screen → opening faceoff"))
-        .when(row["game_end"], pair("game_end", "final buzzer / scoreboard"))
-        .when(row["regulation_end"], pair("end_of_regulation", "3rd-period buzzer"))
+        .when(row["intro"], pair("intro", KINDS["intro"]))
+        .when(row["game_end"], pair("game_end", KINDS["game_end"]))
+        .when(row["regulation_end"], pair("end_of_regulation", KINDS["end_of_regulation"]))
         .when(row["banner"], pair("goal", "banner-confirmed"))
         .when(row["inferred"], pair("goal", "faceoff-pattern inferred"))
         .otherwise(F.struct(F.coalesce(row["label"], F.lit("highlight")).alias("kind"), F.lit("").alias("detail")))
