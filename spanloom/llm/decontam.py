@@ -381,5 +381,19 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(find(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+#: The same by a plain join of all windows.
+_SQL = f"""
+WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), {WINDOW})::BIGINT AS n, array_to_string(w[k:k + least(len(w), {WINDOW}) - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+d AS (SELECT doc_id::BIGINT AS doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+dw AS (SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS phrase FROM (SELECT d.r, d.w, s.n, unnest(range(1, len(d.w) - s.n + 2)) AS k FROM d, (SELECT DISTINCT n FROM win) s)),
+hit AS (SELECT r, n, k, item_id FROM dw JOIN win USING (n, phrase)),
+words AS (SELECT r, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT r, n, k FROM hit)) GROUP BY r),
+items AS (SELECT r, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM hit) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
 QUERIES = {"op8_decontam": op8_decontam}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op8_decontam": _SQL}

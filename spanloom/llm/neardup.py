@@ -267,5 +267,17 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), 4)
 
 
+#: The same by a plain join of all shingles, one document for each set.
+_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id::BIGINT AS doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' ')))) END AS x FROM d),
+c AS (SELECT doc_id, len(x)::BIGINT AS n, CASE WHEN len(x) > 0 THEN min(doc_id) OVER (PARTITION BY x) ELSE doc_id END AS rep, x FROM s),
+e AS (SELECT rep, n, unnest(x) AS g FROM c WHERE rep = doc_id AND n > 0),
+link AS (SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.g = b.g AND a.rep <> b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT DISTINCT a AS x, a AS y FROM link UNION SELECT r.x, l.b FROM reach r JOIN link l ON l.a = r.y),
+low AS (SELECT x, min(y) AS m FROM reach GROUP BY x)
+SELECT c.doc_id, c.n AS n_shingles, coalesce(m, rep) AS component_id, coalesce(m, rep) = c.doc_id AS kept FROM c LEFT JOIN low ON low.x = c.rep
+"""
+
 QUERIES = {"op9_neardup": op9_neardup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op9_neardup": _SQL}
