@@ -203,3 +203,17 @@ def group_kind(row: dict[str, Column]) -> Column:
         .when(row["inferred"], pair("goal", "faceoff-pattern inferred"))
         .otherwise(F.struct(F.coalesce(row["label"], F.lit("highlight")).alias("kind"), F.lit("").alias("detail")))
     )
+
+
+def mentions(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether any of the words is in the text, whatever its case."""
+    up = F.upper(F.coalesce(text, F.lit("")))
+    out = F.lit(False)
+    for w in words:
+        out = out | up.contains(w.upper())
+    return out
+
+
+def settled_picture(match: Column, deviation: Column, brightest: Column) -> Column:
+    """A card has stopped moving: its label matches, or it is lively and bright enough."""
+    return (match >= 0.65) | ((deviation >= 10) & (brightest > 140))

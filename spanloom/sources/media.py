@@ -73,3 +73,22 @@ def edit_list(rows: DataFrame, by: list[str], seq: str, path: str, start: str, e
 def failure_cause(stderr: Column, code: Column) -> Column:
     """Why a program failed: disk full, a signal, or another error."""
     return F.when(F.lower(stderr).contains("no space left"), "disk full").when(code < 0, F.concat(F.lit("signal "), (-code).cast("string"))).when(code != 0, "error")
+
+
+def in_rank_order(rows: DataFrame, by: list[str], rank: str, seq: str, ranks: tuple[str, ...] = ("FIRST", "SECOND", "THIRD")) -> DataFrame:
+    """Of each listed rank the last row, with its place (from 1) in the order of ``ranks``."""
+    place = F.array_position(F.array(*[F.lit(r) for r in ranks]), F.col(rank))
+    w = Window.partitionBy(*by, rank).orderBy(F.col(seq).desc())
+    return rows.withColumn("place", place).where("place > 0").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def description(lines: DataFrame, by: list[str], order: str, line: str, title: str = "__TITLE__") -> DataFrame:
+    """Each group's lines in order below a title to be filled in."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(line).alias("l")))), lambda x: x["l"]), "\n")
+    return lines.groupBy(*by).agg(F.concat(F.lit(title + "\n\n"), text).alias("text"))
+
+
+def newest_of_name(files: DataFrame, name: str, modified: str, path: str) -> DataFrame:
+    """Of the files of one name the one written last (the first path of ties)."""
+    w = Window.partitionBy(name).orderBy(F.col(modified).desc(), path)
+    return files.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
