@@ -1,70 +1,67 @@
 """Operator 2: quality by the perplexity under a model of trusted text.
 
-The model is an interpolated modified Kneser-Ney model of four symbols out of 64
-classes (each plain letter, hashed groups of accented letters, capitals and signs,
-digits, blanks). Trusted text is every document that ``labels.quality`` marks 1,
-whole. Each task counts the n-grams of its documents and sends one row for each;
-the counts are summed, and joined with the totals of their contexts, in shards by
-key, order by order. What a scorer needs is bounded by the classes: at most 64 ** 4
-shares and 64 ** 3 context weights, whatever the corpus; so the last join, of
-documents with the model, is done in the task that holds the text. (Joined by
-shuffle, every document would be exploded into about a row a character.)
+The model is an interpolated modified Kneser-Ney model of ``ORDER`` characters.
+Trusted text is every document that ``labels.quality`` marks 1, whole; a fifth of
+these documents is left out of the counts and sets the limits. Counts, shares and
+context weights stay sharded by n-gram: nothing of the model is collected or
+broadcast, and it grows with the trusted text.
+
+Scoring is a join of counts with blocks of text. A block is some ``BLOCK_BYTES`` of
+whole documents of one input partition. It asks once for each different n-gram and
+context that its texts use, the sharded table answers, and answers and texts meet by
+block. A frequent n-gram is asked for once a block, not once a place, and texts move
+once, compressed.
 
 A document is rejected where its log perplexity lies above its language's limit,
-which comes from the quantiles of all trusted documents of that language.
+which comes from the quantiles of all held trusted documents of that language.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
 from .batches import chunks, column, record_batch
 from .samples import matched
 
-ORDER, CLASSES, BITS, START = 4, 64, 6, 63
-#: A text's mean is drawn to the model's own entropy as by this many symbols, so short texts are no outliers by chance.
+ORDER, BITS, START = 4, 15, 1
+SYMBOLS = 1 << BITS
+#: Bytes of text that ask for their n-grams together.
+BLOCK_BYTES = 16 << 20
+#: One of so many trusted documents sets the limits and is not counted.
+HELD = 5
+#: A text's mean is drawn to the entropy of held trusted text as by this many symbols, so short texts are no outliers by chance.
 PRIOR = 64
 #: The limit is the median plus ``SPREAD`` times the way from there to the ``HIGH`` quantile, and at least ``LEAST`` (log perplexity) above the median.
 HIGH, SPREAD, LEAST = 0.99, 1.5, 0.25
 _TABLE: list[np.ndarray] = []
 
 
-def classes_of() -> np.ndarray:
-    """The class of each code point."""
+def symbols_of() -> np.ndarray:
+    """The symbol of each code point: its own below 2 ** 15 (shared beyond), one for digits, one for white space."""
     if not _TABLE:
-        point = np.arange(0x110000)
-        table = np.full(0x110000, 61, np.uint8)  # other scripts' and unassigned code points
-        alpha = np.zeros(0x110000, bool)
-        upper = np.zeros(0x110000, bool)
-        for c in range(0x3000):
-            s = chr(c)
-            alpha[c], upper[c] = s.isalpha(), s.isupper() or s.istitle()
-        table[alpha] = 34 + point[alpha] % 16
-        table[upper] = 26 + point[upper] % 8
-        table[97:123] = np.arange(26)
-        sign = (point > 32) & (point < 0x3000) & ~alpha
-        table[sign] = 55 + point[sign] % 6
-        table[48:58] = 50
-        table[[9, 32, 0xA0]] = 51
-        table[[10, 13]] = 52
-        table[[46]], table[[44]] = 53, 54
-        table[0x3000:] = 61 + (point[0x3000:] >> 8) % 2
-        _TABLE.append(table)
+        table = np.arange(0x110000) % (SYMBOLS - 2) + 2
+        table[48:58] = table[48]
+        table[[9, 10, 13, 0xA0]] = table[32]
+        _TABLE.append(table.astype(np.int64))
     return _TABLE[0]
 
 
 def codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The 24-bit n-gram that ends at each symbol, texts one after another, and each text's first (n + 1)."""
-    table = classes_of()
+    """The code of the ORDER symbols that end at each character, texts one after another, and each text's first (n + 1)."""
+    table = symbols_of()
     points = [np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
     first = np.concatenate([[0], np.cumsum([len(p) for p in points])]).astype(np.int64)
-    s = table[np.concatenate(points)].astype(np.int32) if first[-1] else np.zeros(0, np.int32)
+    s = table[np.concatenate(points)] if first[-1] else np.zeros(0, np.int64)
     out = s.copy()
     for j in range(1, ORDER):
-        before = np.full(len(s), START, np.int32)
+        before = np.full(len(s), START, np.int64)
         before[j:] = s[: len(s) - j]
         for k in range(j):  # the first symbols of each text follow start marks
             at = first[:-1] + k
@@ -73,25 +70,58 @@ def codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
+def last(code, n: int):
+    """The last ``n`` symbols of a code."""
+    return code & ((1 << (BITS * n)) - 1)
+
+
+def keyed(code, n: int):
+    """The key of an n-gram: its code, marked with its order."""
+    return code | (n << 60)
+
+
+def needed(code: np.ndarray) -> np.ndarray:
+    """Keys of the n-grams and contexts of all orders that the probabilities of these codes are made of."""
+    out = []
+    for n in range(ORDER, -1, -1):
+        out.append(keyed(code, n))
+        code = np.unique(np.concatenate([last(code, max(0, n - 1)), code >> BITS]))
+    return np.concatenate(out)
+
+
+def log_probabilities(code: np.ndarray, keys: np.ndarray, share: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Log probability of each code's last symbol after the others. ``keys`` are sorted; what isn't there was never counted."""
+    p = np.full(len(code), 1 / SYMBOLS)
+    if not len(keys):
+        return np.log(p)
+
+    def find(wanted: np.ndarray, values: np.ndarray, missing: float) -> np.ndarray:
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, values[at], missing)
+
+    for n in range(1, ORDER + 1):
+        own = last(code, n)
+        p = find(keyed(own, n), share, 0.0) + find(keyed(own >> BITS, n - 1), left, 1.0) * p
+    return np.log(np.maximum(p, 1e-30))
+
+
 def counts(trusted: DataFrame) -> DataFrame:
     """Code and count of every n-gram of every text."""
-    schema = pa.schema([("code", pa.int32()), ("n", pa.int64())])
+    schema = pa.schema([("code", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
-        tally = np.zeros(CLASSES**ORDER, np.int32)
-        for batch, _, _ in chunks(batches, "text"):
-            code, n = np.unique(codes(column(batch, "text").to_pylist())[0], return_counts=True)
-            tally[code] += n.astype(np.int32)
-        code = np.flatnonzero(tally)
-        for lo in range(0, len(code), 100_000):
-            part = code[lo : lo + 100_000]
-            yield record_batch(schema, pa.array(part.astype(np.int32)), pa.array(tally[part].astype(np.int64)))
+        for _, parts in _blocks(batches):
+            found = [np.unique(codes(column(part, "text").to_pylist())[0], return_counts=True) for part in parts]
+            code, inverse = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+            n = np.bincount(inverse, np.concatenate([k for _, k in found]), len(code)).astype(np.int64)
+            for lo in range(0, len(code), 100_000):
+                yield record_batch(schema, pa.array(code[lo : lo + 100_000]), pa.array(n[lo : lo + 100_000]))
 
-    return trusted.select("text").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return trusted.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def shares(table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of one order's counts: each n-gram's discounted share of its context, and what each context leaves to the next lower order.
+def shares(table: DataFrame, order: int) -> DataFrame:
+    """Of one order's counts: each n-gram's discounted share of its context, and what each context leaves to the next lower order, by key.
 
     The three discounts come from how many n-grams were counted once to four times.
     """
@@ -100,89 +130,96 @@ def shares(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     discounts = [min(k, max(0.0, k - (k + 1) * y * few.get(k + 1, 0) / few[k])) if few.get(k) else k * 0.5 for k in (1, 2, 3)]
     discount = F.when(F.col("n") == 1, discounts[0]).when(F.col("n") == 2, discounts[1]).otherwise(discounts[2])
     rows = table.withColumn("context", F.shiftright("code", BITS)).withColumn("discount", discount)
-    contexts = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("discount").alias("left"))
+    contexts = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("discount").alias("out"))
+    mark = lambda c, n: F.col(c).bitwiseOR(F.lit(n << 60).cast("long")).alias("key")
+    none = F.lit(None).cast("double")
     share = F.greatest(F.col("n") - F.col("discount"), F.lit(0.0)) / F.col("total")
-    return rows.join(contexts, "context").select("code", share.alias("share")), contexts.select("context", (F.col("left") / F.col("total")).alias("left"))
-
-
-class Model:
-    """Log probabilities of all n-grams, filled in level by level where they are used."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], entropy: float = 0.0):
-        self.levels, self.entropy, self._logs = levels, entropy, None
-
-    def __getstate__(self):
-        return {"levels": self.levels, "entropy": self.entropy, "_logs": None}
-
-    @property
-    def logs(self) -> np.ndarray:
-        if self._logs is None:
-            p = np.full(CLASSES, 1 / CLASSES, np.float32)  # below order 1: all alike
-            for n, (code, share, context, left) in enumerate(self.levels, 1):
-                here = np.zeros(CLASSES**n, np.float32)
-                here[code] = share
-                weight = np.ones(CLASSES ** (n - 1), np.float32)
-                weight[context] = left
-                if n == 1:
-                    p = here + weight[0] * p
-                else:  # first symbol by first symbol, in place
-                    for own, left_over in zip(here.reshape(CLASSES, -1, CLASSES), weight.reshape(CLASSES, -1, 1), strict=True):
-                        own += left_over * p.reshape(-1, CLASSES)
-                    p = here
-            np.maximum(p, 1e-12, out=p)
-            self._logs = np.log(p, out=p)
-        return self._logs
-
-    def log_perplexities(self, texts: list[str | None]) -> np.ndarray:
-        """Mean negative log probability of a symbol, drawn to the model's own entropy in short texts."""
-        code, first = codes(texts)
-        n = np.diff(first)
-        total = np.zeros(len(texts))
-        some = np.flatnonzero(n > 0)
-        if len(some):
-            total[some] = -np.add.reduceat(self.logs[code], first[some], dtype=np.float64)
-        return (total + PRIOR * self.entropy) / (n + PRIOR)
-
-
-def fit(trusted: DataFrame) -> Model | None:
-    """The model of all texts of ``trusted``; None where there is no symbol."""
-    table = counts(trusted).persist()
-    top, levels = table, []
-    for n in range(ORDER, 0, -1):
-        share, left = shares(table)
-        share, left = share.toArrow(), left.toArrow()  # at most CLASSES ** n rows
-        levels.append((share["code"].to_numpy(), share["share"].to_numpy().astype(np.float32), left["context"].to_numpy(), left["left"].to_numpy().astype(np.float32)))
-        # A lower order counts the different symbols before an n-gram.
-        table = table.groupBy(F.col("code").bitwiseAND(CLASSES ** (n - 1) - 1).alias("code")).agg(F.count("*").alias("n"))
-    model = Model(levels[::-1])
-    sent = trusted.sparkSession.sparkContext.broadcast(model)
-    part = pa.schema([("n", pa.float64()), ("total", pa.float64())])
-
-    def entropy(batches):
-        for batch in batches:
-            n = column(batch, "n").to_numpy().astype(float)
-            yield record_batch(part, [n.sum()], [float(-(n * sent.value.logs[column(batch, "code").to_numpy()]).sum())])
-
-    sums = top.select("code", "n").mapInArrow(entropy, "n double, total double").agg(F.sum("n"), F.sum("total")).first()
-    top.unpersist()
-    if not sums[0]:
-        return None
-    model.entropy = sums[1] / sums[0]
-    return model
-
-
-_OUT = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("log_perplexity", pa.float64())])
+    left = (F.col("out") / F.col("total")).alias("left")
+    return rows.join(contexts, "context").select(mark("code", order), share.alias("share"), none.alias("left")).unionByName(contexts.select(mark("context", order - 1), none.alias("share"), left))
 
 
-def perplexities(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang and log_perplexity of every row's whole text; null and empty texts have the model's own entropy."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def fit(trusted: DataFrame) -> DataFrame:
+    """key, share (0 where it is a context only) and left (1 where nothing follows it) of every n-gram of all texts of ``trusted``; no rows without text."""
+    tables, parts = [store.written(counts(trusted), "grams")], []
+    for n in range(ORDER, 0, -1):
+        parts.append(shares(tables[-1], n))
+        if n > 1:  # a lower order counts the different symbols before an n-gram
+            tables.append(store.written(tables[-1].groupBy(F.col("code").bitwiseAND(F.lit((1 << (BITS * (n - 1))) - 1).cast("long")).alias("code")).agg(F.count("*").alias("n")), "grams"))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    model = rows.groupBy("key").agg(F.coalesce(F.max("share"), F.lit(0.0)).alias("share"), F.coalesce(F.max("left"), F.lit(1.0)).alias("left"))
+    model = store.written(model, "model")
+    for table in tables:
+        store.drop(table)
+    return model
 
-    def run(batches):
-        for batch, _, _ in chunks(batches, "text"):
-            yield record_batch(_OUT, column(batch, "doc_id"), column(batch, "lang"), pa.array(sent.value.log_perplexities(column(batch, "text").to_pylist())))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, "doc_id long, lang string, log_perplexity double")
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Number and pieces of each block of this partition."""
+    number, held, size = TaskContext.get().partitionId() << 32, [], 0
+    for batch, data, _ in chunks(batches, "text"):
+        held.append(batch)
+        size += len(data)
+        if size >= BLOCK_BYTES:
+            yield number, held
+            number, held, size = number + 1, [], 0
+    if held:
+        yield number, held
+
+
+_ASKED = pa.schema([("block", pa.int64()), ("key", pa.int64())])
+_PACKED = pa.schema([("block", pa.int64()), ("docs", pa.binary())])
+_SCORED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("total", pa.float64()), ("n", pa.int64())])
+
+
+def _asked(batches):
+    """Keys that each block needs."""
+    for number, parts in _blocks(batches):
+        keys = needed(np.unique(np.concatenate([np.unique(codes(column(part, "text").to_pylist())[0]) for part in parts])))
+        for lo in range(0, len(keys), 100_000):
+            part = keys[lo : lo + 100_000]
+            yield record_batch(_ASKED, pa.array(np.full(len(part), number)), pa.array(part))
+
+
+def _packed(batches):
+    """The documents of each block, in compressed pieces."""
+    for number, parts in _blocks(batches):
+        for part in parts:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(part)
+            yield record_batch(_PACKED, [number], [sink.getvalue().to_pybytes()])
+
+
+def _block_scores(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    """Sum of negative log probabilities and number of characters of each document of a block."""
+    keys = answers["key"].to_numpy()
+    order = np.argsort(keys)
+    keys, share, left = keys[order], answers["share"].to_numpy()[order], answers["left"].to_numpy()[order]
+    out = []
+    for piece in docs["docs"]:
+        for batch in pa.ipc.open_stream(piece.as_buffer()):
+            code, first = codes(column(batch, "text").to_pylist())
+            n, total = np.diff(first), np.zeros(batch.num_rows)
+            some = np.flatnonzero(n > 0)
+            if len(some):
+                each, inverse = np.unique(code, return_inverse=True)
+                logs = log_probabilities(each, keys, share, left)
+                total[some] = -np.add.reduceat(logs[inverse], first[some])
+            out.append(record_batch(_SCORED, column(batch, "doc_id"), column(batch, "lang"), pa.array(total), pa.array(n)))
+    return pa.Table.from_batches(out, _SCORED)
+
+
+def scores(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """doc_id, lang, total (negative log probability) and n (characters) of every row's whole text; null is empty.
+
+    ``docs`` is read twice and must give the same partitions: a table, not a random draw.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    answers = rows.mapInArrow(_asked, "block long, key long").join(model, "key")
+    packed = rows.mapInArrow(_packed, "block long, docs binary")
+    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_block_scores, "doc_id long, lang string, total double, n long")
 
 
 def limits(scored: DataFrame) -> DataFrame:
@@ -195,55 +232,45 @@ def limits(scored: DataFrame) -> DataFrame:
     return scored.where("lang is not null").groupBy("lang").agg(limit()).unionByName(scored.agg(F.lit(None).cast("string").alias("lang"), limit()))
 
 
-def judged(docs: DataFrame, trusted_ids: DataFrame) -> tuple[Model | None, dict]:
-    """The model of the trusted ones among ``docs``, and the limit of each language (None: of any other)."""
-    trusted = matched(docs, trusted_ids, "left_semi")
-    model = fit(trusted)
-    if model is None:
-        return None, {}
-    found = limits(perplexities(trusted, model))
-    return model, {r["lang"]: r["limit"] for r in found.collect()}  # one row a language
+def judged(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
+    """doc_id, lang, log_perplexity, log_limit and kept of each row of ``docs`` (doc_id, lang, text).
+
+    Null and empty texts have the entropy of trusted text and are kept. A language
+    without held trusted documents has the limit of all languages together; where
+    there is none at all (too few trusted documents), nothing is judged: all rows
+    are kept, with null figures.
+    """
+    held = F.pmod(F.xxhash64(F.lit(5), F.col("doc_id").cast("long")), F.lit(HELD)) == 0
+    model = fit(matched(docs, trusted_ids.where(~held), "left_semi"))
+    scored = store.written(scores(docs, model), "scored")
+    store.drop(model)
+    tests = matched(scored, trusted_ids.where(held), "left_semi").where("n > 0")
+    sums = tests.agg(F.sum("total"), F.sum("n")).first()
+    if not sums[1]:
+        none = F.lit(None).cast("double")
+        return scored.select("doc_id", "lang", none.alias("log_perplexity"), none.alias("log_limit"), F.lit(True).alias("kept"))
+    mean = ((F.col("total") + PRIOR * sums[0] / sums[1]) / (F.col("n") + PRIOR)).alias("log_perplexity")
+    known = {r["lang"]: float(r["limit"]) for r in limits(tests.select("lang", mean)).collect()}  # one row a language
+    limit = F.lit(known.pop(None))
+    if known:
+        limit = F.coalesce(F.create_map(*[F.lit(x) for pair in known.items() for x in pair])[F.col("lang")], limit)
+    return scored.select("doc_id", "lang", mean, limit.alias("log_limit")).withColumn("kept", (F.col("log_perplexity") <= F.col("log_limit")))
 
 
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and doc_id is not null").select("doc_id").distinct()
 
 
-def _limit_of(languages: list, known: dict) -> np.ndarray:
-    return np.array([known.get(x, known.get(None, np.inf)) for x in languages])
-
-
-def accepted(docs: DataFrame, model: Model | None, known: dict) -> DataFrame:
-    """The rows of ``docs`` that aren't above their limit, with all their columns."""
-    if model is None:
-        return docs
-    sent = docs.sparkSession.sparkContext.broadcast((model, known))
-
-    def run(batches):
-        for batch, _, _ in chunks(batches, "text"):
-            m, limit = sent.value
-            yield batch.filter(pa.array(m.log_perplexities(column(batch, "text").to_pylist()) <= _limit_of(column(batch, "lang").to_pylist(), limit)))
-
-    return docs.mapInArrow(run, docs.schema)
-
-
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents above their language's limit go."""
-    return accepted(docs, *judged(docs, trusted_ids(spark, sf_dir)))
+    """Pipeline stage: documents above their language's limit go, with all rows of their doc_id; rows without one stay."""
+    gone = judged(docs, trusted_ids(spark, sf_dir)).where("not kept and doc_id is not null").select("doc_id").distinct()
+    return matched(docs, gone, "left_anti").select(docs.columns)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents``: perplexity a symbol, the limit of the language, and what is accepted."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    model, known = judged(docs, trusted_ids(spark, sf_dir))
-    if model is None:
-        none = F.lit(None).cast("double")
-        return docs.select("doc_id", "lang", none.alias("perplexity"), none.alias("limit"), F.lit(True).alias("kept"))
-    lookup = F.create_map(*[F.lit(x) for k, v in known.items() if k is not None for x in (k, v)]) if len(known) > 1 else None
-    common = F.lit(known.get(None, float("inf")))
-    limit = F.coalesce(lookup[F.col("lang")], common) if lookup is not None else common
-    scored = perplexities(docs, model).withColumn("log_limit", limit)
-    return scored.select("doc_id", "lang", F.exp("log_perplexity").alias("perplexity"), F.exp("log_limit").alias("limit"), (F.col("log_perplexity") <= F.col("log_limit")).alias("kept"))
+    found = judged(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"), trusted_ids(spark, sf_dir))
+    return found.select("doc_id", "lang", F.exp("log_perplexity").alias("perplexity"), F.exp("log_limit").alias("limit"), "kept")
 
 
 QUERIES = {"op2_quality": op2_quality}

@@ -64,34 +64,49 @@ def test_language_held_out_accuracy(spark):
 
 
 def test_quality_keeps_trusted_and_drops_junk(spark):
-    docs = corpus(spark).unionByName(spark.createDataFrame([(500, "ZQ!! #%$ QZ!! @@" * 20, "xx"), (501, None, "xx"), (502, "", None), (503, "aba bab", None)], DOCS)).withColumn("limit", F.lit(0))
-    model, known = quality.judged(docs, spark.range(0, 100).withColumnRenamed("id", "doc_id"))
-    kept = {r.doc_id for r in quality.accepted(docs, model, known).collect()}
-    assert 500 not in kept and {501, 502, 503} <= kept and len(set(range(100)) - kept) <= 1
-    assert quality.accepted(docs, model, known).columns == docs.columns
+    docs = corpus(spark).unionByName(spark.createDataFrame([(500, "ZQ!! #%$ QZ!! @@" * 20, "xx"), (501, None, "xx"), (502, "", None), (503, "aba bab", None), (504, "dodo cod", "xx"), (504, "dodo cod", "xx")], DOCS)).withColumn("limit", F.lit(0))
+    found = quality.judged(docs, spark.range(0, 100).withColumnRenamed("id", "doc_id"))
+    kept = {r.doc_id for r in found.where("kept").collect()}
+    assert found.count() == docs.count()
+    assert 500 not in kept and {501, 502, 503, 504} <= kept and len(set(range(100)) - kept) <= 1
 
 
 def test_quality_probabilities_sum_to_one(spark):
-    model = quality.fit(corpus(spark))
-    assert np.allclose(np.exp(model.logs.astype(float)).reshape(-1, quality.CLASSES).sum(1), 1, atol=1e-3)
+    model = quality.fit(corpus(spark)).toPandas().sort_values("key")
+    symbols = np.arange(quality.SYMBOLS)
+    for context in ("aba", "od ", "zzz", "  a"):
+        code, _ = quality.codes([context + "a"])
+        every = (code[-1] >> quality.BITS << quality.BITS) | symbols
+        p = np.exp(quality.log_probabilities(every, model["key"].to_numpy(), model["share"].to_numpy(), model["left"].to_numpy()))
+        assert abs(p.sum() - 1) < 1e-6
+
+
+def test_quality_joins_equal_the_whole_model(spark):
+    docs = corpus(spark, 60).repartition(5, "doc_id").unionByName(spark.createDataFrame([(901, None, "xx"), (902, "", None), (903, "\u00dc\U0001f600 7", "zz")], DOCS))
+    model = quality.fit(corpus(spark, 30, 1))
+    table = model.toPandas().sort_values("key")
+    got = {r.doc_id: (r.total, r.n) for r in quality.scores(docs, model).collect()}
+    for r in docs.collect():
+        code, _ = quality.codes([r.text])
+        want = -quality.log_probabilities(code, table["key"].to_numpy(), table["share"].to_numpy(), table["left"].to_numpy()).sum()
+        assert got[r.doc_id][1] == len(r.text or "") and abs(got[r.doc_id][0] - want) < 1e-6 * max(1, want)
 
 
 def test_quality_counts_equal_brute_force(spark):
-    texts = ["abc Éé\n1", None, "", "ab"]
+    texts = ["abc \u00c9\u00e9\n1", None, "", "ab", "abc"]
     got = {r.code: r.n for r in quality.counts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
     want: dict = {}
     for t in texts:
-        s = [quality.START] * 3 + [int(quality.classes_of()[ord(c)]) for c in t or ""]
+        s = [quality.START] * 3 + [int(quality.symbols_of()[ord(c)]) for c in t or ""]
         for i in range(3, len(s)):
-            code = sum(s[i - j] << (6 * j) for j in range(4))
+            code = sum(s[i - j] << (quality.BITS * j) for j in range(4))
             want[code] = want.get(code, 0) + 1
     assert got == want
 
 
 def test_quality_without_trusted_text(spark):
-    docs = corpus(spark, 5)
-    model, known = quality.judged(docs, spark.range(0).withColumnRenamed("id", "doc_id"))
-    assert model is None and quality.accepted(docs, model, known).count() == 5
+    found = quality.judged(corpus(spark, 5), spark.range(0).withColumnRenamed("id", "doc_id"))
+    assert found.where("kept").count() == 5 and found.where("log_perplexity is not null").count() == 0
 
 
 # --- toxicity ---
