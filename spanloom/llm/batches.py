@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that a task turns into numpy arrays at once (a longer text goes alone).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import store
 from .batches import column, flat, lower_ascii, record_batch, run_hashes, runs
 
-WINDOW, SHARD_BYTES, PHRASE_WORDS, SAMPLE = 10, 4 << 20, 500_000, 16
+WINDOW, SHARD_BYTES, PHRASE_WORDS, SAMPLE = 10, 2 << 20, 500_000, 16
 
 
 def word_runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
