@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,16 @@ import pyarrow as pa
 CHUNK_BYTES = 512 << 10
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: workers outlive their tasks, and what idle ones hold adds up beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):  # glibc
+        _LIBC.malloc_trim(0)
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its n + 1 offsets; null is an empty text."""
     column = column.cast(pa.large_string())
@@ -27,13 +38,16 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with at most ``limit`` bytes of ``column`` (or one row), its bytes and offsets."""
-    for batch in batches:
-        data, at = flat(batch.column(batch.schema.get_field_index(column)))
-        low, n = 0, batch.num_rows
-        while low < n:
-            high = max(low + 1, int(np.searchsorted(at, at[low] + limit, "right")) - 1)
-            yield batch.slice(low, high - low), data[at[low] : at[high]], at[low : high + 1] - at[low]
-            low = high
+    try:
+        for batch in batches:
+            data, at = flat(batch.column(batch.schema.get_field_index(column)))
+            low, n = 0, batch.num_rows
+            while low < n:
+                high = max(low + 1, int(np.searchsorted(at, at[low] + limit, "right")) - 1)
+                yield batch.slice(low, high - low), data[at[low] : at[high]], at[low : high + 1] - at[low]
+                low = high
+    finally:
+        give_back()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

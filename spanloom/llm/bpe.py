@@ -24,11 +24,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import column, record_batch
+from .batches import column, give_back, record_batch
 
 CHUNK, OVERLAP = 32_768, 1_024
 #: Pieces whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 100_000
 #: Bytes up to which scanning a piece for its lowest pair is faster than a heap.
 SCANNED = 48
 #: A match that ends this near to a chunk's end may depend on what follows.
@@ -272,6 +272,7 @@ def _each(docs: DataFrame, make, schema: pa.Schema, spark_schema: str, path: str
                     held = []
             if held:
                 yield record_batch(schema, *map(list, zip(*held, strict=True)))
+            give_back()
 
         return run
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .batches import column, flat, lower_ascii, record_batch, run_hashes, runs
+from .batches import column, flat, give_back, lower_ascii, record_batch, run_hashes, runs
 
 WINDOW, SHARD_BYTES, PHRASE_WORDS, SAMPLE = 10, 2 << 20, 500_000, 16
 
@@ -226,6 +226,7 @@ def _shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    give_back()
 
 
 def _slices(items: list[tuple[str, str | None]], limit: int) -> Iterator[list[tuple[str, str | None]]]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .batches import chunks, column, record_batch
+from .batches import chunks, column, give_back, record_batch
 from .samples import matched
 
 ORDER, BITS, START = 4, 15, 1
@@ -208,6 +208,7 @@ def _block_scores(docs: pa.Table, answers: pa.Table) -> pa.Table:
                 logs = log_probabilities(each, keys, share, left)
                 total[some] = -np.add.reduceat(logs[inverse], first[some])
             out.append(record_batch(_SCORED, column(batch, "doc_id"), column(batch, "lang"), pa.array(total), pa.array(n)))
+    give_back()
     return pa.Table.from_batches(out, _SCORED)
 
 
