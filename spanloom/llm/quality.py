@@ -13,12 +13,14 @@ block. A frequent n-gram is asked for once a block, not once a place, and texts
 once, compressed.
 
 A document is rejected where its log perplexity lies above its language's limit,
-which comes from the quantiles of all held trusted documents of that language.
+which is the quantile ``HIGH`` of all held trusted documents of that language.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,8 @@ BLOCK_BYTES = 16 << 20
 HELD = 5
 #: A text's mean is drawn to the entropy of held trusted text as by this many symbols, so short texts are no outliers by chance.
 PRIOR = 64
-#: The limit is the median plus ``SPREAD`` times the way from there to the ``HIGH`` quantile, and at least ``LEAST`` (log perplexity) above the median.
-HIGH, SPREAD, LEAST = 0.99, 1.5, 0.25
+#: A language's limit is this quantile of its held trusted documents. Fewer than ``ENOUGH`` of them don't show it: then it is the bound that a new one exceeds with this chance, by mean and deviation (Student's t), and with fewer than ``FEW`` the highest limit of any.
+HIGH, ENOUGH, FEW = 0.99, 100, 5
 _TABLE: list[np.ndarray] = []
 
 
@@ -224,22 +226,28 @@ def scores(docs: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def limits(scored: DataFrame) -> DataFrame:
-    """lang and limit, from the log perplexities of trusted documents; the row with a null lang is of all languages together."""
+    """lang, limit (the quantile), n, mean and deviation of the log perplexities of trusted documents; the row with a null lang is of all languages together."""
+    x = "log_perplexity"
+    figures = [F.percentile_approx(x, HIGH, 10_000).alias("limit"), F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("deviation")]
+    return scored.where("lang is not null").groupBy("lang").agg(*figures).unionByName(scored.agg(F.lit(None).cast("string").alias("lang"), *figures))
 
-    def limit():
-        middle, high = F.percentile_approx("log_perplexity", 0.5, 10_000), F.percentile_approx("log_perplexity", HIGH, 10_000)
-        return F.greatest(middle + (high - middle) * SPREAD, middle + LEAST).alias("limit")
 
-    return scored.where("lang is not null").groupBy("lang").agg(limit()).unionByName(scored.agg(F.lit(None).cast("string").alias("lang"), limit()))
+def bound(limit: float, n: int, mean: float, deviation: float | None) -> float:
+    """A row of :func:`limits` as a limit: the quantile, or where ``n`` is too small for it what a new document exceeds as rarely."""
+    if n >= ENOUGH or n < 2:
+        return limit
+    z, v = NormalDist().inv_cdf(HIGH), max(n - 1, FEW - 1)
+    t = z + (z**3 + z) / (4 * v) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * v**2) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * v**3)
+    return mean + t * deviation * math.sqrt(1 + 1 / n)
 
 
 def judged(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     """doc_id, lang, log_perplexity, log_limit and kept of each row of ``docs`` (doc_id, lang, text).
 
-    Null and empty texts have the entropy of trusted text and are kept. A language
-    without held trusted documents has the limit of all languages together; where
-    there is none at all (too few trusted documents), nothing is judged: all rows
-    are kept, with null figures.
+    Null and empty texts have the entropy of trusted text and are kept. Rows without
+    a language, or of one with fewer than ``FEW`` held trusted documents, have the
+    highest limit of any language or of all together; where there is none at all (too
+    few trusted documents), nothing is judged: all rows are kept, with null figures.
     """
     held = F.pmod(F.xxhash64(F.lit(5), F.col("doc_id").cast("long")), F.lit(HELD)) == 0
     model = fit(matched(docs, trusted_ids.where(~held), "left_semi"))
@@ -251,8 +259,10 @@ def judged(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
         none = F.lit(None).cast("double")
         return scored.select("doc_id", "lang", none.alias("log_perplexity"), none.alias("log_limit"), F.lit(True).alias("kept"))
     mean = ((F.col("total") + PRIOR * sums[0] / sums[1]) / (F.col("n") + PRIOR)).alias("log_perplexity")
-    known = {r["lang"]: float(r["limit"]) for r in limits(tests.select("lang", mean)).collect()}  # one row a language
-    limit = F.lit(known.pop(None))
+    found = {r["lang"]: r for r in limits(tests.select("lang", mean)).collect()}  # one row a language
+    known = {k: bound(r["limit"], r["n"], r["mean"], r["deviation"]) for k, r in found.items() if k is None or r["n"] >= FEW}
+    limit = F.lit(max(known.values()))
+    del known[None]
     if known:
         limit = F.coalesce(F.create_map(*[F.lit(x) for pair in known.items() for x in pair])[F.col("lang")], limit)
     return scored.select("doc_id", "lang", mean, limit.alias("log_limit")).withColumn("kept", (F.col("log_perplexity") <= F.col("log_limit")))

@@ -104,6 +104,20 @@ def test_quality_counts_equal_brute_force(spark):
     assert got == want
 
 
+def test_quality_limit_is_the_language_quantile(spark):
+    rows = [("xx", 1 + i / 1000) for i in range(200)] + [("yy", 3.0)]
+    got = {r.lang: r for r in quality.limits(spark.createDataFrame(rows, "lang string, log_perplexity double")).collect()}
+    assert got["xx"].n == 200 and abs(got["xx"].limit - 1.198) < 0.0015 and got["yy"].limit == 3 and abs(got[None].limit - 1.198) < 0.0015
+
+
+@needs_data
+def test_quality_rejects_the_labelled_junk(spark):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    kept = {r.quality: (r.n, r.kept) for r in quality.op2_quality(spark, DATA).join(labels, "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("kept")).collect()}
+    print("quality: (documents, kept)", kept)
+    assert kept[0][1] == 0 and kept[1][1] >= 0.97 * kept[1][0]
+
+
 def test_quality_without_trusted_text(spark):
     found = quality.judged(corpus(spark, 5), spark.range(0).withColumnRenamed("id", "doc_id"))
     assert found.where("kept").count() == 5 and found.where("log_perplexity is not null").count() == 0
