@@ -7,7 +7,8 @@ first (by the summed squared margins of the planes it is on the wrong side of),
 until the leaves that it has reached hold the share ``search`` of all rows. Members
 and queries meet by leaf, in chunks of bounded size, and candidates are ranked by
 their exact inner product. To make nearness by inner product a matter of angles
-the vectors get one more component that fills all up to one length.
+the vectors get one more component that fills all up to one length; queries have
+length one without it.
 
 Equal vectors are one class with its smallest ids: no more of them can be among
 anyone's nearest, and one popular vector fills no leaf. Equal queries are searched
@@ -117,6 +118,13 @@ def extended(x: np.ndarray, longest: float) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1, keepdims=True)))]).astype(np.float32)
 
 
+def directions(x: np.ndarray) -> np.ndarray:
+    """Queries at length one, so their margins rank branches by angle, however long the longest vector is; their extra component is 0."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return np.hstack([x, np.zeros((len(x), 1))]).astype(np.float32)
+
+
 def _ranked(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     """Of one chunk of a leaf: each query's best ids by exact inner product."""
     q, m = rows[rows["asking"]], rows[~rows["asking"]]
@@ -181,8 +189,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, trees: int = TREES, leaf_r
             vectors_ = column(batch, "v").to_pylist()
             if not vectors_:
                 continue
-            x = _matrix(vectors_) / longest
-            x = np.hstack([x, np.zeros((len(x), 1))]).astype(np.float32)
+            x = directions(_matrix(vectors_))
             for i, key in enumerate(zip(column(batch, "k1").to_pylist(), column(batch, "k2").to_pylist(), strict=True)):
                 places = forest.value.walk(x[i], *sent.value)
                 n = len(places)

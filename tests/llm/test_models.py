@@ -224,6 +224,24 @@ def test_neighbours_recall(spark):
     assert recall >= 0.9 and len(got) == 60
 
 
+@pytest.mark.parametrize("kind", ["one long", "mixed"])
+def test_neighbours_recall_with_uneven_lengths(spark, kind):
+    draw = np.random.default_rng(2)
+    x = draw.normal(size=(6_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "one long":
+        x[7] *= 20
+    else:
+        x *= draw.lognormal(sigma=0.5, size=(len(x), 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.nearest(df, F.col("vec_id") % 60 == 0, leaf_rows=200).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = np.mean([len(got[q] & set([c for c in np.argsort(-(x @ x[q]), kind="stable")[:21] if c != q][:20])) / 20 for q in got])
+    print("recall:", kind, recall)
+    assert recall >= 0.9 and len(got) == 100
+
+
 # --- chats ---
 
 
