@@ -7,6 +7,8 @@ hashed and not a loop over all pairs.
 from __future__ import annotations
 
 import difflib
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -108,15 +110,36 @@ def nearest_centre(rows: DataFrame, value: str, centres: list[float], name: str)
     return rows.withColumn(name, F.when(F.col(value).isNotNull(), best))
 
 
+def _fuzzy_tokens(least: float):
+    """Column function: the characters (with their number among equal ones) of which one at least is shared with any text whose ratio is ``least`` or more."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        def prefix(text: str) -> list[str]:
+            seen: Counter = Counter()
+            tokens = []
+            for c in text.lower():
+                seen[c] += 1
+                tokens.append((seen[c], c))
+            shared = math.ceil(len(tokens) * least / (2 - least) - 1e-9)  # with the shortest partner that can do
+            return [f"{n}{c}" for n, c in sorted(tokens, reverse=True)[: len(tokens) - shared + 1]]
+
+        return texts.map(prefix)
+
+    return F.pandas_udf(run, "array<string>")
+
+
 def fuzzy(rows: DataFrame, key: str, name: str, roster: DataFrame, entry: str, least: float = 0.85) -> DataFrame:
-    """Each name with its best roster entry by matching blocks ratio, if at least ``least``; the first entry in order of ties.
+    """Each name with its best roster entry by matching blocks ratio, if at least ``least`` (above 0); the first entry in order of ties.
 
-    Candidates share the first letter or the length within three; the roster is
-    joined on those, so no name meets the whole roster.
+    The ratio is bounded by the characters that two texts share and by their
+    lengths, so candidates share one of the few characters that can't all be missing
+    (a prefix filter): no pair is lost, and different names are compared once.
     """
-    names = rows.select(key, name).where(F.length(name) > 0).withColumn("_i", F.lower(F.substring(name, 1, 1)))
-    ros = roster.select(entry).distinct().withColumn("_i", F.lower(F.substring(entry, 1, 1)))
-    pairs = names.join(ros, "_i").where(F.abs(F.length(name) - F.length(entry)) <= F.greatest(F.length(name), F.length(entry)) * (2 * (1 - least))).drop("_i")
+    names = rows.select(key, name).where(F.length(name) > 0)
+    tokens = _fuzzy_tokens(least)
+    each = lambda df, c: df.select(c).distinct().where(F.length(c) > 0).withColumn("_i", F.explode(tokens(c)))
+    size = lambda c: F.length(F.lower(c))
+    pairs = each(names, name).join(each(roster, entry), "_i").where(F.abs(size(name) - size(entry)) <= F.greatest(size(name), size(entry)) * (2 * (1 - least))).drop("_i").distinct()
     kinds = StructType([*pairs.schema.fields, StructField("ratio", DoubleType())])
     assert isinstance(kinds[name].dataType, StringType)
 
@@ -130,5 +153,6 @@ def fuzzy(rows: DataFrame, key: str, name: str, roster: DataFrame, entry: str, l
             yield f.assign(ratio=ratios)
 
     good = pairs.mapInPandas(score, kinds).where(F.col("ratio") >= least)
+    good = names.join(good, name).select(key, name, entry, "ratio")
     w = Window.partitionBy(key).orderBy(F.col("ratio").desc(), entry)
     return good.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
