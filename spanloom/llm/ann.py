@@ -4,11 +4,16 @@ Each tree halves the rows again and again at the median of a random projection;
 medians come from a bounded sample, and every row is routed to a leaf of every
 tree. A query walks all trees with one priority queue, nearest unexplored branch
 first (by the summed squared margins of the planes it is on the wrong side of),
-until the leaves that it has reached hold the share ``search`` of all rows. Members
+until the leaves that it has reached hold a certain share of all rows. Members
 and queries meet by leaf, in chunks of bounded size, and candidates are ranked by
-their exact inner product. To make nearness by inner product a matter of angles
-the vectors get one more component that fills all up to one length; queries have
-length one without it.
+their exact inner product, equal ones by the smaller id. To make nearness by inner
+product a matter of angles the vectors get one more component that fills all up to
+one length; queries have length one without it.
+
+How far to search depends on the data: vectors without structure need most of the
+table, clustered ones little of it. So the share is measured: ``TRIALS`` queries are
+answered exactly by one pass over all rows, and the share is the least at which the
+queue would have found ``RECALL`` of their neighbours.
 
 Equal vectors are one class with its smallest ids: no more of them can be among
 anyone's nearest, and one popular vector fills no leaf. Equal queries are searched
@@ -22,18 +27,22 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from . import store
 from .batches import column, record_batch
 
-K, TREES, LEAF_ROWS, SEARCH, SEED = 20, 8, 1_000, 0.16, 5
+K, TREES, LEAF_ROWS, SEED = 20, 8, 1_000, 5
 #: Rows that the planes' medians are taken from at most, and the rows of it that a node needs to be split.
-SAMPLE, NODE_SAMPLE = 20_000, 16
-MEMBER_CHUNK, QUERY_CHUNK = 4_096, 2_048
+SAMPLE, NODE_SAMPLE = 50_000, 8
+#: Queries that are answered exactly to measure how far to search, and the share of their neighbours to find.
+TRIALS, RECALL = 100, 0.96
+#: Rows and queries of a leaf that meet in one task, and pairs whose exact products are held at once.
+MEMBER_CHUNK, QUERY_CHUNK, PAIRS = 4_096, 2_048, 100_000
 
 
 class Forest:
@@ -80,6 +89,14 @@ class Forest:
             seen += int(sizes[t, node - leaf])
         return out
 
+    def needed(self, q: np.ndarray, sizes: np.ndarray, wanted: list[list[int]]) -> list[int]:
+        """How many rows the queue must reach until it comes to each of the ``wanted`` rows, given by their leaf in each tree."""
+        before, seen = {}, 0
+        for t, leaf in self.walk(q, sizes, math.inf):
+            before[t, leaf] = seen
+            seen += int(sizes[t, leaf])
+        return [1 + min(before[t, leaf] for t, leaf in enumerate(at)) for at in wanted]
+
 
 def _valid(vectors: DataFrame) -> DataFrame:
     """vec_id, v and its key: vectors that are not null or zero, hold only finite numbers and have the commonest length (the smallest of ties)."""
@@ -89,17 +106,17 @@ def _valid(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("v") == (length["n"] if length else 0)).withColumn("k1", F.xxhash64("v")).withColumn("k2", F.xxhash64(F.lit(1), F.col("v")))
 
 
-def _matrix(cells) -> np.ndarray:
+def _matrix(cells, kind) -> np.ndarray:
     cells = list(cells)
-    return np.frombuffer(b"".join(cells), np.float64).reshape(len(cells), -1)
+    return np.frombuffer(b"".join(cells), kind).reshape(len(cells), -1).astype(np.float64)
 
 
 _CLASS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("v", pa.binary()), ("ids", pa.list_(pa.int64())), ("asks", pa.bool_()), ("at", pa.list_(pa.int32()))])
 _CLASS_SQL = "k1 long, k2 long, v binary, ids array<long>, asks boolean, at array<int>"
 
 
-def _routed(classes: DataFrame, forest, longest: float) -> DataFrame:
-    """Classes with their leaf in every tree."""
+def _routed(classes: DataFrame, forest, longest: float, kind) -> DataFrame:
+    """Classes with their leaf in every tree; vectors as bytes of their own type."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -107,7 +124,7 @@ def _routed(classes: DataFrame, forest, longest: float) -> DataFrame:
                 continue
             x = np.array(column(batch, "v").to_pylist(), np.float64)
             at = forest.value.leaves(extended(x, longest)).T.astype(np.int32)
-            yield record_batch(_CLASS, column(batch, "k1"), column(batch, "k2"), [r.tobytes() for r in x], column(batch, "ids"), column(batch, "asks"), at.tolist())
+            yield record_batch(_CLASS, column(batch, "k1"), column(batch, "k2"), [r.tobytes() for r in x.astype(kind)], column(batch, "ids"), column(batch, "asks"), at.tolist())
 
     return classes.select("k1", "k2", "v", "ids", "asks").mapInArrow(run, _CLASS_SQL)
 
@@ -125,40 +142,96 @@ def directions(x: np.ndarray) -> np.ndarray:
     return np.hstack([x, np.zeros((len(x), 1))]).astype(np.float32)
 
 
-def _ranked(rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Of one chunk of a leaf: each query's best ids by exact inner product."""
-    q, m = rows[rows["asking"]], rows[~rows["asking"]]
-    if not len(q) or not len(m):
-        return pd.DataFrame({"k1": [], "k2": [], "ids": [], "scores": []})
-    a, b = _matrix(q["v"]), _matrix(m["v"])
+_BEST = pa.list_(pa.struct([("s", pa.float64()), ("id", pa.int64())]))
+_RANKED = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("best", _BEST)])
+
+
+def _products(a: np.ndarray, b: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each row of ``a`` every row of ``b`` that may be among its ``k`` largest inner products, in blocks: places in a and b, and the exact products.
+
+    A matrix product bounds them: whoever is below the k-th by more than rounding
+    can make, is out. Exact sums run in one order for a pair, wherever it meets.
+    """
     rough = a @ b.T
-    n = min(len(m), k + 4)
-    best = np.argpartition(-rough, n - 1, axis=1)[:, :n]
-    ids = m["ids"].to_list()
-    exact = (a[:, None, :] * b[best]).sum(2)  # the same order of sums for a pair wherever it meets
-    out_ids, out_scores = [], []
-    for own, scores in zip(best.tolist(), exact.tolist(), strict=True):
-        found = heapq.nsmallest(k + 1, [(-s, x) for j, s in zip(own, scores, strict=True) for x in ids[j]])
-        out_ids.append([x for _, x in found])
-        out_scores.append([-s for s, _ in found])
-    return pd.DataFrame({"k1": q["k1"].to_numpy(), "k2": q["k2"].to_numpy(), "ids": out_ids, "scores": out_scores})
-
-
-def _merged(rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """One query's best ids over all its leaves."""
-    found = {x: -s for ids, scores in zip(rows["ids"], rows["scores"], strict=True) for x, s in zip(ids, scores, strict=True)}
-    best = heapq.nsmallest(k + 1, ((s, x) for x, s in found.items()))
-    return pd.DataFrame({"k1": rows["k1"].iloc[:1], "k2": rows["k2"].iloc[:1], "ids": [[x for _, x in best]], "scores": [[-s for s, _ in best]]})
-
-
-def nearest(vectors: DataFrame, is_query, k: int = K, trees: int = TREES, leaf_rows: int = LEAF_ROWS, search: float = SEARCH) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` nearest found of every row for which the Column ``is_query`` (over vec_id) holds.
-
-    Null, zero and non-finite vectors and those of another length than most take
-    no part; with fewer than ``k`` others all are returned; an empty table gives
+    n = min(len(b), k)
+    kth = np.partition(rough, len(b) - n, axis=1)[:, len(b) - n]
+    slack = 8 * a.shape[1] * np.finfo(float).eps * np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1).max()
+    near = rough >= (kth - slack)[:, None]
+    size = np.cumsum(near.sum(1))
+    low = 0
+    while low < len(a):
+        high = max(low + 1, int(np.searchsorted(size, (size[low - 1] if low else 0) + PAIRS, "right")))
+        i, j = np.nonzero(near[low:high])
+        yield i + low, j, (a[i + low] * b[j]).sum(1)
+        low = high
+
+
+def _ranked(rows: pa.Table, k: int, kind) -> pa.Table:
+    """Of one chunk of a leaf: each query's best ids by exact inner product (as its negative, so that order is ascending)."""
+    asking = pc.fill_null(rows["asking"], False)
+    q, m = rows.filter(asking), rows.filter(pc.invert(asking))
+    if not q.num_rows or not m.num_rows:
+        return _RANKED.empty_table()
+    ids = m["ids"].combine_chunks()
+    many, values = pc.list_value_length(ids).to_numpy(zero_copy_only=False), pc.list_flatten(ids).to_numpy(zero_copy_only=False)
+    start = np.cumsum(many) - many
+    counts, found, negative = np.zeros(q.num_rows, np.int64), [], []
+    for i, j, exact in _products(_matrix(q["v"].to_pylist(), kind), _matrix(m["v"].to_pylist(), kind), k + 1):
+        n = many[j]
+        own = values[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[j], n)]
+        i, minus = np.repeat(i, n), np.repeat(-exact, n)
+        order = np.lexsort((own, minus, i))
+        i = i[order]
+        first = np.searchsorted(i, i, "left")
+        order = order[np.arange(len(i)) - first <= k]
+        counts += np.minimum(np.bincount(i, minlength=len(counts)), k + 1)
+        found.append(own[order])
+        negative.append(minus[order])
+    cut = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+    cells = pa.StructArray.from_arrays([pa.array(np.concatenate(negative)), pa.array(np.concatenate(found))], ["s", "id"])
+    return pa.Table.from_arrays([q["k1"].combine_chunks(), q["k2"].combine_chunks(), pa.ListArray.from_arrays(cut, cells)], schema=_RANKED)
+
+
+def _share(routed: DataFrame, forest, sizes: np.ndarray, total: int, k: int, trials: int, recall: float, kind) -> float:
+    """The share of all rows that queries must reach to find ``recall`` of their ``k`` nearest: measured on the ``trials`` queries of the lowest hash, against all rows."""
+    rows = routed.where("asks").orderBy(F.xxhash64("k1", "k2")).limit(trials).select("k1", "k2", "v").collect()
+    if not rows:
+        return 1.0
+    asked, keys = _matrix([r["v"] for r in rows], kind), np.array([(r["k1"], r["k2"]) for r in rows])
+    schema = pa.schema([("q", pa.int32()), ("s", pa.float64()), ("at", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = np.stack([column(batch, "k1").to_numpy(), column(batch, "k2").to_numpy()], 1)
+            score = asked @ _matrix(column(batch, "v").to_pylist(), kind).T
+            score[(keys[:, None, :] == own[None, :, :]).all(2)] = -np.inf
+            n = min(k, score.shape[1])
+            best = np.argpartition(-score, n - 1, axis=1)[:, :n]
+            at = column(batch, "at").take(pa.array(best.ravel()))
+            yield record_batch(schema, np.repeat(np.arange(len(rows)), n), -np.take_along_axis(score, best, 1).ravel(), at)
+
+    nearest_ = routed.select("k1", "k2", "v", "at").mapInArrow(run, "q int, s double, at array<int>").where("s < double('Infinity')")
+    w = Window.partitionBy("q").orderBy("s", "at")
+    nearest_ = nearest_.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
+    wanted: dict[int, list[list[int]]] = {}
+    for r in nearest_.select("q", "at").collect():  # at most trials * k rows
+        wanted.setdefault(r["q"], []).append(r["at"])
+    x = directions(asked)
+    need = sorted(n for i, at in wanted.items() for n in forest.needed(x[i], sizes, at))
+    return need[min(len(need) - 1, math.ceil(recall * len(need)))] / max(1, total) if need else 1.0
+
+
+def nearest(vectors: DataFrame, is_query, k: int = K, trees: int = TREES, leaf_rows: int = LEAF_ROWS, recall: float = RECALL, trials: int = TRIALS) -> DataFrame:
+    """query_id, rank, vec_id, score: the ``k`` nearest found of every row for which the Column ``is_query`` (over vec_id) holds; of equal scores the smaller ids.
+
+    A ``recall`` of 1 searches every leaf. Null, zero and non-finite vectors and
+    those of another length than most take no part; with fewer than ``k`` others all are returned; an empty table gives
     no rows.
     """
     spark = vectors.sparkSession
+    kind = np.float32 if isinstance(vectors.schema["embedding"].dataType.elementType, FloatType) else np.float64
     rows = _valid(vectors)
     order = Window.partitionBy("k1", "k2").orderBy("vec_id")
     # k + 1 ids of equal vectors: enough for any query, itself left out. Each task first drops all but its own k + 1.
@@ -169,11 +242,14 @@ def nearest(vectors: DataFrame, is_query, k: int = K, trees: int = TREES, leaf_r
     classes = store.written(classes, "classes")
     stats = classes.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("square")).first()
     total, longest = stats["n"], math.sqrt(stats["square"] or 1.0)
-    sample = np.array([r["v"] for r in classes.orderBy(F.xxhash64("k1", "k2")).limit(SAMPLE).select("v").collect()], np.float64)
+    sample = classes.orderBy(F.xxhash64("k1", "k2")).limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
+    sample = sample.flatten().to_numpy().reshape(len(sample), -1) if total else np.zeros((1, 1))
     depth = max(0, math.ceil(math.log2(max(1, total) / leaf_rows))) if total else 0
     depth = min(depth, int(math.log2(max(1, len(sample) / NODE_SAMPLE))))
-    forest = spark.sparkContext.broadcast(Forest(extended(sample, longest) if total else np.zeros((1, 2), np.float32), trees, depth))
-    routed = store.written(_routed(classes, forest, longest), "routed")
+    forest = Forest(extended(sample, longest), trees, depth)
+    sent = spark.sparkContext.broadcast(forest)
+    routed = store.written(_routed(classes, sent, longest, kind), "routed")
+    store.drop(classes)
 
     # One row a leaf: bounded by the sample.
     members = routed.select("k1", "k2", "v", "ids", F.posexplode("at").alias("tree", "leaf"))
@@ -181,7 +257,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, trees: int = TREES, leaf_r
     sizes = np.zeros((trees, 1 << depth), np.int64)
     for r in counts.collect():
         sizes[r["tree"], r["leaf"]] = r["n"]
-    sent = spark.sparkContext.broadcast((sizes, search * trees * total))
+    reach = spark.sparkContext.broadcast((sizes, math.inf if recall >= 1 else total * _share(routed, forest, sizes, total, k, trials, recall, kind)))
     visit = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("v", pa.binary()), ("tree", pa.int32()), ("leaf", pa.int32())])
 
     def walk(batches: Iterator[pa.RecordBatch]):
@@ -189,9 +265,9 @@ def nearest(vectors: DataFrame, is_query, k: int = K, trees: int = TREES, leaf_r
             vectors_ = column(batch, "v").to_pylist()
             if not vectors_:
                 continue
-            x = directions(_matrix(vectors_))
+            x = directions(_matrix(vectors_, kind))
             for i, key in enumerate(zip(column(batch, "k1").to_pylist(), column(batch, "k2").to_pylist(), strict=True)):
-                places = forest.value.walk(x[i], *sent.value)
+                places = sent.value.walk(x[i], *reach.value)
                 n = len(places)
                 yield record_batch(visit, [key[0]] * n, [key[1]] * n, [vectors_[i]] * n, [p[0] for p in places], [p[1] for p in places])
 
@@ -203,12 +279,15 @@ def nearest(vectors: DataFrame, is_query, k: int = K, trees: int = TREES, leaf_r
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = members.join(plan, ["tree", "leaf"]).select("tree", "leaf", "k1", "k2", "v", "ids", F.lit(False).alias("asking"), number("mc").alias("m"), each("qc").alias("q"))
     right = visits.join(plan, ["tree", "leaf"]).select("tree", "leaf", "k1", "k2", "v", F.lit(None).cast("array<long>").alias("ids"), F.lit(True).alias("asking"), each("mc").alias("m"), number("qc").alias("q"))
-    listed = "k1 long, k2 long, ids array<long>, scores array<double>"
-    by_leaf = left.unionByName(right).groupBy("tree", "leaf", "m", "q").applyInPandas(lambda pdf: _ranked(pdf, k), listed)
-    best = store.written(by_leaf.groupBy("k1", "k2").applyInPandas(lambda pdf: _merged(pdf, k), listed), "best")
+    by_leaf = left.unionByName(right).groupBy("tree", "leaf", "m", "q").applyInArrow(lambda t: _ranked(t, k, kind), "k1 long, k2 long, best array<struct<s:double,id:long>>")
+    # One row of a member stands in each tree once, so k + 1 different ones are among so many.
+    top = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, (k + 1) * trees)
+    best = store.written(by_leaf.groupBy("k1", "k2").agg(F.slice(F.array_distinct(top), 1, k + 1).alias("best")), "best")
+    store.drop(routed)
+    store.drop(visits)
     own = asked.select(F.col("vec_id").alias("query_id"), "k1", "k2").join(best, ["k1", "k2"])
-    pairs = F.slice(F.filter(F.arrays_zip("ids", "scores"), lambda p: p["ids"] != F.col("query_id")), 1, k)
-    return own.select("query_id", F.posexplode(pairs).alias("pos", "p")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("p.ids").alias("vec_id"), F.col("p.scores").alias("score"))
+    others = F.slice(F.filter("best", lambda p: p["id"] != F.col("query_id")), 1, k)
+    return own.select("query_id", F.posexplode(others).alias("pos", "p")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("p.id").alias("vec_id"), (-F.col("p.s")).alias("score"))
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
