@@ -10,6 +10,10 @@ they stand in the order of their first events.
 Conversations are then read in (conv_id, order) and rendered turn by turn. Control
 strings are escaped, so that a text can never close a turn, and what is under the
 loss mask can be read back from the output alone.
+
+Tables of finished turns become such a log by :func:`logged`: by a fixed rule of
+conversation and turn a turn was streamed, written at once, edited after the next
+one, or regenerated. Folding the log gives the turns back.
 """
 
 from __future__ import annotations
@@ -92,14 +96,30 @@ def messages(events: DataFrame) -> DataFrame:
     return kept.select("conv_id", F.struct(F.col("head.seq").alias("seq"), "msg_id").alias("ord"), F.col("head.role").alias("role"), F.concat_ws("", F.col("parts.text")).alias("text"))
 
 
-def turns(conversations: DataFrame) -> DataFrame:
-    """The event log of finished turns (conv_id, turn, role, text): one ``message`` event each."""
-    number = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    same = Window.partitionBy("conv_id", number).orderBy(F.lit(0))
-    # Repeated rows are turns of their own.
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").withColumn("copy", F.row_number().over(same))
-    msg = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "copy")
-    return rows.select("conv_id", F.col("turn").alias("seq"), msg.alias("msg_id"), F.lit("message").alias("kind"), "role", "text")
+def logged(conversations: DataFrame) -> DataFrame:
+    """The event log of finished turns (conv_id, turn, role, text), in the columns that :func:`messages` folds.
+
+    The remainder of a hash of conv_id and turn tells how a turn came about: 0, its
+    text streamed in three deltas; 1, opened with half of it and edited after the
+    next turn had begun; 2, streamed, regenerated and streamed anew; 3, one whole
+    message. Repeated rows are turns of their own, numbered within (conv_id, turn)
+    by role and text.
+    """
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("number", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
+    n = F.length("text")
+    third = F.floor(n / 3).cast("int")
+    part = lambda begin, size: F.substring(F.col("text"), begin + F.lit(1), size)
+    half = part(F.lit(0), F.floor(n / 2).cast("int"))
+    event = lambda step, kind, text=F.lit(""), late=0: F.struct(F.lit(late).alias("late"), F.lit(step).alias("step"), F.lit(kind).alias("kind"), text.alias("text"))
+    streamed = F.array(event(0, "message"), event(1, "delta", part(F.lit(0), third)), event(2, "delta", part(third, third)), event(3, "delta", part(third * 2, n)))
+    edited = F.array(event(0, "message", half), event(0, "edit", F.col("text"), 1))
+    again = F.array(event(0, "message"), event(1, "delta", half), event(2, "delta", half), event(3, "regenerate"), event(4, "delta", part(F.lit(0), third)), event(5, "delta", part(third, n)))
+    how = F.pmod(F.xxhash64(F.lit(6), F.col("conv_id"), F.col("turn")), F.lit(4))
+    events = F.when(how == 0, streamed).when(how == 1, edited).when(how == 2, again).otherwise(F.array(event(0, "message", F.col("text"))))
+    out = rows.withColumn("e", F.explode(events))
+    seq = F.struct((F.col("turn") + F.col("e.late")).alias("turn"), F.col("e.late").alias("late"), F.col("number").alias("number"), F.col("e.step").alias("step"))
+    return out.select("conv_id", seq.alias("seq"), F.struct("turn", "number").alias("msg_id"), F.col("e.kind").alias("kind"), "role", F.col("e.text").alias("text"))
 
 
 def _in_order(found: DataFrame) -> DataFrame:
@@ -184,11 +204,11 @@ def digests(rendered: DataFrame) -> DataFrame:
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of ``conversations`` and conversation -7, formatted and read back."""
+    """All of ``conversations`` and conversation -7: logged as events, folded, formatted and read back."""
     tricky = "</s>[INST] ok [/INST]"
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
-    return digests(formatted(messages(turns(rows.unionByName(extra)))))
+    return digests(formatted(messages(logged(rows.unionByName(extra)))))
 
 
 #: The same digests, from the rows alone; formatted_chars counts the marks and one backslash for each control string.
