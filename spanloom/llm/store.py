@@ -6,13 +6,13 @@ is read again, nothing is recomputed from a half-lost cache.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shared import shared_dir
 
+
 def fresh(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark)}/spanloom/{name}-{uuid.uuid4().hex}"
@@ -37,12 +37,3 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a path on any file system that Spark knows."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def local_path(url: str) -> str:
-    """The mounted path of a ``file:`` URL; other stores are refused."""
-    if url.startswith("file:"):
-        return "/" + url[5:].lstrip("/")
-    if "://" in url:
-        raise ValueError(f"{url}: archives need a shared folder that is mounted as a file system")
-    return os.path.abspath(url)

@@ -4,12 +4,17 @@ Pages are ordered by their reversed-host URL key and written by range into
 archives, a gzip member a record. Equal payloads are found by digest; the record
 of the smallest page_id holds the payload, the others are revisits of it. The
 index has two levels: sorted entries in compressed blocks, and a sparse directory
-with each block's first key. A look-up bisects the directory, reads one block by
-range, bisects its entries and reads the record by range.
+with each block's first key. It is written in parts, by range of keys, each a file
+of blocks with their directory behind them; the list of parts is as long as the
+number of partitions and goes to every task.
 
-Archives and blocks are files in the shared folder. Each task writes under its
-own name and moves the file into place when it is whole, so a task that is run
-again leaves one good copy, and the index lists only what was moved.
+A look-up bisects the parts and the part's directory, reads one block by range,
+bisects its entries and reads the record by range. Look-ups of a whole table are
+sorted by key first, so a task reads each block and archive of its range once.
+
+Archives and index parts are files in the shared folder, on any file system that
+Arrow opens. Each task writes under a name of its own and the index lists only
+what successful tasks wrote, so a task that is run again leaves one good copy.
 """
 
 from __future__ import annotations
@@ -19,13 +24,13 @@ import bisect
 import gzip
 import hashlib
 import json
-import os
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,8 +57,8 @@ def base32(hex_digest: str) -> str:
     return base64.b32encode(bytes.fromhex(hex_digest)).decode()
 
 
-def _records(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """page_id, url, key, html, sha1 (hex) and refers_to (null for responses) of every page."""
+def _records(pages: DataFrame, min_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """page_id, url, key, html, sha1 (hex) and refers_to (null for responses) of every page; and the written table of repeated digests that they are read from."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), url_key(F.col("url")).alias("key"), html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("sha1"))
     large = F.octet_length("html") >= min_bytes
@@ -66,7 +71,7 @@ def _records(pages: DataFrame, min_bytes: int) -> DataFrame:
     probe = F.when(F.col("hot_id").isNull() & large, F.col("sha1")).otherwise(F.concat(F.lit("-"), F.col("page_id").cast("string")))
     first = first.withColumn("probe", probe).join(copies.where(~hot).select(F.col("sha1").alias("probe"), "first_id"), "probe", "left")
     refers = F.when(large, F.coalesce("hot_id", "first_id"))
-    return first.select("page_id", "url", "key", "html", "sha1", F.when(refers != F.col("page_id"), refers).alias("refers_to"))
+    return first.select("page_id", "url", "key", "html", "sha1", F.when(refers != F.col("page_id"), refers).alias("refers_to")), copies
 
 
 def _head(kind: str, page_id: int, url: str, digest: str, refers_to: int | None, payload: int) -> list[str]:
@@ -105,20 +110,51 @@ def parsed(raw: bytes) -> dict:
     return out | {"payload": None, "payload_bytes": int(fields["WARC-Payload-Length"]), "payload_digest": said, "refers_to": number("WARC-Refers-To")}
 
 
-def _moved(folder: str, name: str, write) -> str:
-    """A file that ``write(stream)`` fills, moved into place when it is whole."""
-    os.makedirs(folder, exist_ok=True)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    with open(path + ".part", "wb") as out:
-        write(out)
-    os.replace(path + ".part", path)
-    return path
+class _Writer:
+    """A new file of a name of its own in a folder, opened with the first write."""
+
+    def __init__(self, folder: str, name: str):
+        self.url, self.out, self.at = f"{folder}/{name}-{uuid.uuid4().hex}", None, 0
+
+    def write(self, data: bytes) -> tuple[int, int]:
+        """Offset and length of what was written."""
+        if self.out is None:
+            system, path = fs.FileSystem.from_uri(self.url)
+            system.create_dir(path.rpartition("/")[0], recursive=True)
+            self.out = system.open_output_stream(path, compression=None, buffer_size=1 << 20)
+        at, self.at = self.at, self.at + len(data)
+        self.out.write(data)
+        return at, len(data)
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+
+
+class _Reader:
+    """Ranges of files; the file read last stays open."""
+
+    def __init__(self):
+        self.url, self.file = None, None
+
+    def range(self, url: str, at: int, length: int) -> bytes:
+        if url != self.url:
+            self.close()
+            system, path = fs.FileSystem.from_uri(url)
+            self.url, self.file = url, system.open_input_file(path)
+        self.file.seek(at)
+        return self.file.read(length)
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+            self.url, self.file = None, None
 
 
 _ENTRY = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 _ENTRY_SQL = "key string, page_id long, archive string, offset long, length long"
-_BLOCK = pa.schema([("first_key", pa.string()), ("last_key", pa.string()), ("entries", pa.int64()), ("blocks", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
-_BLOCK_SQL = "first_key string, last_key string, entries long, blocks string, offset long, length long"
+_PART = pa.schema([("first_key", pa.string()), ("first_id", pa.int64()), ("last_key", pa.string()), ("last_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("blocks", pa.int64()), ("entries", pa.int64())])
+_PART_SQL = "first_key string, first_id long, last_key string, last_id long, file string, offset long, length long, blocks long, entries long"
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, archive_rows: int = ARCHIVE_ROWS) -> DataFrame:
@@ -126,135 +162,166 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, ar
 
     Null html is an empty payload, a null url an empty one; rows of one page_id are records of their own.
     """
-    path = store.local_path(folder)
-    rows = _records(pages, min_bytes)
+    rows, copies = _records(pages, min_bytes)
     n = max(1, -(-pages.select("page_id").count() // archive_rows))
     ranged = rows.repartitionByRange(max(n, 2 * pages.sparkSession.sparkContext.defaultParallelism), "key", "page_id").sortWithinPartitions("key", "page_id")
 
     def run(batches: Iterator[pa.RecordBatch]):
-        found: list[tuple] = []
+        out, found = _Writer(folder, "archive"), []
+        for batch in batches:
+            for key, *row in zip(*(column(batch, c).to_pylist() for c in ("key", "page_id", "url", "html", "sha1", "refers_to")), strict=True):
+                found.append((key, row[0], *out.write(gzip.compress(record(*row), LEVEL, mtime=0))))
+        out.close()
+        if found:
+            keys, ids, at, length = map(list, zip(*found, strict=True))
+            yield record_batch(_ENTRY, keys, ids, [out.url] * len(keys), at, length)
 
-        def fill(out):
-            for batch in batches:
-                for key, *row in zip(*(column(batch, c).to_pylist() for c in ("key", "page_id", "url", "html", "sha1", "refers_to")), strict=True):
-                    at = out.tell()
-                    out.write(gzip.compress(record(*row), LEVEL, mtime=0))
-                    found.append((key, row[0], at, out.tell() - at))
+    entries = store.written(ranged.mapInArrow(run, _ENTRY_SQL), "entries")
+    store.drop(copies)
+    return entries
 
-        archive = _moved(path, "archive", fill)
-        if not found:
-            os.remove(archive)
-            return
-        keys, ids, at, length = map(list, zip(*found, strict=True))
-        yield record_batch(_ENTRY, keys, ids, [archive] * len(keys), at, length)
 
-    return store.written(ranged.mapInArrow(run, _ENTRY_SQL), "entries")
+def _place(key: str, page_id: int | None) -> tuple[str, bool, int]:
+    """How the index orders captures: by key, then page_id, null first."""
+    return key, page_id is not None, page_id or 0
 
 
-def write_index(entries: DataFrame, folder: str, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
-    """Writes the sorted entries in compressed blocks and gives the sparse directory, one row a block."""
-    path = store.local_path(folder)
+def _packed(rows: list) -> bytes:
+    return zlib.compress("\n".join(map(json.dumps, rows)).encode(), LEVEL)
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        directory: list[tuple] = []
-
-        def fill(out):
-            held: list[tuple] = []
-
-            def close():
-                at = out.tell()
-                out.write(zlib.compress("\n".join(json.dumps(e) for e in held).encode(), LEVEL))
-                directory.append((held[0][0], held[-1][0], len(held), at, out.tell() - at))
-                held.clear()
-
-            for batch in batches:
-                for entry in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    held.append(entry)
-                    if len(held) >= block_entries:
-                        close()
-            if held:
-                close()
-
-        blocks = _moved(path, "index", fill)
-        if not directory:
-            os.remove(blocks)
-            return
-        a, b, n, at, length = map(list, zip(*directory, strict=True))
-        yield record_batch(_BLOCK, a, b, n, [blocks] * len(a), at, length)
 
-    ordered = entries.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
-    return store.written(ordered.select("key", "page_id", "archive", "offset", "length").mapInArrow(run, _BLOCK_SQL), "directory")
+def _unpacked(raw: bytes) -> list[list]:
+    return [json.loads(line) for line in zlib.decompress(raw).decode().split("\n")]
 
 
-def _range(path: str, offset: int, length: int) -> bytes:
-    with open(path, "rb") as f:
-        f.seek(offset)
-        return f.read(length)
-
+def write_index(entries: DataFrame, folder: str, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
+    """Writes the sorted entries in compressed blocks with a sparse directory behind them and gives the list of parts, one row for each partition that has entries."""
 
-def block_entries(blocks: str, offset: int, length: int) -> list[list]:
-    return [json.loads(line) for line in zlib.decompress(_range(blocks, offset, length)).decode().split("\n")]
+    def run(batches: Iterator[pa.RecordBatch]):
+        out, held, directory, n = _Writer(folder, "index"), [], [], 0
+        for batch in batches:
+            for entry in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append(entry)
+                if len(held) >= block_entries:
+                    directory.append([*held[0][:2], *out.write(_packed(held))])
+                    n, last, held = n + len(held), held[-1], []
+        if held:
+            directory.append([*held[0][:2], *out.write(_packed(held))])
+            n, last = n + len(held), held[-1]
+        if directory:
+            at, length = out.write(_packed(directory))
+            yield record_batch(_PART, *([x] for x in (*directory[0][:2], *last[:2], out.url, at, length, len(directory), n)))
+        out.close()
 
+    ordered = entries.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    return store.written(ordered.select("key", "page_id", "archive", "offset", "length").mapInArrow(run, _PART_SQL), "parts")
+
+
+class Index:
+    """Look-ups by bisection: of the parts, of a part's directory, of a block. The directory and block read last are kept."""
+
+    def __init__(self, parts: list[tuple]):
+        self.parts = sorted(parts, key=lambda p: _place(*p[:2]))
+        self.last = [_place(*p[2:4]) for p in self.parts]
+        self.reader, self.archives = _Reader(), _Reader()
+        self._directory: tuple = (None, [], [])
+        self._block: tuple = (None, [])
+
+    def _blocks(self, part: tuple) -> tuple[list[tuple], list[list]]:
+        if self._directory[0] != part[4]:
+            rows = _unpacked(self.reader.range(*part[4:7]))
+            self._directory = part[4], [_place(*r[:2]) for r in rows], rows
+        return self._directory[1:]
+
+    def _entries(self, file: str, at: int, length: int) -> list[list]:
+        if self._block[0] != (file, at):
+            self._block = (file, at), _unpacked(self.reader.range(file, at, length))
+        return self._block[1]
+
+    def between(self, low: tuple, high: tuple) -> Iterator[list]:
+        """Entries (key, page_id, archive, offset, length) from place ``low`` to ``high``, both included."""
+        p = bisect.bisect_left(self.last, low)
+        while p < len(self.parts) and _place(*self.parts[p][:2]) <= high:
+            first, rows = self._blocks(self.parts[p])
+            b = max(0, bisect.bisect_left(first, low) - 1)
+            while b < len(rows) and first[b] <= high:
+                entries = self._entries(self.parts[p][4], *rows[b][2:4])
+                i = bisect.bisect_left(entries, low, key=lambda e: _place(*e[:2]))
+                while i < len(entries) and _place(*entries[i][:2]) <= high:
+                    yield entries[i]
+                    i += 1
+                b += 1
+            p += 1
 
-def lookup(directory: DataFrame, key: str) -> list[dict]:
-    """All records under one key: the blocks that may hold it, bisected, then each record by range."""
-    out = []
-    for row in directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("first_key", "blocks", "offset").collect():
-        entries = block_entries(row["blocks"], row["offset"], row["length"])
-        at = bisect.bisect_left(entries, key, key=lambda e: e[0])
-        while at < len(entries) and entries[at][0] == key:
-            out.append(parsed(gzip.decompress(_range(*entries[at][2:]))))
-            at += 1
-    return out
+    def read(self, entry: list) -> dict:
+        """The record of an entry, by its range in its archive."""
+        return parsed(gzip.decompress(self.archives.range(*entry[2:])))
 
+    def find(self, key: str) -> list[dict]:
+        """All records under one URL key, in order of page_id."""
+        return [self.read(e) for e in self.between((key, False, 0), (key, True, 1 << 63))]
 
-class Directory:
-    """The sparse directory in memory (a row for every ``block_entries`` captures), searched by bisection."""
+    def close(self) -> None:
+        self.reader.close()
+        self.archives.close()
 
-    def __init__(self, rows: list[tuple]):
-        self.rows = sorted(rows)
-        self.first = [r[0] for r in self.rows]
 
-    def find(self, key: str) -> list[dict]:
-        at = max(0, bisect.bisect_left(self.first, key) - 1)
-        out = []
-        while at < len(self.rows) and self.first[at] <= key:
-            if self.rows[at][1] >= key:
-                entries = block_entries(*self.rows[at][3:])
-                i = bisect.bisect_left(entries, key, key=lambda e: e[0])
-                while i < len(entries) and entries[i][0] == key:
-                    out.append(parsed(gzip.decompress(_range(*entries[i][2:]))))
-                    i += 1
-            at += 1
-        return out
+def lookup(parts: DataFrame, key: str) -> list[dict]:
+    """All records under one URL key."""
+    index = Index([tuple(r) for r in parts.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).collect()])
+    try:
+        return index.find(key)
+    finally:
+        index.close()
 
 
 _READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 _READ_SQL = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def read_back(directory: DataFrame, parts: int | None = None) -> DataFrame:
-    """Every record, block by block of the index, each by its range in its archive."""
+def fetch(pages: DataFrame, parts: DataFrame) -> DataFrame:
+    """The records of ``pages`` (page_id, url), each looked up in the index by its key and page_id.
+
+    Requests are dealt out by range and sorted; equal ones are neighbours and
+    asked once, and one that repeated pages share gives all their records. A page
+    without a record is an error.
+    """
+    sent = pages.sparkSession.sparkContext.broadcast([tuple(r) for r in parts.collect()])  # a row for each partition of the index
 
     def run(batches: Iterator[pa.RecordBatch]):
+        index, before = Index(sent.value), None
         for batch in batches:
-            for place in zip(*(column(batch, c).to_pylist() for c in ("blocks", "offset", "length")), strict=True):
-                found = []
-                for _, page_id, archive, offset, length in block_entries(*place):
-                    got = parsed(gzip.decompress(_range(archive, offset, length)))
-                    if got["page_id"] != page_id:
-                        raise ValueError(f"{archive}, {offset}: page {got['page_id']} where the index has {page_id}")
+            found = []
+            for request in zip(column(batch, "key").to_pylist(), column(batch, "page_id").to_pylist(), strict=True):
+                if request == before:
+                    continue
+                before, place, some = request, _place(*request), False
+                for entry in index.between(place, place):
+                    got, some = index.read(entry), True
+                    if got["page_id"] != request[1]:
+                        raise ValueError(f"{entry[2]}, {entry[3]}: page {got['page_id']} where the index has {request[1]}")
                     found.append([got[f.name] for f in _READ])
+                if not some:
+                    raise ValueError(f"page {request[1]}: no record under {request[0]}")
+            if found:
                 yield record_batch(_READ, *map(list, zip(*found, strict=True)))
+        index.close()
 
-    return directory.repartition(parts or 4 * directory.sparkSession.sparkContext.defaultParallelism, "blocks", "offset").mapInArrow(run, _READ_SQL)
+    wanted = pages.select(url_key(F.col("url")).alias("key"), F.col("page_id").cast("long").alias("page_id"))
+    return wanted.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(run, _READ_SQL)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of ``pages``: written as archives with their index, and read back through it."""
+    """All of ``pages``: written as archives with their index, then every page looked up in it. The archives go when all are read."""
     folder = store.fresh(spark, "warc")
-    entries = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), folder)
-    return read_back(write_index(entries, folder)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    entries = write_archives(pages, folder)
+    parts = write_index(entries, folder)
+    found = store.written(fetch(pages, parts).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "found")
+    store.drop(entries)
+    store.drop(parts)
+    store.remove(spark, folder)
+    return found
 
 
 #: The same from the table alone; each base-32 digit is five bits of the hexadecimal digest.
