@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
 from .batches import chunks, column, record_batch
 from .samples import lowest, matched, remainder
 
@@ -235,7 +236,7 @@ class _Tally:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Models | None:
     """Models of every language of ``docs`` (doc_id, text, lang) from at most ``sample`` documents of each; None without any."""
     rows = learnable(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
-    chosen = lowest(rows, "lang", sample).select("doc_id").distinct()
+    chosen = store.written(lowest(rows, "lang", sample).select("doc_id").distinct(), "chosen")
     taken = matched(learnable(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), chosen)
     calibrating = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(4)) == 0
     schema = pa.schema([("lang", pa.string()), ("code", pa.int64()), ("n", pa.int64())])
@@ -252,6 +253,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Models | None:
 
     table = taken.where(~calibrating).select("text", "lang").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     if not table.num_rows:
+        store.drop(chosen)
         return None
     lang, code, n = table["lang"].to_numpy(), table["code"].to_numpy().view(np.uint64), table["n"].to_numpy()
     models = Models({str(k): _sorted(code[lang == k], n[lang == k]) for k in np.unique(lang)})
@@ -264,6 +266,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Models | None:
             yield record_batch(pa.schema([("lang", pa.string()), ("e", pa.list_(pa.float64()))]), pa.array(np.array(column(batch, "lang").to_pylist())[keep].astype(object), pa.string()), e[keep].tolist())
 
     held = taken.where(calibrating).select("text", "lang").mapInArrow(entropies, "lang string, e array<double>").toArrow()
+    store.drop(chosen)
     if held.num_rows:
         models.calibrate(np.array(held["e"].to_pylist()), np.array([known.index(k) for k in held["lang"].to_pylist()]))
     return models

@@ -17,14 +17,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import store
 from .batches import chunks, column, hasher, lower_ascii, record_batch, runs
 from .samples import lowest, matched, remainder
 
 #: Labelled documents of each class (label and language) to learn from at most.
 SAMPLE = 1_500
+#: Words of all of them at most, dealt evenly to the classes; a document of more than 1 / SHORT of its class's share is not learnt from.
+SAMPLE_WORDS, SHORT = 8_000_000, 20
 BUCKETS, DIM, WIDTHS, FILTERS, PREFIX = 1 << 15, 12, (1, 2, 3), 8, 5
 EPOCHS, BATCH, RATE, SEED = 6, 32, 0.08, 7
 #: Steps at least: a small sample is gone through more often.
@@ -200,12 +203,12 @@ def calibrated(m: Model, texts: list[tuple[np.ndarray, np.ndarray]], labels: np.
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of ``labels.toxic`` from at most ``sample`` documents of each class; rows whose id's crc32 is 0 modulo 5 are left out."""
+    """A model of ``labels.toxic`` from at most ``sample`` documents of each class and ``SAMPLE_WORDS`` words; rows whose id's crc32 is 0 modulo 5 are left out. A document with several labels is toxic if one says so."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"))
     rows = ids.join(known, "doc_id").withColumn("class", F.concat_ws(":", F.col("toxic").cast("string"), "lang"))
-    chosen = lowest(rows, "class", sample).select("doc_id", "toxic")
-    taken = matched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("")).alias("lang")).where("text is not null"), chosen)
+    chosen = store.written(lowest(rows, "class", sample).select("doc_id", "toxic", "class").distinct(), "chosen")
+    taken = matched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("")).alias("lang")).where("text is not null"), chosen.select("doc_id", "toxic").distinct())
     schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("lang", pa.string()), ("words", pa.list_(pa.int32())), ("heads", pa.list_(pa.int32()))])
 
     def run(batches):
@@ -214,7 +217,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             cut = pa.array(first.astype(np.int32))
             yield record_batch(schema, column(batch, "doc_id"), column(batch, "toxic"), column(batch, "lang"), pa.ListArray.from_arrays(cut, pa.array(words)), pa.ListArray.from_arrays(cut, pa.array(heads)))
 
-    table = taken.mapInArrow(run, "doc_id long, toxic int, lang string, words array<int>, heads array<int>").toArrow().sort_by("doc_id")
+    seen = taken.mapInArrow(run, "doc_id long, toxic int, lang string, words array<int>, heads array<int>")
+    share = SAMPLE_WORDS // max(1, chosen.select("class").distinct().count())
+    order = Window.partitionBy("toxic", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    seen = seen.where(F.size("words") <= share // SHORT).withColumn("total", F.sum(F.size("words")).over(order)).where(F.col("total") <= share).drop("total")
+    table = seen.toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    store.drop(chosen)
     texts = [(w.values.to_numpy(), h.values.to_numpy()) for w, h in zip(table["words"], table["heads"], strict=True)]
     held = (np.arange(len(texts)) * 2654435761 % 4) == 0
     return train(texts, table["toxic"].to_numpy(), table["lang"].to_pylist(), held)
