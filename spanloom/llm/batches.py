@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 
 #: Bytes of text that a task turns into numpy arrays at once (a longer text goes alone).
 CHUNK_BYTES = 512 << 10
@@ -50,6 +51,43 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
         give_back()
 
 
+def blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Blocks of about ``limit`` bytes of text: a number that no other block of the table has, and the pieces. The same partitions give the same blocks."""
+    number, held, size = TaskContext.get().partitionId() << 32, [], 0
+    for batch, data, _ in chunks(batches, "text", min(limit, CHUNK_BYTES)):
+        held.append(batch)
+        size += len(data)
+        if size >= limit:
+            yield number, held
+            number, held, size = number + 1, [], 0
+    if held:
+        yield number, held
+
+
+_PACKED = pa.schema([("block", pa.int64()), ("docs", pa.binary())])
+PACKED_SQL = "block long, docs binary"
+
+
+def packed(limit: int):
+    """For mapInArrow: the rows of each block with all their columns, in compressed pieces."""
+
+    def run(batches):
+        for number, parts in blocks(batches, limit):
+            for part in parts:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(part)
+                yield record_batch(_PACKED, [number], [sink.getvalue().to_pybytes()])
+
+    return run
+
+
+def unpacked(pieces: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
+    """The rows of :func:`packed` pieces."""
+    for piece in pieces:
+        yield from pa.ipc.open_stream(piece.as_buffer())
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

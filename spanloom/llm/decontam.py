@@ -8,24 +8,27 @@ transform, kept as a wavelet matrix with rank counts. All phrases are searched
 backwards at once, two ranks a level and a step. Occurrences are found by walking
 to sampled suffix positions, and their spans merged.
 
-Phrases go to every task; they are cut into slices of at most ``PHRASE_WORDS``
-words, so the broadcast has a fixed bound, and each slice is one pass.
+Phrases are a table, made of the items in parallel. ``PHRASES`` of them at most go
+to every task. If there are more, each phrase is filed under the one of its words
+that the fewest shards hold, a shard gets the phrases filed under its own words,
+and texts and phrases meet by shard: the rows are the same.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import store
-from .batches import column, flat, give_back, lower_ascii, record_batch, run_hashes, runs
+from .batches import PACKED_SQL, blocks, chunks, column, flat, lower_ascii, packed, record_batch, run_hashes, runs, unpacked
+from .samples import looked_up
 
-WINDOW, SHARD_BYTES, PHRASE_WORDS, SAMPLE = 10, 2 << 20, 500_000, 16
+WINDOW, SHARD_BYTES, SAMPLE = 10, 2 << 20, 16
+#: Phrases (windows of an item, at most ``WINDOW`` hashes of 8 bytes each) that are sent to every task at most.
+PHRASES = 300_000
 
 
 def word_runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -135,45 +138,60 @@ class FMIndex:
         return out
 
 
+_PHRASE = pa.schema([("words", pa.list_(pa.int64())), ("item", pa.string())])
+
+
+def phrase_table(items: DataFrame, window: int) -> DataFrame:
+    """words (64-bit hashes) and item of every different window of each item."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch, data, at in chunks(batches, "text"):
+            low, starts, ends, first = word_runs(data, at)
+            h = run_hashes(low, starts, ends).view(np.int64)
+            for name, a, b in zip(column(batch, "item").to_pylist(), first[:-1], first[1:], strict=True):
+                own = h[a:b]
+                views = np.lib.stride_tricks.sliding_window_view(own, min(window, len(own))) if len(own) else own.reshape(0, 1)
+                for k in range(0, len(views), 20_000):
+                    part = views[k : k + 20_000]
+                    cut = pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1])
+                    yield record_batch(_PHRASE, pa.ListArray.from_arrays(cut, pa.array(part.ravel())), [name] * len(part))
+
+    return items.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(run, "words array<long>, item string").distinct()
+
+
 class Phrases:
-    """Windows of the test items as tables of word hashes and of symbols."""
-
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
-        self.owner: list[int] = []
-        self.ids = [i for i, _ in items]
-        words, where, sizes, n_words = [], [], [], 0
-        for k, (_, text) in enumerate(items):
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            low, starts, ends, _ = word_runs(raw, np.array([0, len(raw)]))
-            h, n = run_hashes(low, starts, ends), len(starts)
-            for i in range(max(1, n - window + 1) if n else 0):
-                where.append(n_words + i)
-                sizes.append(min(window, n))
-                self.owner.append(k)
-            words.append(h)
-            n_words += n
-        all_words = np.concatenate(words) if words else np.zeros(0, np.uint64)
-        self.words = np.unique(all_words)
-        self.sizes = np.array(sizes, np.int64)
-        width = int(self.sizes.max(initial=1))
-        symbols = np.searchsorted(self.words, all_words) + 2
-        self.table = np.zeros((len(where), width), np.int32)
-        for r, (a, n) in enumerate(zip(where, sizes, strict=True)):
-            self.table[r, width - n :] = symbols[a : a + n]
-        # Equal windows are searched once; each knows the items that hold it.
-        self.table, inverse = np.unique(self.table, axis=0, return_inverse=True) if len(where) else (self.table, np.zeros(0, int))
-        self.holders: list[set[int]] = [set() for _ in range(len(self.table))]
-        for r, u in enumerate(inverse.ravel()):
-            self.holders[u].add(self.owner[r])
+    """Phrases as a table of symbols, numbered by their words, and the items that hold each."""
+
+    def __init__(self, phrases: pa.Table, window: int):
+        words, item = phrases["words"].combine_chunks(), phrases["item"].combine_chunks().dictionary_encode()
+        self.ids = [*item.dictionary.to_pylist(), None]
+        size = np.diff(words.offsets.to_numpy()) if len(words) else np.zeros(0, np.int64)
+        every = words.flatten().to_numpy().view(np.uint64) if len(words) else np.zeros(0, np.uint64)
+        self.words = np.unique(every)
+        width = int(size.max(initial=1))
+        table = np.zeros((len(size), width), np.int32)
+        place = np.arange(width)[None, :] - (width - size[:, None])
+        table[place >= 0] = np.searchsorted(self.words, every) + 2  # right-aligned, row by row
+        # Equal windows are searched once; the items of phrase p are holders[at[p]:at[p + 1]].
+        self.table, inverse = np.unique(table, axis=0, return_inverse=True) if len(table) else (table, np.zeros(0, np.int64))
+        order = np.argsort(inverse.ravel(), kind="stable")
+        self.holders = item.indices.fill_null(-1).to_numpy()[order]
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(inverse.ravel(), minlength=len(self.table)))])
         self.sizes = np.count_nonzero(self.table, axis=1)
         self.shortest = int(self.sizes.min(initial=window))
 
+    def items(self, phrase: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The items of each phrase, and which of the phrases each stands for."""
+        n = self.at[phrase + 1] - self.at[phrase]
+        which = np.repeat(np.arange(len(phrase)), n)
+        return self.holders[np.repeat(self.at[phrase], n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)], which
+
 
-def hits(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Words that lie in an occurrence, and (document, item) pairs, of one shard."""
-    covered = np.zeros(len(starts), bool)
+def hits(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+    """Words that lie in an occurrence, and the different (document, item) pairs as two columns, of one shard."""
+    covered, none = np.zeros(len(starts), bool), np.zeros((0, 2), np.int64)
     if not len(starts) or not len(phrases.table):
-        return covered, []
+        return covered, none
     h = run_hashes(low, starts, ends)
     at = np.minimum(np.searchsorted(phrases.words, h), len(phrases.words) - 1)
     symbol = np.where(phrases.words[at] == h, at + 2, 1)
@@ -185,7 +203,7 @@ def hits(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarra
     long = (symbol[cut[:-1]] > 1) & (np.diff(cut) >= phrases.shortest)
     begin, size = cut[:-1][long], np.diff(cut)[long]
     if not len(begin):
-        return covered, []
+        return covered, none
     # Stretch by stretch with one separator after each.
     total = int((size + 1).sum())
     place = np.cumsum(size + 1) - (size + 1)
@@ -198,7 +216,7 @@ def hits(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarra
     n = high_row - low_row
     which = np.repeat(np.arange(len(n)), n)
     if not len(which):
-        return covered, []
+        return covered, none
     rows = np.repeat(low_row, n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
     found = index.locate(rows)
     length = phrases.sizes[which]
@@ -206,40 +224,13 @@ def hits(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarra
     change = np.zeros(len(starts) + 1, np.int64)
     np.add.at(change, word, 1)
     np.add.at(change, word + length, -1)
-    pairs = {(d, i) for d, w in set(zip(document[word].tolist(), which.tolist(), strict=True)) for i in phrases.holders[w]}
-    return np.cumsum(change[:-1]) > 0, sorted(pairs)
-
-
-def _shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Batches of about ``limit`` bytes of text."""
-    held, size = [], 0
-    for batch in batches:
-        texts = flat(column(batch, "text"))[1]
-        low = 0
-        while low < batch.num_rows:
-            high = max(low + 1, int(np.searchsorted(texts, texts[low] + limit - size, "right")) - 1)
-            held.append(batch.slice(low, high - low))
-            size += int(texts[high] - texts[low])
-            low = high
-            if size >= limit or low < batch.num_rows:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-    give_back()
-
-
-def _slices(items: list[tuple[str, str | None]], limit: int) -> Iterator[list[tuple[str, str | None]]]:
-    held, size = [], 0
-    for item in items:
-        n = len(item[1] or "") // 2 + 1
-        if held and size + n > limit:
-            yield held
-            held, size = [], 0
-        held.append(item)
-        size += n
-    if held:
-        yield held
+    met = np.unique(np.stack([document[word], which], 1), axis=0)
+    item, of = phrases.items(met[:, 1])
+    return np.cumsum(change[:-1]) > 0, np.unique(np.stack([met[of, 0], item], 1), axis=0)
+
+
+def _shard(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(pieces).combine_chunks().to_batches()[0]
 
 
 _ROW = pa.schema([("doc_id", pa.int64()), ("doc_row", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
@@ -252,27 +243,17 @@ def _edges(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _scan(rows: DataFrame, items: list[tuple[str, str | None]], window: int, shard_bytes: int) -> DataFrame:
-    """Hits of one slice of the items in rows (doc_id, doc_row, text)."""
-    phrases = rows.sparkSession.sparkContext.broadcast(Phrases(items, window))
-
-    def run(batches):
-        for batch in _shards(batches, shard_bytes):
-            data, at = flat(column(batch, "text"))
-            low, starts, ends, first = word_runs(data, at)
-            covered, pairs = hits(low, starts, ends, first, phrases.value)
-            where: dict[int, list[str]] = {}
-            for d, i in pairs:
-                where.setdefault(d, []).append(phrases.value.ids[i])
-            spans = [np.stack(_edges(covered[first[d] : first[d + 1]]), 1).ravel().tolist() if d in where else [] for d in range(batch.num_rows)]
-            n_hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
-            yield record_batch(_ROW, column(batch, "doc_id"), column(batch, "doc_row"), np.diff(first), n_hit, spans, [where.get(d, []) for d in range(batch.num_rows)])
-
-    return rows.mapInArrow(run, _ROW_SQL)
-
-
-def _items(items: DataFrame) -> list[list[tuple[str, str | None]]]:
-    return list(_slices([tuple(r) for r in items.select(F.col("item_id").cast("string"), "text").toLocalIterator()], PHRASE_WORDS)) or [[]]
+def _counted(batch: pa.RecordBatch, phrases: Phrases) -> pa.RecordBatch:
+    """A shard's rows (doc_id, doc_row, text) as ``_ROW``."""
+    data, at = flat(column(batch, "text"))
+    low, starts, ends, first = word_runs(data, at)
+    covered, pairs = hits(low, starts, ends, first, phrases)
+    where: dict[int, list[str]] = {}
+    for d, i in pairs.tolist():
+        where.setdefault(d, []).extend([phrases.ids[i]] if i >= 0 else [])
+    spans = [np.stack(_edges(covered[first[d] : first[d + 1]]), 1).ravel().tolist() if d in where else [] for d in range(batch.num_rows)]
+    n_hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
+    return record_batch(_ROW, column(batch, "doc_id"), column(batch, "doc_row"), np.diff(first), n_hit, spans, [where.get(d, []) for d in range(batch.num_rows)])
 
 
 def removed(raw: bytes, begin: np.ndarray, end: np.ndarray) -> str:
@@ -286,37 +267,81 @@ def removed(raw: bytes, begin: np.ndarray, end: np.ndarray) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def _merged(batches):
-    """Spans of several slices, merged for each row."""
-    for batch in batches:
-        spans = []
-        for flat_spans in column(batch, "spans").to_pylist():
-            out: list[int] = []
-            for a, b in sorted(zip(flat_spans[::2], flat_spans[1::2], strict=True)):
-                if out and a <= out[-1]:
-                    out[-1] = max(out[-1], b)
-                else:
-                    out += [a, b]
-            spans.append(out)
-        n_hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
-        yield record_batch(_ROW, *({"spans": spans, "n_hit": n_hit}.get(f.name, column(batch, f.name)) for f in _ROW))
+def _cut(batch: pa.RecordBatch, phrases: Phrases) -> pa.RecordBatch:
+    """A shard's rows with the hit words cut from their texts."""
+    texts = column(batch, "text")
+    data, at = flat(texts)
+    low, starts, ends, first = word_runs(data, at)
+    covered, pairs = hits(low, starts, ends, first, phrases)
+    kept = texts.to_pylist()
+    for d in np.unique(pairs[:, 0]).tolist():
+        on, off = _edges(covered[first[d] : first[d + 1]])
+        kept[d] = removed(data[at[d] : at[d + 1]].tobytes(), starts[first[d] + on] - at[d], ends[first[d] + off - 1] - at[d])
+    return pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if n == "text" else column(batch, n) for n in batch.schema.names], names=batch.schema.names)
+
+
+def _filed(rows: DataFrame, keyed: DataFrame, shard_bytes: int) -> DataFrame:
+    """block, words and item of the phrases that a shard may hold: those filed under one of its words. A phrase is filed under the word that the fewest shards hold, and nowhere if no shard holds one of its words."""
+    schema = pa.schema([("block", pa.int64()), ("word", pa.int64())])
+
+    def run(batches):
+        for number, pieces in blocks(batches, shard_bytes):
+            low, starts, ends, _ = word_runs(*flat(column(_shard(pieces), "text")))
+            words = np.unique(run_hashes(low, starts, ends)).view(np.int64)
+            yield record_batch(schema, np.full(len(words), number), words)
+
+    held = rows.mapInArrow(run, "block long, word long")
+    shards = held.groupBy("word").agg(F.count("*").alias("n"))
+    each = keyed.select("item", "words", F.explode(F.array_distinct("words")).alias("word"))
+    filed = looked_up(each, "word", each.groupBy("word").agg(F.count("*").alias("weight")).join(shards, "word"), each.count())
+    best = filed.groupBy("item").agg(F.first("words").alias("words"), F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("m")).where("m.n > 0")
+    return held.join(best.select("item", "words", F.col("m.word").alias("word")), "word").select("block", "words", "item")
+
+
+def _by_shard(rows: DataFrame, phrases: DataFrame, act: Callable[[pa.RecordBatch, Phrases], pa.RecordBatch], schema, window: int, shard_bytes: int) -> DataFrame:
+    """``act`` on every shard of ``rows``, with the phrases that it may hold. ``rows`` is read twice and must give the same partitions."""
+
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        pieces = list(unpacked(docs["docs"]))
+        return pa.Table.from_batches([act(_shard(pieces), Phrases(found, window))])
+
+    return rows.mapInArrow(packed(shard_bytes), PACKED_SQL).groupBy("block").cogroup(_filed(rows, phrases, shard_bytes).groupBy("block")).applyInArrow(run, schema)
+
+
+def _sent(items: DataFrame, window: int) -> tuple[DataFrame, pa.Table | None]:
+    """The phrases as a table, and in memory too if they are few enough."""
+    phrases = phrase_table(items, window)
+    few = phrases.limit(PHRASES + 1).toArrow()
+    return phrases, few if few.num_rows <= PHRASES else None
+
+
+def _direct(rows: DataFrame, few: pa.Table, act, schema, window: int, shard_bytes: int) -> DataFrame:
+    """``act`` on every shard, with all phrases."""
+    sent = rows.sparkSession.sparkContext.broadcast(Phrases(few, window))
+
+    def run(batches):
+        for _, pieces in blocks(batches, shard_bytes):
+            yield act(_shard(pieces), sent.value)
+
+    return rows.mapInArrow(run, schema)
 
 
-def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, row: str | None = None) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Of each row of ``docs``: n_words, n_hit (words in occurrences), spans (first and after-last word of each stretch of them, flat) and items (ids as strings).
 
     A phrase is ``window`` consecutive words of an item, or all words of a shorter
-    one; null and wordless texts have none. ``row`` names a column that tells rows
-    apart; by default they are numbered, so rows of one doc_id stay apart.
+    one; null and wordless texts have none. Words of items without an id are hit, but no id is listed.
+    Rows are numbered, so those of one doc_id stay apart.
     """
-    number = F.col(row) if row else F.monotonically_increasing_id()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), number.alias("doc_row"), "text")
-    first, *others = [_scan(rows, part, window, shard_bytes) for part in _items(items)]
-    if not others:
-        return first
-    for other in others:
-        first = first.unionByName(other)
-    return first.groupBy("doc_id", "doc_row").agg(F.max("n_words").alias("n_words"), F.sum("n_hit").alias("n_hit"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")).mapInArrow(_merged, _ROW_SQL)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("doc_row"), "text")
+    phrases, few = _sent(items, window)
+    if few is not None:
+        return _direct(rows, few, _counted, _ROW_SQL, window, shard_bytes)
+    name = F.concat_ws(":", F.xxhash64("words").cast("string"), F.xxhash64(F.lit(1), "words").cast("string"))
+    found = _by_shard(rows, phrases.select("words", name.alias("item")).distinct(), _counted, _ROW_SQL, window, shard_bytes)
+    # The names of phrases become those of the items that hold them.
+    own = found.select("doc_id", "doc_row", "n_words", "n_hit", "spans", F.explode_outer("items").alias("name")).join(phrases.select(name.alias("name"), "item"), "name", "left")
+    return own.groupBy("doc_row").agg(*(F.first(c).alias(c) for c in ("doc_id", "n_words", "n_hit", "spans")), F.collect_set("item").alias("items")).select("doc_id", "doc_row", "n_words", "n_hit", "spans", "items")
 
 
 def counted(found: DataFrame) -> DataFrame:
@@ -325,48 +350,17 @@ def counted(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def _cutter(spans_of, names: list[str]):
-    """Rebuilds batches with the text cut; ``spans_of(batch)`` gives the shard's words and, for rows with hits, their edges."""
-
-    def run(batches):
-        for batch in _shards(batches, SHARD_BYTES):
-            texts = column(batch, "text")
-            data, at = flat(texts)
-            low, starts, ends, first = word_runs(data, at)
-            kept = texts.to_pylist()
-            for d, on, off in spans_of(batch, low, starts, ends, first):
-                kept[d] = removed(data[at[d] : at[d + 1]].tobytes(), starts[first[d] + on] - at[d], ends[first[d] + off - 1] - at[d])
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if n == "text" else column(batch, n) for n in names], names=names)
-
-    return run
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with the hit words cut from their texts; n_chars follows where a text changed. Every row and other column stays."""
-    names, parts = docs.columns, _items(items)
-    if "n_chars" in names:
+    if "n_chars" in docs.columns:
         docs = docs.withColumn("n_chars", F.struct("n_chars", F.length("text").alias("l")))
-    if len(parts) == 1:
-        phrases = docs.sparkSession.sparkContext.broadcast(Phrases(parts[0], window))
-
-        def direct(batch, low, starts, ends, first):
-            covered, pairs = hits(low, starts, ends, first, phrases.value)
-            for d in {d for d, _ in pairs}:
-                yield d, *_edges(covered[first[d] : first[d + 1]])
-
-        out = docs.mapInArrow(_cutter(direct, names), docs.schema)
+    phrases, few = _sent(items, window)
+    if few is not None:
+        out = _direct(docs, few, _cut, docs.schema, window, SHARD_BYTES)
     else:
-        rows = store.written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-        spans = find(rows, items, window, row="_row").select(F.col("doc_row").alias("_row"), F.col("spans").alias("_spans"))
-
-        def joined(batch, low, starts, ends, first):
-            del low, starts, ends, first
-            for d, flat_spans in enumerate(column(batch, "_spans").to_pylist()):
-                if flat_spans:
-                    yield d, np.array(flat_spans[::2]), np.array(flat_spans[1::2])
-
-        out = rows.join(spans, "_row").mapInArrow(_cutter(joined, names), docs.schema)
-    if "n_chars" in names:
+        name = F.concat_ws(":", F.xxhash64("words").cast("string"), F.xxhash64(F.lit(1), "words").cast("string"))
+        out = _by_shard(docs, phrases.select("words", name.alias("item")).distinct(), _cut, docs.schema, window, SHARD_BYTES)
+    if "n_chars" in docs.columns:
         changed = F.length("text") != F.col("n_chars.l")
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars.n_chars")))
     return out

@@ -19,17 +19,15 @@ which is the quantile ``HIGH`` of all held trusted documents of that language.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .batches import chunks, column, give_back, record_batch
+from .batches import PACKED_SQL, blocks, column, give_back, packed, record_batch, unpacked
 from .samples import matched
 
 ORDER, BITS, START = 4, 15, 1
@@ -112,7 +110,7 @@ def counts(trusted: DataFrame) -> DataFrame:
     schema = pa.schema([("code", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
-        for _, parts in _blocks(batches):
+        for _, parts in blocks(batches, BLOCK_BYTES):
             found = [np.unique(codes(column(part, "text").to_pylist())[0], return_counts=True) for part in parts]
             code, inverse = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
             n = np.bincount(inverse, np.concatenate([k for _, k in found]), len(code)).astype(np.int64)
@@ -157,59 +155,34 @@ def fit(trusted: DataFrame) -> DataFrame:
     return model
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
-    """Number and pieces of each block of this partition."""
-    number, held, size = TaskContext.get().partitionId() << 32, [], 0
-    for batch, data, _ in chunks(batches, "text"):
-        held.append(batch)
-        size += len(data)
-        if size >= BLOCK_BYTES:
-            yield number, held
-            number, held, size = number + 1, [], 0
-    if held:
-        yield number, held
-
-
 _ASKED = pa.schema([("block", pa.int64()), ("key", pa.int64())])
-_PACKED = pa.schema([("block", pa.int64()), ("docs", pa.binary())])
 _SCORED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("total", pa.float64()), ("n", pa.int64())])
 
 
 def _asked(batches):
     """Keys that each block needs."""
-    for number, parts in _blocks(batches):
+    for number, parts in blocks(batches, BLOCK_BYTES):
         keys = needed(np.unique(np.concatenate([np.unique(codes(column(part, "text").to_pylist())[0]) for part in parts])))
         for lo in range(0, len(keys), 100_000):
             part = keys[lo : lo + 100_000]
             yield record_batch(_ASKED, pa.array(np.full(len(part), number)), pa.array(part))
 
 
-def _packed(batches):
-    """The documents of each block, in compressed pieces."""
-    for number, parts in _blocks(batches):
-        for part in parts:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_batch(part)
-            yield record_batch(_PACKED, [number], [sink.getvalue().to_pybytes()])
-
-
 def _block_scores(docs: pa.Table, answers: pa.Table) -> pa.Table:
     """Sum of negative log probabilities and number of characters of each document of a block."""
     keys = answers["key"].to_numpy()
     order = np.argsort(keys)
     keys, share, left = keys[order], answers["share"].to_numpy()[order], answers["left"].to_numpy()[order]
     out = []
-    for piece in docs["docs"]:
-        for batch in pa.ipc.open_stream(piece.as_buffer()):
-            code, first = codes(column(batch, "text").to_pylist())
-            n, total = np.diff(first), np.zeros(batch.num_rows)
-            some = np.flatnonzero(n > 0)
-            if len(some):
-                each, inverse = np.unique(code, return_inverse=True)
-                logs = log_probabilities(each, keys, share, left)
-                total[some] = -np.add.reduceat(logs[inverse], first[some])
-            out.append(record_batch(_SCORED, column(batch, "doc_id"), column(batch, "lang"), pa.array(total), pa.array(n)))
+    for batch in unpacked(docs["docs"]):
+        code, first = codes(column(batch, "text").to_pylist())
+        n, total = np.diff(first), np.zeros(batch.num_rows)
+        some = np.flatnonzero(n > 0)
+        if len(some):
+            each, inverse = np.unique(code, return_inverse=True)
+            logs = log_probabilities(each, keys, share, left)
+            total[some] = -np.add.reduceat(logs[inverse], first[some])
+        out.append(record_batch(_SCORED, column(batch, "doc_id"), column(batch, "lang"), pa.array(total), pa.array(n)))
     give_back()
     return pa.Table.from_batches(out, _SCORED)
 
@@ -221,8 +194,8 @@ def scores(docs: DataFrame, model: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     answers = rows.mapInArrow(_asked, "block long, key long").join(model, "key")
-    packed = rows.mapInArrow(_packed, "block long, docs binary")
-    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_block_scores, "doc_id long, lang string, total double, n long")
+    texts = rows.mapInArrow(packed(BLOCK_BYTES), PACKED_SQL)
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_block_scores, "doc_id long, lang string, total double, n long")
 
 
 def limits(scored: DataFrame) -> DataFrame:
