@@ -256,10 +256,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays (five words, 0.8)."""
+    """Pipeline stage: one document of each group stays (five words, 0.8). Rows of one doc_id stay or go together; rows without one are no one's copy and stay."""
     del spark, sf_dir
-    kept = near_duplicates(docs, 5).where("kept").select("doc_id").distinct()
-    return matched(docs, kept, "left_semi").select(docs.columns)
+    found = near_duplicates(docs, 5)
+    gone = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept").select("doc_id")
+    return matched(docs, gone, "left_anti").select(docs.columns)
 
 
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
