@@ -161,34 +161,48 @@ def pages(spark, rows):
 def test_archives_round_trip_and_look_up(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "HOT_SHARE", 3)
     rows = [(3, "http://b.example.com/x", "same"), (1, "https://www.B.example.com:443/x#f", "same"), (2, None, None), (7, "http://a.org", ""), (9, "http://u@é.net/?q=1\r\n", "é\r\n\r\n日"), (9, "http://again", "é\r\n\r\n日"), (None, "http://none", "z")]
-    rows += [(100 + i, f"http://h{i}.net/", "hot") for i in range(20)]
+    rows += [(100 + i, f"http://h{i}.net/", "hot") for i in range(20)] + [(50, "http://twice", "p"), (50, "http://twice", "q")]
     df = pages(spark, rows).withColumn("key", F.lit(1)).withColumn("offset", F.lit(1))
     folder = f"file://{tmp_path}/w"
-    directory = warc.write_index(warc.write_archives(df, folder, archive_rows=4), folder, block_entries=3)
-    got = warc.read_back(directory).collect()
-    assert len(got) == len(rows)
+    parts = warc.write_index(warc.write_archives(df, folder, archive_rows=4), folder, block_entries=3)
+    got = warc.fetch(df, parts).collect()
+    assert sorted(str(r.page_id) for r in got) == sorted(str(r[0]) for r in rows)
     first: dict = {}
     for i, _, h in rows:
         if i is not None:
             first[h or ""] = min(first.get(h or "", i), i)
     for r in got:
-        text = next(h or "" for i, _, h in rows if i == r.page_id)
-        raw = text.encode()
-        assert r.payload_bytes == len(raw) and r.payload_digest == base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        texts = [h or "" for i, _, h in rows if i == r.page_id]
+        text = next(t for t in texts if base64.b32encode(hashlib.sha1(t.encode()).digest()).decode() == r.payload_digest)
+        assert r.payload_bytes == len(text.encode())
         if r.page_id is not None:
             assert (r.record_type, r.refers_to) == (("response", None) if first[text] == r.page_id else ("revisit", first[text]))
-    found = warc.lookup(directory, "com,example,b)/x")
-    assert sorted(f["page_id"] for f in found) == [1, 3] and [f["payload"] for f in found if f["page_id"] == 1] == [b"same"]
-    memory = warc.Directory([tuple(r) for r in directory.collect()])
-    assert sorted(f["page_id"] for f in memory.find("com,example,b)/x")) == [1, 3] and memory.find("nowhere") == []
+    found = warc.lookup(parts, "com,example,b)/x")
+    assert [f["page_id"] for f in found] == [1, 3] and found[0]["payload"] == b"same"
+    assert [f["page_id"] for f in warc.lookup(parts, "twice)/")] == [50, 50] and warc.lookup(parts, "nowhere") == []
+    with pytest.raises(Exception, match="no record"):
+        warc.fetch(pages(spark, [(3, "http://elsewhere", "")]), parts).collect()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_index_bisection_equals_a_scan(spark, tmp_path, seed):
+    draw = random.Random(seed)
+    entries = sorted(((draw.choice("abcé日") * draw.randrange(1, 4), draw.choice([None, *range(-2, 3)]), "x", i, 1) for i in range(200)), key=lambda e: warc._place(*e[:2]))
+    df = spark.createDataFrame(entries, "key string, page_id long, archive string, offset long, length long")
+    index = warc.Index([tuple(r) for r in warc.write_index(df.repartition(3), f"file://{tmp_path}/i", block_entries=4).collect()])
+    for key, page_id, *_ in entries + [("aa", 9, "x", 0, 1), ("zzz", 0, "x", 0, 1), ("", None, "x", 0, 1)]:
+        place = warc._place(key, page_id)
+        assert sorted(e[3] for e in index.between(place, place)) == sorted(e[3] for e in entries if e[:2] == (key, page_id))
+        assert sorted(e[3] for e in index.between((key, False, 0), (key, True, 1 << 63))) == sorted(e[3] for e in entries if e[0] == key)
 
 
 def test_archives_threshold_and_nothing(spark, tmp_path):
     df = pages(spark, [(1, "http://a", "x"), (2, "http://b", "x")])
     d = warc.write_index(warc.write_archives(df, f"file://{tmp_path}/a", min_bytes=2), f"file://{tmp_path}/a")
-    assert {r.record_type for r in warc.read_back(d).collect()} == {"response"}
-    e = warc.write_index(warc.write_archives(df.where("page_id < 0"), f"file://{tmp_path}/b"), f"file://{tmp_path}/b")
-    assert warc.read_back(e).count() == 0
+    assert {r.record_type for r in warc.fetch(df, d).collect()} == {"response"}
+    none = df.where("page_id < 0")
+    e = warc.write_index(warc.write_archives(none, f"file://{tmp_path}/b"), f"file://{tmp_path}/b")
+    assert warc.fetch(none, e).count() == 0 and warc.lookup(e, "a)/") == []
 
 
 # --- nearest neighbours ---
@@ -213,33 +227,48 @@ def test_neighbours_with_odd_vectors_and_copies(spark):
     assert ann.nearest(df.where("vec_id < 0"), F.col("vec_id") % 2 == 0).count() == 0
 
 
-def test_neighbours_recall(spark):
-    draw = np.random.default_rng(1)
-    x = draw.normal(size=(3_000, 16))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got: dict = {}
-    for r in ann.nearest(df, F.col("vec_id") % 50 == 0, k=10, leaf_rows=100, search=0.25).collect():
-        got.setdefault(r.query_id, set()).add(r.vec_id)
-    recall = np.mean([len(got[q] & {c for c in np.argsort(-(x @ x[q]), kind="stable")[:11] if c != q}) / 10 for q in got])
-    assert recall >= 0.9 and len(got) == 60
-
-
-@pytest.mark.parametrize("kind", ["one long", "mixed"])
-def test_neighbours_recall_with_uneven_lengths(spark, kind):
+def test_neighbours_of_equal_score_have_the_smallest_ids(spark, monkeypatch):
+    """199 different vectors of one inner product with the query, in more than one leaf and chunk."""
+    monkeypatch.setattr(ann, "MEMBER_CHUNK", 30)
+    monkeypatch.setattr(ann, "PAIRS", 50)
+    draw = np.random.default_rng(3)
+    x = draw.integers(-8, 9, (200, 64)).astype(float)
+    x[:, 0] = 3
+    x[0] = np.eye(64)[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.nearest(df, F.col("vec_id") == 0, leaf_rows=40, recall=1.0).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id, r.score) for r in got] == [(i, i, 3.0) for i in range(1, 21)]
+
+
+def test_neighbour_products_equal_brute_force():
+    draw = np.random.default_rng(4)
+    a, b = draw.integers(-1, 2, (30, 8)).astype(float), draw.integers(-1, 2, (300, 8)).astype(float)
+    got = np.full((30, 300), -np.inf)
+    for i, j, exact in ann._products(a, b, 5):
+        got[i, j] = exact
+    for i in range(30):
+        want = sorted(a[i] @ b.T)[-5:]
+        assert sorted(got[i])[-5:] == want and (got[i] >= want[0]).sum() == (a[i] @ b.T >= want[0]).sum()
+
+
+@pytest.mark.parametrize("kind", ["even", "one long", "mixed", "clustered"])
+def test_neighbours_recall_at_default_settings(spark, kind):
     draw = np.random.default_rng(2)
-    x = draw.normal(size=(6_000, 32))
+    x = draw.normal(size=(6_000, 64))
+    if kind == "clustered":
+        x = draw.normal(size=(60, 64))[draw.integers(0, 60, len(x))] + 0.2 * x
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     if kind == "one long":
         x[7] *= 20
-    else:
+    elif kind == "mixed":
         x *= draw.lognormal(sigma=0.5, size=(len(x), 1))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got: dict = {}
-    for r in ann.nearest(df, F.col("vec_id") % 60 == 0, leaf_rows=200).collect():
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     recall = np.mean([len(got[q] & set([c for c in np.argsort(-(x @ x[q]), kind="stable")[:21] if c != q][:20])) / 20 for q in got])
     print("recall:", kind, recall)
-    assert recall >= 0.9 and len(got) == 100
+    assert recall >= 0.92 and len(got) == 300
 
 
 # --- chats ---
@@ -267,7 +296,7 @@ def test_events_fold_into_messages(spark):
 def test_chat_digests_equal_brute_force(spark):
     rows = [(1, 2, "assistant", "B</s>"), (1, 1, "user", None), (1, 2, "assistant", "B</s>"), (1, None, "system", "s\\"), (2, 1, "user", "é"), (3, 1, "assistant", "日")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit(1)).withColumn("msg_id", F.lit(1))
-    got = {r.conv_id: r for r in chat.digests(chat.formatted(chat.messages(chat.turns(df)))).collect()}
+    got = {r.conv_id: r for r in chat.digests(chat.formatted(chat.messages(chat.logged(df)))).collect()}
     for c in (1, 2, 3):
         own = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3] or ""))
         loss = "".join(r[3] or "" for r in own if r[2] == "assistant")
@@ -276,6 +305,17 @@ def test_chat_digests_equal_brute_force(spark):
         assert tuple(got[c])[1:] == (len(own), hashlib.sha256(turns.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text))
 
 
+def test_logged_turns_are_streamed_edited_and_regenerated(spark):
+    rows = [(c, t, ("user", "assistant")[t % 2], "x" * (t % 5) + f"é{c}</s>日{t}") for c in range(30) for t in range(6)] + [(1, 2, "user", ""), (1, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.logged(df)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    got = chat.messages(log.repartition(5)).select("conv_id", "ord.seq.turn", "role", "text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(c, t, r or "", x or "") for c, t, r, x in rows], key=str)
+    # An edit comes after the next turn has begun.
+    assert log.where("kind = 'edit' and seq.turn > msg_id.turn").count() == log.where("kind = 'edit' and seq.turn is not null").count() > 0
+
+
 # --- pipeline ---
 
 

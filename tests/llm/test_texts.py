@@ -78,9 +78,9 @@ def brute8(texts, items, window):
         yield len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("slices", [500_000, 8])
-def test_decontamination_equals_brute_force(spark, monkeypatch, slices):
-    monkeypatch.setattr(decontam, "PHRASE_WORDS", slices)
+@pytest.mark.parametrize("most", [300_000, 3])
+def test_decontamination_equals_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(decontam, "PHRASES", most)
     draw = random.Random(3)
     vocabulary = ["The", "a", "é", "日本", "x1", "no", "yes"]
     texts = [None, "", "...", *[draw.choice([" ", ", ", "\n"]).join(draw.choice(vocabulary) for _ in range(draw.randrange(80))) for _ in range(60)]]
@@ -88,14 +88,27 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, slices):
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("n_words", F.lit(0))
     got = {r.doc_id: tuple(r)[1:] for r in decontam.counted(decontam.find(docs(spark, texts, True), bench, window=5, shard_bytes=400)).collect()}
     assert [got[i] for i in range(len(texts))] == list(brute8(texts, items, 5))
-    cut = decontam.decontaminate(docs(spark, texts, True).withColumn("n_chars", F.length("text").cast("long")), bench, window=5)
+    assert decontam.counted(decontam.find(docs(spark, texts).where("doc_id < 0"), bench, window=5)).count() == 0
+    cut = decontam.decontaminate(docs(spark, texts, True).withColumn("_row", F.lit("own")).withColumn("block", F.lit(5)).withColumn("n_chars", F.length("text").cast("long")), bench, window=5)
     for r in cut.collect():
         left = len(words8(r.text))
+        assert (r["_row"], r.block) == ("own", 5)
         assert left == got[r.doc_id][0] - got[r.doc_id][1] and r.n_chars == (None if r.text is None else len(r.text))
         if not got[r.doc_id][4]:
             assert r.text == texts[r.doc_id]
 
 
+@pytest.mark.parametrize("most", [300_000, 3])
+def test_decontamination_of_one_long_item_and_repeated_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(decontam, "PHRASES", most)
+    words = [f"w{i}" for i in range(30_000)]
+    items = [("long", " ".join(words)), (None, "no id here"), ("a", "x y z"), ("a", "x y z")]
+    texts = [" ".join(["before", *words[20_000:20_025], "after"]), "See: No ID here!", "x y z x y z", "w1 w2 w3"] + ["q x y z"] * 40
+    df = spark.createDataFrame([(7, t) for t in texts], DOCS).repartition(3)
+    got = sorted((r.n_words, r.n_hit, tuple(r["items"])) for r in decontam.find(df, spark.createDataFrame(items, "item_id string, text string")).collect())
+    assert got == sorted([(27, 25, ("long",)), (4, 3, ()), (6, 6, ("a",)), (3, 0, ())] + [(4, 3, ("a",))] * 40)
+
+
 def test_decontamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.counted(decontam.find(docs(spark, ["a b"]), none)).first().n_hit == 0
@@ -162,6 +175,12 @@ def test_near_duplicates_of_empty_and_repeated(spark):
     assert sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(df, 4).collect()) == [(2, 2), (5, 2), (5, 2)]
 
 
+def test_near_duplicate_stage_keeps_rows_without_an_id(spark):
+    df = spark.createDataFrame([(None, "only here a b c d"), (None, "same words as in the other one"), (3, "same words as in the other one"), (4, "Same  words as in the other one"), (5, None), (6, ""), (3, "same words as in the other one")], DOCS).withColumn("kept", F.lit(1))
+    got = sorted((r.doc_id or 0, r.text or "") for r in neardup.stage(spark, df, "").collect())
+    assert got == sorted([(0, "only here a b c d"), (0, "same words as in the other one"), (3, "same words as in the other one"), (3, "same words as in the other one"), (5, ""), (6, "")])
+
+
 def test_block_overlaps():
     sets = [np.array(sorted(s)) for s in ({1, 2, 3}, {2, 3, 4}, {9}, {3, 9})]
     assert neardup.overlaps(sets, np.array([0, 3]), np.array([1, 2]), width=2).tolist() == [[2, 0], [1, 1]]
