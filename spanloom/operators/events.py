@@ -20,13 +20,14 @@ def sessions(df: DataFrame, by: list[str], at: str, gap: int, name: str = "sessi
 
 
 class _Throttle(Step):
-    def __init__(self, at: str, gap: int, out: list[str]):
-        self.at, self.gap, self.out, self.last = at, gap, out, None
+    def __init__(self, at: int, gap: int):
+        self.at, self.gap, self.last = at, gap, None
 
     def row(self, row):
         if self.last is None or row[self.at] - self.last > self.gap:
             self.last = row[self.at]
-            yield tuple(row[c] for c in self.out)
+            return (row,)
+        return ()
 
 
 def _typed(df: DataFrame, columns: list[str]) -> str:
@@ -37,47 +38,53 @@ def throttle(df: DataFrame, by: list[str], at: str, gap: int, order: list[str] |
     """Keeps a hit unless the last *kept* one is at most ``gap`` before."""
     rest = [c for c in df.columns if c not in by]
     split = sessions(df, by, at, gap, "_stretch")  # beyond such a gap every hit is kept: state starts anew
-    out = ordered_fold(split, [*by, "_stretch"], [at, *(order or [])], lambda: _Throttle(at, gap, rest), _typed(df, rest))
+    out = ordered_fold(split, [*by, "_stretch"], [at, *(order or [])], lambda: _Throttle(rest.index(at), gap), _typed(df, rest))
     return out.drop("_stretch").select(df.columns)
 
 
 class _KeyedThrottle(Step):
-    def __init__(self, at: str, keys: list[str], gap: int, out: list[str]):
-        self.at, self.keys, self.gap, self.out, self.last = at, keys, gap, out, None
+    def __init__(self, at: int, keys: list[int], gap: int):
+        self.at, self.keys, self.gap, self.last = at, keys, gap, None
 
     def row(self, row):
-        key = tuple(row[k] for k in self.keys)
+        key = [row[k] for k in self.keys]
         if self.last is None or key != self.last[0] or row[self.at] - self.last[1] > self.gap:
             self.last = key, row[self.at]
-            yield tuple(row[c] for c in self.out)
+            return (row,)
+        return ()
 
 
 def throttle_runs(df: DataFrame, by: list[str], at: str, keys: list[str], gap: int, order: list[str] | None = None) -> DataFrame:
     """Drops a hit only if the last kept one, of any kind, has the same keys (null equals null) and is at most ``gap`` before."""
     rest = [c for c in df.columns if c not in by]
     split = sessions(df, by, at, gap, "_stretch")
-    out = ordered_fold(split, [*by, "_stretch"], [at, *(order or [])], lambda: _KeyedThrottle(at, keys, gap, rest), _typed(df, rest))
+    out = ordered_fold(split, [*by, "_stretch"], [at, *(order or [])], lambda: _KeyedThrottle(rest.index(at), [rest.index(k) for k in keys], gap), _typed(df, rest))
     return out.drop("_stretch").select(df.columns)
 
 
+def _apart(df: DataFrame, by: list[str], start: str, end: str, slack: int) -> DataFrame:
+    """Adds _stretch: a new one where a window starts more than ``slack`` after the end of all before it. What is folded starts anew there."""
+    w = _w(by, start, end)
+    new = F.when(F.col(start) - F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)) > slack, 1).otherwise(0)
+    return df.withColumn("_new", new).withColumn("_stretch", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_new")
+
+
 class _Capped(Step):
     """Clusters with a bounded span; the earlier of equal peaks stays."""
 
-    def __init__(self, gap, span, start, end, conf):
-        self.gap, self.span, self.names, self.now = gap, span, (start, end, conf), None
+    def __init__(self, gap, span):
+        self.gap, self.span, self.now = gap, span, None
 
     def row(self, row):
-        start, end, conf = (row[n] for n in self.names)
+        start, end, conf = row
         c = self.now
         if c and start - c[1] <= self.gap and max(c[1], end) - c[0] <= self.span:
             c[1] = end
             if conf > c[2]:
                 c[2:] = [conf, start, end]
-            c_done = ()
-        else:
-            c_done = (tuple(c),) if c else ()
-            self.now = [start, end, conf, start, end]
-        return c_done
+            return ()
+        self.now = [start, end, conf, start, end]
+        return (tuple(c),) if c else ()
 
     def end(self):
         return (tuple(self.now),) if self.now else ()
@@ -85,7 +92,8 @@ class _Capped(Step):
 
 def capped_clusters(df: DataFrame, by: list[str], start: str, end: str, conf: str, gap: int, span: int) -> DataFrame:
     """Joins a window to the last cluster if it starts within ``gap`` of its end and the whole stays within ``span``: start_us, end_us, conf, peak_start_us, peak_end_us."""
-    return ordered_fold(df, by, [start, end], lambda: _Capped(gap, span, start, end, conf), "start_us long, end_us long, conf double, peak_start_us long, peak_end_us long")
+    rows = _apart(df.select(*by, start, end, conf), by, start, end, gap)
+    return ordered_fold(rows, [*by, "_stretch"], [start, end], lambda: _Capped(gap, span), "start_us long, end_us long, conf double, peak_start_us long, peak_end_us long").drop("_stretch")
 
 
 def union_intervals(df: DataFrame, by: list[str], start: str, end: str, slack: int, conf: str = "conf", primary: str = "primary") -> DataFrame:
@@ -97,11 +105,11 @@ def union_intervals(df: DataFrame, by: list[str], start: str, end: str, slack: i
 
 
 class _Abut(Step):
-    def __init__(self, start, end, longest, least):
-        self.names, self.longest, self.least, self.now = (start, end), longest, least, None
+    def __init__(self, longest, least):
+        self.longest, self.least, self.now = longest, least, None
 
     def row(self, row):
-        start, end = (row[n] for n in self.names)
+        start, end = row
         if self.now and start <= self.now[1]:
             if end - self.now[0] <= self.longest:
                 self.now[1] = end
@@ -119,7 +127,8 @@ class _Abut(Step):
 
 def fold_or_abut(df: DataFrame, by: list[str], start: str, end: str, longest: int, least: int) -> DataFrame:
     """Windows without overlap: one that touches the last extends it up to ``longest``, else starts where that ended (dropped below ``least``)."""
-    return ordered_fold(df, by, [start, end], lambda: _Abut(start, end, longest, least), "start_us long, end_us long")
+    rows = _apart(df.select(*by, start, end), by, start, end, 0)
+    return ordered_fold(rows, [*by, "_stretch"], [start, end], lambda: _Abut(longest, least), "start_us long, end_us long").drop("_stretch")
 
 
 def last_cluster(df: DataFrame, by: list[str], seq: str, flag: Column, gap: int) -> DataFrame:
@@ -150,18 +159,15 @@ def middle(df: DataFrame, by: list[str], order: str) -> DataFrame:
 
 
 def greedy_peaks(df: DataFrame, by: list[str], at: str, score: str, apart: int, most: int) -> DataFrame:
-    """At most ``most`` rows of each group, best first, each at least ``apart`` from all better ones taken."""
-
-    class Peaks(Step):
-        def __init__(self):
-            self.taken: list[int] = []
-
-        def row(self, row):
-            if len(self.taken) < most and all(abs(row[at] - t) >= apart for t in self.taken):
-                self.taken.append(row[at])
-                yield row[at], row[score], len(self.taken)
-
-    return ordered_fold(df, by, [F.col(score).desc(), at], Peaks, f"{at} {df.schema[at].dataType.simpleString()}, {score} {df.schema[score].dataType.simpleString()}, rank long")
+    """At most ``most`` rows of each group, best first (the earlier of ties), each at least ``apart`` from all better ones taken. Each is one aggregate over what is left."""
+    rest, found = df.select(*by, at, score), None
+    for rank in range(1, most + 1):
+        top = F.max(F.struct(F.col(score).alias("s"), (-F.col(at)).alias("t"))).alias("_m")
+        best = rest.groupBy(*by).agg(top).select(*by, (-F.col("_m.t")).alias("_at"), F.col("_m.s").alias("_s"))
+        own = best.select(*by, F.col("_at").alias(at), F.col("_s").alias(score), F.lit(rank).cast("long").alias("rank"))
+        found = own if found is None else found.unionByName(own)
+        rest = rest.join(best.select(*by, "_at"), by).where(F.abs(F.col(at) - F.col("_at")) >= apart).drop("_at")
+    return found
 
 
 def virtual_steps(df: DataFrame, by: list[str], seq: str, replay: Column) -> DataFrame:

@@ -3,7 +3,8 @@
 Rows of a group stand together and in order in one partition and pass through as
 Arrow batches; what is kept between rows is the step's own state. Split a group
 where its state is known to start anew (a long gap) and pass that as part of
-``by``, so that one large group is no single task.
+``by``, so that one large group is no single task. A step with few states needs no
+such place: :func:`chunked_fold` cuts anywhere.
 """
 
 from __future__ import annotations
@@ -12,15 +13,18 @@ from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+#: Rows of one group that a task of :func:`chunked_fold` takes.
+CHUNK_ROWS = 50_000
+
 
 class Step:
-    """One group's fold: ``row`` and ``end`` give the rows to send on."""
+    """One group's fold: ``row`` gets a row's columns but those of ``by``, as a tuple; ``row`` and ``end`` give the rows to send on."""
 
-    def row(self, row: dict) -> Iterable[tuple]:
+    def row(self, row: tuple) -> Iterable[tuple]:
         raise NotImplementedError
 
     def end(self) -> Iterable[tuple]:
@@ -31,12 +35,13 @@ def ordered_fold(df: DataFrame, by: list[str], order: list[str | Column], make:
     """Folds each group's rows in order; the columns ``by`` come first in the result."""
     kinds = StructType([df.schema[c] for c in by] + list(_parse_datatype_string(schema)))
     arrow = to_arrow_schema(kinds)
+    names = [c for c in df.columns if c not in by]
 
     def run(batches):
         step, seen, out = None, None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                key = tuple(row[c] for c in by)
+            cells = {c: batch.column(i).to_pylist() for i, c in enumerate(batch.schema.names)}
+            for key, row in zip(zip(*(cells[c] for c in by), strict=True), zip(*(cells[c] for c in names), strict=True), strict=True):
                 if step is None or key != seen:
                     if step is not None:
                         out += [seen + tuple(r) for r in step.end()]
@@ -57,3 +62,58 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(map(list, zip(*rows, strict=True)), schema, strict=True)], schema=schema)
 
 
+class _Trial(Step):
+    """Where each of the states leads."""
+
+    def __init__(self, states: list, make: Callable):
+        self.states, self.steps = states, [make(s) for s in states]
+
+    def row(self, row):
+        for step in self.steps:
+            for _ in step.row(row):
+                pass
+        return ()
+
+    def end(self):
+        return (([self.states.index(s.state) for s in self.steps],),)
+
+
+class _Walk(Step):
+    """The state that each next chunk starts in."""
+
+    def __init__(self):
+        self.state = 0
+
+    def row(self, row):
+        chunk, ends = row
+        self.state = ends[self.state]
+        yield chunk + 1, self.state
+
+
+class _From(Step):
+    """A chunk from its start on; the last column of a row is the number of the state."""
+
+    def __init__(self, states: list, make: Callable):
+        self.states, self.make, self.step = states, make, None
+
+    def row(self, row):
+        if self.step is None:
+            self.step = self.make(self.states[row[-1] or 0])
+        return self.step.row(row[:-1])
+
+
+def chunked_fold(df: DataFrame, by: list[str], seq: str, states: list, make: Callable[[object], Step], schema: str, rows: int | None = None) -> DataFrame:
+    """An ordered fold by ``seq``, which numbers each group's rows from 0, of steps with a ``state`` out of ``states`` (the first one to begin with).
+
+    Groups of more than ``rows`` rows are cut in chunks. What a chunk makes of each
+    state is found for all chunks at once, then what each starts in, then they are
+    folded side by side. A step's ``end`` is not called.
+    """
+    rows = rows or CHUNK_ROWS
+    part = df.withColumn("_chunk", F.floor(F.col(seq) / rows))
+    # A row for each group of more than ``rows`` rows, and one for each chunk of those: few.
+    long = df.groupBy(*by).agg(F.floor((F.count("*") - 1) / rows).alias("_last")).where("_last > 0")
+    tried = part.join(F.broadcast(long), by).where("_chunk < _last").drop("_last")
+    maps = ordered_fold(tried, [*by, "_chunk"], [seq], lambda: _Trial(states, make), "ends array<int>")
+    starts = ordered_fold(maps, by, ["_chunk"], _Walk, "_chunk long, _state int")
+    return ordered_fold(part.join(F.broadcast(starts), [*by, "_chunk"], "left"), [*by, "_chunk"], [seq], lambda: _From(states, make), schema).drop("_chunk")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import Step, ordered_fold
+from .folds import Step, chunked_fold, ordered_fold
 
 NORMAL, INTERMISSION, REPLAY_TAIL = "normal", "intermission", "replay_tail"
 FACEOFFS = ("faceoff", "faceoff_cutscene")
@@ -34,25 +34,25 @@ class _Chain(Step):
         self.gap, self.started, self.stopped, self.order = 0, False, False, 0
 
     def row(self, row):
+        seq, label, dur = row
         self.n += 1
         if self.n == 0:
-            self.base = row["seq"]
+            self.base = seq
             return
-        if self.stopped or self.n > self.rows or row["label"] == "faceoff_cutscene":
+        if self.stopped or self.n > self.rows or label == "faceoff_cutscene":
             self.stopped = True
             return
-        label = row["label"]
         if label in ("celebration", "goal_replay") or label in ("other_replay", "hit_replay") and (self.started or self.gap == 0):
             self.started, self.gap, self.order = True, 0, self.order + 1
-            yield row["seq"], self.base, self.order, "follow"
-        elif row["dur_us"] <= self.skip:
+            yield seq, self.base, self.order, "follow"
+        elif dur <= self.skip:
             return
-        elif not self.started and self.gap + row["dur_us"] <= self.most:
-            self.gap += row["dur_us"]
+        elif not self.started and self.gap + dur <= self.most:
+            self.gap += dur
             self.order += 1
-            yield row["seq"], self.base, self.order, "bridge"
+            yield seq, self.base, self.order, "bridge"
         else:
-            self.gap += row["dur_us"]
+            self.gap += dur
             self.stopped = self.gap > self.most
 
 
@@ -64,28 +64,29 @@ def goal_chains(df: DataFrame, by: list[str], seq: str, goal: Column, rows: int,
 
 
 class _Infer(Step):
-    def __init__(self):
-        self.context = NORMAL
+    def __init__(self, state: str):
+        self.state = state
 
     def row(self, row):
-        promoted = bool(row["candidate"] and row["forward"] and self.context == NORMAL)
-        if row["starts"]:
-            self.context = NORMAL
-        elif row["period_end"]:
-            self.context = INTERMISSION
-        elif row["label"] in FACEOFFS:
-            self.context = NORMAL
-        elif row["banner"] or promoted:
-            self.context = REPLAY_TAIL
-        if promoted:
-            yield (row["seq"],)
+        seq, label, banner, starts, period_end, candidate, forward = row
+        promoted = bool(candidate and forward and self.state == NORMAL)
+        if starts:
+            self.state = NORMAL
+        elif period_end:
+            self.state = INTERMISSION
+        elif label in FACEOFFS:
+            self.state = NORMAL
+        elif banner or promoted:
+            self.state = REPLAY_TAIL
+        return ((seq,),) if promoted else ()
 
 
 def inferred_goals(df: DataFrame, by: list[str], seq: str, steps: int, least: float) -> DataFrame:
     """Promoted rows: candidates in normal play with a confident face-off within ``steps`` virtual steps and no goal before it.
 
     Columns: label, ml_label, conf, banner, starts, period_end. The look ahead
-    needs only rows as they are; the context behind a row depends on promotions.
+    needs only rows as they are; the context behind a row depends on promotions, so it
+    is a fold of three states. ``seq`` numbers each group's rows from 0.
     """
     w = _w(by, seq)
     ahead = w.rowsBetween(1, Window.unboundedFollowing)
@@ -100,7 +101,7 @@ def inferred_goals(df: DataFrame, by: list[str], seq: str, steps: int, least: fl
     rows = rows.withColumn("forward", F.coalesce((found["k"] == 1) & (found["s"] - start <= steps), F.lit(False)))
     candidate = ~F.col("banner") & ~F.col("starts") & ~F.col("period_end") & F.col("label").isin("scoring_chance", "other") & ((F.col("ml_label") == "goal") | ((F.col("ml_label") == "scoring_chance") & (F.col("conf") >= least)))
     part = rows.withColumn("candidate", candidate).select(*by, F.col(seq).alias("seq"), "label", "banner", "starts", "period_end", "candidate", "forward")
-    return ordered_fold(part, by, ["seq"], _Infer, "seq long")
+    return chunked_fold(part, by, "seq", [NORMAL, INTERMISSION, REPLAY_TAIL], _Infer, "seq long")
 
 
 def adjacent_chances(df: DataFrame, by: list[str], seq: str, chance: Column, barrier: Column, edge: int, between: int, trim_start: str, trim_end: str) -> DataFrame:
@@ -116,28 +117,25 @@ def adjacent_chances(df: DataFrame, by: list[str], seq: str, chance: Column, bar
 
 
 class _Periods(Step):
-    def __init__(self):
-        self.p = 1
+    def __init__(self, state: int):
+        self.state = state
 
     def row(self, row):
-        declared = row["declared"]
-        if row["period_start"] or row["game_start"]:
+        seq, period_start, game_start, period_end, regulation_end, declared = row
+        p = self.state
+        if period_start or game_start:
             if declared is not None:
-                self.p = max(self.p, min(declared, 3))
-            elif row["period_start"] and self.p < 3:
-                self.p += 1
-        out = self.p
-        if row["period_end"]:
-            self.p = min(self.p + 1, 3)
-        elif row["regulation_end"]:
-            self.p = 4
-        yield row["seq"], out
+                p = max(p, min(declared, 3))
+            elif period_start and p < 3:
+                p += 1
+        self.state = min(p + 1, 3) if period_end else 4 if regulation_end else p
+        return ((seq, p),)
 
 
 def period_numbers(df: DataFrame, by: list[str], seq: str) -> DataFrame:
-    """The period of every segment, from flags period_start, game_start, period_end, regulation_end and a declared number (or null)."""
+    """The period of every segment, from flags period_start, game_start, period_end, regulation_end and a declared number (or null). ``seq`` numbers each group's rows from 0."""
     part = df.select(*by, F.col(seq).alias("seq"), "period_start", "game_start", "period_end", "regulation_end", "declared")
-    return ordered_fold(part, by, ["seq"], _Periods, "seq long, period long")
+    return chunked_fold(part, by, "seq", [1, 2, 3, 4], _Periods, "seq long, period long")
 
 
 class _Counter(Step):
@@ -147,7 +145,7 @@ class _Counter(Step):
         self.most, self.value, self.pending = most, None, None
 
     def row(self, row):
-        v = row["v"]
+        seq, v, confirmed = row
         if v is None:
             return
         if self.value is None:
@@ -157,16 +155,16 @@ class _Counter(Step):
                 self.pending = v
             return
         diff = v - self.value
-        if 1 <= diff <= self.most and row["confirmed"]:
+        if 1 <= diff <= self.most and confirmed:
             self.value = v
-            yield row["seq"], v, diff
+            yield seq, v, diff
 
 
 def counter_events(df: DataFrame, by: list[str], seq: str, value: str, most: int) -> DataFrame:
     """Accepted increments: a reading 1 to ``most`` above the last accepted, unless the next one read is not within one above it."""
     later = F.lead(value).over(_w(by, seq))
     probe = F.coalesce((later >= F.col(value)) & (later <= F.col(value) + 1), F.lit(True))
-    part = df.withColumn("confirmed", probe).select(*by, F.col(seq).alias("seq"), F.col(value).cast("long").alias("v"), "confirmed")
+    part = df.withColumn("confirmed", probe).select(*by, F.col(seq).alias("seq"), F.col(value).cast("long").alias("v"), "confirmed").where("v is not null")
     return ordered_fold(part, by, ["seq"], lambda: _Counter(most), "seq long, v long, step long")
 
 
