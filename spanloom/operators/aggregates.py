@@ -33,19 +33,63 @@ def most_rows(df: DataFrame, by: list[str], version: str, order: str) -> DataFra
     return out.where("_n = 1").drop("_n")
 
 
+def exact_medians(df: DataFrame, by: list[str], value: str, low: int, high: int, bins: int = 4_096) -> DataFrame:
+    """median and n of a whole-numbered ``value`` in [low, high) for each key, without bringing a key's rows together.
+
+    Equal values are counted first; counts of bins of values show in which one or
+    two the middle lies, and only those are looked at value by value.
+    """
+    width = -(-(high - low) // bins)
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("_k")).withColumn("_bin", F.floor((F.col(value) - low) / width))
+    per = counts.groupBy(*by, "_bin").agg(F.sum("_k").alias("_rows"))
+    ahead = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_before", F.coalesce(F.sum("_rows").over(ahead), F.lit(0))).withColumn("n", F.sum("_rows").over(Window.partitionBy(*by)))
+    lower, upper = F.expr("(n - 1) div 2"), F.expr("n div 2")
+    holds = lambda at, before, rows: (F.col(before) <= at) & (at < F.col(before) + F.col(rows))
+    inside = counts.join(per.where(holds(lower, "_before", "_rows") | holds(upper, "_before", "_rows")), [*by, "_bin"])
+    within = Window.partitionBy(*by, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("_at", F.col("_before") + F.coalesce(F.sum("_k").over(within), F.lit(0)))
+    middle = lambda at: F.max(F.when(holds(at, "_at", "_k"), F.col(value)))
+    return inside.groupBy(*by, "n").agg(((middle(lower) + middle(upper)) / 2).alias("median")).select(*by, "median", "n")
+
+
 def step_medians(df: DataFrame, by: list[str], run: str, order: str, at: str, step: str, longest: int, runs: int) -> DataFrame:
     """Median time from each step's line to the next, over the latest ``runs`` runs of each group, durations in [0, ``longest``)."""
     latest = df.groupBy(*by, run).agg(F.max(at).alias("_end"))
     latest = latest.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("_end").desc(), run))).where(F.col("_n") <= runs).select(*by, run)
     rows = df.join(latest, [*by, run]).withColumn("_d", F.lead(at).over(Window.partitionBy(*by, run).orderBy(order)) - F.col(at))
-    return rows.where((F.col("_d") >= 0) & (F.col("_d") < longest)).groupBy(step).agg(F.median("_d").alias("median"), F.count("*").alias("n"))
+    return exact_medians(rows.where((F.col("_d") >= 0) & (F.col("_d") < longest)), [step], "_d", 0, longest)
 
 
 def class_weights(df: DataFrame, label: str, classes: DataFrame) -> DataFrame:
     """total / (k * count) for each of the k classes, 0 for one without rows."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    total, k = df.count(), classes.count()
-    return classes.join(counts, label, "left").select(label, F.coalesce(F.col("n"), F.lit(0)).alias("n"), F.when(F.col("n") > 0, F.lit(total) / (F.lit(k) * F.col("n"))).otherwise(0.0).alias("weight"))
+    total, k = df.agg(F.count("*")).scalar(), classes.agg(F.count("*")).scalar()
+    rows = classes.join(counts, label, "left").select(label, F.coalesce(F.col("n"), F.lit(0)).alias("n"))
+    return rows.withColumn("weight", F.when(F.col("n") > 0, total / (k * F.col("n"))).otherwise(0.0))
+
+
+def levels(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Root mean square of each key and its decibels against the loudest one: rms and db."""
+    r = df.groupBy(*by).agg(F.sqrt(F.avg(F.col(value) * F.col(value))).alias("rms"))
+    return r.withColumn("db", 20 * F.log10(F.col("rms") / r.agg(F.max("rms")).scalar()))
+
+
+def above_percentile(df: DataFrame, by: list[str], value: str, share: float) -> DataFrame:
+    """Each key's percentile (interpolated) and how many of its values are above it: level and above."""
+    p = df.groupBy(*by).agg(F.percentile(value, share).alias("level"))
+    return df.join(p, by).groupBy(*by).agg(F.first("level").alias("level"), F.count_if(F.col(value) > F.col("level")).alias("above"))
+
+
+def widths(df: DataFrame, by: list[str], columns: dict[str, str]) -> DataFrame:
+    """The largest length of each column's text in each group, under the given names."""
+    return df.groupBy(*by).agg(*(F.max(F.length(F.col(c).cast("string"))).cast("long").alias(name) for c, name in columns.items()))
+
+
+def surnames(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """The different last words of names that are letters only, three at least, as one sorted array of each group: names."""
+    last = F.element_at(F.split(F.trim(name), r"\s+"), -1).alias("_w")
+    return df.select(*by, last).where(F.col("_w").rlike(r"^\p{L}{3,}$")).groupBy(*by).agg(F.array_sort(F.collect_set("_w")).alias("names"))
 
 
 def f1_scores(df: DataFrame, truth: str, guess: str) -> DataFrame:
