@@ -117,7 +117,7 @@ def _fuzzy_tokens(least: float):
         def prefix(text: str) -> list[str]:
             seen: Counter = Counter()
             tokens = []
-            for c in text.lower():
+            for c in text:
                 seen[c] += 1
                 tokens.append((seen[c], c))
             shared = math.ceil(len(tokens) * least / (2 - least) - 1e-9)  # with the shortest partner that can do
@@ -129,30 +129,43 @@ def _fuzzy_tokens(least: float):
 
 
 def fuzzy(rows: DataFrame, key: str, name: str, roster: DataFrame, entry: str, least: float = 0.85) -> DataFrame:
-    """Each name with its best roster entry by matching blocks ratio, if at least ``least`` (above 0); the first entry in order of ties.
+    """Each name with its best roster entry by matching-blocks ratio, if at least ``least`` (above 0): key, name, entry, ratio; of ties the greatest entry.
 
-    The ratio is bounded by the characters that two texts share and by their
+    Case counts. The ratio takes the entry first and the name second (it is not
+    symmetric). It is bounded by the characters that two texts share and by their
     lengths, so candidates share one of the few characters that can't all be missing
     (a prefix filter): no pair is lost, and different names are compared once.
     """
     names = rows.select(key, name).where(F.length(name) > 0)
     tokens = _fuzzy_tokens(least)
     each = lambda df, c: df.select(c).distinct().where(F.length(c) > 0).withColumn("_i", F.explode(tokens(c)))
-    size = lambda c: F.length(F.lower(c))
-    pairs = each(names, name).join(each(roster, entry), "_i").where(F.abs(size(name) - size(entry)) <= F.greatest(size(name), size(entry)) * (2 * (1 - least))).drop("_i").distinct()
+    pairs = each(names, name).join(each(roster, entry), "_i").where(F.abs(F.length(name) - F.length(entry)) <= F.greatest(F.length(name), F.length(entry)) * (2 * (1 - least))).drop("_i").distinct()
     kinds = StructType([*pairs.schema.fields, StructField("ratio", DoubleType())])
     assert isinstance(kinds[name].dataType, StringType)
 
     def score(frames: Iterator[pd.DataFrame]):
-        match = difflib.SequenceMatcher(autojunk=False)
+        match = difflib.SequenceMatcher()
         for f in frames:
             ratios = []
-            for a, b in zip(f[name].str.lower(), f[entry].str.lower(), strict=True):
+            for b, a in zip(f[name], f[entry], strict=True):
                 match.set_seqs(a, b)
                 ratios.append(match.ratio() if match.real_quick_ratio() >= least and match.quick_ratio() >= least else 0.0)
             yield f.assign(ratio=ratios)
 
     good = pairs.mapInPandas(score, kinds).where(F.col("ratio") >= least)
-    good = names.join(good, name).select(key, name, entry, "ratio")
-    w = Window.partitionBy(key).orderBy(F.col("ratio").desc(), entry)
-    return good.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    best = good.groupBy(name).agg(F.max(F.struct("ratio", entry)).alias("_m")).select(name, F.col(f"_m.{entry}").alias(entry), F.col("_m.ratio").alias("ratio"))
+    return names.join(best, name).select(key, name, entry, "ratio")
+
+
+def snapped(rows: DataFrame, key: str, name: str, roster: DataFrame, entry: str, least: float = 0.85) -> DataFrame:
+    """Adds corrected: the name with its last word replaced by the roster surname nearest to it. A name of one word, and one with nothing near, stays as it is."""
+    words = F.split(F.trim(name), r"\s+")
+    parts = rows.withColumn("_last", F.when(F.size(words) >= 2, F.element_at(words, -1)))
+    found = fuzzy(parts.where("_last is not null"), key, "_last", roster, entry, least).select(key, F.col(entry).alias("_entry"))
+    again = F.concat_ws(" ", F.slice(words, F.lit(1), F.size(words) - 1), F.col("_entry"))
+    return parts.join(found, key, "left").withColumn("corrected", F.when(F.col("_entry") != F.col("_last"), again).otherwise(F.col(name))).drop("_last", "_entry")
+
+
+def pending(rows: DataFrame, done: DataFrame, on: list[str]) -> DataFrame:
+    """Rows that aren't recorded as done."""
+    return rows.join(done.select(*on).distinct(), on, "left_anti")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import aggregates as ag
 from ..operators import events as ev
 from ..operators import joins as jn
 from .base import HIT, SEG, S, hits, segments, table
@@ -87,9 +88,13 @@ def nearest_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names with their last letter lost, matched with the whole ones."""
-    names = table(spark, sf_dir, "part").select("p_partkey", F.expr("substring(p_name, 1, length(p_name) - 1)").alias("name"))
-    return jn.fuzzy(names, "p_partkey", "name", table(spark, sf_dir, "part").select(F.col("p_name").alias("entry")), "entry").select("p_partkey", "name", "entry")
+    """Part names whose last word was misread at one place (a letter lost, replaced or doubled), snapped to the surnames of all parts."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    roster = ag.surnames(p, [], "p_name").select(F.explode("names").alias("entry"))
+    read = p.withColumn("w", F.element_at(F.split("p_name", " "), -1)).withColumn("at", (F.col("p_partkey") % F.length("w")).cast("int"))
+    wrong = F.expr("substring(w, 1, at) || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '0' ELSE substring(w, at + 1, 1) || substring(w, at + 1, 1) END || substring(w, at + 2)")
+    read = read.select("p_partkey", F.concat(F.expr("substring(p_name, 1, length(p_name) - length(w))"), wrong).alias("name"))
+    return jn.snapped(read, "p_partkey", "name", roster, "entry").select("p_partkey", "name", "corrected")
 
 
 ORACLES = {
@@ -108,7 +113,9 @@ ORACLES = {
     "unlabelled_anti": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "label_lookup": "SELECT event_type, CASE WHEN event_type IN ('purchase', 'click') THEN 'mapped' WHEN event_type = 'error' THEN 'discarded' ELSE 'unknown' END AS outcome, count(*) AS n FROM events GROUP BY ALL",
     "nearest_cell": f"WITH {HIT}, c AS (SELECT event_id, value, floor(t_us / 1000000)::BIGINT % 60 AS m FROM hit WHERE conf >= 0.2) SELECT event_id, (SELECT arg_min(i, (abs(value - x), i)) FROM (VALUES (0, 25.0), (1, 45.0), (2, 65.0), (3, 85.0)) t(i, x))::INT AS row_no, (SELECT arg_min(i, (abs(m - x), i)) FROM (VALUES (0, 10.0), (1, 30.0), (2, 50.0)) t(i, x))::INT AS col_no FROM c",
-    "fuzzy_roster": None,
+    # With one letter lost a word of four letters is near enough to its own, with one replaced one of seven, with one doubled any.
+    "fuzzy_roster": """WITH p AS (SELECT p_partkey, p_name, string_split(p_name, ' ')[-1] AS w FROM part), r AS (SELECT *, (p_partkey % length(w))::INT AS k, substr(p_name, 1, length(p_name) - length(w)) AS head FROM p),
+      x AS (SELECT p_partkey, p_name, w, head || substr(w, 1, k) || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '0' ELSE substr(w, k + 1, 1) || substr(w, k + 1, 1) END || substr(w, k + 2) AS name FROM r)
+      SELECT p_partkey, name, CASE WHEN length(w) >= CASE p_partkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 7 ELSE 3 END THEN p_name ELSE name END AS corrected FROM x""",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}
-ORACLES = {k: v for k, v in ORACLES.items() if v}
