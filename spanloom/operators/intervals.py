@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .events import capped_clusters
+
 
 def capped(start: Column, end: Column, centre: Column, longest: int) -> Column:
     """[start, end] cut to ``longest`` around ``centre``, moved to stay inside: a struct (s, e)."""
@@ -33,32 +35,28 @@ def sliding(df: DataFrame, duration: str, width: int, stride: int) -> DataFrame:
     return rows.withColumn("w_start_us", F.col("_i") * stride).withColumn("w_end_us", F.least(F.col("w_start_us") + width, F.col(duration))).drop("_i")
 
 
-def scene_clusters(windows: Column, gap: int, span: int, gate: float = 0.45, below: float = 0.20) -> Column:
-    """Clusters of one scene's windows, an array of structs (s, e, conf, label).
+def by_route(df: DataFrame, duration: str, longest: int, width: int, stride: int) -> DataFrame:
+    """Adds route and windows: what is longer than ``longest`` is windowed, all else is one window, its whole: route, w_start_us, w_end_us."""
+    long = sliding(df.where(F.col(duration) > longest), duration, width, stride).withColumn("route", F.lit("windowed"))
+    short = df.where(F.col(duration) <= longest).withColumn("w_start_us", F.lit(0).cast("long")).withColumn("w_end_us", F.col(duration).cast("long")).withColumn("route", F.lit("single"))
+    return long.unionByName(short)
 
-    ``windows`` is an array of structs (s, e, label, conf) in order. The best label
-    that isn't ``other`` leads; chances are pooled with it; what is within ``gap``
-    of a cluster's end joins it unless it grows over ``span``. A scene has few
-    windows, so it is one row.
-    """
-    hot = F.filter(windows, lambda w: w["label"] != "other")
-    best = F.reduce(hot, F.struct(F.lit(-1.0).alias("c"), F.lit("").alias("l")), lambda a, w: F.when(w["conf"] > a["c"], F.struct(w["conf"].alias("c"), w["label"].alias("l"))).otherwise(a))
-    floor = F.least(F.lit(gate), best["c"] - below)
-    pool = F.filter(hot, lambda w: ((w["label"] == best["l"]) | (w["label"] == "scoring_chance")) & (w["conf"] >= floor))
-    none = F.expr("cast(array() as array<struct<s:bigint,e:bigint,conf:double,ps:bigint,pe:bigint,label:string>>)")
 
-    def join(done: Column, w: Column) -> Column:
-        c = F.element_at(done, -1)
-        new = F.struct(w["s"].alias("s"), w["e"].alias("e"), w["conf"].alias("conf"), w["s"].alias("ps"), w["e"].alias("pe"), best["l"].alias("label"))
-        more = w["conf"] > c["conf"]
-        grown = F.struct(c["s"].alias("s"), w["e"].alias("e"), F.greatest(c["conf"], w["conf"]).alias("conf"), F.when(more, w["s"]).otherwise(c["ps"]).alias("ps"), F.when(more, w["e"]).otherwise(c["pe"]).alias("pe"), best["l"].alias("label"))
-        fits = (F.size(done) > 0) & (w["s"] - c["e"] <= gap) & (F.greatest(c["e"], w["e"]) - c["s"] <= span)
-        return F.when(fits, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(done, F.array(new)))
+def scene_clusters(windows: DataFrame, by: list[str], start: str, end: str, label: str, conf: str, order: str, gap: int, span: int, gate: float = 0.45, below: float = 0.20) -> DataFrame:
+    """Clusters of each scene's windows: start_us, end_us, conf, peak_start_us, peak_end_us and label.
 
-    return F.reduce(pool, none, join)
+    The best label that isn't ``other`` leads (the first of ties by ``order``);
+    chances are pooled with it; what is within ``gap`` of a cluster's end joins it
+    unless it grows over ``span``.
+    """
+    hot = windows.where(F.col(label) != "other")
+    lead = hot.groupBy(*by).agg(F.max(F.struct(F.col(conf).alias("c"), (-F.col(order)).alias("o"), F.col(label).alias("l"))).alias("_m")).select(*by, F.col("_m.c").alias("_best"), F.col("_m.l").alias("_lead"))
+    pool = hot.join(lead, by).where(((F.col(label) == F.col("_lead")) | (F.col(label) == "scoring_chance")) & (F.col(conf) >= F.least(F.lit(gate), F.col("_best") - below)))
+    found = capped_clusters(pool, by, start, end, conf, gap, span)
+    return found.join(lead.select(*by, F.col("_lead").alias("label")), by)
 
 
-def trim_of(cluster: Column, duration: Column, before: int, after: int, longest: int) -> Column:
+def trim_of(start: Column, end: Column, peak_start: Column, peak_end: Column, duration: Column, before: int, after: int, longest: int) -> Column:
     """The padded cluster, cut to ``longest`` around the middle of its peak."""
-    p = padded(cluster["s"], cluster["e"], before, after, duration)
-    return capped(p["s"], p["e"], F.floor((cluster["ps"] + cluster["pe"]) / 2), longest)
+    p = padded(start, end, before, after, duration)
+    return capped(p["s"], p["e"], F.floor((peak_start + peak_end) / 2), longest)

@@ -32,3 +32,15 @@ def after(action: Column, processed: Column, uploaded: Column) -> Column:
 def merged_state(state: DataFrame, changed: DataFrame, key: str) -> DataFrame:
     """The state with changed rows in place of the old of their key."""
     return state.join(changed.select(key), key, "left_anti").unionByName(changed)
+
+
+def state_rows(documents: DataFrame, column: str = "value") -> DataFrame:
+    """video_id, status and error of every job that state documents (JSON, ``{"processed": {id: {...}}}``) list; one that is empty, broken or without jobs lists none."""
+    jobs = F.from_json(F.col(column), "processed map<string, struct<status: string, error: string>>")["processed"]
+    return documents.select(F.explode(jobs).alias("video_id", "job")).select("video_id", F.col("job.status").alias("status"), F.col("job.error").alias("error"))
+
+
+def state_document(jobs: DataFrame) -> DataFrame:
+    """The one document of all jobs (video_id, status, error), ids in order: what :func:`state_rows` reads."""
+    each = F.struct(F.col("video_id"), F.struct("status", "error").alias("job"))
+    return jobs.agg(F.to_json(F.struct(F.map_from_entries(F.array_sort(F.collect_list(each))).alias("processed"))).alias("value"))

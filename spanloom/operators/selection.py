@@ -6,6 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: The labels that are worth showing, and their least confidence.
+HIGHLIGHTS, LEAST_HIGHLIGHT = ("goal", "save", "hit", "fight", "celebration", "goal_replay", "scoring_chance"), 0.55
+
+
+def is_highlight(label: Column, conf: Column, least: float = LEAST_HIGHLIGHT) -> Column:
+    return F.coalesce(label.isin(*HIGHLIGHTS) & (conf >= least), F.lit(False))
+
+
 def select_capped(df: DataFrame, by: list[str], seq: str, always: Column, ranked: Column, conf: str, cap: int, most_ranked: int) -> DataFrame:
     """Rows kept under a cap on each group: all of ``always``; then others first come first served; then, if room is left, up to ``most_ranked`` of ``ranked`` by confidence (earlier first of ties)."""
     rows = df.withColumn("_class", F.when(always, 0).when(ranked, 2).otherwise(1))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import aggregates as ag
 from ..sources import media
 from .base import SEG, S, hits, segments, table
 
@@ -47,9 +48,7 @@ def newest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def level_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each clip's 85th percentile and how many of its values are above."""
-    h = hits(spark, sf_dir)
-    p = h.groupBy("clip_id").agg(F.percentile("value", 0.85).alias("level"))
-    return h.join(p, "clip_id").groupBy("clip_id").agg(F.round(F.first("level"), 6).alias("level"), F.count_if(F.col("value") > F.col("level")).alias("above"))
+    return ag.above_percentile(hits(spark, sf_dir), ["clip_id"], "value", 0.85).select("clip_id", F.round("level", 6).alias("level"), "above")
 
 
 def footage_total(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import rules as ru
 from ..operators import sequence as sq
 from .base import SEG, S, hits, segments
 
@@ -43,7 +44,7 @@ def infer_goals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rescue_demoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Demoted goals of good confidence in normal play, as chances."""
     p = sq.prior_context(passes(spark, sf_dir), CLIP, "seq", F.col("starts"), F.col("period_end"), F.col("label").isin(*sq.FACEOFFS), F.col("banner"))
-    return p.where("label = 'other' and ml_label = 'goal' and conf >= 0.3 and context = 'normal'").select("clip_id", "seq", "conf")
+    return ru.rescued(p, 0.3).select("clip_id", "seq", "conf")
 
 
 def adjacent_chances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,10 +61,8 @@ def counter_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counter_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A score change lifts any segment; else a shot lifts a chance."""
-    s = segments(spark, sf_dir)
-    score, shot = F.col("value") > 90, F.col("value") > 50
-    return s.select("clip_id", "seq", F.when(score, F.greatest("conf", F.lit(0.85))).when(shot & (F.col("label") == "scoring_chance"), F.greatest("conf", F.lit(0.7))).otherwise(F.col("conf")).alias("conf"), F.when(score, 0.8).when(shot, 0.3).otherwise(0.0).alias("extra"))
+    r = segments(spark, sf_dir).select("clip_id", "seq", ru.boosted(F.col("label"), F.col("conf"), F.col("value") > 90, F.col("value") > 50).alias("r"))
+    return r.select("clip_id", "seq", "r.conf", "r.extra")
 
 
 def flag_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import aggregates as ag
 from ..operators import jobs as jb
+from ..operators import joins as jn
 from .base import table
 
 
@@ -62,26 +64,22 @@ def job_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def skip_done_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _orders(spark, sf_dir)
-    return o.select("k").join(o.where("o_orderstatus = 'F'").select("k"), "k", "left_anti")
+    return jn.pending(o.select("k"), o.where("o_orderstatus = 'F'"), ["k"])
 
 
 def column_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
-    return c.groupBy("c_mktsegment").agg(F.max(F.length("c_name")).cast("long").alias("name_width"), F.max(F.length(F.col("c_nationkey").cast("string"))).cast("long").alias("nation_width"))
+    return ag.widths(table(spark, sf_dir, "customer"), ["c_mktsegment"], {"c_name": "name_width", "c_nationkey": "nation_width"})
 
 
 def sorted_surnames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct last words of letters, three at least, as one sorted list a size."""
-    last = F.element_at(F.split("p_name", " "), -1)
-    p = table(spark, sf_dir, "part").select("p_size", last.alias("w")).where(F.col("w").rlike("^[A-Za-z]{3,}$"))
-    return p.groupBy("p_size").agg(F.array_join(F.array_sort(F.collect_set("w")), ",").alias("names"))
+    return ag.surnames(table(spark, sf_dir, "part"), ["p_size"], "p_name").select("p_size", F.array_join("names", ",").alias("names"))
 
 
 def rms_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Root mean square by user, in decibels below the loudest."""
-    r = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"))
-    top = r.agg(F.max("rms")).first()[0]
-    return r.select("user_id", F.round("rms", 6).alias("rms"), F.round(20 * F.log10(F.col("rms") / top), 6).alias("db"))
+    r = ag.levels(table(spark, sf_dir, "events"), ["user_id"], "value")
+    return r.select("user_id", F.round("rms", 6).alias("rms"), F.round("db", 6).alias("db"))
 
 
 _RAW = "CASE WHEN k % 11 = 0 THEN '' WHEN k % 7 = 0 THEN translate((k % 60) || ':' || lpad((k % 13)::VARCHAR, 2, '0'), '01', 'Ol') WHEN k % 5 = 0 THEN '-' || (k % 1000) ELSE translate(k::VARCHAR, '01', 'oI') END"

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import rules as ru
 from ..operators import selection as sl
 from ..operators import sequence as sq
 from ..operators import trims as tr
@@ -26,18 +27,14 @@ def joint_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pause_demote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A menu demotes a segment unless an end screen is seen; intros stay."""
-    s = segments(spark, sf_dir)
     menu, end, intro = F.col("event_id") % 5 == 0, F.col("event_id") % 15 == 0, F.col("seq") == 0
-    return s.select("clip_id", "seq", F.when(menu & ~intro, F.when(end, "game_end").otherwise("other")).otherwise(F.col("label")).alias("label"), (menu & ~end & ~intro).cast("int").alias("has_menu"))
+    r = segments(spark, sf_dir).select("clip_id", "seq", ru.by_menu(F.col("label"), menu, end, intro).alias("r"))
+    return r.select("clip_id", "seq", "r.label", F.col("r.has_menu").cast("int").alias("has_menu"))
 
 
 def tail_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First and last hit of a goal in each clip's last 300 seconds."""
-    h = hits(spark, sf_dir)
-    end = F.max("t_us").over(Window.partitionBy("clip_id"))
-    t = h.withColumn("end", end).where((F.col("t_us") >= F.col("end") - 300 * S) & (F.col("label") == "goal"))
-    return t.groupBy("clip_id").agg(F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"), F.count("*").alias("n"))
+    return ru.tail_hits(hits(spark, sf_dir), CLIP, "t_us", F.col("label") == "goal", 300 * S)
 
 
 def best_or_other(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +57,7 @@ def chance_trims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replay_trims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments(spark, sf_dir).where("label = 'goal_replay'").select("clip_id", "seq", F.least("dur_us", F.lit(10 * S)).alias("trim_end_us"))
+    return segments(spark, sf_dir).where("label = 'goal_replay'").select("clip_id", "seq", ru.replay_end(F.col("dur_us"), 10 * S).alias("trim_end_us"))
 
 
 def chance_leads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as ag
@@ -10,6 +10,7 @@ from ..operators import curation as cu
 from ..operators import events as ev
 from ..operators import intervals as iv
 from ..operators import joins as jn
+from ..operators import rules as ru
 from ..operators import selection as sl
 from .base import HIT, SEG, S, hits, segments, table
 
@@ -33,23 +34,24 @@ def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def peak_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scenes are sessions of hits; every hit is a window of four seconds from its scene's start."""
-    h = ev.sessions(hits(spark, sf_dir), CLIP, "t_us", 24 * S)
-    first = h.groupBy("clip_id", "session").agg(F.min("t_us").alias("t0"), (F.max("t_us") - F.min("t_us") + 4 * S).alias("dur"), F.sort_array(F.collect_list(F.struct("t_us", "event_id", "label", "conf"))).alias("h"))
-    windows = F.transform("h", lambda x: F.struct((x["t_us"] - F.col("t0")).alias("s"), (x["t_us"] - F.col("t0") + 4 * S).alias("e"), x["label"].alias("label"), x["conf"].alias("conf")))
-    c = first.withColumn("c", iv.scene_clusters(windows, 4 * S, 20 * S)).where(F.size("c") > 0).select("clip_id", "session", "dur", F.posexplode("c").alias("i", "x"))
-    t = iv.trim_of(F.col("x"), F.col("dur"), 7 * S, 5 * S, 16 * S)
-    return c.withColumn("t", t).select("clip_id", "session", F.col("i").cast("long").alias("i"), F.col("x.label").alias("label"), F.col("x.conf").alias("conf"), F.col("t.s").alias("trim_start_us"), F.col("t.e").alias("trim_end_us"))
+    scene = ["clip_id", "session"]
+    h = ev.sessions(hits(spark, sf_dir), CLIP, "t_us", 24 * S).select(*scene, "t_us", F.col("t_us").alias("s"), (F.col("t_us") + 4 * S).alias("e"), "label", "conf")
+    c = iv.scene_clusters(h, scene, "s", "e", "label", "conf", "t_us", 4 * S, 20 * S)
+    c = c.join(h.groupBy(*scene).agg(F.min("s").alias("t0"), (F.max("e") - F.min("s")).alias("dur")), scene)
+    here = lambda name: F.col(name) - F.col("t0")
+    t = iv.trim_of(here("start_us"), here("end_us"), here("peak_start_us"), here("peak_end_us"), F.col("dur"), 7 * S, 5 * S, 16 * S)
+    i = F.row_number().over(Window.partitionBy(*scene).orderBy("start_us")) - 1
+    return c.withColumn("t", t).withColumn("i", i.cast("long")).select(*scene, "i", "label", "conf", F.col("t.s").alias("trim_start_us"), F.col("t.e").alias("trim_end_us"))
 
 
 def banner_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    banner = F.col("value") > 70
-    s = segments(spark, sf_dir)
-    return s.select("clip_id", "seq", F.when(banner, "goal").when(F.col("label") == "goal", "other").otherwise(F.col("label")).alias("label"), F.when(banner, 1.0).otherwise(F.col("conf")).alias("conf"), (~banner & (F.col("label") == "goal") & (F.col("conf") >= 0.5)).cast("int").alias("rescue"))
+    r = segments(spark, sf_dir).select("clip_id", "seq", ru.by_banner(F.col("label"), F.col("conf"), F.col("value") > 70, 0.5).alias("r"))
+    return r.select("clip_id", "seq", "r.label", "r.conf", F.col("r.rescue").cast("int").alias("rescue"))
 
 
 def gate_demote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weak = (F.col("label") == "goal_replay") & (F.col("conf") < 0.4)
-    return hits(spark, sf_dir).select("event_id", F.when(weak, "other_replay").otherwise(F.col("label")).alias("label"), weak.cast("int").alias("demoted"))
+    label, conf = F.col("label"), F.col("conf")
+    return hits(spark, sf_dir).select("event_id", ru.demoted_replay(label, conf, 0.4).alias("label"), ru.weak_replay(label, conf, 0.4).cast("int").alias("demoted"))
 
 
 def select_reel(spark: SparkSession, sf_dir: str) -> DataFrame:
