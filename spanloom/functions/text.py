@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words, patterns and texts that decide the results.
+# Words, patterns, texts and limits that decide the results.
 BANNER_WORDS = ("GOAL", "QOAL", "GOAI", "ASSIST", "SCORED", "SCORER")
 CLOCK, LONE_DIGIT, SHOTS = r"\d{1,2}:\d{2}", r"(?<![:\d])(\d)(?!\d)", r"^\d{1,2}$"
+ENDING_O, LONE_O = r"([A-Z]{2,3})O\b", r"\bO\b"
 ONE_LIKE = "[FIlO|]"
 STAR_STATS = r"^GOALS: (\d+) \| ASSISTS: (\d+) \| HITS: (\d+)$"
 SCORE_LINE = r"(?i)(END|GAME|OVER|\d\s*[-–]\s*\d)"
-KINDS = {"intro": "VS screen → opening faceoff", "game_end": "final buzzer / scoreboard", "end_of_regulation": "3rd-period buzzer"}
+HEADER = r"PAUSE\s+(.+?)\s+STATS"
+WATCH_ID = r"/watch\?v=([A-Za-z0-9_-]+)"
+KINDS = {"intro": "VS screen → opening faceoff", "game_end": "final buzzer / scoreboard", "end_of_regulation": "3rd-period buzzer", "banner": "banner-confirmed", "inferred": "faceoff-pattern inferred"}
+PERIOD_NAMES = {2: "2ND PERIOD", 3: "3RD PERIOD"}
+OVERTIME = "OVERTIME"
+NAME_CHARS, NAME_WORD, NAME_VOWEL, NAME_WORDS = r"[^A-Za-z\s'-]", "^[A-Za-z]{3,15}$", "[AEIOUaeiou]", 3
+FULL_CLOCK_MINUTES, NEAR_ZERO_SECONDS, RUNNING_SECONDS = 20, 5, 5
+CARD_MATCH, CARD_DEVIATION, CARD_BRIGHTNESS = 0.65, 10, 140
 
 _DIGITS = r"^\d+$"
 
@@ -24,8 +32,8 @@ def looks_like_banner(text: Column) -> Column:
 def parse_score(text: Column) -> Column:
     """The last lone digit, without a clock; an O that ends two or three capitals, or stands alone, is a zero."""
     s = F.regexp_replace(text, CLOCK, "")
-    s = F.regexp_replace(s, r"([A-Z]{2,3})O\b", "$1 0")
-    s = F.regexp_replace(s, r"\bO\b", "0")
+    s = F.regexp_replace(s, ENDING_O, "$1 0")
+    s = F.regexp_replace(s, LONE_O, "0")
     found = F.regexp_extract_all(s, F.lit(LONE_DIGIT), F.lit(1))
     return F.when(F.size(found) > 0, F.element_at(found, -1).cast("int"))
 
@@ -63,10 +71,10 @@ def clock_class(text: Column) -> Column:
     """What a clock and its period label say: game_start, period_start, period_end, regulation_end, ot_period_end or null."""
     up = F.upper(text)
     n = F.regexp_extract_all(text, F.lit(r"(\d+)"), F.lit(1))
-    start = (F.size(n) >= 2) & (_number(n, 0) == 20) & (_number(n, 1) == 0)
+    start = (F.size(n) >= 2) & (_number(n, 0) == FULL_CLOCK_MINUTES) & (_number(n, 1) == 0)
     head = F.regexp_extract_all(F.element_at(F.split(text, r"\."), 1), F.lit(r"(\d+)"), F.lit(1))
     point = F.when(F.size(head) == 0, F.lit(True)).otherwise(F.element_at(F.when(F.size(head) > 0, head).otherwise(F.array(F.lit("1"))), -1).cast("long") == 0)
-    whole = F.when(F.size(n) >= 2, (_number(n, 0) == 0) & (_number(n, 1) <= 5)).when(F.size(n) == 1, _number(n, 0) <= 5).otherwise(False)
+    whole = F.when(F.size(n) >= 2, (_number(n, 0) == 0) & (_number(n, 1) <= NEAR_ZERO_SECONDS)).when(F.size(n) == 1, _number(n, 0) <= NEAR_ZERO_SECONDS).otherwise(False)
     near = F.when(text.contains("."), point).otherwise(whole)
     end = F.when(up.contains("OT"), "ot_period_end").when(up.contains("3RD"), "regulation_end").when(up.rlike("1ST|2ND"), "period_end")
     return F.when(start, F.when(up.contains("1ST"), "game_start").when(up.rlike("2ND|3RD|OT"), "period_start").otherwise("game_start")).when(near, end)
@@ -77,13 +85,13 @@ def mid_period(text: Column) -> Column:
     head = F.element_at(F.split(F.trim(text), "\n"), 1)
     n = F.regexp_extract_all(head, F.lit(r"(\d+)"), F.lit(1))
     read = head.rlike("[:.]") & (F.size(n) >= 2)
-    return F.coalesce(read & ((_number(n, 0) <= 19) | ((_number(n, 0) == 20) & (_number(n, 1) > 5))), F.lit(False))
+    return F.coalesce(read & ((_number(n, 0) < FULL_CLOCK_MINUTES) | ((_number(n, 0) == FULL_CLOCK_MINUTES) & (_number(n, 1) > RUNNING_SECONDS))), F.lit(False))
 
 
 def clean_name(name: Column) -> Column:
     """At most three words of 3 to 15 letters with a vowel."""
-    words = F.split(F.trim(F.regexp_replace(name, r"[^A-Za-z\s'-]", " ")), r"\s+")
-    return F.concat_ws(" ", F.slice(F.filter(words, lambda w: w.rlike("^[A-Za-z]{3,15}$") & w.rlike("[AEIOUaeiou]")), 1, 3))
+    words = F.split(F.trim(F.regexp_replace(name, NAME_CHARS, " ")), r"\s+")
+    return F.concat_ws(" ", F.slice(F.filter(words, lambda w: w.rlike(NAME_WORD) & w.rlike(NAME_VOWEL)), 1, NAME_WORDS))
 
 
 def name_quality(name: Column) -> Column:
@@ -174,7 +182,7 @@ def digit_line(text: Column) -> Column:
 
 def id_from_output(text: Column) -> Column:
     """The id of the first watch address in a program's output, else null."""
-    found = F.regexp_extract(text, r"/watch\?v=([A-Za-z0-9_-]+)", 1)
+    found = F.regexp_extract(text, WATCH_ID, 1)
     return F.when(found != "", found)
 
 
@@ -193,18 +201,23 @@ def clip_name(prefix: Column, seconds: Column) -> Column:
 def group_kind(row: dict[str, Column]) -> Column:
     """What a group of the output is: a struct (kind, detail); the first flag that holds decides."""
     pair = lambda k, d: F.struct(F.lit(k).alias("kind"), F.lit(d).alias("detail"))
-    name = F.when(row["to_period"] == 2, "2ND PERIOD").when(row["to_period"] == 3, "3RD PERIOD").otherwise("OVERTIME")
+    name = F.coalesce(*(F.when(row["to_period"] == n, text) for n, text in PERIOD_NAMES.items()), F.lit(OVERTIME))
     return (
         F.when(row["transition"], F.struct(F.lit("transition").alias("kind"), name.alias("detail")))
         .when(row["intro"], pair("intro", KINDS["intro"]))
         .when(row["game_end"], pair("game_end", KINDS["game_end"]))
         .when(row["regulation_end"], pair("end_of_regulation", KINDS["end_of_regulation"]))
-        .when(row["banner"], pair("goal", "banner-confirmed"))
-        .when(row["inferred"], pair("goal", "faceoff-pattern inferred"))
+        .when(row["banner"], pair("goal", KINDS["banner"]))
+        .when(row["inferred"], pair("goal", KINDS["inferred"]))
         .otherwise(F.struct(F.coalesce(row["label"], F.lit("highlight")).alias("kind"), F.lit("").alias("detail")))
     )
 
 
+def header_team(text: Column) -> Column:
+    """The team that a statistics screen's header names, in capitals; empty where it names none."""
+    return F.trim(F.regexp_extract(F.upper(F.trim(text)), HEADER, 1))
+
+
 def mentions(text: Column, words: tuple[str, ...]) -> Column:
     """Whether any of the words is in the text, whatever its case."""
     up = F.upper(F.coalesce(text, F.lit("")))
@@ -216,4 +229,4 @@ def mentions(text: Column, words: tuple[str, ...]) -> Column:
 
 def settled_picture(match: Column, deviation: Column, brightest: Column) -> Column:
     """A card has stopped moving: its label matches, or it is lively and bright enough."""
-    return (match >= 0.65) | ((deviation >= 10) & (brightest > 140))
+    return (match >= CARD_MATCH) | ((deviation >= CARD_DEVIATION) & (brightest > CARD_BRIGHTNESS))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -10,7 +12,11 @@ from ..shared import shared_dir
 from ..sources import media
 from ..streaming import streams as st
 from . import event_plans
-from .base import SEG, S, micros, segments, table
+from .base import HIT, SEG, S, micros, segments, table
+from .sequence_plans import ORACLES as SEQUENCE
+
+#: 2024-01-16 00:00:00 in microseconds.
+SETTLE_NOW = 1_705_363_200_000_000
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +33,13 @@ def stream_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.run_once(st.counter(rows, "clip_id", "t_us", "v", 2), shared_dir(spark))
 
 
+def stream_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as files last written at their time: taken, or left waiting for the next run, at one moment of the month."""
+    rows = _stream(spark, sf_dir).select("event_id", "t_us")
+    settled, waiting = st.settle(rows, "t_us", S, f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}", lambda: SETTLE_NOW)
+    return settled.select("event_id", F.lit(1).alias("taken")).unionByName(waiting.select("event_id", F.lit(0).alias("taken")))
+
+
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed sessions: those that the watermark has passed."""
     r = st.run_once(st.sessions(_stream(spark, sf_dir), ["clip_id"], "ts", "24 hours", "1 hour"), shared_dir(spark))
@@ -40,7 +53,10 @@ def uniform_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pad_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.length("text").cast("long").alias("l")))), lambda x: x["l"]).alias("f"))
+    """The lengths of each conversation's first six turns; of fewer the last one is repeated."""
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("l"), n.alias("n")).where("n <= 6")
+    c = rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "l"))), lambda x: x["l"]).alias("f"))
     return c.select("conv_id", F.array_join(media.pad_frames(F.col("f"), 6), ",").alias("frames"))
 
 
@@ -56,10 +72,21 @@ def timeline_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.timeline_text(s, ["clip_id"], "seq", code("start_us"), code("end_us"), F.col("label"))
 
 
+HOUR_US, DAY_US = 3_600_000_000, 86_400_000_000
+
+
+def _counter_sql() -> str:
+    """The batch counter's SQL over places in time, without confirmation by a missing row."""
+    return f"SELECT c.clip_id, s.t_us, c.v, c.step FROM ({SEQUENCE['counter_scan'].replace(', true) AS ok', ', false) AS ok')}) c JOIN (WITH {SEG} SELECT clip_id, seq, t_us FROM seg) s USING (clip_id, seq)"
+
+
 ORACLES = {
     "stream_throttle": event_plans.ORACLES["throttle_events"],
-    "stream_counter": None,
-    "stream_sessions": None,
+    # As in the batch scan, but the last row of all is not confirmed.
+    "stream_counter": _counter_sql(),
+    "stream_settled": f"WITH {HIT} SELECT event_id, ({SETTLE_NOW} - t_us >= {S})::INT AS taken FROM hit",
+    "stream_sessions": f"""WITH {HIT}, s AS (SELECT *, sum(new) OVER (PARTITION BY clip_id ORDER BY t_us ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, CASE WHEN t_us - lag(t_us) OVER (PARTITION BY clip_id ORDER BY t_us) >= {DAY_US} THEN 1 ELSE 0 END AS new FROM hit))
+      SELECT clip_id, min(t_us) AS first_us, max(t_us) AS last_us, count(*) AS n FROM s GROUP BY clip_id, session HAVING max(t_us) + {DAY_US} <= (SELECT max(t_us) FROM hit) - {HOUR_US}""",
     "uniform_samples": f"WITH {SEG} SELECT clip_id, seq, i, floor(i * dur_us / 4)::BIGINT AS at_us FROM (SELECT *, unnest(range(0, 5)) AS i FROM seg)",
     "pad_frames": "WITH f AS (SELECT conv_id, list(length(text) ORDER BY turn) AS f FROM conversations GROUP BY conv_id) SELECT conv_id, array_to_string(list_transform(range(1, 7), lambda i: f[least(i, len(f))]), ',') AS frames FROM f",
     "edit_decisions": f"WITH {SEG} SELECT clip_id, seq AS pos, CASE WHEN seq % 3 > 0 THEN 'made/' || seq ELSE 'source/' || clip_id END AS path, start_us, end_us FROM seg WHERE conf >= 0.5",
@@ -68,4 +95,3 @@ ORACLES = {
       SELECT clip_id, string_agg(lpad(n::VARCHAR, greatest(2, length(n::VARCHAR)::INT), ' ') || '  ' || x || ' - ' || y || '  ' || label, chr(10) ORDER BY seq) AS text FROM c GROUP BY clip_id""",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}
-ORACLES = {k: v for k, v in ORACLES.items() if v}

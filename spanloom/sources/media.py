@@ -5,35 +5,97 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# The kinds of files that are taken, transfer functions of high dynamic range, endings of made files, and the least size of a whole one.
 MEDIA = (".mp4", ".mov", ".mkv", ".avi", ".webm")
+HDR = ("smpte2084", "arib-std-b67")
+NORMAL, TONE_MAPPED, LEAST_BYTES = "_norm", "_sdr", 10_000
+
+
+def file_columns(rows: DataFrame, path: str = "path") -> DataFrame:
+    """Adds folder, name, stem and suffix (lower case, with its point; a leading point is no suffix)."""
+    name = F.regexp_extract(path, r"([^/]*)$", 1)
+    rows = rows.withColumn("folder", F.regexp_extract(path, r"^(.*)/[^/]*$", 1)).withColumn("name", name)
+    return rows.withColumn("stem", F.regexp_replace("name", r"(?<=.)\.[^.]*$", "")).withColumn("suffix", F.lower(F.regexp_extract("name", r".(\.[^.]*)$", 1)))
+
+
+def wanted(rows: DataFrame, suffixes: tuple[str, ...] = MEDIA, root: str | None = None, path: str = "path") -> DataFrame:
+    """Files of the wanted kinds, with :func:`file_columns`; of ``root`` those that stand right in it."""
+    found = file_columns(rows, path).where(F.col("suffix").isin(*suffixes))
+    return found if root is None else found.where(F.col("folder") == root.rstrip("/"))
 
 
 def list_media(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = MEDIA, recursive: bool = True) -> DataFrame:
-    """path, modified_us, length and stem of every file of the wanted kinds; contents are not read."""
+    """path, modified_us, length, folder, name, stem and suffix of every file of the wanted kinds; contents are not read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    rows = reader.load(folder).select("path", F.unix_micros("modificationTime").alias("modified_us"), "length")
-    stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
-    return rows.where(F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*suffixes)).withColumn("stem", stem)
+    return wanted(reader.load(folder).select("path", F.unix_micros("modificationTime").alias("modified_us"), "length"), suffixes)
+
+
+def with_label(rows: DataFrame) -> DataFrame:
+    """Adds label, the name of the folder that a file stands in."""
+    return rows.withColumn("label", F.regexp_extract("folder", r"([^/]*)$", 1))
 
 
 def labelled_folders(spark: SparkSession, root: str) -> DataFrame:
     """path, label (the folder's name) and stem of every file one folder below ``root``."""
-    rows = list_media(spark, root)
-    return rows.select("path", F.regexp_extract("path", r"([^/]+)/[^/]*$", 1).alias("label"), "stem")
+    return with_label(list_media(spark, root)).select("path", "label", "stem")
+
+
+def segment_files(rows: DataFrame, root: str, suffix: str = ".mp4") -> DataFrame:
+    """Segments below ``root`` (match, name and pos, from 1, in the order of both): those in folders of matches, or if there are none those right in it."""
+    below = file_columns(rows).where((F.col("suffix") == suffix) & F.col("folder").startswith(root.rstrip("/")))
+    deep = below.withColumn("match", F.regexp_extract(F.substr("folder", F.lit(len(root.rstrip("/")) + 1)), r"^/([^/]+)$", 1))
+    deep = deep.where((F.col("match") != "") | (F.col("folder") == root.rstrip("/")))
+    any_match = deep.agg(F.coalesce(F.bool_or(F.col("match") != ""), F.lit(False))).scalar()
+    w = Window.partitionBy("match").orderBy("name")
+    return deep.where(any_match == (F.col("match") != "")).withColumn("pos", F.row_number().over(w).cast("long"))
+
+
+def is_hdr(transfer: Column) -> Column:
+    """Whether a probe's transfer function is of high dynamic range; an unread one is not."""
+    return F.coalesce(F.lower(F.trim(transfer)).isin(*HDR), F.lit(False))
+
+
+def ingest_actions(files: DataFrame, outputs: DataFrame, overwrite: bool = False) -> DataFrame:
+    """What to do with each file (columns stem, hdr): target (the output's stem, null if it is taken as it is) and action.
+
+    A file that is normal already is used as it is unless it is of high dynamic
+    range; else its output is kept if it is there and whole (outputs: stem, length),
+    made again if it is too small, and made if it isn't there.
+    """
+    normal = F.col("stem").endswith(NORMAL)
+    rows = files.withColumn("target", F.when(~normal, F.concat("stem", F.lit(NORMAL))).when(F.col("hdr"), F.concat("stem", F.lit(TONE_MAPPED))))
+    made = outputs.groupBy(F.col("stem").alias("target")).agg(F.max("length").alias("_length"))
+    there = F.when(F.col("_length") > LEAST_BYTES, "skip").when(F.col("_length").isNotNull(), "remake").otherwise("make")
+    action = F.when(F.col("target").isNull(), "as_is").otherwise(F.lit("make") if overwrite else there)
+    return rows.join(made, "target", "left").withColumn("action", action).drop("_length")
+
+
+def missing_outputs(inputs: DataFrame, outputs: DataFrame, on: str = "stem", least_bytes: int = LEAST_BYTES, force: bool = False) -> DataFrame:
+    """Inputs without an output of more than ``least_bytes``; all of them by ``force``."""
+    return inputs if force else inputs.join(outputs.where(F.col("length") > least_bytes).select(on).distinct(), on, "left_anti")
+
+
+_KINDS = {bool: "boolean", int: "long", float: "double", str: "string"}
+
+
+def settings(document: Column, defaults: dict) -> Column:
+    """A settings document (JSON, or YAML in its JSON form) as a struct: each value of ``defaults``, one level deep, unless the document has its own."""
+    kinds = ", ".join(f"`{k}` {_KINDS[type(v)]}" for k, v in defaults.items())
+    own = F.from_json(document, kinds)
+    return F.struct(*(F.coalesce(own[k], F.lit(v)).alias(k) for k, v in defaults.items()))
 
 
-def missing_outputs(inputs: DataFrame, outputs: DataFrame, on: str = "stem", least_bytes: int = 10_000) -> DataFrame:
-    """Inputs without an output of at least ``least_bytes``."""
-    return inputs.join(outputs.where(F.col("length") > least_bytes).select(on).distinct(), on, "left_anti")
+def log_lines(rows: DataFrame, line: str) -> DataFrame:
+    """Of the lines ``HH:MM:SS text`` clock (seconds of the day) and text; others are left out."""
+    n = lambda i: F.regexp_extract(line, r"^(\d{2}):(\d{2}):(\d{2})\s+(.*)$", i)
+    found = rows.where(n(1) != "")
+    return found.withColumn("clock", n(1).cast("long") * 3600 + n(2).cast("long") * 60 + n(3).cast("long")).withColumn("text", n(4))
 
 
 def run_log(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no, clock (seconds of the day) and text of every ``HH:MM:SS text`` line, in order within its file."""
     rows = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)$", 1).alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    parts = F.regexp_extract(F.col("line"), r"^(\d{2}):(\d{2}):(\d{2})\s+(.*)$", 1)
-    rows = rows.where(parts != "")
-    n = lambda i: F.regexp_extract("line", r"^(\d{2}):(\d{2}):(\d{2})\s+(.*)$", i)
-    return rows.select("file", F.col("line_no").cast("long").alias("line_no"), (n(1).cast("long") * 3600 + n(2).cast("long") * 60 + n(3).cast("long")).alias("clock"), n(4).alias("text"))
+    return log_lines(rows, "line").select("file", F.col("line_no").cast("long").alias("line_no"), "clock", "text")
 
 
 def pad_frames(frames: Column, n: int) -> Column:
@@ -48,7 +110,7 @@ def uniform_samples(first: Column, last: Column, n: int) -> Column:
 
 def write_tables(rows: DataFrame, by: list[str], path: str) -> None:
     """One CSV folder for each value of ``by``; cells are quoted where they need it."""
-    rows.write.mode("overwrite").partitionBy(*by).option("header", True).csv(path)
+    rows.write.mode("overwrite").partitionBy(*by).option("header", True).option("escape", "\"").csv(path)
 
 
 def timeline_json(rows: DataFrame, by: list[str], order: str) -> DataFrame:
