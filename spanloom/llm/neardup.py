@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import store
 from .batches import chunks, column, lower_ascii, mix, record_batch, run_hashes, runs
-from .samples import matched
+from .samples import looked_up, matched
 
 K, RATIO, ESTIMATE, SHORT_LIST, BLOCK = 32, 0.35, 0.4, 8, 256
 
@@ -90,23 +90,26 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and the smallest node that it reaches, for links (a, b); by alternating large and small stars."""
+    """node and the smallest node that it reaches, for links (a, b); by alternating large and small stars. A node of many links is looked up apart, so that no star is one task."""
     edges = store.written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
+    seen, n = None, edges.count()
     while True:
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("weight"))
+        large = looked_up(both, "u", least, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = store.written(large.where("u <> v").distinct(), "edges")
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("weight"))
         # u keeps its link to m, and each other smaller neighbour gets one.
-        small = large.join(lowest, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = looked_up(large, "u", lowest, n).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         now = store.written(small.where("u <> v").distinct(), "edges")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         store.drop(edges)
-        edges = now
+        store.drop(large)
+        edges, n = now, state[0]
         if state == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+            out = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+            out.spanloom_path = edges.spanloom_path
+            return out
         seen = state
 
 
@@ -207,24 +210,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     reps = sk.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "sketch")
 
     values = reps.select("rep", F.size("sketch").alias("ks"), F.explode("sketch").alias("v"))
-    often = values.groupBy("v").agg(F.count("*").alias("n")).where("n > 1")
-    shared = values.join(often, "v").groupBy("rep", "ks").agg(F.array_sort(F.collect_list(F.struct("n", "v"))).alias("vs"))  # at most k a document
+    often = store.written(values.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").withColumn("weight", F.col("n")), "often")
+    total = sk.agg(F.sum(F.size("sketch"))).first()[0] or 0
+    shared = looked_up(values, "v", often, total).where("n > 1").groupBy("rep", "ks").agg(F.array_sort(F.collect_list(F.struct("n", "v"))).alias("vs"))  # at most k a document
     need = F.ceil(F.col("ks") * RATIO).cast("int")
     lookup = shared.where(F.size("vs") >= need).select("rep", F.explode(F.slice("vs", F.lit(1), F.size("vs") - need + 1)).alias("x")).select("rep", F.col("x.v").alias("v"))
-    lookup = store.written(lookup, "lookup")
+    first = store.written(lookup, "lookup")
+    store.drop(often)
 
     # Full sets of what is listed; a set with too many values of its own has no partner and leaves.
     wide = F.col("doc_id").cast("long")
-    listed = lookup.select(F.col("rep").alias("doc_id")).distinct()
+    listed = first.select(F.col("rep").alias("doc_id")).distinct()
     all_sets = store.written(full_sets(matched(docs.select(wide.alias("doc_id"), "text"), listed, "left_semi"), width), "sets")
     sets = store.written(all_sets.join(_possible(all_sets, percent), "id", "left_semi"), "sets")
     left = sets.select(F.col("id").alias("rep")).distinct()
     store.drop(all_sets)
 
-    lookup = store.written(lookup.join(left, "rep", "left_semi"), "lookup")
+    lookup = store.written(first.join(left, "rep", "left_semi"), "lookup")
+    store.drop(first)
     pivot = F.min(F.struct(F.xxhash64("v", "rep").alias("h"), F.col("rep").alias("pivot")))["pivot"]
-    lists = lookup.groupBy("v").agg(F.count("*").alias("n"), pivot.alias("pivot"), F.min("rep").alias("g")).where("n > 1")
-    members = store.written(lookup.join(lists, "v"), "members")
+    lists = store.written(lookup.groupBy("v").agg(F.count("*").alias("n"), pivot.alias("pivot"), F.min("rep").alias("g")).where("n > 1").withColumn("weight", F.col("n")), "lists")
+    members = store.written(looked_up(lookup, "v", lists, lookup.count()).where("n > 1"), "members")
+    store.drop(lists)
     few = members.where(F.col("n") <= short_list).groupBy("v").agg(F.collect_set("rep").alias("r"))  # at most short_list
     few = few.select(F.explode(F.expr("flatten(transform(r, x -> transform(filter(r, y -> y > x), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
     many = members.where((F.col("n") > short_list) & (F.col("rep") != F.col("pivot"))).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
@@ -234,10 +241,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     # What the pivots have left apart. Lists with one smallest member go together: those of one group of near copies do.
     more = store.written(_across(members.where(F.col("n") > short_list).select("g", "rep").distinct(), labels, sets, percent, block), "links")
     if not more.isEmpty():
-        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
-    found = store.written(labels, "labels")
+        joined = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
+        store.drop(labels)
+        labels = joined
     for table in (sets, links, more, lookup, sketch, members):
         store.drop(table)
+    found = labels
 
     # Rows of a class with copies look up its smallest doc_id; large classes (at most 500) by broadcast, so no key is hot.
     copied = classes.where("copies > 1").withColumn("large", F.col("copies") * 500 > sk.count())
@@ -252,7 +261,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     out = rows.join(F.broadcast(big), F.col("rep") == F.col("big"), "left")
     out = store.written(out, "labelled")
     rest = out.where("big_label is null").join(found, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
-    return rest.union(out.where("big_label is not null").select("doc_id", "n_shingles", F.col("big_label").alias("component_id"))).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    done = rest.union(out.where("big_label is not null").select("doc_id", "n_shingles", F.col("big_label").alias("component_id")))
+    done = store.written(done.withColumn("kept", F.col("doc_id") == F.col("component_id")), "components")
+    for table in (sk, classes, labels, large, out):
+        store.drop(table)
+    return done
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
