@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import drop, written
 
 SHARDS, OVERHEAD = 40, 16
 
@@ -81,6 +81,7 @@ def shard(docs: DataFrame, n_shards: int = SHARDS, overhead: int = OVERHEAD, buc
         .withColumn("shard", F.expr(f"int((byte * {n_shards}) div greatest(all_bytes, 1))"))
     )
     placed = written(placed.select("doc_id", "size", "text_crc32", "shard", "row"), "placed")
+    drop(rows)
     starts = placed.groupBy("shard").agg(F.min("row").alias("first_row"))  # n_shards rows
     out: list[Column] = [
         F.col("doc_id"), F.col("size"), F.col("text_crc32"), F.lit("bytes").alias("law"), F.col("shard"),
