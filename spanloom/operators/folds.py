@@ -3,8 +3,9 @@
 Rows of a group stand together and in order in one partition and pass through as
 Arrow batches; what is kept between rows is the step's own state. Split a group
 where its state is known to start anew (a long gap) and pass that as part of
-``by``, so that one large group is no single task. A step with few states needs no
-such place: :func:`chunked_fold` cuts anywhere.
+``by``, so that one large group is no single task. A step whose states can be followed
+through a chunk without knowing the right one needs no such place: :func:`chunked_fold`
+cuts anywhere.
 """
 
 from __future__ import annotations
@@ -62,11 +63,12 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(map(list, zip(*rows, strict=True)), schema, strict=True)], schema=schema)
 
 
-class _Trial(Step):
-    """Where each of the states leads."""
+class Trial(Step):
+    """Where a chunk leads from each of a few states; None is the state at a group's start."""
 
     def __init__(self, states: list, make: Callable):
-        self.states, self.steps = states, [make(s) for s in states]
+        self.starts = [None, *states]
+        self.steps = [make(s) for s in self.starts]
 
     def row(self, row):
         for step in self.steps:
@@ -75,45 +77,46 @@ class _Trial(Step):
         return ()
 
     def end(self):
-        return (([self.states.index(s.state) for s in self.steps],),)
+        return ((self.starts, [s.state for s in self.steps]),)
 
 
 class _Walk(Step):
-    """The state that each next chunk starts in."""
+    """The state that each chunk starts in; one that a chunk doesn't list goes through it unchanged."""
 
     def __init__(self):
-        self.state = 0
+        self.state = None
 
     def row(self, row):
-        chunk, ends = row
-        self.state = ends[self.state]
-        yield chunk + 1, self.state
+        chunk, starts, ends = row
+        before, self.state = self.state, dict(zip(starts, ends, strict=True)).get(self.state, self.state)
+        return ((chunk, before),)
 
 
 class _From(Step):
-    """A chunk from its start on; the last column of a row is the number of the state."""
+    """A chunk from its start on; the last column of a row is the state there."""
 
-    def __init__(self, states: list, make: Callable):
-        self.states, self.make, self.step = states, make, None
+    def __init__(self, make: Callable):
+        self.make, self.step = make, None
 
     def row(self, row):
         if self.step is None:
-            self.step = self.make(self.states[row[-1] or 0])
+            self.step = self.make(row[-1])
         return self.step.row(row[:-1])
 
 
-def chunked_fold(df: DataFrame, by: list[str], seq: str, states: list, make: Callable[[object], Step], schema: str, rows: int | None = None) -> DataFrame:
-    """An ordered fold by ``seq``, which numbers each group's rows from 0, of steps with a ``state`` out of ``states`` (the first one to begin with).
+def chunked_fold(df: DataFrame, by: list[str], seq: str, make: Callable[[object], Step], trial: Callable[[], Step], kind: str, schema: str, rows: int | None = None) -> DataFrame:
+    """An ordered fold by ``seq`` (places from 0 on) of steps whose ``state`` is one value of the SQL type ``kind``, None at a group's start.
 
-    Groups of more than ``rows`` rows are cut in chunks. What a chunk makes of each
-    state is found for all chunks at once, then what each starts in, then they are
+    Groups of more than ``rows`` rows are cut in chunks. ``trial`` folds a chunk into
+    the states that change in it and what each becomes (a row of two arrays); this is
+    done for all chunks at once. Then it is known what each starts in, and they are
     folded side by side. A step's ``end`` is not called.
     """
     rows = rows or CHUNK_ROWS
     part = df.withColumn("_chunk", F.floor(F.col(seq) / rows))
-    # A row for each group of more than ``rows`` rows, and one for each chunk of those: few.
-    long = df.groupBy(*by).agg(F.floor((F.count("*") - 1) / rows).alias("_last")).where("_last > 0")
-    tried = part.join(F.broadcast(long), by).where("_chunk < _last").drop("_last")
-    maps = ordered_fold(tried, [*by, "_chunk"], [seq], lambda: _Trial(states, make), "ends array<int>")
-    starts = ordered_fold(maps, by, ["_chunk"], _Walk, "_chunk long, _state int")
-    return ordered_fold(part.join(F.broadcast(starts), [*by, "_chunk"], "left"), [*by, "_chunk"], [seq], lambda: _From(states, make), schema).drop("_chunk")
+    # A row for each group with a place beyond ``rows``, and one for each chunk of those: few.
+    long = df.groupBy(*by).agg(F.floor(F.max(seq) / rows).alias("_last")).where("_last > 0")
+    tried = part.join(F.broadcast(long), by).drop("_last")
+    maps = ordered_fold(tried, [*by, "_chunk"], [seq], trial, f"starts array<{kind}>, ends array<{kind}>")
+    starts = ordered_fold(maps, by, ["_chunk"], _Walk, f"_chunk long, _state {kind}")
+    return ordered_fold(part.join(F.broadcast(starts), [*by, "_chunk"], "left"), [*by, "_chunk"], [seq], lambda: _From(make), schema).drop("_chunk")

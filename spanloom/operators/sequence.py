@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import Step, chunked_fold, ordered_fold
+from .folds import Step, Trial, chunked_fold, ordered_fold
 
 NORMAL, INTERMISSION, REPLAY_TAIL = "normal", "intermission", "replay_tail"
 FACEOFFS = ("faceoff", "faceoff_cutscene")
@@ -64,8 +64,8 @@ def goal_chains(df: DataFrame, by: list[str], seq: str, goal: Column, rows: int,
 
 
 class _Infer(Step):
-    def __init__(self, state: str):
-        self.state = state
+    def __init__(self, state: str | None):
+        self.state = state or NORMAL
 
     def row(self, row):
         seq, label, banner, starts, period_end, candidate, forward = row
@@ -101,7 +101,7 @@ def inferred_goals(df: DataFrame, by: list[str], seq: str, steps: int, least: fl
     rows = rows.withColumn("forward", F.coalesce((found["k"] == 1) & (found["s"] - start <= steps), F.lit(False)))
     candidate = ~F.col("banner") & ~F.col("starts") & ~F.col("period_end") & F.col("label").isin("scoring_chance", "other") & ((F.col("ml_label") == "goal") | ((F.col("ml_label") == "scoring_chance") & (F.col("conf") >= least)))
     part = rows.withColumn("candidate", candidate).select(*by, F.col(seq).alias("seq"), "label", "banner", "starts", "period_end", "candidate", "forward")
-    return chunked_fold(part, by, "seq", [NORMAL, INTERMISSION, REPLAY_TAIL], _Infer, "seq long")
+    return chunked_fold(part, by, "seq", _Infer, lambda: Trial([NORMAL, INTERMISSION, REPLAY_TAIL], _Infer), "string", "seq long")
 
 
 def adjacent_chances(df: DataFrame, by: list[str], seq: str, chance: Column, barrier: Column, edge: int, between: int, trim_start: str, trim_end: str) -> DataFrame:
@@ -117,8 +117,8 @@ def adjacent_chances(df: DataFrame, by: list[str], seq: str, chance: Column, bar
 
 
 class _Periods(Step):
-    def __init__(self, state: int):
-        self.state = state
+    def __init__(self, state: int | None):
+        self.state = state or 1
 
     def row(self, row):
         seq, period_start, game_start, period_end, regulation_end, declared = row
@@ -135,37 +135,67 @@ class _Periods(Step):
 def period_numbers(df: DataFrame, by: list[str], seq: str) -> DataFrame:
     """The period of every segment, from flags period_start, game_start, period_end, regulation_end and a declared number (or null). ``seq`` numbers each group's rows from 0."""
     part = df.select(*by, F.col(seq).alias("seq"), "period_start", "game_start", "period_end", "regulation_end", "declared")
-    return chunked_fold(part, by, "seq", [1, 2, 3, 4], _Periods, "seq long, period long")
+    return chunked_fold(part, by, "seq", _Periods, lambda: Trial([1, 2, 3, 4], _Periods), "long", "seq long, period long")
 
 
 class _Counter(Step):
-    """A counter that only grows by small steps; its first value needs two equal readings."""
+    """A counter that only grows by small steps."""
+
+    def __init__(self, most: int, state: int | None):
+        self.most, self.state = most, state
+
+    def row(self, row):
+        seq, v, confirmed, first = row
+        if self.state is None:
+            self.state = first
+        step = v - self.state
+        if confirmed and 1 <= step <= self.most:
+            self.state = v
+            return ((seq, v, step),)
+        return ()
+
+
+class _CounterTrial(Step):
+    """What a chunk makes of every value that the counter may have before it: a reading moves on whoever stands just below it, and from then on those go together."""
 
     def __init__(self, most: int):
-        self.most, self.value, self.pending = most, None, None
+        self.most, self.at, self.moved = most, None, set()
 
     def row(self, row):
-        seq, v, confirmed = row
-        if v is None:
-            return
-        if self.value is None:
-            if v == self.pending:
-                self.value = v
-            else:
-                self.pending = v
-            return
-        diff = v - self.value
-        if 1 <= diff <= self.most and confirmed:
-            self.value = v
-            yield seq, v, diff
+        _, v, confirmed, first = row
+        if self.at is None:
+            self.at = {first: [None]}
+        if confirmed:
+            for below in range(v - self.most, v):
+                came = self.at.pop(below, [])
+                if below not in self.moved:
+                    self.moved.add(below)
+                    came.append(below)
+                here = self.at.get(v, [])
+                small, large = sorted((came, here), key=len)
+                large.extend(small)
+                self.at[v] = large
+        return ()
+
+    def end(self):
+        pairs = [(start, value) for value, starts in (self.at or {}).items() for start in starts]
+        return ((([p[0] for p in pairs]), [p[1] for p in pairs]),)
 
 
 def counter_events(df: DataFrame, by: list[str], seq: str, value: str, most: int) -> DataFrame:
-    """Accepted increments: a reading 1 to ``most`` above the last accepted, unless the next one read is not within one above it."""
-    later = F.lead(value).over(_w(by, seq))
+    """Accepted increments: a reading 1 to ``most`` above the last accepted, unless the next one read is not within one above it.
+
+    Unread (null) rows confirm and count for nothing else. The first value needs two
+    equal readings in a row, whoever stands before them.
+    """
+    w = _w(by, seq)
+    later = F.lead(value).over(w)
     probe = F.coalesce((later >= F.col(value)) & (later <= F.col(value) + 1), F.lit(True))
     part = df.withColumn("confirmed", probe).select(*by, F.col(seq).alias("seq"), F.col(value).cast("long").alias("v"), "confirmed").where("v is not null")
-    return ordered_fold(part, by, ["seq"], lambda: _Counter(most), "seq long, v long, step long")
+    again = F.when(F.col("v") == F.lag("v").over(_w(by, "seq")), F.struct("seq", "v"))
+    part = part.withColumn("_again", again).withColumn("_first", F.min("_again").over(Window.partitionBy(*by))).where("seq > _first.seq")
+    part = part.select(*by, "seq", "v", "confirmed", F.col("_first.v").alias("first"))
+    return chunked_fold(part, by, "seq", lambda state: _Counter(most, state), lambda: _CounterTrial(most), "long", "seq long, v long, step long")
 
 
 def groups_of(df: DataFrame, by: list[str], seq: str, flag: Column, name: str = "run") -> DataFrame:

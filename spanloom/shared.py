@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -12,7 +14,7 @@ _LOCAL: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Where it is unset a local session gets a temporary folder of its own; a
+    Where it is unset a local session gets a temporary folder of its own, removed at exit; a
     cluster session is refused, since no machine-local folder is shared there.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,5 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL:
-        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="spanloom-"))
+        folder = tempfile.mkdtemp(prefix="spanloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL.append("file://" + folder)
     return _LOCAL[0]
