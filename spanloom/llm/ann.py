@@ -1,8 +1,9 @@
 """Operator 5: approximate nearest neighbours by a forest of random-projection trees.
 
-Each tree halves the rows again and again at the median of a random projection;
-medians come from a bounded sample, and every row is routed to a leaf of every
-tree. A query walks all trees with one priority queue, nearest unexplored branch
+Each tree halves the rows again and again at the median of a random projection,
+until leaves hold some ``LEAF_ROWS``. The first levels are fitted on a bounded sample
+in memory; below them each part takes a sample of its own and is fitted where it
+lies. Every row is routed to a leaf of every tree. A query walks all trees with one priority queue, nearest unexplored branch
 first (by the summed squared margins of the planes it is on the wrong side of),
 until the leaves that it has reached hold a certain share of all rows. Members
 and queries meet by leaf, in chunks of bounded size, and candidates are ranked by
@@ -39,49 +40,76 @@ from .batches import column, record_batch
 K, TREES, LEAF_ROWS, SEED = 20, 8, 1_000, 5
 #: Rows that the planes' medians are taken from at most, and the rows of it that a node needs to be split.
 SAMPLE, NODE_SAMPLE = 50_000, 8
+#: Levels of a tree at most: a cut (4 bytes) and a count (8 bytes) for each of 2 ** MAX_DEPTH nodes of a tree go to every task.
+MAX_DEPTH = 17
 #: Queries that are answered exactly to measure how far to search, and the share of their neighbours to find.
 TRIALS, RECALL = 100, 0.96
 #: Rows and queries of a leaf that meet in one task, and pairs whose exact products are held at once.
 MEMBER_CHUNK, QUERY_CHUNK, PAIRS = 4_096, 2_048, 100_000
 
 
+def _medians(value, level: int, depth: int, cuts: np.ndarray, node: np.ndarray) -> None:
+    """Fills the ``cuts`` of the nodes from ``level`` to ``depth`` by medians; ``value(level, node)`` projects the rows that stand at ``node`` (moved on in place)."""
+    for k in range(level, depth):
+        v = value(k, node)
+        order = np.lexsort((v, node))
+        begin = np.flatnonzero(np.append(True, np.diff(node[order]) > 0))
+        size = np.diff(np.append(begin, len(order)))
+        cuts[node[order[begin]]] = (v[order[begin + size // 2]] + v[order[begin + (size - 1) // 2]]) / 2
+        node[:] = 2 * node + (v > cuts[node])
+
+
 class Forest:
-    """Planes and thresholds of complete binary trees; node 1 is a root, node i has children 2i (below) and 2i + 1."""
+    """Complete binary trees; node 1 is a root, node i has children 2i (below its cut) and 2i + 1.
+
+    Above level ``base`` every node has a plane of its own; from there on the nodes
+    of one level of a tree share one.
+    """
 
     def __init__(self, sample: np.ndarray, trees: int, depth: int, seed: int = SEED):
         draw = np.random.default_rng(seed)
-        self.depth, self.trees, self.dim = depth, trees, sample.shape[1]
-        self.planes = draw.normal(size=(trees, 1 << depth, self.dim)).astype(np.float32)
-        self.planes /= np.linalg.norm(self.planes, axis=2, keepdims=True)
+        self.base = self.depth = depth
+        self.trees, self.dim, self.seed = trees, sample.shape[1], seed
+        self.planes = self._unit(draw.normal(size=(trees, 1 << depth, self.dim)))
+        self.shared = np.zeros((trees, 0, self.dim), np.float32)
         self.cuts = np.zeros((trees, 1 << depth), np.float32)
         for t in range(trees):
-            node = np.ones(len(sample), np.int64)
-            for _ in range(depth):
-                value = np.einsum("nd,nd->n", sample, self.planes[t, node])
-                order = np.lexsort((value, node))
-                begin = np.flatnonzero(np.append(True, np.diff(node[order]) > 0))
-                size = np.diff(np.append(begin, len(order)))
-                self.cuts[t, node[order[begin]]] = (value[order[begin + size // 2]] + value[order[begin + (size - 1) // 2]]) / 2
-                node = 2 * node + (value > self.cuts[t, node])
-
-    def leaves(self, x: np.ndarray) -> np.ndarray:
-        """The leaf (0 to 2 ** depth - 1) of each row in each tree."""
+            if len(sample):
+                _medians(lambda k, node, t=t: np.einsum("nd,nd->n", sample, self.planes[t, node]), 0, depth, self.cuts[t], np.ones(len(sample), np.int64))
+
+    @staticmethod
+    def _unit(x: np.ndarray) -> np.ndarray:
+        return (x / np.linalg.norm(x, axis=-1, keepdims=True)).astype(np.float32)
+
+    def grow(self, depth: int) -> None:
+        """More levels, with planes but with all cuts at 0."""
+        self.shared = self._unit(np.random.default_rng([self.seed, 1]).normal(size=(self.trees, depth - self.base, self.dim)))
+        cuts = np.zeros((self.trees, 1 << depth), np.float32)
+        cuts[:, : 1 << self.base] = self.cuts
+        self.depth, self.cuts = depth, cuts
+
+    def leaves(self, x: np.ndarray, depth: int | None = None) -> np.ndarray:
+        """The leaf (from 0) of each row in each tree; with ``depth``, the node of that level."""
+        depth = self.depth if depth is None else depth
         out = np.ones((self.trees, len(x)), np.int64)
         for t in range(self.trees):
-            for _ in range(self.depth):
+            for k in range(depth):
                 node = out[t]
-                out[t] = 2 * node + (np.einsum("nd,nd->n", x, self.planes[t, node]) > self.cuts[t, node])
-        return out - (1 << self.depth)
+                v = np.einsum("nd,nd->n", x, self.planes[t, node]) if k < self.base else x @ self.shared[t, k - self.base]
+                out[t] = 2 * node + (v > self.cuts[t, node])
+        return out - (1 << depth)
 
     def walk(self, q: np.ndarray, sizes: np.ndarray, rows: float) -> list[tuple[int, int]]:
         """(tree, leaf) in the order of one queue over all trees, until the leaves hold ``rows`` rows."""
-        margin = np.einsum("tnd,d->tn", self.planes, q) - self.cuts if self.trees << self.depth <= 20_000 else None
+        below = self.shared @ q  # (trees, levels)
         queue = [(0.0, t, 1) for t in range(self.trees)]
-        out, seen, leaf = [], 0, 1 << self.depth
+        out, seen, leaf, top = [], 0, 1 << self.depth, 1 << self.base
+        margin = np.einsum("tnd,d->tn", self.planes, q) if self.trees * top <= 20_000 else None
         while queue and seen < rows:
             cost, t, node = heapq.heappop(queue)
             while node < leaf:
-                m = float(margin[t, node]) if margin is not None else float(self.planes[t, node] @ q - self.cuts[t, node])
+                v = below[t, node.bit_length() - 1 - self.base] if node >= top else margin[t, node] if margin is not None else self.planes[t, node] @ q
+                m = float(v - self.cuts[t, node])
                 near = 2 * node + (m > 0)
                 heapq.heappush(queue, (cost + m * m, t, near ^ 1))
                 node = near
@@ -129,6 +157,38 @@ def _routed(classes: DataFrame, forest, longest: float, kind) -> DataFrame:
     return classes.select("k1", "k2", "v", "ids", "asks").mapInArrow(run, _CLASS_SQL)
 
 
+def _grown(classes: DataFrame, forest: Forest, depth: int, longest: float, total: int) -> Forest:
+    """The forest with levels down to ``depth``: each part of the first levels is fitted in a task of its own, on some NODE_SAMPLE rows for each new leaf, of which only the projections are sent."""
+    forest.grow(depth)
+    levels, base = depth - forest.base, forest.base
+    sent = classes.sparkSession.sparkContext.broadcast(forest)
+    below = (NODE_SAMPLE << depth) / max(1, total) * 2.0**53
+    sample = classes.where(F.shiftrightunsigned(F.xxhash64(F.lit(9), "k1", "k2"), 11) < below)
+    schema = pa.schema([("tree", pa.int32()), ("part", pa.int64()), ("values", pa.list_(pa.float32()))])
+
+    def project(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            if batch.num_rows:
+                x = extended(np.array(column(batch, "v").to_pylist(), np.float64), longest)
+                part = sent.value.leaves(x, base)
+                for t in range(len(part)):
+                    yield record_batch(schema, np.full(len(x), t), part[t], (x @ sent.value.shared[t].T).tolist())
+
+    def fit(rows: pa.Table) -> pa.Table:
+        values = np.array(rows["values"].to_pylist(), np.float32)
+        cuts = np.full(1 << levels, np.nan, np.float32)
+        _medians(lambda k, _: values[:, k], 0, levels, cuts, np.ones(len(values), np.int64))
+        own = np.flatnonzero(~np.isnan(cuts))
+        level = np.floor(np.log2(own)).astype(np.int64)
+        root = (1 << base) + rows["part"][0].as_py()
+        node = (root << level) + own - (1 << level)
+        return pa.table({"tree": pa.array(np.full(len(own), rows["tree"][0].as_py(), np.int32)), "node": pa.array(node), "cut": pa.array(cuts[own])})
+
+    found = sample.select("v").mapInArrow(project, "tree int, part long, values array<float>").groupBy("tree", "part").applyInArrow(fit, "tree int, node long, cut float").toArrow()
+    forest.cuts[found["tree"].to_numpy(), found["node"].to_numpy()] = found["cut"].to_numpy()
+    return forest
+
+
 def extended(x: np.ndarray, longest: float) -> np.ndarray:
     """Vectors over the longest one's length, with the component that makes each as long."""
     x = x / longest
@@ -244,19 +304,21 @@ def nearest(vectors: DataFrame, is_query, k: int = K, trees: int = TREES, leaf_r
     total, longest = stats["n"], math.sqrt(stats["square"] or 1.0)
     sample = classes.orderBy(F.xxhash64("k1", "k2")).limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
     sample = sample.flatten().to_numpy().reshape(len(sample), -1) if total else np.zeros((1, 1))
-    depth = max(0, math.ceil(math.log2(max(1, total) / leaf_rows))) if total else 0
-    depth = min(depth, int(math.log2(max(1, len(sample) / NODE_SAMPLE))))
-    forest = Forest(extended(sample, longest), trees, depth)
+    depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1, total) / leaf_rows))))
+    base = min(depth, int(math.log2(max(1, len(sample) / NODE_SAMPLE))))
+    forest = Forest(extended(sample, longest), trees, base)
+    if base < depth:
+        forest = _grown(classes, forest, depth, longest, total)
     sent = spark.sparkContext.broadcast(forest)
     routed = store.written(_routed(classes, sent, longest, kind), "routed")
     store.drop(classes)
 
-    # One row a leaf: bounded by the sample.
+    # One row a leaf: at most trees << MAX_DEPTH.
     members = routed.select("k1", "k2", "v", "ids", F.posexplode("at").alias("tree", "leaf"))
     counts = members.groupBy("tree", "leaf").agg(F.count("*").alias("n"))
     sizes = np.zeros((trees, 1 << depth), np.int64)
-    for r in counts.collect():
-        sizes[r["tree"], r["leaf"]] = r["n"]
+    held = counts.toArrow()
+    sizes[held["tree"].to_numpy(), held["leaf"].to_numpy()] = held["n"].to_numpy()
     reach = spark.sparkContext.broadcast((sizes, math.inf if recall >= 1 else total * _share(routed, forest, sizes, total, k, trials, recall, kind)))
     visit = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("v", pa.binary()), ("tree", pa.int32()), ("leaf", pa.int32())])
 
