@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,16 @@ def give_back() -> None:
         _LIBC.malloc_trim(0)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, which hands its memory back when it is through."""
+
+    def inner(batches):
+        yield from run(batches)
+        give_back()
+
+    return inner
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its n + 1 offsets; null is an empty text."""
     column = column.cast(pa.large_string())
@@ -39,16 +49,13 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with at most ``limit`` bytes of ``column`` (or one row), its bytes and offsets."""
-    try:
-        for batch in batches:
-            data, at = flat(batch.column(batch.schema.get_field_index(column)))
-            low, n = 0, batch.num_rows
-            while low < n:
-                high = max(low + 1, int(np.searchsorted(at, at[low] + limit, "right")) - 1)
-                yield batch.slice(low, high - low), data[at[low] : at[high]], at[low : high + 1] - at[low]
-                low = high
-    finally:
-        give_back()
+    for batch in batches:
+        data, at = flat(batch.column(batch.schema.get_field_index(column)))
+        low, n = 0, batch.num_rows
+        while low < n:
+            high = max(low + 1, int(np.searchsorted(at, at[low] + limit, "right")) - 1)
+            yield batch.slice(low, high - low), data[at[low] : at[high]], at[low : high + 1] - at[low]
+            low = high
 
 
 def blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import column, give_back, record_batch
+from .batches import column, record_batch, tidy
 
 CHUNK, OVERLAP = 32_768, 1_024
 #: Pieces whose ids a worker remembers.
@@ -255,8 +255,8 @@ def matched_chunks(long: DataFrame, source: str, chunk: int, overlap: int) -> Da
             yield record_batch(schema, *batch.columns, [split.ends(t.as_py()) for t in column(batch, "text")])
 
     rows = long.select("doc_id", F.monotonically_increasing_id().alias("doc_row"), "text")  # keeps repeated doc_ids apart
-    spread = rows.mapInArrow(cutter, _CHUNK).repartition("doc_row", "part")
-    return spread.mapInArrow(matcher, _CHUNK + ", ends array<int>").repartition("doc_row").sortWithinPartitions("doc_row", "part")
+    spread = rows.mapInArrow(tidy(cutter), _CHUNK).repartition("doc_row", "part")
+    return spread.mapInArrow(tidy(matcher), _CHUNK + ", ends array<int>").repartition("doc_row").sortWithinPartitions("doc_row", "part")
 
 
 def _each(docs: DataFrame, make, schema: pa.Schema, spark_schema: str, path: str, source: str, chunk: int, overlap: int) -> DataFrame:
@@ -272,9 +272,8 @@ def _each(docs: DataFrame, make, schema: pa.Schema, spark_schema: str, path: str
                     held = []
             if held:
                 yield record_batch(schema, *map(list, zip(*held, strict=True)))
-            give_back()
 
-        return run
+        return tidy(run)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     is_long = F.coalesce(F.length("text") > chunk, F.lit(False))

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import PACKED_SQL, blocks, chunks, column, flat, lower_ascii, packed, record_batch, run_hashes, runs, unpacked
+from . import store
+from .batches import PACKED_SQL, blocks, chunks, column, flat, give_back, lower_ascii, packed, record_batch, run_hashes, runs, tidy, unpacked
 from .samples import looked_up
 
 WINDOW, SHARD_BYTES, SAMPLE = 10, 2 << 20, 16
@@ -156,7 +157,7 @@ def phrase_table(items: DataFrame, window: int) -> DataFrame:
                     cut = pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1])
                     yield record_batch(_PHRASE, pa.ListArray.from_arrays(cut, pa.array(part.ravel())), [name] * len(part))
 
-    return items.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(run, "words array<long>, item string").distinct()
+    return items.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(tidy(run), "words array<long>, item string").distinct()
 
 
 class Phrases:
@@ -187,12 +188,11 @@ class Phrases:
         return self.holders[np.repeat(self.at[phrase], n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)], which
 
 
-def hits(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
-    """Words that lie in an occurrence, and the different (document, item) pairs as two columns, of one shard."""
-    covered, none = np.zeros(len(starts), bool), np.zeros((0, 2), np.int64)
-    if not len(starts) or not len(phrases.table):
+def hits(h: np.ndarray, first: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+    """Of one shard, given by its words' hashes and each document's first word (n + 1): words that lie in an occurrence, and the different (document, item) pairs as two columns."""
+    covered, none = np.zeros(len(h), bool), np.zeros((0, 2), np.int64)
+    if not len(h) or not len(phrases.table):
         return covered, none
-    h = run_hashes(low, starts, ends)
     at = np.minimum(np.searchsorted(phrases.words, h), len(phrases.words) - 1)
     symbol = np.where(phrases.words[at] == h, at + 2, 1)
     # Stretches of phrase words within one document, as long as a phrase at least.
@@ -221,7 +221,7 @@ def hits(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarra
     found = index.locate(rows)
     length = phrases.sizes[which]
     word = source[found]
-    change = np.zeros(len(starts) + 1, np.int64)
+    change = np.zeros(len(h) + 1, np.int64)
     np.add.at(change, word, 1)
     np.add.at(change, word + length, -1)
     met = np.unique(np.stack([document[word], which], 1), axis=0)
@@ -229,8 +229,18 @@ def hits(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarra
     return np.cumsum(change[:-1]) > 0, np.unique(np.stack([met[of, 0], item], 1), axis=0)
 
 
-def _shard(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return pa.Table.from_batches(pieces).combine_chunks().to_batches()[0]
+class Shard:
+    """The words of some pieces of a table: hashes, starts and ends as bytes of their piece, each document's first word. Pieces are hashed one by one, so that no large arrays are held."""
+
+    def __init__(self, pieces: list[pa.RecordBatch]):
+        self.pieces, self.starts, self.ends, hashes, first = pieces, [], [], [], [np.zeros(1, np.int64)]
+        for piece in pieces:
+            low, starts, ends, own = word_runs(*flat(column(piece, "text")))
+            hashes.append(run_hashes(low, starts, ends))
+            self.starts.append(starts)
+            self.ends.append(ends)
+            first.append(own[1:] + first[-1][-1])
+        self.hashes, self.first = np.concatenate(hashes), np.concatenate(first)
 
 
 _ROW = pa.schema([("doc_id", pa.int64()), ("doc_row", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
@@ -243,17 +253,19 @@ def _edges(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _counted(batch: pa.RecordBatch, phrases: Phrases) -> pa.RecordBatch:
+def _counted(pieces: list[pa.RecordBatch], phrases: Phrases) -> Iterator[pa.RecordBatch]:
     """A shard's rows (doc_id, doc_row, text) as ``_ROW``."""
-    data, at = flat(column(batch, "text"))
-    low, starts, ends, first = word_runs(data, at)
-    covered, pairs = hits(low, starts, ends, first, phrases)
+    shard = Shard(pieces)
+    covered, pairs = hits(shard.hashes, shard.first, phrases)
     where: dict[int, list[str]] = {}
     for d, i in pairs.tolist():
         where.setdefault(d, []).extend([phrases.ids[i]] if i >= 0 else [])
-    spans = [np.stack(_edges(covered[first[d] : first[d + 1]]), 1).ravel().tolist() if d in where else [] for d in range(batch.num_rows)]
-    n_hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
-    return record_batch(_ROW, column(batch, "doc_id"), column(batch, "doc_row"), np.diff(first), n_hit, spans, [where.get(d, []) for d in range(batch.num_rows)])
+    d = 0
+    for piece in pieces:
+        own = range(d, d := d + piece.num_rows)
+        spans = [np.stack(_edges(covered[shard.first[k] : shard.first[k + 1]]), 1).ravel().tolist() if k in where else [] for k in own]
+        n_hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
+        yield record_batch(_ROW, column(piece, "doc_id"), column(piece, "doc_row"), np.diff(shard.first[own.start : own.stop + 1]), n_hit, spans, [where.get(k, []) for k in own])
 
 
 def removed(raw: bytes, begin: np.ndarray, end: np.ndarray) -> str:
@@ -267,17 +279,24 @@ def removed(raw: bytes, begin: np.ndarray, end: np.ndarray) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def _cut(batch: pa.RecordBatch, phrases: Phrases) -> pa.RecordBatch:
+def _cut(pieces: list[pa.RecordBatch], phrases: Phrases) -> Iterator[pa.RecordBatch]:
     """A shard's rows with the hit words cut from their texts."""
-    texts = column(batch, "text")
-    data, at = flat(texts)
-    low, starts, ends, first = word_runs(data, at)
-    covered, pairs = hits(low, starts, ends, first, phrases)
-    kept = texts.to_pylist()
-    for d in np.unique(pairs[:, 0]).tolist():
-        on, off = _edges(covered[first[d] : first[d + 1]])
-        kept[d] = removed(data[at[d] : at[d + 1]].tobytes(), starts[first[d] + on] - at[d], ends[first[d] + off - 1] - at[d])
-    return pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if n == "text" else column(batch, n) for n in batch.schema.names], names=batch.schema.names)
+    shard = Shard(pieces)
+    covered, pairs = hits(shard.hashes, shard.first, phrases)
+    hit, before, words = np.unique(pairs[:, 0]), 0, 0
+    for piece, starts, ends in zip(pieces, shard.starts, shard.ends, strict=True):
+        own = hit[(hit >= before) & (hit < before + piece.num_rows)]
+        if len(own):
+            data, at = flat(column(piece, "text"))
+            kept = column(piece, "text").to_pylist()
+            for d in own.tolist():
+                on, off = _edges(covered[shard.first[d] : shard.first[d + 1]])
+                a, base = d - before, shard.first[d] - words
+                kept[a] = removed(data[at[a] : at[a + 1]].tobytes(), starts[base + on] - at[a], ends[base + off - 1] - at[a])
+            yield pa.RecordBatch.from_arrays([pa.array(kept, f.type) if f.name == "text" else column(piece, f.name) for f in piece.schema], schema=piece.schema)
+        else:
+            yield piece
+        before, words = before + piece.num_rows, words + len(starts)
 
 
 def _filed(rows: DataFrame, keyed: DataFrame, shard_bytes: int) -> DataFrame:
@@ -286,11 +305,10 @@ def _filed(rows: DataFrame, keyed: DataFrame, shard_bytes: int) -> DataFrame:
 
     def run(batches):
         for number, pieces in blocks(batches, shard_bytes):
-            low, starts, ends, _ = word_runs(*flat(column(_shard(pieces), "text")))
-            words = np.unique(run_hashes(low, starts, ends)).view(np.int64)
+            words = np.unique(Shard(pieces).hashes).view(np.int64)
             yield record_batch(schema, np.full(len(words), number), words)
 
-    held = rows.mapInArrow(run, "block long, word long")
+    held = rows.mapInArrow(tidy(run), "block long, word long")
     shards = held.groupBy("word").agg(F.count("*").alias("n"))
     each = keyed.select("item", "words", F.explode(F.array_distinct("words")).alias("word"))
     filed = looked_up(each, "word", each.groupBy("word").agg(F.count("*").alias("weight")).join(shards, "word"), each.count())
@@ -298,32 +316,32 @@ def _filed(rows: DataFrame, keyed: DataFrame, shard_bytes: int) -> DataFrame:
     return held.join(best.select("item", "words", F.col("m.word").alias("word")), "word").select("block", "words", "item")
 
 
-def _by_shard(rows: DataFrame, phrases: DataFrame, act: Callable[[pa.RecordBatch, Phrases], pa.RecordBatch], schema, window: int, shard_bytes: int) -> DataFrame:
+def _by_shard(rows: DataFrame, phrases: DataFrame, act: Callable[[list[pa.RecordBatch], Phrases], Iterator[pa.RecordBatch]], schema, window: int, shard_bytes: int) -> DataFrame:
     """``act`` on every shard of ``rows``, with the phrases that it may hold. ``rows`` is read twice and must give the same partitions."""
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        pieces = list(unpacked(docs["docs"]))
-        return pa.Table.from_batches([act(_shard(pieces), Phrases(found, window))])
+        return pa.Table.from_batches(act(list(unpacked(docs["docs"])), Phrases(found, window)))
 
-    return rows.mapInArrow(packed(shard_bytes), PACKED_SQL).groupBy("block").cogroup(_filed(rows, phrases, shard_bytes).groupBy("block")).applyInArrow(run, schema)
+    return rows.mapInArrow(tidy(packed(shard_bytes)), PACKED_SQL).groupBy("block").cogroup(_filed(rows, phrases, shard_bytes).groupBy("block")).applyInArrow(run, schema)
 
 
 def _sent(items: DataFrame, window: int) -> tuple[DataFrame, pa.Table | None]:
-    """The phrases as a table, and in memory too if they are few enough."""
+    """The phrases as a table, written if they are many, and in memory too if they are few enough."""
     phrases = phrase_table(items, window)
     few = phrases.limit(PHRASES + 1).toArrow()
-    return phrases, few if few.num_rows <= PHRASES else None
+    return (phrases, few) if few.num_rows <= PHRASES else (store.written(phrases, "phrases"), None)
 
 
 def _direct(rows: DataFrame, few: pa.Table, act, schema, window: int, shard_bytes: int) -> DataFrame:
     """``act`` on every shard, with all phrases."""
     sent = rows.sparkSession.sparkContext.broadcast(Phrases(few, window))
+    give_back()
 
     def run(batches):
         for _, pieces in blocks(batches, shard_bytes):
-            yield act(_shard(pieces), sent.value)
+            yield from act(pieces, sent.value)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -350,16 +368,16 @@ def counted(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with the hit words cut from their texts; n_chars follows where a text changed. Every row and other column stays."""
     if "n_chars" in docs.columns:
         docs = docs.withColumn("n_chars", F.struct("n_chars", F.length("text").alias("l")))
     phrases, few = _sent(items, window)
     if few is not None:
-        out = _direct(docs, few, _cut, docs.schema, window, SHARD_BYTES)
+        out = _direct(docs, few, _cut, docs.schema, window, shard_bytes)
     else:
         name = F.concat_ws(":", F.xxhash64("words").cast("string"), F.xxhash64(F.lit(1), "words").cast("string"))
-        out = _by_shard(docs, phrases.select("words", name.alias("item")).distinct(), _cut, docs.schema, window, SHARD_BYTES)
+        out = _by_shard(docs, phrases.select("words", name.alias("item")).distinct(), _cut, docs.schema, window, shard_bytes)
     if "n_chars" in docs.columns:
         changed = F.length("text") != F.col("n_chars.l")
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars.n_chars")))

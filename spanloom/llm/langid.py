@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .batches import chunks, column, record_batch
+from .batches import chunks, column, give_back, record_batch, tidy
 from .samples import lowest, matched, remainder
 
 #: Labelled documents of each language to learn from at most; a quarter of them calibrates.
@@ -234,6 +234,13 @@ class _Tally:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Models | None:
+    """:func:`_fit`, with the memory of the counts handed back."""
+    models = _fit(docs, sample)
+    give_back()
+    return models
+
+
+def _fit(docs: DataFrame, sample: int) -> Models | None:
     """Models of every language of ``docs`` (doc_id, text, lang) from at most ``sample`` documents of each; None without any."""
     rows = learnable(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
     chosen = store.written(lowest(rows, "lang", sample).select("doc_id").distinct(), "chosen")
@@ -251,7 +258,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Models | None:
         for language, code, n in tally.merged():
             yield record_batch(schema, [language] * len(code), pa.array(code.view(np.int64)), pa.array(n))
 
-    table = taken.where(~calibrating).select("text", "lang").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    table = taken.where(~calibrating).select("text", "lang").mapInArrow(tidy(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     if not table.num_rows:
         store.drop(chosen)
         return None
@@ -265,7 +272,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Models | None:
             keep = letters & np.isin(column(batch, "lang").to_pylist(), known)
             yield record_batch(pa.schema([("lang", pa.string()), ("e", pa.list_(pa.float64()))]), pa.array(np.array(column(batch, "lang").to_pylist())[keep].astype(object), pa.string()), e[keep].tolist())
 
-    held = taken.where(calibrating).select("text", "lang").mapInArrow(entropies, "lang string, e array<double>").toArrow()
+    held = taken.where(calibrating).select("text", "lang").mapInArrow(tidy(entropies), "lang string, e array<double>").toArrow()
     store.drop(chosen)
     if held.num_rows:
         models.calibrate(np.array(held["e"].to_pylist()), np.array([known.index(k) for k in held["lang"].to_pylist()]))
@@ -296,7 +303,7 @@ def identify(docs: DataFrame, models: Models | None) -> DataFrame:
             found = sent.value.choose(texts) if sent.value else ([UNKNOWN] * n, np.zeros(n), np.zeros(n), np.ones(n, bool))
             yield record_batch(_OUT, column(batch, "doc_id"), found[0], *(pa.array(x) for x in found[1:]))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .batches import PACKED_SQL, blocks, column, give_back, packed, record_batch, unpacked
+from .batches import PACKED_SQL, blocks, column, give_back, packed, record_batch, tidy, unpacked
 from .samples import matched
 
 ORDER, BITS, START = 4, 15, 1
@@ -117,7 +117,7 @@ def counts(trusted: DataFrame) -> DataFrame:
             for lo in range(0, len(code), 100_000):
                 yield record_batch(schema, pa.array(code[lo : lo + 100_000]), pa.array(n[lo : lo + 100_000]))
 
-    return trusted.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return trusted.select("text").mapInArrow(tidy(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def shares(table: DataFrame, order: int) -> DataFrame:
@@ -193,8 +193,8 @@ def scores(docs: DataFrame, model: DataFrame) -> DataFrame:
     ``docs`` is read twice and must give the same partitions: a table, not a random draw.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    answers = rows.mapInArrow(_asked, "block long, key long").join(model, "key")
-    texts = rows.mapInArrow(packed(BLOCK_BYTES), PACKED_SQL)
+    answers = rows.mapInArrow(tidy(_asked), "block long, key long").join(model, "key")
+    texts = rows.mapInArrow(tidy(packed(BLOCK_BYTES)), PACKED_SQL)
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_block_scores, "doc_id long, lang string, total double, n long")
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import store
-from .batches import chunks, column, hasher, lower_ascii, record_batch, runs
+from .batches import chunks, column, give_back, hasher, lower_ascii, record_batch, runs, tidy
 from .samples import lowest, matched, remainder
 
 #: Labelled documents of each class (label and language) to learn from at most.
@@ -203,6 +203,13 @@ def calibrated(m: Model, texts: list[tuple[np.ndarray, np.ndarray]], labels: np.
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """:func:`_fit`, with the memory of the sample handed back."""
+    model = _fit(docs, labels, sample)
+    give_back()
+    return model
+
+
+def _fit(docs: DataFrame, labels: DataFrame, sample: int) -> Model:
     """A model of ``labels.toxic`` from at most ``sample`` documents of each class and ``SAMPLE_WORDS`` words; rows whose id's crc32 is 0 modulo 5 are left out. A document with several labels is toxic if one says so."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"))
@@ -217,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             cut = pa.array(first.astype(np.int32))
             yield record_batch(schema, column(batch, "doc_id"), column(batch, "toxic"), column(batch, "lang"), pa.ListArray.from_arrays(cut, pa.array(words)), pa.ListArray.from_arrays(cut, pa.array(heads)))
 
-    seen = taken.mapInArrow(run, "doc_id long, toxic int, lang string, words array<int>, heads array<int>")
+    seen = taken.mapInArrow(tidy(run), "doc_id long, toxic int, lang string, words array<int>, heads array<int>")
     share = SAMPLE_WORDS // max(1, chosen.select("class").distinct().count())
     order = Window.partitionBy("toxic", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     seen = seen.where(F.size("words") <= share // SHORT).withColumn("total", F.sum(F.size("words")).over(order)).where(F.col("total") <= share).drop("total")
@@ -239,7 +246,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch, data, at in chunks(batches, "text"):
             yield record_batch(_OUT, column(batch, "doc_id"), pa.array(sent.value.scores(data, at)))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -250,7 +257,7 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
         for batch, data, at in chunks(batches, "text"):
             yield batch.filter(pa.array(sent.value.scores(data, at) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
