@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .batches import chunks, column, lower_ascii, mix, record_batch, run_hashes, runs
+from .batches import chunks, column, lower_ascii, mix, record_batch, run_hashes, runs, tidy
 from .samples import looked_up, matched
 
 K, RATIO, ESTIMATE, SHORT_LIST, BLOCK = 32, 0.35, 0.4, 8, 256
@@ -78,7 +78,7 @@ def sketches(docs: DataFrame, width: int, k: int = K) -> DataFrame:
             keys = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
             yield record_batch(SKETCH, column(batch, "doc_id"), pa.array([len(s) for s in sets]), pa.array(keys[:, 0]), pa.array(keys[:, 1]), _lists([s[:k] for s in sets]))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, key1 long, key2 long, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, key1 long, key2 long, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -86,7 +86,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
         for batch, data, at in chunks(batches, "text"):
             yield record_batch(SETS, column(batch, "doc_id"), _lists(list(shingle_sets(data, at, width))))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "id long, hashes array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "id long, hashes array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
     m = store.written(m, "members")
     per = m.groupBy("g", "label").agg(F.count("*").alias("n"))
     top = per.groupBy("g").agg(F.count("*").alias("n_labels"), F.sum("n").alias("size"), F.max(F.struct("n", "label"))["label"].alias("main"), (F.sum("n") - F.max("n")).alias("n_strays")).where("n_labels > 1")
-    m = m.join(top, "g").join(sets.withColumnRenamed("id", "rep"), "rep")
+    m = looked_up(m, "g", top.withColumn("weight", F.col("size")), m.count()).where("n_labels > 1").join(sets.withColumnRenamed("id", "rep"), "rep")
     parts = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
     number = lambda n: F.pmod(F.xxhash64("rep"), parts(n).cast("long")).cast("int")
     queries = m.where("label <> main").select("g", "rep", "label", "hashes", F.lit(True).alias("is_query"), number("n_strays").alias("q"), F.explode(F.sequence(F.lit(0), parts("size") - 1)).alias("t"))
@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     values = reps.select("rep", F.size("sketch").alias("ks"), F.explode("sketch").alias("v"))
     often = store.written(values.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").withColumn("weight", F.col("n")), "often")
     total = sk.agg(F.sum(F.size("sketch"))).first()[0] or 0
-    shared = looked_up(values, "v", often, total).where("n > 1").groupBy("rep", "ks").agg(F.array_sort(F.collect_list(F.struct("n", "v"))).alias("vs"))  # at most k a document
+    shared = looked_up(values, "v", often, total, 0).where("n > 1").groupBy("rep", "ks").agg(F.array_sort(F.collect_list(F.struct("n", "v"))).alias("vs"))  # at most k a document
     need = F.ceil(F.col("ks") * RATIO).cast("int")
     lookup = shared.where(F.size("vs") >= need).select("rep", F.explode(F.slice("vs", F.lit(1), F.size("vs") - need + 1)).alias("x")).select("rep", F.col("x.v").alias("v"))
     first = store.written(lookup, "lookup")
@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     store.drop(first)
     pivot = F.min(F.struct(F.xxhash64("v", "rep").alias("h"), F.col("rep").alias("pivot")))["pivot"]
     lists = store.written(lookup.groupBy("v").agg(F.count("*").alias("n"), pivot.alias("pivot"), F.min("rep").alias("g")).where("n > 1").withColumn("weight", F.col("n")), "lists")
-    members = store.written(looked_up(lookup, "v", lists, lookup.count()).where("n > 1"), "members")
+    members = store.written(looked_up(lookup, "v", lists, lookup.count(), 0).where("n > 1"), "members")
     store.drop(lists)
     few = members.where(F.col("n") <= short_list).groupBy("v").agg(F.collect_set("rep").alias("r"))  # at most short_list
     few = few.select(F.explode(F.expr("flatten(transform(r, x -> transform(filter(r, y -> y > x), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")

@@ -27,8 +27,8 @@ def lowest(rows: DataFrame, by: str, n: int, seed: int = 42) -> DataFrame:
     """
     h = F.xxhash64(F.lit(seed), F.col("doc_id"))
     counts = rows.groupBy(by).agg(F.count("*").alias("_k")).where(F.col("_k") > n)
-    bars = counts.orderBy(F.desc("_k"), by).limit(LARGE_GROUPS).select(by, (F.lit((n + 6 * n**0.5 + 30) * 2.0**53) / F.col("_k")).alias("_bar"))
-    near = rows.join(F.broadcast(bars), by, "left").where(F.col("_bar").isNull() | (F.shiftrightunsigned(h, 11) < F.col("_bar"))).drop("_bar")
+    bars = counts.orderBy(F.desc("_k"), by).limit(LARGE_GROUPS).select(by, (F.lit((n + 6 * n**0.5 + 30) * 2.0**64) / F.col("_k") - F.lit(2.0**63)).alias("_bar"))
+    near = rows.join(F.broadcast(bars), by, "left").where(F.col("_bar").isNull() | (h.cast("double") < F.col("_bar"))).drop("_bar")
     order = Window.partitionBy(by).orderBy(h, "doc_id")
     return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
 
@@ -39,13 +39,20 @@ def matched(docs: DataFrame, ids: DataFrame, how: str = "inner") -> DataFrame:
     return docs.join(F.broadcast(ids) if small else ids, "doc_id", how)
 
 
-def looked_up(rows: DataFrame, key: str, table: DataFrame, total: int) -> DataFrame:
-    """``rows`` left-joined with ``table`` on a long ``key``; ``table`` has each key once, with the number of its rows as ``weight``.
+#: Rows of a look-up whose table, no longer than they are, goes to every task.
+SMALL_LOOKUP = 100_000
+
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame, total: int, small: int | None = None) -> DataFrame:
+    """``rows`` (``total`` of them) left-joined with ``table`` on a long ``key``; ``table`` has some of their keys, each once, with the number of its rows as ``weight``.
 
     Keys of more than 1 / LARGE_GROUPS of all ``total`` rows (so there are at most
     LARGE_GROUPS) are looked up by broadcast, and their rows are dealt out by a
-    hash instead of their key: no key is a large task.
+    hash instead of their key: no key is a large task. With no more than ``small``
+    rows (SMALL_LOOKUP) the whole table is looked up by broadcast.
     """
+    if total <= (SMALL_LOOKUP if small is None else small):
+        return rows.join(F.broadcast(table.drop("weight")), key, "left").select(*rows.columns, *[c for c in table.columns if c not in (key, "weight")])
     values = [c for c in table.columns if c not in (key, "weight")]
     large = F.col("weight") * LARGE_GROUPS > total
     head = table.where(large).select(key, F.struct(*values).alias("_large"))
