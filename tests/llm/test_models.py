@@ -5,9 +5,11 @@ import hashlib
 import math
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.llm import ann, chat, langid, quality, samples, toxicity, warc
@@ -46,6 +48,70 @@ def test_language_probabilities_sum_to_one(spark):
     assert np.allclose(p, 1, atol=1e-3)
 
 
+class PlainKneserNey:
+    """Interpolated Kneser-Ney of four symbols, written plainly over dictionaries."""
+
+    def __init__(self, sequences, order=4):
+        self.order, self.tables = order, []
+        counts = Counter(tuple(s[i - order + 1 : i + 1]) for s in sequences for i in range(order - 1, len(s)))
+        for n in range(order, 0, -1):
+            ones, twos = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
+            total, kinds = Counter(), Counter()
+            for gram, c in counts.items():
+                total[gram[:-1]] += c
+                kinds[gram[:-1]] += 1
+            self.tables.insert(0, (counts, total, kinds, ones / (ones + 2 * twos) if ones and twos else 0.5))
+            counts = Counter(gram[1:] for gram in counts)
+
+    def p(self, gram):
+        if not gram:
+            return 1 / 65_536
+        counts, total, kinds, d = self.tables[len(gram) - 1]
+        if gram[:-1] not in total:
+            return self.p(gram[1:])
+        return max(counts[gram] - d, 0) / total[gram[:-1]] + d * kinds[gram[:-1]] / total[gram[:-1]] * self.p(gram[1:])
+
+
+def test_language_models_equal_plain_kneser_ney():
+    draw = random.Random(4)
+    texts = {k: [" ".join(draw.choice(w) for _ in range(draw.randrange(1, 12))) for _ in range(30)] for k, w in WORDS.items()}
+
+    def sequences(own):
+        s, first, _ = langid.encoded(own)
+        return [s[a:b].tolist() for a, b in zip(first[:-1], first[1:])]
+
+    counted = {}
+    for k, own in texts.items():
+        s, _, _ = langid.encoded(own)
+        counted[k] = np.unique(langid.codes(s, 4)[s != langid.START], return_counts=True)
+    models = langid.Models(counted)
+    plain = [PlainKneserNey(sequences(texts[k])) for k in models.languages]
+    asked = ["aba dodo", "zzz", "a", "cod bab 1 doc", "éa", "dododododo"]
+    entropy, letters = models.entropies(asked)
+    assert letters.all()
+    for s, got in zip(sequences(asked), entropy):
+        want = [-sum(math.log(m.p(tuple(s[i - 3 : i + 1]))) for i in range(3, len(s))) / (len(s) - 3) for m in plain]
+        assert np.allclose(got, want, rtol=1e-4)
+    assert models.choose(asked)[0] == [models.languages[int(np.argmin([-sum(math.log(m.p(tuple(s[i - 3 : i + 1]))) for i in range(3, len(s))) for m in plain]))] for s in sequences(asked)]
+
+
+def test_samples_are_the_lowest_hashes(spark, monkeypatch):
+    rows = spark.range(6_000).selectExpr("id as doc_id", "CASE WHEN id % 10 < 7 THEN 'hot' WHEN id % 10 = 7 THEN null ELSE string(id % 10) END AS k").unionByName(spark.createDataFrame([(1, "few"), (1, "few")], "doc_id long, k string"))
+    got = {(r.k, r.doc_id) for r in samples.lowest(rows, "k", 50).collect()}
+    w = Window.partitionBy("k").orderBy(F.xxhash64(F.lit(42), F.col("doc_id")), "doc_id")
+    assert got == {(r.k, r.doc_id) for r in rows.withColumn("n", F.row_number().over(w)).where("n <= 50").collect()} and len(got) == 4 * 50 + 1
+    assert samples.lowest(rows.where("doc_id < 0"), "k", 5).count() == 0
+
+
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_look_ups_of_hot_keys_equal_a_join(spark, monkeypatch, small):
+    monkeypatch.setattr(samples, "SMALL_LOOKUP", small)
+    rows = spark.createDataFrame([(i, 7 if i % 3 else i % 20) for i in range(300)] + [(1, 7), (1, 7), (900, 99), (901, None)], "i long, v long")
+    table = spark.createDataFrame([(v, v * 2, n) for v, n in [*((v, 5) for v in range(20) if v != 7), (7, 210)]], "v long, n long, weight long")
+    got = sorted(((r.i, r.v, r.n) for r in samples.looked_up(rows, "v", table, 3_000).collect()), key=str)
+    assert got == sorted(((r.i, r.v, None if r.v in (None, 99) else r.v * 2) for r in rows.collect()), key=str)
+
+
 def test_language_without_anything_to_learn(spark):
     none = corpus(spark).withColumn("lang", F.lit(None).cast("string"))
     assert langid.fit(none) is None
@@ -71,6 +137,14 @@ def test_quality_keeps_trusted_and_drops_junk(spark):
     assert 500 not in kept and {501, 502, 503, 504} <= kept and len(set(range(100)) - kept) <= 1
 
 
+def test_quality_of_an_empty_table_and_a_very_long_text(spark):
+    docs, trusted = corpus(spark), spark.range(0, 100).withColumnRenamed("id", "doc_id")
+    assert quality.judged(docs.where("doc_id < 0"), trusted).count() == 0
+    long = docs.unionByName(spark.createDataFrame([(800, "aba bab " * 90_000, "xx"), (801, "Z#!?" * 150_000, "xx"), (None, "aba bab", "xx"), (None, "#?" * 40, "xx")], DOCS))  # over a chunk of bytes
+    found = quality.judged(long, trusted).where("doc_id is null or doc_id >= 800").collect()
+    assert sorted(((str(r.doc_id), r.kept) for r in found)) == [("800", True), ("801", False), ("None", False), ("None", True)]
+
+
 def test_quality_probabilities_sum_to_one(spark):
     model = quality.fit(corpus(spark)).toPandas().sort_values("key")
     symbols = np.arange(quality.SYMBOLS)
@@ -144,6 +218,86 @@ def test_toxicity_learns_a_word_in_long_texts(spark):
     assert toxicity.clean(docs, model).columns == docs.columns
 
 
+def toxic_model(seed=0):
+    draw = np.random.default_rng(seed)
+    n = toxicity.FILTERS * len(toxicity.WIDTHS)
+    real = lambda *shape: draw.normal(0, 0.5, shape).astype(np.float32)
+    return toxicity.Model(0.5, real(toxicity.BUCKETS, toxicity.DIM), real(toxicity.BUCKETS, toxicity.DIM), [real(k, toxicity.DIM, toxicity.FILTERS) for k in toxicity.WIDTHS], real(n), real(n), 0.1)
+
+
+def plain_logit(m, words, heads):
+    """Every filter at every place, one number at a time; a window may reach beyond the text, where all is zero."""
+    x = [m.words[w].astype(float) + m.heads[h] for w, h in zip(words, heads)] + [np.zeros(toxicity.DIM)] * toxicity.PAD
+    total, f = m.shift, 0
+    for weights in m.filters:
+        for j in range(toxicity.FILTERS):
+            best = max(sum(float(x[i + k] @ weights[k][:, j]) for k in range(len(weights))) + m.bias[f] for i in range(len(words)))
+            total += max(best, 0) * m.out[f]
+            f += 1
+    return total
+
+
+def drawn_texts(seed, n):
+    draw = np.random.default_rng(seed)
+    return [(draw.integers(1, 40, k).astype(np.int32), draw.integers(1, 40, k).astype(np.int32)) for k in draw.integers(1, 9, n)]
+
+
+def test_toxicity_scores_equal_a_plain_convolution():
+    m, texts = toxic_model(), drawn_texts(1, 12)
+    got = m.logits(*toxicity._together(texts))
+    assert np.allclose(got, [plain_logit(m, *t) for t in texts], rtol=1e-4, atol=1e-4)
+
+
+def test_toxicity_gradients_equal_differences():
+    m, texts = toxic_model(2), drawn_texts(3, 5)
+    labels, weight = np.array([1, 0, 1, 0, 0], np.float32), np.array([1, 2, 0.5, 1, 1])
+    _, steps, slope = toxicity.gradients(m, texts, labels, weight)
+
+    def loss():
+        p = 1 / (1 + np.exp(-np.array([plain_logit(m, *t) for t in texts])))
+        return -(weight * np.log(np.where(labels == 1, p, 1 - p))).sum() / len(texts)
+
+    draw = np.random.default_rng(5)
+    for table, (where, g) in zip([m.words, m.heads, *m.filters, m.bias, m.out], steps, strict=True):
+        rows = where if isinstance(where, np.ndarray) else np.arange(len(table))
+        for _ in range(12):
+            k = int(draw.integers(len(rows)))
+            at = (rows[k], *(int(draw.integers(d)) for d in table.shape[1:]))
+            old = table[at]
+            table[at] = old + 1e-3
+            high = loss()
+            table[at] = old - 1e-3
+            low = loss()
+            table[at] = old
+            assert abs((high - low) / 2e-3 - g[(k, *at[1:])]) < 2e-3
+    m.shift += 1e-3
+    high = loss()
+    m.shift -= 2e-3
+    assert abs((high - loss()) / 2e-3 - slope) < 1e-3
+
+
+def test_toxicity_of_repeated_and_very_long_texts(spark):
+    m = toxic_model(6)
+    m.languages, m.thresholds = np.zeros((toxicity.BUCKETS, 1), np.float32), np.zeros(2, np.float32)
+    long = " ".join(f"word{i % 977}" for i in range(150_000))  # over two chunks of bytes
+    df = spark.createDataFrame([(1, long, None), (2, "some words", None), (2, "some words", None), (None, "some words", None)], DOCS)
+    got = sorted((str(r.doc_id), r.score) for r in toxicity.score(df, m).collect())
+    raw = np.frombuffer(long.encode(), np.uint8)
+    words, heads, first = toxicity.features(raw, np.array([0, len(raw)]))
+    assert len(got) == 4 and got[1] == got[2] and got[1][1] == got[3][1]
+    assert abs(got[0][1] - 1 / (1 + math.exp(-min(30, max(-30, float(m.logits(words, heads, first)[0])))))) < 1e-6
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_toxicity_held_out_accuracy(spark):
+    """About a twentieth of the documents labelled as toxic hold no such word."""
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("toxic is not null")
+    found = toxicity.op4_toxicity(spark, "/root/testdata/sf0.1").where("held_out").join(labels, "doc_id").groupBy("toxic").agg(F.count("*").alias("n"), F.avg((F.col("predicted") == F.col("toxic")).cast("int")).alias("right"))
+    right = {r.toxic: r.right for r in found.collect()}
+    print("toxicity held out:", right)
+    assert right[0] >= 0.98 and right[1] >= 0.88
+
+
 def test_toxicity_without_one_of_the_classes(spark):
     docs = corpus(spark, 20)
     none = toxicity.fit(docs, spark.range(20).selectExpr("id as doc_id", "0 as toxic"))
@@ -251,11 +405,15 @@ def test_neighbour_products_equal_brute_force():
         assert sorted(got[i])[-5:] == want and (got[i] >= want[0]).sum() == (a[i] @ b.T >= want[0]).sum()
 
 
-@pytest.mark.parametrize("kind", ["even", "one long", "mixed", "clustered"])
-def test_neighbours_recall_at_default_settings(spark, kind):
+@pytest.mark.parametrize("kind", ["even", "one long", "mixed", "clustered", "deep"])
+def test_neighbours_recall_at_default_settings(spark, monkeypatch, kind):
+    leaf_rows = ann.LEAF_ROWS
+    if kind == "deep":  # three levels are fitted on the sample, four more part by part
+        monkeypatch.setattr(ann, "SAMPLE", 70)
+        leaf_rows = 50
     draw = np.random.default_rng(2)
     x = draw.normal(size=(6_000, 64))
-    if kind == "clustered":
+    if kind in ("clustered", "deep"):
         x = draw.normal(size=(60, 64))[draw.integers(0, 60, len(x))] + 0.2 * x
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     if kind == "one long":
@@ -264,7 +422,7 @@ def test_neighbours_recall_at_default_settings(spark, kind):
         x *= draw.lognormal(sigma=0.5, size=(len(x), 1))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got: dict = {}
-    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, leaf_rows=leaf_rows).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     recall = np.mean([len(got[q] & set([c for c in np.argsort(-(x @ x[q]), kind="stable")[:21] if c != q][:20])) / 20 for q in got])
     print("recall:", kind, recall)
@@ -319,6 +477,52 @@ def test_logged_turns_are_streamed_edited_and_regenerated(spark):
 # --- pipeline ---
 
 
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Each stage on its predecessor's rows: scores and limits from the models alone, links of all pairs, windows one by one, the tokeniser's library."""
+    import corpus_pipeline as cp
+    from test_texts import brute8, brute9, library_tokens, words8
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    extra = [(None, "No id and nothing like it anywhere: plain quick words, kept by all."), (None, None), (10**9, "")]
+    now = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string"), allowMissingColumns=True)
+    stages = dict(cp.STAGES)
+
+    def run(name):
+        nonlocal now
+        before = now.collect()
+        now = spark.createDataFrame(stages[name](spark, now, SMALL).collect(), now.schema)
+        return before, now.collect()
+
+    key = lambda r: (str(r.doc_id), r.text or "")
+    before, after = run("toxicity")
+    model = toxicity.fit(spark.createDataFrame(before, docs.schema), spark.read.parquet(f"{SMALL}/labels.parquet"))
+    raw = [(r.text or "").encode() for r in before]
+    score = model.scores(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    assert sorted(map(key, after)) == sorted(key(r) for r, s in zip(before, score) if s < 0.5)
+    before, after = run("quality")
+    judged = quality.judged(spark.createDataFrame(before, docs.schema), quality.trusted_ids(spark, SMALL)).where("not kept").collect()
+    gone = {r.doc_id for r in judged} - {None}
+    assert sorted(map(key, after)) == sorted(key(r) for r in before if r.doc_id not in gone)
+    before, after = run("near-duplicates")
+    before = sorted((r for r in before if r.doc_id is not None), key=lambda r: r.doc_id)
+    kept = [key(r) for r, (_, _, k) in zip(before, brute9([r.text for r in before], 5)) if k]
+    assert sorted(key(r) for r in after if r.doc_id is not None) == sorted(kept) and sum(r.doc_id is None for r in after) == 2
+    before, after = run("decontamination")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    hit = list(brute8([r.text for r in before], items, 10))
+    left = {key(r)[0]: len(words8(r.text)) for r in after if r.doc_id is not None}
+    assert left == {str(r.doc_id): n - h for r, (n, h, *_) in zip(before, hit) if r.doc_id is not None} and len(after) == len(before)
+    assert {key(r) for r, x in zip(before, hit) if not x[4]} <= set(map(key, after))
+    tokens = stages["encoding"](spark, now, SMALL).collect()
+    tiktoken = library_tokens()
+    assert sorted((str(r.doc_id), r.ids) for r in tokens) == sorted((str(r.doc_id), tiktoken.encode_ordinary(r.text or "")) for r in after)
+    assert all(r.n_tokens == len(r.ids) for r in tokens)
+
+
 @needs_data
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp

@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, decontam, neardup, sharding
+from spanloom.llm import bpe, decontam, neardup, samples, sharding
 
 DOCS = "doc_id long, text string"
 
@@ -24,13 +24,17 @@ def docs(spark, texts, extra=False):
 # --- byte-level BPE ---
 
 
-@pytest.fixture(scope="module")
-def tokens():
+def library_tokens():
     with open(bpe.vocabulary_path(), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("own", pat_str=bpe.pattern(), mergeable_ranks=ranks, special_tokens={})
 
 
+@pytest.fixture(scope="module")
+def tokens():
+    return library_tokens()
+
+
 ODD = ["", None, " ", "a" * 5_000, "  lead", "don't we'll 'S", "日本語テキスト 123 ²½", "\x1c\x1d x", "\n\n \t a", "<|endoftext|>", "é ﬁ ß É", "😀" * 50, "ab" * 3_000]
 
 
@@ -89,7 +93,7 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, most):
     got = {r.doc_id: tuple(r)[1:] for r in decontam.counted(decontam.find(docs(spark, texts, True), bench, window=5, shard_bytes=400)).collect()}
     assert [got[i] for i in range(len(texts))] == list(brute8(texts, items, 5))
     assert decontam.counted(decontam.find(docs(spark, texts).where("doc_id < 0"), bench, window=5)).count() == 0
-    cut = decontam.decontaminate(docs(spark, texts, True).withColumn("_row", F.lit("own")).withColumn("block", F.lit(5)).withColumn("n_chars", F.length("text").cast("long")), bench, window=5)
+    cut = decontam.decontaminate(docs(spark, texts, True).withColumn("_row", F.lit("own")).withColumn("block", F.lit(5)).withColumn("n_chars", F.length("text").cast("long")), bench, window=5, shard_bytes=400)
     for r in cut.collect():
         left = len(words8(r.text))
         assert (r["_row"], r.block) == ("own", 5)
@@ -152,7 +156,8 @@ def brute9(texts, width, percent=80):
 
 
 @pytest.mark.parametrize(("seed", "short"), [(0, 8), (1, 1)])
-def test_near_duplicates_equal_brute_force(spark, seed, short):
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, seed, short):
+    monkeypatch.setattr(samples, "SMALL_LOOKUP", seed * 10_000)
     draw = random.Random(seed)
     texts = [None, "", " \n", "one two", "One  TWO", "one", "É é a b", "é É a b"]
     for _ in range(6):  # groups of copies with edits, around the limit
