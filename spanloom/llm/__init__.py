@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that register queries, by operator number.
-MODULES = ("langid", "quality", "warc", "toxicity", "ann", "chat", "bpe", "decontam", "neardup", "sharding", "fim", "divergence")
+MODULES = ("langid", "quality", "warc", "toxicity", "ann", "chat", "bpe", "decontam", "neardup", "sharding", "fim", "divergence", "lm")
 
 
 def registry() -> tuple[dict, dict]:
