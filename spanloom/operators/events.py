@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .folds import Step, ordered_fold
+from .scans import PART, lag, last_before, max_before, running_sum, scan, whole_max
 
 
 def _w(by: list[str], *order: str | Column):
@@ -14,9 +15,8 @@ def _w(by: list[str], *order: str | Column):
 
 def sessions(df: DataFrame, by: list[str], at: str, gap: int, name: str = "session") -> DataFrame:
     """A new session starts where the previous hit is more than ``gap`` before (equal joins)."""
-    w = _w(by, at)
-    new = F.when(F.col(at) - F.lag(at).over(w) > gap, 1).otherwise(0)
-    return df.withColumn("_new", new).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_new")
+    rows = scan(df, by, [at], {"_before": lag(at)}).withColumn("_new", F.when(F.col(at) - F.col("_before") > gap, 1).otherwise(0))
+    return scan(rows, by, [at], {name: running_sum("_new")}).drop("_before", "_new")
 
 
 class _Throttle(Step):
@@ -62,11 +62,15 @@ def throttle_runs(df: DataFrame, by: list[str], at: str, keys: list[str], gap: i
     return out.drop("_stretch").select(df.columns)
 
 
-def _apart(df: DataFrame, by: list[str], start: str, end: str, slack: int) -> DataFrame:
-    """Adds _stretch: a new one where a window starts more than ``slack`` after the end of all before it. What is folded starts anew there."""
-    w = _w(by, start, end)
-    new = F.when(F.col(start) - F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)) > slack, 1).otherwise(0)
-    return df.withColumn("_new", new).withColumn("_stretch", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_new")
+def _apart(df: DataFrame, by: list[str], start: str, end: str, slack: int, name: str = "_stretch") -> DataFrame:
+    """Adds ``name``: a new one where a window starts more than ``slack`` after the end of all before it. What is folded starts anew there."""
+    rows = scan(df, by, [start, end], {"_reach": max_before(end)}).withColumn("_new", F.when(F.col(start) - F.col("_reach") > slack, 1).otherwise(0))
+    return scan(rows, by, [start, end], {name: running_sum("_new")}).drop("_reach", "_new")
+
+
+def _only(df: DataFrame, *columns: str) -> DataFrame:
+    """These columns, and the number of the range where there is one."""
+    return df.select(*columns, *[c for c in (PART,) if c in df.columns])
 
 
 class _Capped(Step):
@@ -79,7 +83,7 @@ class _Capped(Step):
         start, end, conf = row
         c = self.now
         if c and start - c[1] <= self.gap and max(c[1], end) - c[0] <= self.span:
-            c[1] = end
+            c[1] = max(c[1], end)
             if conf > c[2]:
                 c[2:] = [conf, start, end]
             return ()
@@ -92,15 +96,13 @@ class _Capped(Step):
 
 def capped_clusters(df: DataFrame, by: list[str], start: str, end: str, conf: str, gap: int, span: int) -> DataFrame:
     """Joins a window to the last cluster if it starts within ``gap`` of its end and the whole stays within ``span``: start_us, end_us, conf, peak_start_us, peak_end_us."""
-    rows = _apart(df.select(*by, start, end, conf), by, start, end, gap)
-    return ordered_fold(rows, [*by, "_stretch"], [start, end], lambda: _Capped(gap, span), "start_us long, end_us long, conf double, peak_start_us long, peak_end_us long").drop("_stretch")
+    rows = _apart(_only(df, *by, start, end, conf), by, start, end, gap)
+    return ordered_fold(rows.drop(PART), [*by, "_stretch"], [start, end], lambda: _Capped(gap, span), "start_us long, end_us long, conf double, peak_start_us long, peak_end_us long").drop("_stretch")
 
 
 def union_intervals(df: DataFrame, by: list[str], start: str, end: str, slack: int, conf: str = "conf", primary: str = "primary") -> DataFrame:
     """Unions of intervals at most ``slack`` apart: start_us, end_us, the largest conf, whether any was primary."""
-    w = _w(by, start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = df.withColumn("_new", F.when(F.col(start) > reach + slack, 1).otherwise(0)).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    rows = _apart(df, by, start, end, slack, "island")
     return rows.groupBy(*by, "island").agg(F.min(start).alias("start_us"), F.max(end).alias("end_us"), F.max(conf).alias("conf"), F.bool_or(primary).alias("primary"))
 
 
@@ -112,7 +114,7 @@ class _Abut(Step):
         start, end = row
         if self.now and start <= self.now[1]:
             if end - self.now[0] <= self.longest:
-                self.now[1] = end
+                self.now[1] = max(self.now[1], end)
                 return
             start = self.now[1]
             if end - start < self.least:
@@ -127,24 +129,23 @@ class _Abut(Step):
 
 def fold_or_abut(df: DataFrame, by: list[str], start: str, end: str, longest: int, least: int) -> DataFrame:
     """Windows without overlap: one that touches the last extends it up to ``longest``, else starts where that ended (dropped below ``least``)."""
-    rows = _apart(df.select(*by, start, end), by, start, end, 0)
-    return ordered_fold(rows, [*by, "_stretch"], [start, end], lambda: _Abut(longest, least), "start_us long, end_us long").drop("_stretch")
+    rows = _apart(_only(df, *by, start, end), by, start, end, 0)
+    return ordered_fold(rows.drop(PART), [*by, "_stretch"], [start, end], lambda: _Abut(longest, least), "start_us long, end_us long").drop("_stretch")
 
 
 def last_cluster(df: DataFrame, by: list[str], seq: str, flag: Column, gap: int) -> DataFrame:
     """Adds in_last_cluster: flagged rows of the last group whose positions are at most ``gap`` apart; earlier ones are false, unflagged null."""
-    w = _w(by, seq)
-    rows = df.withColumn("_flag", flag)
-    before = F.last(F.when(F.col("_flag"), F.col(seq)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_start", F.when(F.col("_flag") & (before.isNull() | (F.col(seq) - before > gap)), F.col(seq)))
-    first = F.max("_start").over(Window.partitionBy(*by))
-    return rows.withColumn("in_last_cluster", F.when(F.col("_flag"), F.col(seq) >= first)).drop("_flag", "_start")
+    rows = df.withColumn("_flag", flag).withColumn("_at", F.when(F.col("_flag"), F.col(seq)))
+    rows = scan(rows, by, [seq], {"_before": last_before("_at")})
+    rows = rows.withColumn("_start", F.when(F.col("_flag") & (F.col("_before").isNull() | (F.col(seq) - F.col("_before") > gap)), F.col(seq)))
+    rows = scan(rows, by, [seq], {"_first": whole_max("_start")})
+    return rows.withColumn("in_last_cluster", F.when(F.col("_flag"), F.col(seq) >= F.col("_first"))).drop("_flag", "_at", "_before", "_start", "_first")
 
 
 def boolean_runs(df: DataFrame, by: list[str], seq: str, at: str, flag: Column, value: str, tail: int = 10, least: int = 0) -> DataFrame:
     """Runs of true that a false row ends (an open last run is dropped): start_us, end_us (of the false row) and the mean of the last ``tail`` values."""
-    w = _w(by, seq)
-    rows = df.withColumn("_flag", F.coalesce(flag, F.lit(False))).withColumn("_run", F.sum(F.when(F.col("_flag"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = df.withColumn("_flag", F.coalesce(flag, F.lit(False))).withColumn("_off", F.when(F.col("_flag"), 0).otherwise(1))
+    rows = scan(rows, by, [seq], {"_run": running_sum("_off")})
     ends = rows.where(~F.col("_flag")).select(*by, (F.col("_run") - 1).alias("_run"), F.col(at).alias("end_us"))
     back = Window.partitionBy(*by, "_run").orderBy(F.col(seq).desc())
     inside = rows.where("_flag").withColumn("_n", F.row_number().over(back))
@@ -172,13 +173,12 @@ def greedy_peaks(df: DataFrame, by: list[str], at: str, score: str, apart: int,
 
 def virtual_steps(df: DataFrame, by: list[str], seq: str, replay: Column) -> DataFrame:
     """Adds step: positions where a run of replays counts once."""
-    w = _w(by, seq)
-    rows = df.withColumn("_r", replay)
-    cost = F.when(F.col("_r") & F.coalesce(F.lag("_r").over(w), F.lit(False)), 0).otherwise(1)
-    return rows.withColumn("_c", cost).withColumn("step", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_r", "_c")
+    rows = scan(df.withColumn("_r", replay), by, [seq], {"_b": lag("_r")})
+    rows = rows.withColumn("_c", F.when(F.col("_r") & F.coalesce("_b", F.lit(False)), 0).otherwise(1))
+    return scan(rows, by, [seq], {"step": running_sum("_c")}).drop("_r", "_b", "_c")
 
 
 def last_of_kind(df: DataFrame, by: list[str], at: str, kind: str, kinds: list[str]) -> DataFrame:
     """Of the listed kinds only the last row of each group stays; other rows all do."""
-    w = Window.partitionBy(*by, kind).orderBy(F.col(at).desc())
-    return df.withColumn("_n", F.row_number().over(w)).where(~F.col(kind).isin(kinds) | (F.col("_n") == 1)).drop("_n")
+    last = df.where(F.col(kind).isin(kinds)).groupBy(*by, kind).agg(F.max(at).alias("_last"))  # at most a row for each kind and group
+    return df.join(last, [*by, kind], "left").where(F.col("_last").isNull() | (F.col(at) == F.col("_last"))).select(df.columns)

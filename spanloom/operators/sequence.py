@@ -6,24 +6,21 @@ later rows is an ordered fold.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .folds import Step, Trial, chunked_fold, ordered_fold
+from .scans import PART, lag, last_before, lead, next_after, running_sum, scan, whole_max, whole_min
 
 NORMAL, INTERMISSION, REPLAY_TAIL = "normal", "intermission", "replay_tail"
 FACEOFFS = ("faceoff", "faceoff_cutscene")
 
 
-def _w(by: list[str], seq: str):
-    return Window.partitionBy(*by).orderBy(seq)
-
-
 def prior_context(df: DataFrame, by: list[str], seq: str, start: Column, period_end: Column, faceoff: Column, goal: Column) -> DataFrame:
     """Adds context: the class of the nearest earlier boundary; in one row a start goes before a period's end, that before a face-off, that before a goal."""
     kind = F.when(start, NORMAL).when(period_end, INTERMISSION).when(faceoff, NORMAL).when(goal, REPLAY_TAIL)
-    before = F.last(kind, ignorenulls=True).over(_w(by, seq).rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("context", F.coalesce(before, F.lit(NORMAL)))
+    rows = scan(df.withColumn("_kind", kind), by, [seq], {"_before": last_before("_kind")})
+    return rows.withColumn("context", F.coalesce("_before", F.lit(NORMAL))).drop("_kind", "_before")
 
 
 class _Chain(Step):
@@ -58,8 +55,8 @@ class _Chain(Step):
 
 def goal_chains(df: DataFrame, by: list[str], seq: str, goal: Column, rows: int, gap: int, skip: int) -> DataFrame:
     """Each follower with its goal's seq, its order and whether it follows or bridges. Chains never cross a goal, so each is folded on its own."""
-    number = F.sum(F.when(goal, 1).otherwise(0)).over(_w(by, seq).rowsBetween(Window.unboundedPreceding, 0))
-    part = df.withColumn("goal_no", number).where("goal_no > 0").select(*by, "goal_no", F.col(seq).alias("seq"), "label", "dur_us")
+    numbered = scan(df.withColumn("_goal", F.when(goal, 1).otherwise(0)), by, [seq], {"goal_no": running_sum("_goal")})
+    part = numbered.where("goal_no > 0").select(*by, "goal_no", F.col(seq).alias("seq"), "label", "dur_us")
     return ordered_fold(part, [*by, "goal_no"], ["seq"], lambda: _Chain(rows, gap, skip), "seq long, goal_seq long, chain_order long, kind string")
 
 
@@ -88,17 +85,16 @@ def inferred_goals(df: DataFrame, by: list[str], seq: str, steps: int, least: fl
     needs only rows as they are; the context behind a row depends on promotions, so it
     is a fold of three states. ``seq`` numbers each group's rows from 0.
     """
-    w = _w(by, seq)
-    ahead = w.rowsBetween(1, Window.unboundedFollowing)
     replay = F.col("label").isin("goal_replay", "other_replay", "hit_replay")
-    rows = df.withColumn("_r", replay)
-    rows = rows.withColumn("_c", F.when(F.col("_r") & F.coalesce(F.lag("_r").over(w), F.lit(False)), 0).otherwise(1))
-    rows = rows.withColumn("_step", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = scan(df.withColumn("_r", replay), by, [seq], {"_before": lag("_r"), "_after": lead("_r")})
+    rows = rows.withColumn("_c", F.when(F.col("_r") & F.coalesce("_before", F.lit(False)), 0).otherwise(1))
+    rows = scan(rows, by, [seq], {"_step": running_sum("_c")})
     stop = F.when(F.col("banner") | (F.col("label") == "goal"), F.lit(0)).when(F.col("label").isin(*FACEOFFS) & (F.col("conf") >= 0.6), F.lit(1))
-    found = F.first(F.when(stop.isNotNull(), F.struct(stop.alias("k"), F.col("_step").alias("s"))), ignorenulls=True).over(ahead)
+    rows = rows.withColumn("_stop", F.when(stop.isNotNull(), F.struct(stop.alias("k"), F.col("_step").alias("s"))))
+    rows = scan(rows, by, [seq], {"_found": next_after("_stop")})
     # A replay run that goes on from the row itself is entered at its next step.
-    start = F.col("_step") - F.when(F.col("_r") & F.coalesce(F.lead("_r").over(w), F.lit(False)), 1).otherwise(0)
-    rows = rows.withColumn("forward", F.coalesce((found["k"] == 1) & (found["s"] - start <= steps), F.lit(False)))
+    start = F.col("_step") - F.when(F.col("_r") & F.coalesce("_after", F.lit(False)), 1).otherwise(0)
+    rows = rows.withColumn("forward", F.coalesce((F.col("_found.k") == 1) & (F.col("_found.s") - start <= steps), F.lit(False)))
     candidate = ~F.col("banner") & ~F.col("starts") & ~F.col("period_end") & F.col("label").isin("scoring_chance", "other") & ((F.col("ml_label") == "goal") | ((F.col("ml_label") == "scoring_chance") & (F.col("conf") >= least)))
     part = rows.withColumn("candidate", candidate).select(*by, F.col(seq).alias("seq"), "label", "banner", "starts", "period_end", "candidate", "forward")
     return chunked_fold(part, by, "seq", _Infer, lambda: Trial([NORMAL, INTERMISSION, REPLAY_TAIL], _Infer), "string", "seq long")
@@ -106,12 +102,9 @@ def inferred_goals(df: DataFrame, by: list[str], seq: str, steps: int, least: fl
 
 def adjacent_chances(df: DataFrame, by: list[str], seq: str, chance: Column, barrier: Column, edge: int, between: int, trim_start: str, trim_end: str) -> DataFrame:
     """Pairs of consecutive chances whose trims reach their segments' edges, with at most ``between`` of time and no barrier between them: seq and next_seq."""
-    w = _w(by, seq)
-    rows = df.withColumn("_chance", chance).withColumn("_wall", F.sum(F.when(barrier, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_filler", F.sum(F.when(F.col("_chance"), 0).otherwise(F.col("dur_us"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    only = rows.where("_chance")
-    for name, source in (("_next", seq), ("_next_start", trim_start), ("_next_wall", "_wall"), ("_next_filler", "_filler")):
-        only = only.withColumn(name, F.lead(source).over(w))
+    rows = df.withColumn("_chance", chance)
+    rows = scan(rows, by, [seq], {"_wall": running_sum(F.when(barrier, 1).otherwise(0)), "_filler": running_sum(F.when(F.col("_chance"), 0).otherwise(F.col("dur_us")))})
+    only = scan(rows.where("_chance"), by, [seq], {"_next": lead(seq), "_next_start": lead(trim_start), "_next_wall": lead("_wall"), "_next_filler": lead("_filler")})
     good = (F.col("dur_us") - F.col(trim_end) <= edge) & (F.col("_next_start") <= edge) & (F.col("_next_filler") - F.col("_filler") <= between) & (F.col("_next_wall") == F.col("_wall"))
     return only.where(good).select(*by, F.col(seq).alias("seq"), F.col("_next").alias("next_seq"))
 
@@ -188,37 +181,35 @@ def counter_events(df: DataFrame, by: list[str], seq: str, value: str, most: int
     Unread (null) rows confirm and count for nothing else. The first value needs two
     equal readings in a row, whoever stands before them.
     """
-    w = _w(by, seq)
-    later = F.lead(value).over(w)
-    probe = F.coalesce((later >= F.col(value)) & (later <= F.col(value) + 1), F.lit(True))
-    part = df.withColumn("confirmed", probe).select(*by, F.col(seq).alias("seq"), F.col(value).cast("long").alias("v"), "confirmed").where("v is not null")
-    again = F.when(F.col("v") == F.lag("v").over(_w(by, "seq")), F.struct("seq", "v"))
-    part = part.withColumn("_again", again).withColumn("_first", F.min("_again").over(Window.partitionBy(*by))).where("seq > _first.seq")
+    rows = scan(df, by, [seq], {"_later": lead(value)})
+    probe = F.coalesce((F.col("_later") >= F.col(value)) & (F.col("_later") <= F.col(value) + 1), F.lit(True))
+    part = rows.withColumn("confirmed", probe).select(*by, F.col(seq).alias("seq"), F.col(value).cast("long").alias("v"), "confirmed", *[c for c in (PART,) if c in df.columns]).where("v is not null")
+    part = scan(part, by, ["seq"], {"_before": lag("v")}).withColumn("_again", F.when(F.col("v") == F.col("_before"), F.struct("seq", "v")))
+    part = scan(part, by, ["seq"], {"_first": whole_min("_again")}).where("seq > _first.seq")
     part = part.select(*by, "seq", "v", "confirmed", F.col("_first.v").alias("first"))
     return chunked_fold(part, by, "seq", lambda state: _Counter(most, state), lambda: _CounterTrial(most), "long", "seq long, v long, step long")
 
 
 def groups_of(df: DataFrame, by: list[str], seq: str, flag: Column, name: str = "run") -> DataFrame:
     """Runs of consecutive flagged rows, numbered from 1; other rows are left out."""
-    w = _w(by, seq)
-    rows = df.withColumn("_f", F.coalesce(flag, F.lit(False)))
-    new = F.when(F.col("_f") & ~F.coalesce(F.lag("_f").over(w), F.lit(False)), 1).otherwise(0)
-    return rows.withColumn("_n", new).withColumn(name, F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).where("_f").drop("_f", "_n")
+    rows = scan(df.withColumn("_f", F.coalesce(flag, F.lit(False))), by, [seq], {"_b": lag("_f")})
+    rows = rows.withColumn("_n", F.when(F.col("_f") & ~F.coalesce("_b", F.lit(False)), 1).otherwise(0))
+    return scan(rows, by, [seq], {name: running_sum("_n")}).where("_f").drop("_f", "_b", "_n")
 
 
 def empty_sentinel(df: DataFrame, by: list[str], seq: str, empty: Column, stop: int) -> DataFrame:
     """Rows before the ``stop``-th empty one in a row, without the empty rows at the end."""
-    w = _w(by, seq)
-    rows = df.withColumn("_e", empty)
-    rows = rows.withColumn("_run", F.sum(F.when(F.col("_e"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_k", F.sum(F.when(F.col("_e"), 1).otherwise(0)).over(Window.partitionBy(*by, "_run").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy(*by)
-    rows = rows.withColumn("_stop", F.min(F.when(F.col("_k") >= stop, F.col(seq))).over(whole)).where(F.col("_stop").isNull() | (F.col(seq) < F.col("_stop")))
-    return rows.withColumn("_last", F.max(F.when(~F.col("_e"), F.col(seq))).over(whole)).where(F.col(seq) <= F.col("_last")).drop("_e", "_run", "_k", "_stop", "_last")
+    # The number of empty rows since the last other one: their count less their count there.
+    rows = scan(df.withColumn("_e", empty), by, [seq], {"_all": running_sum(F.when(F.col("_e"), 1).otherwise(0))})
+    rows = scan(rows.withColumn("_at", F.when(~F.col("_e"), F.col("_all"))), by, [seq], {"_base": last_before("_at")})
+    rows = rows.withColumn("_k", F.when(F.col("_e"), F.col("_all") - F.coalesce("_base", F.lit(0))))
+    rows = scan(rows, by, [seq], {"_stop": whole_min(F.when(F.col("_k") >= stop, F.col(seq)))}).where(F.col("_stop").isNull() | (F.col(seq) < F.col("_stop")))
+    rows = scan(rows, by, [seq], {"_last": whole_max(F.when(~F.col("_e"), F.col(seq)))})
+    return rows.where(F.col(seq) <= F.col("_last")).drop("_e", "_all", "_at", "_base", "_k", "_stop", "_last")
 
 
 def unrolled(df: DataFrame, by: list[str], order: str, clock: str, day: int = 86_400, back: int = 3_600) -> DataFrame:
     """Adds elapsed: a clock of day seconds made monotone, a day more after each step back of over an hour."""
-    w = _w(by, order)
-    roll = F.when(F.lag(clock).over(w) - F.col(clock) > back, day).otherwise(0)
-    return df.withColumn("_roll", roll).withColumn("elapsed", (F.col(clock) + F.sum("_roll").over(w.rowsBetween(Window.unboundedPreceding, 0))).cast("long")).drop("_roll")
+    rows = scan(df, by, [order], {"_before": lag(clock)}).withColumn("_roll", F.when(F.col("_before") - F.col(clock) > back, day).otherwise(0))
+    rows = scan(rows, by, [order], {"_days": running_sum("_roll")})
+    return rows.withColumn("elapsed", (F.col(clock) + F.col("_days")).cast("long")).drop("_before", "_roll", "_days")

@@ -6,9 +6,11 @@ event time counts as one second of footage. Times are microseconds (long).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import scans as sc
+
 #: One second of footage, in microseconds of event time.
 S = 3_600_000_000
 #: Longest segment.
@@ -27,20 +29,21 @@ def micros(ts: str) -> Column:
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """clip_id, event_id, t_us, label, conf, value, props."""
+    """clip_id, event_id, t_us, label, conf, value, props; and the ranges of clips too long for one task, if there are any."""
     kind = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])[F.col("event_type")]
-    return table(spark, sf_dir, "events").select(
+    rows = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("clip_id"), "event_id", micros("ts").alias("t_us"), kind.alias("label"), (F.least("value", F.lit(100.0)) / 100).alias("conf"), "value", "props"
     )
+    return sc.ranged(rows, ["clip_id"], "t_us")
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits as segments on their clip's timeline: seq (from 0), dur_us, start_us, end_us."""
-    w = Window.partitionBy("clip_id").orderBy("t_us", "event_id")
-    rows = hits(spark, sf_dir).withColumn("seq", (F.row_number().over(w) - 1).cast("long"))
-    rows = rows.withColumn("dur_us", F.least(F.coalesce(F.lead("t_us").over(w) - F.col("t_us"), F.lit(0)), F.lit(LONGEST)))
-    start = F.coalesce(F.sum("dur_us").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("start_us", start).withColumn("end_us", F.col("start_us") + F.col("dur_us"))
+    order = ["t_us", "event_id"]
+    rows = sc.scan(hits(spark, sf_dir), ["clip_id"], order, {"_n": sc.row_number(), "_next": sc.lead("t_us")})
+    rows = rows.withColumn("seq", F.col("_n") - 1).withColumn("dur_us", F.least(F.coalesce(F.col("_next") - F.col("t_us"), F.lit(0)), F.lit(LONGEST))).drop("_n", "_next")
+    rows = sc.scan(rows, ["clip_id"], order, {"start_us": sc.sum_before("dur_us")})
+    return rows.withColumn("end_us", F.col("start_us") + F.col("dur_us"))
 
 
 HIT = """hit AS (SELECT user_id AS clip_id, event_id, epoch_us(ts) AS t_us, CASE event_type WHEN 'purchase' THEN 'goal' WHEN 'click' THEN 'scoring_chance'
