@@ -40,7 +40,7 @@ from .trie import ID_BITS, Trie, build, packed, quantised, restored, views
 
 #: What is taken from a count of 1, 2, and 3 or more.
 DISCOUNTS = (0.7, 1.05, 1.35)
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of text for each shard.
 SHARD_BYTES = 24 << 20
 #: A word that begins more than one of so many windows is spread; one of so many rows is looked at to find them.
