@@ -42,7 +42,7 @@ from .trie import ID_BITS, Trie, build, packed, quantised, restored, views
 DISCOUNTS = (0.7, 1.05, 1.35)
 BLOCK_BYTES = 8 << 20
 #: Bytes of text for each shard.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 8 << 20
 #: A word that begins more than one of so many windows is spread; one of so many rows is looked at to find them.
 HOT, SAMPLED = 500, 16
 #: Hashes of the marks (below those that words take) and the scale of a spread word's shares.
