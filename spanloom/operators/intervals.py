@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .events import capped_clusters
@@ -45,13 +45,13 @@ def by_route(df: DataFrame, duration: str, longest: int, width: int, stride: int
 def scene_clusters(windows: DataFrame, by: list[str], start: str, end: str, label: str, conf: str, order: str, gap: int, span: int, gate: float = 0.45, below: float = 0.20) -> DataFrame:
     """Clusters of each scene's windows: start_us, end_us, conf, peak_start_us, peak_end_us and label.
 
-    The best label that isn't ``other`` leads (the first of ties by ``order``);
-    chances are pooled with it; what is within ``gap`` of a cluster's end joins it
+    The best label that isn't ``other`` leads (the first of ties by ``order``), and
+    ``other`` where there is none; chances are pooled with it; what is within ``gap`` of a cluster's end joins it
     unless it grows over ``span``.
     """
-    hot = windows.where(F.col(label) != "other")
-    lead = hot.groupBy(*by).agg(F.max(F.struct(F.col(conf).alias("c"), (-F.col(order)).alias("o"), F.col(label).alias("l"))).alias("_m")).select(*by, F.col("_m.c").alias("_best"), F.col("_m.l").alias("_lead"))
-    pool = hot.join(lead, by).where(((F.col(label) == F.col("_lead")) | (F.col(label) == "scoring_chance")) & (F.col(conf) >= F.least(F.lit(gate), F.col("_best") - below)))
+    best = F.max(F.struct((F.col(label) != "other").alias("real"), F.col(conf).alias("c"), (-F.col(order)).alias("o"), F.col(label).alias("l"))).alias("_m")
+    lead = windows.groupBy(*by).agg(best).select(*by, F.col("_m.c").alias("_best"), F.col("_m.l").alias("_lead"))
+    pool = windows.join(lead, by).where(((F.col(label) == F.col("_lead")) | (F.col(label) == "scoring_chance")) & (F.col(conf) >= F.least(F.lit(gate), F.col("_best") - below)))
     found = capped_clusters(pool, by, start, end, conf, gap, span)
     return found.join(lead.select(*by, F.col("_lead").alias("label")), by)
 
@@ -60,3 +60,49 @@ def trim_of(start: Column, end: Column, peak_start: Column, peak_end: Column, du
     """The padded cluster, cut to ``longest`` around the middle of its peak."""
     p = padded(start, end, before, after, duration)
     return capped(p["s"], p["e"], F.floor((peak_start + peak_end) / 2), longest)
+
+
+WINDOWS = "array<struct<s:bigint,e:bigint,c:double,p:boolean>>"
+
+
+def united(windows: Column, slack: int) -> Column:
+    """Unions of an array of windows (s, e, c, p) that are at most ``slack`` apart, in order: the largest c of each, and whether any is the primary. For the few windows of one scene."""
+
+    def join(done: Column, w: Column) -> Column:
+        last = F.element_at(done, -1)
+        both = F.struct(last["s"].alias("s"), F.greatest(last["e"], w["e"]).alias("e"), F.greatest(last["c"], w["c"]).alias("c"), (last["p"] | w["p"]).alias("p"))
+        return F.when((F.size(done) > 0) & (w["s"] <= last["e"] + slack), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(done, F.array(w)))
+
+    return F.reduce(F.array_sort(windows), F.expr(f"cast(array() as {WINDOWS})"), join)
+
+
+def scene_trims(
+    windows: DataFrame, by: list[str], start: str, end: str, label: str, conf: str, duration: str,
+    gap: int, span: int, before: int, after: int, longest: int, slack: int, strong: float = 0.60, most: int = 2,
+) -> DataFrame:
+    """What is shown of each scene: label, conf, window_start_us, window_end_us, trim_start_us, trim_end_us and extras (s, e, c).
+
+    A chance's primary cluster is the first (the shot that began it), another label's
+    the most confident (the first of ties). Up to ``most`` other clusters with a window
+    of at least ``strong`` are extras, in order of time. Windows are padded and cut. A
+    chance's primary is united with what is within ``slack`` of it, and the union that
+    holds it is the trim; of other labels only the extras are united, and the trim is
+    null: it is decided later. Times are from the scene's start; ``duration`` is the
+    same in all rows of a scene.
+    """
+    whole = windows.groupBy(*by).agg(F.max(duration).alias("_dur"))
+    found = scene_clusters(windows, by, start, end, label, conf, start, gap, span).join(whole, by)
+    trim = trim_of(F.col("start_us"), F.col("end_us"), F.col("peak_start_us"), F.col("peak_end_us"), F.col("_dur"), before, after, longest)
+    chance = F.col("label") == "scoring_chance"
+    window = lambda primary: F.struct(trim["s"].alias("s"), trim["e"].alias("e"), F.col("conf").alias("c"), F.lit(primary).alias("p"))
+    leads = F.struct(F.when(~chance, F.col("conf")).otherwise(0.0), -F.col("start_us"))
+    first = found.groupBy(*by).agg(F.max("conf").alias("conf"), F.max_by(F.struct("label", F.col("start_us").alias("s"), F.col("end_us").alias("e"), window(True).alias("w")), leads).alias("_first"))
+    others = found.join(first.select(*by, F.col("_first.s").alias("_s")), by).where((F.col("start_us") != F.col("_s")) & (F.col("conf") >= strong))
+    number = F.row_number().over(Window.partitionBy(*by).orderBy("start_us"))
+    others = others.withColumn("_n", number).where(F.col("_n") <= most).groupBy(*by).agg(F.collect_list(window(False)).alias("_others"))  # at most ``most``
+    rows = first.join(others, by, "left").withColumn("_others", F.coalesce("_others", F.expr(f"cast(array() as {WINDOWS})")))
+    is_chance = F.col("_first.label") == "scoring_chance"
+    rows = rows.withColumn("_all", united(F.when(is_chance, F.concat(F.array("_first.w"), "_others")).otherwise(F.col("_others")), slack))
+    own = F.get(F.filter("_all", lambda w: w["p"]), F.lit(0))
+    extras = F.transform(F.filter("_all", lambda w: ~w["p"]), lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), w["c"].alias("c")))
+    return rows.select(*by, F.col("_first.label").alias("label"), "conf", F.col("_first.s").alias("window_start_us"), F.col("_first.e").alias("window_end_us"), own["s"].alias("trim_start_us"), own["e"].alias("trim_end_us"), extras.alias("extras"))

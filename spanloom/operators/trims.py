@@ -48,15 +48,8 @@ def chance_trim(duration: Column, window_start: Column, window_end: Column, peak
 def leads(df: DataFrame, primary: tuple[str, str, str], extras: str, slack: int) -> DataFrame:
     """One row for each merged window of a segment's own and its extra trims: number, start_us, end_us, conf (its own where it holds the primary)."""
     own = F.struct(F.col(primary[0]).alias("s"), F.col(primary[1]).alias("e"), F.col(primary[2]).alias("c"), F.lit(True).alias("p"))
-    every = F.array_sort(F.concat(F.array(own), F.transform(extras, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["c"].alias("c"), F.lit(False).alias("p")))))
-    none = F.expr("cast(array() as array<struct<s:bigint,e:bigint,c:double,p:boolean>>)")
-
-    def join(done: Column, w: Column) -> Column:
-        last = F.element_at(done, -1)
-        both = F.struct(last["s"].alias("s"), F.greatest(last["e"], w["e"]).alias("e"), F.greatest(last["c"], w["c"]).alias("c"), (last["p"] | w["p"]).alias("p"))
-        return F.when((F.size(done) > 0) & (w["s"] <= last["e"] + slack), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(done, F.array(w)))
-
-    rows = df.select("*", F.posexplode(F.reduce(every, none, join)).alias("number", "w"))
+    every = F.concat(F.array(own), F.transform(extras, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["c"].alias("c"), F.lit(False).alias("p"))))
+    rows = df.select("*", F.posexplode(iv.united(every, slack)).alias("number", "w"))
     return rows.withColumn("start_us", F.col("w.s")).withColumn("end_us", F.col("w.e")).withColumn("conf", F.when(F.col("w.p"), F.col(primary[2])).otherwise(F.col("w.c"))).drop("w")
 
 

@@ -46,6 +46,12 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("end_us", F.col("start_us") + F.col("dur_us"))
 
 
+def width() -> Column:
+    """Two to ten seconds, for windows of unequal length."""
+    return (2 + 2 * (F.col("event_id") % 5)) * S
+
+
+WIDTH = f"((2 + 2 * (event_id % 5)) * {S})"
 HIT = """hit AS (SELECT user_id AS clip_id, event_id, epoch_us(ts) AS t_us, CASE event_type WHEN 'purchase' THEN 'goal' WHEN 'click' THEN 'scoring_chance'
   WHEN 'view' THEN 'goal_replay' WHEN 'signup' THEN 'faceoff_cutscene' WHEN 'error' THEN 'other' END AS label, least(value, 100.0) / 100 AS conf, value, props FROM events)"""
 SEG = f"""{HIT}, sq AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY t_us, event_id) - 1 AS seq,

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import events as ev
-from .base import HIT, SEG, S, hits, segments
+from ..operators.scans import PART
+from .base import HIT, SEG, WIDTH, S, hits, segments, width
 
 DAY = 24 * S
 
@@ -43,8 +44,9 @@ def throttle_keyed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each hit as a window of four seconds."""
-    return hits(spark, sf_dir).select("clip_id", F.col("t_us").alias("s"), (F.col("t_us") + 4 * S).alias("e"), "conf", (F.col("label") == "goal").alias("primary"))
+    """Each hit as a window of two to ten seconds."""
+    rows = hits(spark, sf_dir)
+    return rows.select("clip_id", F.col("t_us").alias("s"), (F.col("t_us") + width()).alias("e"), "conf", (F.col("label") == "goal").alias("primary"), *[c for c in (PART,) if c in rows.columns])
 
 
 def interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,14 +104,15 @@ ORACLES = {
       UNION ALL SELECT b.clip_id, b.n, b.t_us, b.event_id, b.label, CASE WHEN b.label <> a.kept_label OR b.t_us - a.kept > {15 * S} THEN b.t_us ELSE a.kept END,
         CASE WHEN b.label <> a.kept_label OR b.t_us - a.kept > {15 * S} THEN b.label ELSE a.kept_label END, b.label <> a.kept_label OR b.t_us - a.kept > {15 * S}
       FROM walk a JOIN num b ON a.clip_id = b.clip_id AND b.n = a.n + 1) SELECT clip_id, t_us, event_id, label FROM walk WHERE keep""",
-    "interval_union": f"""WITH {HIT}, w AS (SELECT clip_id, t_us AS s, t_us + {4 * S} AS e, conf, label = 'goal' AS p FROM hit),
+    "interval_union": f"""WITH {HIT}, w AS (SELECT clip_id, t_us AS s, t_us + {WIDTH} AS e, conf, label = 'goal' AS p FROM hit),
       m AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY clip_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {S} THEN 1 ELSE 0 END AS new FROM w),
       i AS (SELECT *, sum(new) OVER (PARTITION BY clip_id ORDER BY s, e ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM m)
       SELECT clip_id, island, min(s) AS start_us, max(e) AS end_us, max(conf) AS conf, bool_or(p)::INT AS "primary" FROM i GROUP BY clip_id, island""",
-    "capped_clusters": f"""WITH RECURSIVE {HIT}, {_NUM}, walk AS (SELECT clip_id, n, 1 AS g, t_us AS s, t_us + {4 * S} AS e, conf AS c, t_us AS p FROM num WHERE n = 1
-      UNION ALL SELECT b.clip_id, b.n, a.g + (NOT j)::INT, CASE WHEN j THEN a.s ELSE b.t_us END, b.t_us + {4 * S}, CASE WHEN j AND NOT b.conf > a.c THEN a.c ELSE b.conf END, CASE WHEN j AND NOT b.conf > a.c THEN a.p ELSE b.t_us END
-      FROM (SELECT a.*, b.t_us - a.e <= {4 * S} AND b.t_us + {4 * S} - a.s <= {20 * S} AS j FROM walk a JOIN num b ON a.clip_id = b.clip_id AND b.n = a.n + 1) a JOIN num b ON a.clip_id = b.clip_id AND b.n = a.n + 1)
-      SELECT clip_id, s AS start_us, e AS end_us, c AS conf, p AS peak_start_us, p + {4 * S} AS peak_end_us FROM walk QUALIFY row_number() OVER (PARTITION BY clip_id, g ORDER BY n DESC) = 1""",
+    "capped_clusters": f"""WITH RECURSIVE {HIT}, w AS (SELECT clip_id, t_us AS s, t_us + {WIDTH} AS e, conf, row_number() OVER (PARTITION BY clip_id ORDER BY t_us, {WIDTH}) AS n FROM hit),
+      walk AS (SELECT clip_id, n, 1 AS g, s, e, conf AS c, s AS p, e AS q FROM w WHERE n = 1
+      UNION ALL SELECT clip_id, n + 1, g + (NOT j)::INT, CASE WHEN j THEN s ELSE bs END, CASE WHEN j THEN greatest(e, be) ELSE be END, CASE WHEN j AND NOT bc > c THEN c ELSE bc END, CASE WHEN j AND NOT bc > c THEN p ELSE bs END, CASE WHEN j AND NOT bc > c THEN q ELSE be END
+      FROM (SELECT a.*, b.s AS bs, b.e AS be, b.conf AS bc, b.s - a.e <= {4 * S} AND greatest(a.e, b.e) - a.s <= {20 * S} AS j FROM walk a JOIN w b ON a.clip_id = b.clip_id AND b.n = a.n + 1))
+      SELECT clip_id, s AS start_us, e AS end_us, c AS conf, p AS peak_start_us, q AS peak_end_us FROM walk QUALIFY row_number() OVER (PARTITION BY clip_id, g ORDER BY n DESC) = 1""",
     "fold_or_abut": f"""WITH RECURSIVE {HIT}, {_NUM}, walk AS (SELECT clip_id, n, 1 AS g, t_us - {5 * S} AS s, t_us + {3 * S} AS e FROM num WHERE n = 1
       UNION ALL SELECT clip_id, n + 1, CASE WHEN mode IN ('new', 'abut') THEN g + 1 ELSE g END, CASE mode WHEN 'new' THEN bs WHEN 'abut' THEN e ELSE s END, CASE mode WHEN 'skip' THEN e ELSE be END
       FROM (SELECT a.*, b.t_us - {5 * S} AS bs, b.t_us + {3 * S} AS be, CASE WHEN b.t_us - {5 * S} > a.e THEN 'new' WHEN b.t_us + {3 * S} - a.s <= {20 * S} THEN 'grow' WHEN b.t_us + {3 * S} - a.e < {S} THEN 'skip' ELSE 'abut' END AS mode

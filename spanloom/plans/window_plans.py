@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as ag
+from ..operators import assembly as asm
 from ..operators import curation as cu
 from ..operators import events as ev
 from ..operators import intervals as iv
 from ..operators import joins as jn
 from ..operators import rules as ru
 from ..operators import selection as sl
-from .base import HIT, SEG, S, hits, segments, table
+from ..operators.scans import last_before, scan
+from .base import HIT, SEG, WIDTH, S, hits, segments, table, width
 
 CLIP = ["clip_id"]
+SCENE = ["clip_id", "session"]
 
 
 def cap_pad_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,16 +35,29 @@ def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.sliding(segments(spark, sf_dir), "dur_us", 4 * S, 2 * S).select("clip_id", "seq", "w_start_us", "w_end_us")
 
 
+def _scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenes are sessions of hits; every hit is a window of two to ten seconds from its scene's start."""
+    h = ev.sessions(hits(spark, sf_dir), CLIP, "t_us", 24 * S).select(*SCENE, "t_us", (F.col("t_us") + width()).alias("e"), "label", "conf")
+    h = h.join(h.groupBy(*SCENE).agg(F.min("t_us").alias("t0"), (F.max("e") - F.min("t_us")).alias("dur")), SCENE)
+    return h.select(*SCENE, (F.col("t_us") - F.col("t0")).alias("s"), (F.col("e") - F.col("t0")).alias("e"), "label", "conf", "dur")
+
+
 def peak_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scenes are sessions of hits; every hit is a window of four seconds from its scene's start."""
-    scene = ["clip_id", "session"]
-    h = ev.sessions(hits(spark, sf_dir), CLIP, "t_us", 24 * S).select(*scene, "t_us", F.col("t_us").alias("s"), (F.col("t_us") + 4 * S).alias("e"), "label", "conf")
-    c = iv.scene_clusters(h, scene, "s", "e", "label", "conf", "t_us", 4 * S, 20 * S)
-    c = c.join(h.groupBy(*scene).agg(F.min("s").alias("t0"), (F.max("e") - F.min("s")).alias("dur")), scene)
-    here = lambda name: F.col(name) - F.col("t0")
-    t = iv.trim_of(here("start_us"), here("end_us"), here("peak_start_us"), here("peak_end_us"), F.col("dur"), 7 * S, 5 * S, 16 * S)
-    i = F.row_number().over(Window.partitionBy(*scene).orderBy("start_us")) - 1
-    return c.withColumn("t", t).withColumn("i", i.cast("long")).select(*scene, "i", "label", "conf", F.col("t.s").alias("trim_start_us"), F.col("t.e").alias("trim_end_us"))
+    """All clusters of each scene, padded and cut."""
+    h = _scenes(spark, sf_dir)
+    c = iv.scene_clusters(h, SCENE, "s", "e", "label", "conf", "s", 4 * S, 20 * S)
+    c = c.join(h.groupBy(*SCENE).agg(F.max("dur").alias("dur")), SCENE)
+    t = iv.trim_of(F.col("start_us"), F.col("end_us"), F.col("peak_start_us"), F.col("peak_end_us"), F.col("dur"), 7 * S, 5 * S, 16 * S)
+    i = F.row_number().over(Window.partitionBy(*SCENE).orderBy("start_us")) - 1
+    return c.withColumn("t", t).withColumn("i", i.cast("long")).select(*SCENE, "i", "label", "conf", F.col("t.s").alias("trim_start_us"), F.col("t.e").alias("trim_end_us"))
+
+
+def scene_trims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The primary window of each scene, number 0, and its extras."""
+    t = iv.scene_trims(_scenes(spark, sf_dir), SCENE, "s", "e", "label", "conf", "dur", 4 * S, 20 * S, 7 * S, 5 * S, 16 * S, S)
+    own = F.array(F.struct(F.col("trim_start_us").alias("s"), F.col("trim_end_us").alias("e"), F.col("conf").alias("c")))
+    rows = t.select(*SCENE, "label", "window_start_us", "window_end_us", F.posexplode(F.concat(own, "extras")).alias("number", "w"))
+    return rows.select(*SCENE, "label", "window_start_us", "window_end_us", F.col("number").cast("long").alias("number"), F.col("w.s").alias("start_us"), F.col("w.e").alias("end_us"), F.col("w.c").alias("conf"))
 
 
 def banner_override(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +72,27 @@ def gate_demote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def select_reel(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = segments(spark, sf_dir).where("conf >= 0.2")
-    return sl.select_capped(s, CLIP, "seq", (F.col("label") == "goal") & (F.col("conf") >= 0.5), F.col("label") == "error", "conf", 20, 4).select("clip_id", "seq", "label")
+    return sl.select_capped(s, CLIP, "seq", (F.col("label") == "goal") & (F.col("conf") >= 0.5), F.col("label") == "goal_replay", "conf", 36, 4).select("clip_id", "seq", "label")
+
+
+def _chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments with the flags and chains that groups are made from."""
+    s, e = segments(spark, sf_dir), F.col("event_id")
+    more = F.when((s["label"] == "faceoff_cutscene") & (e % 4 < 3), F.array(F.lit("hit_replay"), F.lit("celebration"), F.lit("save"))[(e % 4).cast("int")]).otherwise(F.col("label"))
+    rows = s.withColumn("label", more)
+    rows = scan(rows, CLIP, ["seq"], {"_goal": last_before(F.when(F.col("label") == "goal", F.col("seq"))), "_chance": last_before(F.when(F.col("label") == "scoring_chance", F.col("seq")))})
+    follows = F.col("label").isin("goal_replay", "celebration", "hit_replay") & (e % 3 > 0)
+    return rows.withColumns({
+        "intro": F.col("seq") == 0, "game_end": e % 41 == 0, "regulation_end": F.floor(F.col("t_us") / (40 * S)) % 9 == 4, "banner": e % 4 == 1, "inferred": e % 8 == 2,
+        "goal_seq": F.when(follows | ((F.col("label") == "goal") & (e % 6 == 0)), F.col("_goal")), "chance_seq": F.when(e % 5 == 0, F.col("_chance")), "n_leads": 1 + (e % 3 == 0).cast("int"),
+    })
+
+
+def reel_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of each clip's output, claims settled, capped, without menus in the regulation ends."""
+    s = _chained(spark, sf_dir)
+    groups = asm.claimed_groups(s, CLIP, "seq", 0.2, 0.1)
+    return asm.reel_groups(groups, CLIP, 24, 4, s.where(F.col("event_id") % 7 == 0).select("clip_id", "seq"))
 
 
 def reel_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,13 +188,14 @@ def class_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WIN = f"""num AS (SELECT *, row_number() OVER (PARTITION BY clip_id, session ORDER BY t_us, event_id) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY clip_id ORDER BY t_us ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM (SELECT *, CASE WHEN t_us - lag(t_us) OVER (PARTITION BY clip_id ORDER BY t_us) > {24 * S} THEN 1 ELSE 0 END AS new FROM hit))),
-  sc AS (SELECT clip_id, session, min(t_us) AS t0, max(t_us) - min(t_us) + {4 * S} AS dur, arg_max(label, (conf, -n)) FILTER (label <> 'other') AS bl, max(conf) FILTER (label <> 'other') AS bc FROM num GROUP BY ALL),
-  pool AS (SELECT n.clip_id, n.session, n.t_us - s.t0 AS s, n.t_us - s.t0 + {4 * S} AS e, n.conf, s.dur, s.bl, row_number() OVER (PARTITION BY n.clip_id, n.session ORDER BY n.n) AS k FROM num n JOIN sc s USING (clip_id, session) WHERE n.label <> 'other' AND (n.label = s.bl OR n.label = 'scoring_chance') AND n.conf >= least(0.45, s.bc - 0.20)),
-  walk AS (SELECT clip_id, session, dur, bl, k, 0 AS i, s, e, conf, s AS ps FROM pool WHERE k = 1
-    UNION ALL SELECT clip_id, session, dur, bl, k + 1, CASE WHEN j THEN i ELSE i + 1 END, CASE WHEN j THEN s ELSE bs END, be, CASE WHEN j THEN greatest(conf, bconf) ELSE bconf END, CASE WHEN j AND NOT bconf > conf THEN ps ELSE bs END
+  sc AS (SELECT clip_id, session, min(t_us) AS t0, max(t_us + {WIDTH}) - min(t_us) AS dur, arg_max(label, ((label <> 'other')::INT, conf, -n)) AS bl, arg_max(conf, ((label <> 'other')::INT, conf, -n)) AS bc FROM num GROUP BY ALL),
+  pool AS (SELECT n.clip_id, n.session, n.t_us - s.t0 AS s, n.t_us - s.t0 + {WIDTH} AS e, n.conf, s.dur, s.bl, row_number() OVER (PARTITION BY n.clip_id, n.session ORDER BY n.t_us, {WIDTH}) AS k FROM num n JOIN sc s USING (clip_id, session) WHERE (n.label = s.bl OR n.label = 'scoring_chance') AND n.conf >= least(0.45, s.bc - 0.20)),
+  walk AS (SELECT clip_id, session, dur, bl, k, 0 AS i, s, e, conf, s AS ps, e AS pe FROM pool WHERE k = 1
+    UNION ALL SELECT clip_id, session, dur, bl, k + 1, CASE WHEN j THEN i ELSE i + 1 END, CASE WHEN j THEN s ELSE bs END, CASE WHEN j THEN greatest(e, be) ELSE be END, CASE WHEN j THEN greatest(conf, bconf) ELSE bconf END, CASE WHEN j AND NOT bconf > conf THEN ps ELSE bs END, CASE WHEN j AND NOT bconf > conf THEN pe ELSE be END
     FROM (SELECT w.*, b.s AS bs, b.e AS be, b.conf AS bconf, b.s - w.e <= {4 * S} AND greatest(w.e, b.e) - w.s <= {20 * S} AS j FROM walk w JOIN pool b ON b.clip_id = w.clip_id AND b.session = w.session AND b.k = w.k + 1)),
   cl AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY clip_id, session, i ORDER BY k DESC) = 1),
-  pd AS (SELECT *, greatest(0, s - {7 * S}) AS a, least(dur, e + {5 * S}) AS b, ps + {2 * S} AS c FROM cl)"""
+  pd AS (SELECT *, greatest(0, s - {7 * S}) AS a, least(dur, e + {5 * S}) AS b, (ps + pe) // 2 AS c FROM cl),
+  tr AS (SELECT *, CASE WHEN b - a <= {16 * S} THEN a ELSE greatest(a, least(c - {8 * S}, b - {16 * S})) END AS ts, CASE WHEN b - a <= {16 * S} THEN b ELSE greatest(a, least(c - {8 * S}, b - {16 * S})) + {16 * S} END AS te FROM pd)"""
 _KEY = "(doc_id * 2654435761 + 42) % 4294967296"
 
 ORACLES = {
@@ -170,12 +207,37 @@ ORACLES = {
       SELECT clip_id, seq, a AS pad_start_us, b AS pad_end_us, s AS cap_start_us, CASE WHEN b - a <= {16 * S} THEN b ELSE s + {16 * S} END AS cap_end_us FROM k""",
     "split_long": f"WITH {SEG}, n AS (SELECT *, greatest(1, ceil(dur_us / {10 * S}))::BIGINT AS n FROM seg), x AS (SELECT *, unnest(range(0, n)) AS part FROM n) SELECT clip_id, seq, part, start_us + dur_us // n * part AS part_start_us, CASE WHEN part = n - 1 THEN dur_us - dur_us // n * (n - 1) ELSE dur_us // n END AS part_us FROM x",
     "sliding_windows": f"WITH {SEG}, x AS (SELECT *, unnest(range(0, CASE WHEN dur_us <= {4 * S} THEN 1 ELSE ceil((dur_us - {4 * S}) / {2 * S})::BIGINT + 1 END)) AS i FROM seg WHERE dur_us > 0) SELECT clip_id, seq, i * {2 * S} AS w_start_us, least(i * {2 * S} + {4 * S}, dur_us) AS w_end_us FROM x",
-    "peak_windows": f"WITH RECURSIVE {HIT}, {_WIN} SELECT clip_id, session, i::BIGINT AS i, bl AS label, conf, CASE WHEN b - a <= {16 * S} THEN a ELSE greatest(a, least(c - {8 * S}, b - {16 * S})) END AS trim_start_us, CASE WHEN b - a <= {16 * S} THEN b ELSE greatest(a, least(c - {8 * S}, b - {16 * S})) + {16 * S} END AS trim_end_us FROM pd",
+    "peak_windows": f"WITH RECURSIVE {HIT}, {_WIN} SELECT clip_id, session, i::BIGINT AS i, bl AS label, conf, ts AS trim_start_us, te AS trim_end_us FROM tr",
+    "scene_trims": f"""WITH RECURSIVE {HIT}, {_WIN}, o AS (SELECT *, i = CASE WHEN bl = 'scoring_chance' THEN 0 ELSE arg_max(i, (conf, -i)) OVER (PARTITION BY clip_id, session) END AS p, max(conf) OVER (PARTITION BY clip_id, session) AS top FROM tr),
+      x AS (SELECT * FROM o WHERE NOT p AND conf >= 0.60 QUALIFY row_number() OVER (PARTITION BY clip_id, session ORDER BY i) <= 2), u AS (SELECT * FROM x UNION ALL SELECT * FROM o WHERE p AND bl = 'scoring_chance'),
+      m AS (SELECT *, sum(new) OVER (PARTITION BY clip_id, session ORDER BY ts, te, conf, p ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN ts > max(te) OVER (PARTITION BY clip_id, session ORDER BY ts, te, conf, p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {S} THEN 1 ELSE 0 END AS new FROM u)),
+      g AS (SELECT clip_id, session, g, min(ts) AS ts, max(te) AS te, max(conf) AS conf, bool_or(p) AS p FROM m GROUP BY ALL),
+      e AS (SELECT clip_id, session, row_number() OVER (PARTITION BY clip_id, session ORDER BY ts) AS number, ts, te, conf FROM g WHERE NOT p),
+      q AS (SELECT clip_id, session, bl, s, e, top FROM o WHERE p)
+      SELECT q.clip_id, q.session, bl AS label, s AS window_start_us, q.e AS window_end_us, 0::BIGINT AS number, g.ts AS start_us, g.te AS end_us, top AS conf FROM q LEFT JOIN g ON g.clip_id = q.clip_id AND g.session = q.session AND g.p
+      UNION ALL SELECT q.clip_id, q.session, bl, s, q.e, number, e.ts, e.te, e.conf FROM q JOIN e USING (clip_id, session)""",
     "banner_override": f"WITH {SEG} SELECT clip_id, seq, CASE WHEN value > 70 THEN 'goal' WHEN label = 'goal' THEN 'other' ELSE label END AS label, CASE WHEN value > 70 THEN 1.0 ELSE conf END AS conf, (NOT value > 70 AND label = 'goal' AND conf >= 0.5)::INT AS rescue FROM seg",
     "gate_demote": f"WITH {HIT} SELECT event_id, CASE WHEN label = 'goal_replay' AND conf < 0.4 THEN 'other_replay' ELSE label END AS label, (label = 'goal_replay' AND conf < 0.4)::INT AS demoted FROM hit",
-    "select_reel": f"""WITH {SEG}, c AS (SELECT *, CASE WHEN label = 'goal' AND conf >= 0.5 THEN 0 WHEN label = 'error' THEN 2 ELSE 1 END AS k FROM seg WHERE conf >= 0.2),
-      r AS (SELECT *, greatest(20 - count(*) FILTER (k = 0) OVER (PARTITION BY clip_id), 0) AS room, count(*) FILTER (k = 1) OVER (PARTITION BY clip_id) AS others, row_number() OVER (PARTITION BY clip_id, k ORDER BY seq) AS f, row_number() OVER (PARTITION BY clip_id, k ORDER BY conf DESC, seq) AS b FROM c)
+    "select_reel": f"""WITH {SEG}, c AS (SELECT *, CASE WHEN label = 'goal' AND conf >= 0.5 THEN 0 WHEN label = 'goal_replay' THEN 2 ELSE 1 END AS k FROM seg WHERE conf >= 0.2),
+      r AS (SELECT *, greatest(36 - count(*) FILTER (k = 0) OVER (PARTITION BY clip_id), 0) AS room, count(*) FILTER (k = 1) OVER (PARTITION BY clip_id) AS others, row_number() OVER (PARTITION BY clip_id, k ORDER BY seq) AS f, row_number() OVER (PARTITION BY clip_id, k ORDER BY conf DESC, seq) AS b FROM c)
       SELECT clip_id, seq, label FROM r WHERE k = 0 OR (k = 1 AND f <= room) OR (k = 2 AND b <= least(greatest(room - others, 0), 4))""",
+    "reel_groups": f"""WITH RECURSIVE {SEG}, l AS (SELECT *, CASE WHEN label = 'faceoff_cutscene' AND event_id % 4 < 3 THEN (['hit_replay', 'celebration', 'save'])[event_id % 4 + 1] ELSE label END AS k FROM seg),
+      b AS (SELECT *, max(CASE WHEN k = 'goal' THEN seq END) OVER w AS pg, max(CASE WHEN k = 'scoring_chance' THEN seq END) OVER w AS pc FROM l WINDOW w AS (PARTITION BY clip_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+      r AS (SELECT clip_id, event_id, seq, k, conf, seq = 0 AS intro, event_id % 41 = 0 AS fin, (t_us // {40 * S}) % 9 = 4 AS reg, event_id % 4 = 1 OR event_id % 8 = 2 AS exempt, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS leads, event_id % 7 = 0 AS menu,
+        CASE WHEN (k IN ('goal_replay', 'celebration', 'hit_replay') AND event_id % 3 > 0) OR (k = 'goal' AND event_id % 6 = 0) THEN pg END AS gs, CASE WHEN event_id % 5 = 0 THEN pc END AS cs,
+        conf >= CASE WHEN k = 'scoring_chance' THEN 0.1 ELSE 0.2 END AND k <> 'other' AND k <> 'faceoff_cutscene' AS ok FROM b),
+      walk AS (SELECT clip_id, -1::BIGINT AS seq, []::BIGINT[] AS goals, []::BIGINT[] AS chances, NULL::BIGINT AS run, false AS cg, false AS cc, false AS own FROM (SELECT DISTINCT clip_id FROM r)
+        UNION ALL SELECT clip_id, seq, CASE WHEN own AND NOT reg AND k = 'goal' THEN list_append(goals, seq) ELSE goals END, CASE WHEN own AND NOT reg AND k = 'scoring_chance' THEN list_append(chances, seq) ELSE chances END, CASE WHEN free AND reg THEN coalesce(run, seq) END, cg, cc, own
+        FROM (SELECT *, free AND (reg OR (ok AND k NOT IN ('celebration', 'goal_replay'))) AS own FROM (SELECT *, NOT (intro OR fin OR cg OR cc) AS free FROM (SELECT r.*, w.goals, w.chances, w.run, coalesce(list_contains(w.goals, r.gs) AND r.seq - r.gs <= 16, false) AS cg, coalesce(list_contains(w.chances, r.cs) AND r.seq - r.cs <= 9, false) AS cc FROM walk w JOIN r ON r.clip_id = w.clip_id AND r.seq = w.seq + 1)))),
+      m AS (SELECT r.*, w.run, w.cg, w.cc, w.own FROM walk w JOIN r USING (clip_id, seq)),
+      led AS (SELECT clip_id, seq AS lead, unnest(range(0, CASE WHEN k = 'scoring_chance' THEN leads ELSE 1 END)) AS no, CASE WHEN exempt THEN 0 WHEN k = 'hit_replay' THEN 2 ELSE 1 END AS c, conf FROM m WHERE own AND NOT reg),
+      rk AS (SELECT *, greatest(24 - count(*) FILTER (c = 0) OVER (PARTITION BY clip_id), 0) AS room, count(*) FILTER (c = 1) OVER (PARTITION BY clip_id) AS others, row_number() OVER (PARTITION BY clip_id, c ORDER BY lead, no) AS f, row_number() OVER (PARTITION BY clip_id, c ORDER BY conf DESC, lead, no) AS h FROM led),
+      kept AS (SELECT clip_id, lead, no FROM rk WHERE c = 0 OR (c = 1 AND f <= room) OR (c = 2 AND h <= least(greatest(room - others, 0), 4))),
+      e AS (SELECT kept.clip_id, lead, no, lead AS seq, CASE k WHEN 'goal' THEN 'goal' WHEN 'scoring_chance' THEN 'chance' WHEN 'hit_replay' THEN 'hit' ELSE 'single' END AS kind FROM kept JOIN m ON m.clip_id = kept.clip_id AND m.seq = kept.lead
+        UNION ALL SELECT f.clip_id, f.gs, 0, f.seq, 'goal' FROM m f JOIN kept ON kept.clip_id = f.clip_id AND kept.lead = f.gs AND f.cg
+        UNION ALL SELECT f.clip_id, f.cs, l.leads - 1, f.seq, 'chance' FROM m f JOIN m l ON l.clip_id = f.clip_id AND l.seq = f.cs AND f.cc JOIN kept ON kept.clip_id = f.clip_id AND kept.lead = f.cs AND kept.no = l.leads - 1),
+      a AS (SELECT *, 1 AS section FROM e UNION ALL SELECT clip_id, run, 0, seq, 'regulation', 1 FROM m WHERE run IS NOT NULL AND NOT menu UNION ALL SELECT clip_id, NULL, 0, seq, 'intro', 0 FROM m WHERE intro UNION ALL SELECT clip_id, NULL, 0, seq, 'game_end', 2 FROM m WHERE fin)
+      SELECT clip_id, dense_rank() OVER (PARTITION BY clip_id ORDER BY section, lead, no) AS pos, row_number() OVER (PARTITION BY clip_id, section, lead, no ORDER BY seq) AS place, seq, no::BIGINT AS lead_no, kind FROM a""",
     "reel_timeline": f"""WITH {SEG}, r AS (SELECT clip_id, seq, dur_us, row_number() OVER w AS pos, coalesce(sum(dur_us) OVER (PARTITION BY clip_id ORDER BY k, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM (SELECT *, CASE label WHEN 'faceoff_cutscene' THEN 0 WHEN 'other' THEN 2 ELSE 1 END AS k FROM seg WHERE conf >= 0.3 AND dur_us > 0) WINDOW w AS (PARTITION BY clip_id ORDER BY k, seq))
       SELECT clip_id, pos, seq, a AS out_start_us, least(a + dur_us, {900 * S}) AS out_end_us FROM r WHERE a < {900 * S}""",
     "ot_evidence": f"WITH {HIT}, g AS (SELECT clip_id, (t_us // {168 * S}) % 6 AS period, bool_or(label = 'faceoff_cutscene') AS c, count(*) FILTER (label = 'goal' AND conf >= 0.5) AS goals, count(*) FILTER (label = 'scoring_chance' AND conf >= 0.5) AS chances FROM hit GROUP BY ALL) SELECT clip_id, period, goals, chances, (c OR goals >= 1 OR chances >= 2)::INT AS confirmed FROM g",
