@@ -151,6 +151,7 @@ def _sent(n_shards: int, spread: np.ndarray):
                 ]
                 data, size = _press(arrays)
                 yield record_batch(_SENT, [shard], [number], [data], [size])
+            del block, learn, count, pairs, triples, first, arrays  # before the next block is built
 
     return run
 
