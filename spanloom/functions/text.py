@@ -56,7 +56,7 @@ def clean_numeric(value: Column, column: Column) -> Column:
     """A numeric cell: O and o are 0, I and l are 1; ``-`` where no number is left, empty where nothing was read."""
     v = F.translate(value, "OoIl", "0011")
     zeros = F.translate(value, "Oo", "00")
-    share = F.when(zeros.startswith("-"), F.concat(F.lit("."), F.substring(zeros, 2, 1_000))).when(zeros.rlike(r"^\d"), F.concat(F.lit("."), zeros)).otherwise(zeros)
+    share = F.when(zeros.startswith("-"), F.concat(F.lit("."), F.substr(zeros, F.lit(2)))).when(zeros.rlike(r"^\d"), F.concat(F.lit("."), zeros)).otherwise(zeros)
     digits = F.regexp_replace(v, r"\D", "")
     minutes = F.when(v.rlike(r"^\d{1,2}:\d{2}$"), v).when(F.length(digits) == 4, F.concat(F.substring(digits, 1, 2), F.lit(":"), F.substring(digits, 3, 2))).otherwise("-")
     plain = F.when(v.rlike(r"^-?\d+(\.\d+)?$"), v).otherwise("-")

@@ -86,10 +86,16 @@ def widths(df: DataFrame, by: list[str], columns: dict[str, str]) -> DataFrame:
     return df.groupBy(*by).agg(*(F.max(F.length(F.col(c).cast("string"))).cast("long").alias(name) for c, name in columns.items()))
 
 
+def surname(name: Column) -> Column:
+    """The last word of a name, if it is letters only, three at least."""
+    last = F.element_at(F.split(F.trim(name), r"\s+"), -1)
+    return F.when(last.rlike(r"^\p{L}{3,}$"), last)
+
+
 def surnames(df: DataFrame, by: list[str], name: str) -> DataFrame:
     """The different last words of names that are letters only, three at least, as one sorted array of each group: names."""
-    last = F.element_at(F.split(F.trim(name), r"\s+"), -1).alias("_w")
-    return df.select(*by, last).where(F.col("_w").rlike(r"^\p{L}{3,}$")).groupBy(*by).agg(F.array_sort(F.collect_set("_w")).alias("names"))
+    last = surname(F.col(name)).alias("_w")
+    return df.select(*by, last).where("_w is not null").groupBy(*by).agg(F.array_sort(F.collect_set("_w")).alias("names"))
 
 
 def f1_scores(df: DataFrame, truth: str, guess: str) -> DataFrame:

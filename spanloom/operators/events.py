@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .folds import Step, ordered_fold
-from .scans import PART, lag, last_before, max_before, running_sum, scan, whole_max
+from .scans import PART, lag, last_before, max_before, running_sum, scan, split, whole_max
 
 
 def _w(by: list[str], *order: str | Column):
@@ -70,7 +70,7 @@ def _apart(df: DataFrame, by: list[str], start: str, end: str, slack: int, name:
 
 def _only(df: DataFrame, *columns: str) -> DataFrame:
     """These columns, and the number of the range where there is one."""
-    return df.select(*columns, *[c for c in (PART,) if c in df.columns])
+    return df.select(*columns, *split(df))
 
 
 class _Capped(Step):

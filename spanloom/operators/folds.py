@@ -14,13 +14,10 @@ from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-#: Rows of one group that a task of :func:`chunked_fold` takes.
-CHUNK_ROWS = 50_000
-
+from .scans import PART
 
 class Step:
     """One group's fold: ``row`` gets a row's columns but those of ``by``, as a tuple; ``row`` and ``end`` give the rows to send on."""
@@ -83,12 +80,13 @@ class Trial(Step):
 class _Walk(Step):
     """The state that each chunk starts in; one that a chunk doesn't list goes through it unchanged."""
 
-    def __init__(self):
-        self.state = None
+    def __init__(self, other: object):
+        self.state, self.other = None, other
 
     def row(self, row):
         chunk, starts, ends = row
-        before, self.state = self.state, dict(zip(starts, ends, strict=True)).get(self.state, self.state)
+        become = dict(zip(starts, ends, strict=True))
+        before, self.state = self.state, become.get(self.state, self.state if self.other is None else become.get(self.other))
         return ((chunk, before),)
 
 
@@ -104,19 +102,21 @@ class _From(Step):
         return self.step.row(row[:-1])
 
 
-def chunked_fold(df: DataFrame, by: list[str], seq: str, make: Callable[[object], Step], trial: Callable[[], Step], kind: str, schema: str, rows: int | None = None) -> DataFrame:
-    """An ordered fold by ``seq`` (places from 0 on) of steps whose ``state`` is one value of the SQL type ``kind``, None at a group's start.
+def chunked_fold(df: DataFrame, by: list[str], seq: str, make: Callable[[object], Step], trial: Callable[[], Step], kind: str, schema: str, other: object = None) -> DataFrame:
+    """An ordered fold by ``seq`` of steps whose ``state`` is one value of the SQL type ``kind``, None at a group's start.
 
-    Groups of more than ``rows`` rows are cut in chunks. ``trial`` folds a chunk into
-    the states that change in it and what each becomes (a row of two arrays); this is
-    done for all chunks at once. Then it is known what each starts in, and they are
-    folded side by side. A step's ``end`` is not called.
+    Without a column ``PART`` (see ``scans``) groups are short and folded as they are.
+    With it its ranges are folded side by side: ``trial`` folds a range into the states
+    that change in it and what each becomes (a row of two arrays), for all ranges at
+    once; then it is known what each starts in. A state that a range doesn't list goes
+    through it unchanged, or, with ``other``, as that state does. A step's ``end`` is
+    not called.
     """
-    rows = rows or CHUNK_ROWS
-    part = df.withColumn("_chunk", F.floor(F.col(seq) / rows))
-    # A row for each group with a place beyond ``rows``, and one for each chunk of those: few.
-    long = df.groupBy(*by).agg(F.floor(F.max(seq) / rows).alias("_last")).where("_last > 0")
-    tried = part.join(F.broadcast(long), by).drop("_last")
-    maps = ordered_fold(tried, [*by, "_chunk"], [seq], trial, f"starts array<{kind}>, ends array<{kind}>")
-    starts = ordered_fold(maps, by, ["_chunk"], _Walk, f"_chunk long, _state {kind}")
-    return ordered_fold(part.join(F.broadcast(starts), [*by, "_chunk"], "left"), [*by, "_chunk"], [seq], lambda: _From(make), schema).drop("_chunk")
+    if PART not in df.columns:
+        return ordered_fold(df, by, [seq], lambda: make(None), schema)
+    part = df.withColumnRenamed(PART, "_chunk")
+    # Groups of one range only have nothing to try. A row for each of the others, and one for each of their ranges; joined as their sizes turn out.
+    long = part.where("_chunk > 0").select(*by).distinct()
+    maps = ordered_fold(part.join(long, by, "left_semi"), [*by, "_chunk"], [seq], trial, f"starts array<{kind}>, ends array<{kind}>")
+    starts = ordered_fold(maps, by, ["_chunk"], lambda: _Walk(other), f"_chunk long, _state {kind}")
+    return ordered_fold(part.join(starts, [*by, "_chunk"], "left"), [*by, "_chunk"], [seq], lambda: _From(make), schema).drop("_chunk")

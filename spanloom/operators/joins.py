@@ -10,6 +10,7 @@ import difflib
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -110,20 +111,46 @@ def nearest_centre(rows: DataFrame, value: str, centres: list[float], name: str)
     return rows.withColumn(name, F.when(F.col(value).isNotNull(), best))
 
 
-def _fuzzy_tokens(least: float):
-    """Column function: the characters (with their number among equal ones) of which one at least is shared with any text whose ratio is ``least`` or more."""
+#: Most frequent characters whose counts order the tokens; all others count as rarest.
+COUNTED_TOKENS = 10_000
 
-    def run(texts: pd.Series) -> pd.Series:
-        def prefix(text: str) -> list[str]:
-            seen: Counter = Counter()
-            tokens = []
-            for c in text:
-                seen[c] += 1
-                tokens.append((seen[c], c))
-            shared = math.ceil(len(tokens) * least / (2 - least) - 1e-9)  # with the shortest partner that can do
-            return [f"{n}{c}" for n, c in sorted(tokens, reverse=True)[: len(tokens) - shared + 1]]
 
-        return texts.map(prefix)
+def _tokens(text: str) -> list[str]:
+    """Characters with their number among equal ones: two texts share as many tokens as characters."""
+    seen: Counter = Counter()
+    out = []
+    for c in text:
+        seen[c] += 1
+        out.append(f"{seen[c]}{c}")
+    return out
+
+
+def _fuzzy_keys(least: float, often: dict[str, int], first: bool):
+    """Column function: keys of which any two texts whose ratio may reach ``least`` have one in common.
+
+    A key holds both texts' lengths and two tokens. For each length that a partner may
+    have it is known how many tokens the two must share, so all but that many (less
+    two) of a text's rarest tokens can't be missing from both: some two of those are
+    shared. Where one shared token is enough, a key holds one. ``first`` is the side
+    whose length comes first.
+    """
+
+    def run(texts: pd.Series) -> pd.Series:
+        def keys(text: str) -> list[str]:
+            own = sorted(_tokens(text), key=lambda t: (often.get(t, 0), t))
+            n, out = len(own), []
+            for other in range(math.ceil(n * least / (2 - least) - 1e-9), math.floor(n * (2 - least) / least + 1e-9) + 1):
+                shared = math.ceil((n + other) * least / 2 - 1e-9)
+                if not 1 <= shared <= min(n, other):
+                    continue
+                lengths = f"{n},{other}" if first else f"{other},{n}"
+                if shared == 1:
+                    out += [f"{lengths}|{t}" for t in own]
+                else:
+                    out += [f"{lengths}|{a}|{b}" for a, b in combinations(own[: n - shared + 2], 2)]
+            return out
+
+        return texts.map(keys)
 
     return F.pandas_udf(run, "array<string>")
 
@@ -133,13 +160,16 @@ def fuzzy(rows: DataFrame, key: str, name: str, roster: DataFrame, entry: str, l
 
     Case counts. The ratio takes the entry first and the name second (it is not
     symmetric). It is bounded by the characters that two texts share and by their
-    lengths, so candidates share one of the few characters that can't all be missing
-    (a prefix filter): no pair is lost, and different names are compared once.
+    lengths, so candidates share two of their rarest characters that can't all be
+    missing (a prefix filter): no pair is lost, and different names are compared once.
     """
     names = rows.select(key, name).where(F.length(name) > 0)
-    tokens = _fuzzy_tokens(least)
-    each = lambda df, c: df.select(c).distinct().where(F.length(c) > 0).withColumn("_i", F.explode(tokens(c)))
-    pairs = each(names, name).join(each(roster, entry), "_i").where(F.abs(F.length(name) - F.length(entry)) <= F.greatest(F.length(name), F.length(entry)) * (2 * (1 - least))).drop("_i").distinct()
+    one, two = (df.select(c).distinct().where(F.length(c) > 0) for df, c in ((names, name), (roster, entry)))
+    tokens = F.pandas_udf(lambda texts: texts.map(_tokens), "array<string>")
+    counts = one.toDF("_t").unionByName(two.toDF("_t")).select(F.explode(tokens("_t")).alias("_i")).groupBy("_i").agg(F.count("*").alias("_n"))
+    often = {r["_i"]: r["_n"] for r in counts.orderBy(F.desc("_n"), "_i").limit(COUNTED_TOKENS).collect()}
+    left, right = one.withColumn("_i", F.explode(_fuzzy_keys(least, often, True)(name))), two.withColumn("_i", F.explode(_fuzzy_keys(least, often, False)(entry)))
+    pairs = left.join(right, "_i").select(name, entry).distinct()
     kinds = StructType([*pairs.schema.fields, StructField("ratio", DoubleType())])
     assert isinstance(kinds[name].dataType, StringType)
 

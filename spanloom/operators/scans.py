@@ -29,6 +29,11 @@ MOST_RANGES = 4_096
 BROADCAST_CUTS = 1_000_000
 
 
+def split(df: DataFrame) -> list[str]:
+    """``PART``, if ``df`` has it: for selections that keep it."""
+    return [c for c in (PART,) if c in df.columns]
+
+
 def ranged(df: DataFrame, by: list[str], at: str, rows: int | None = None) -> DataFrame:
     """``df`` with ``PART``, if any group has more than ``rows`` rows; equal values of ``at`` stay together.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .folds import Step, Trial, chunked_fold, ordered_fold
-from .scans import PART, lag, last_before, lead, next_after, running_sum, scan, whole_max, whole_min
+from .scans import lag, last_before, lead, next_after, running_sum, scan, split, whole_max, whole_min
 
 NORMAL, INTERMISSION, REPLAY_TAIL = "normal", "intermission", "replay_tail"
 FACEOFFS = ("faceoff", "faceoff_cutscene")
@@ -96,7 +96,7 @@ def inferred_goals(df: DataFrame, by: list[str], seq: str, steps: int, least: fl
     start = F.col("_step") - F.when(F.col("_r") & F.coalesce("_after", F.lit(False)), 1).otherwise(0)
     rows = rows.withColumn("forward", F.coalesce((F.col("_found.k") == 1) & (F.col("_found.s") - start <= steps), F.lit(False)))
     candidate = ~F.col("banner") & ~F.col("starts") & ~F.col("period_end") & F.col("label").isin("scoring_chance", "other") & ((F.col("ml_label") == "goal") | ((F.col("ml_label") == "scoring_chance") & (F.col("conf") >= least)))
-    part = rows.withColumn("candidate", candidate).select(*by, F.col(seq).alias("seq"), "label", "banner", "starts", "period_end", "candidate", "forward")
+    part = rows.withColumn("candidate", candidate).select(*by, F.col(seq).alias("seq"), "label", "banner", "starts", "period_end", "candidate", "forward", *split(df))
     return chunked_fold(part, by, "seq", _Infer, lambda: Trial([NORMAL, INTERMISSION, REPLAY_TAIL], _Infer), "string", "seq long")
 
 
@@ -127,22 +127,23 @@ class _Periods(Step):
 
 def period_numbers(df: DataFrame, by: list[str], seq: str) -> DataFrame:
     """The period of every segment, from flags period_start, game_start, period_end, regulation_end and a declared number (or null). ``seq`` numbers each group's rows from 0."""
-    part = df.select(*by, F.col(seq).alias("seq"), "period_start", "game_start", "period_end", "regulation_end", "declared")
+    part = df.select(*by, F.col(seq).alias("seq"), "period_start", "game_start", "period_end", "regulation_end", "declared", *split(df))
     return chunked_fold(part, by, "seq", _Periods, lambda: Trial([1, 2, 3, 4], _Periods), "long", "seq long, period long")
 
 
 class _Counter(Step):
-    """A counter that only grows by small steps."""
+    """A counter that only grows by small steps, from its first value on."""
 
-    def __init__(self, most: int, state: int | None):
-        self.most, self.state = most, state
+    def __init__(self, state: int | None):
+        self.state = state
 
     def row(self, row):
-        seq, v, confirmed, first = row
-        if self.state is None:
+        seq, v, confirmed, first_seq, first, most = row
+        if seq == first_seq:
             self.state = first
+            return ((seq, v, None),)
         step = v - self.state
-        if confirmed and 1 <= step <= self.most:
+        if confirmed and 1 <= step <= most:
             self.state = v
             return ((seq, v, step),)
         return ()
@@ -151,15 +152,15 @@ class _Counter(Step):
 class _CounterTrial(Step):
     """What a chunk makes of every value that the counter may have before it: a reading moves on whoever stands just below it, and from then on those go together."""
 
-    def __init__(self, most: int):
-        self.most, self.at, self.moved = most, None, set()
+    def __init__(self):
+        self.at, self.moved = None, set()
 
     def row(self, row):
-        _, v, confirmed, first = row
+        seq, v, confirmed, first_seq, first, most = row
         if self.at is None:
             self.at = {first: [None]}
-        if confirmed:
-            for below in range(v - self.most, v):
+        if confirmed and seq != first_seq:
+            for below in range(v - most, v):
                 came = self.at.pop(below, [])
                 if below not in self.moved:
                     self.moved.add(below)
@@ -183,11 +184,17 @@ def counter_events(df: DataFrame, by: list[str], seq: str, value: str, most: int
     """
     rows = scan(df, by, [seq], {"_later": lead(value)})
     probe = F.coalesce((F.col("_later") >= F.col(value)) & (F.col("_later") <= F.col(value) + 1), F.lit(True))
-    part = rows.withColumn("confirmed", probe).select(*by, F.col(seq).alias("seq"), F.col(value).cast("long").alias("v"), "confirmed", *[c for c in (PART,) if c in df.columns]).where("v is not null")
+    return counter_rows(rows, by, seq, value, probe, most).where("step is not null")
+
+
+def counter_rows(df: DataFrame, by: list[str], seq: str, value: str, confirmed: Column, most: int | Column) -> DataFrame:
+    """seq, v and step of what a counter is believed to show: its first value (step is null), then confirmed increments."""
+    most = F.lit(most) if isinstance(most, int) else most
+    part = df.withColumn("confirmed", confirmed).withColumn("most", most.cast("long")).select(*by, F.col(seq).alias("seq"), F.col(value).cast("long").alias("v"), "confirmed", "most", *split(df)).where("v is not null")
     part = scan(part, by, ["seq"], {"_before": lag("v")}).withColumn("_again", F.when(F.col("v") == F.col("_before"), F.struct("seq", "v")))
-    part = scan(part, by, ["seq"], {"_first": whole_min("_again")}).where("seq > _first.seq")
-    part = part.select(*by, "seq", "v", "confirmed", F.col("_first.v").alias("first"))
-    return chunked_fold(part, by, "seq", lambda state: _Counter(most, state), lambda: _CounterTrial(most), "long", "seq long, v long, step long")
+    part = scan(part, by, ["seq"], {"_first": whole_min("_again")}).where("seq >= _first.seq")
+    part = part.select(*by, "seq", "v", "confirmed", F.col("_first.seq").alias("first_seq"), F.col("_first.v").alias("first"), "most", *split(df))
+    return chunked_fold(part, by, "seq", _Counter, _CounterTrial, "long", "seq long, v long, step long")
 
 
 def groups_of(df: DataFrame, by: list[str], seq: str, flag: Column, name: str = "run") -> DataFrame:

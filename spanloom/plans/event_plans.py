@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import events as ev
-from ..operators.scans import PART
+from ..operators.scans import split
 from .base import HIT, SEG, WIDTH, S, hits, segments, width
 
 DAY = 24 * S
@@ -46,7 +46,7 @@ def throttle_keyed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each hit as a window of two to ten seconds."""
     rows = hits(spark, sf_dir)
-    return rows.select("clip_id", F.col("t_us").alias("s"), (F.col("t_us") + width()).alias("e"), "conf", (F.col("label") == "goal").alias("primary"), *[c for c in (PART,) if c in rows.columns])
+    return rows.select("clip_id", F.col("t_us").alias("s"), (F.col("t_us") + width()).alias("e"), "conf", (F.col("label") == "goal").alias("primary"), *split(rows))
 
 
 def interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:

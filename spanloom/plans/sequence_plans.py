@@ -56,7 +56,8 @@ def period_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sq.period_numbers(passes(spark, sf_dir), CLIP, "seq")
 
 
-def counter_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def counter_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One counter, a reading for each segment."""
     return sq.counter_events(segments(spark, sf_dir).withColumn("v", F.floor(F.col("value") / 20)), CLIP, "seq", "v", 2)
 
 
@@ -111,7 +112,7 @@ ORACLES = {
       w2 AS (SELECT clip_id, seq, p, CASE WHEN pe THEN least(p + 1, 3) WHEN re THEN 4 ELSE p END AS after FROM (SELECT clip_id, seq, period_end AS pe, regulation_end AS re, CASE WHEN (period_start OR game_start) AND declared IS NOT NULL THEN greatest(1, least(declared, 3)) WHEN period_start THEN 2 ELSE 1 END AS p FROM pas WHERE seq = 0)
         UNION ALL SELECT clip_id, seq, p, CASE WHEN pe THEN least(p + 1, 3) WHEN re THEN 4 ELSE p END FROM (SELECT b.clip_id, b.seq, b.period_end AS pe, b.regulation_end AS re, CASE WHEN (b.period_start OR b.game_start) AND b.declared IS NOT NULL THEN greatest(a.after, least(b.declared, 3)) WHEN b.period_start AND a.after < 3 AND b.declared IS NULL THEN a.after + 1 ELSE a.after END AS p FROM w2 a JOIN pas b ON b.clip_id = a.clip_id AND b.seq = a.seq + 1))
       SELECT clip_id, seq, p::BIGINT AS period FROM w2""",
-    "counter_scan": f"""WITH RECURSIVE {SEG}, v AS (SELECT clip_id, seq, floor(value / 20)::BIGINT AS v, coalesce(lead(floor(value / 20)::BIGINT) OVER (PARTITION BY clip_id ORDER BY seq) BETWEEN floor(value / 20)::BIGINT AND floor(value / 20)::BIGINT + 1, true) AS ok FROM seg),
+    "counter_steps": f"""WITH RECURSIVE {SEG}, v AS (SELECT clip_id, seq, floor(value / 20)::BIGINT AS v, coalesce(lead(floor(value / 20)::BIGINT) OVER (PARTITION BY clip_id ORDER BY seq) BETWEEN floor(value / 20)::BIGINT AND floor(value / 20)::BIGINT + 1, true) AS ok FROM seg),
       walk AS (SELECT clip_id, seq, NULL::BIGINT AS cur, v AS pend, NULL::BIGINT AS hit, NULL::BIGINT AS diff FROM v WHERE seq = 0
         UNION ALL SELECT clip_id, seq, CASE WHEN cur IS NULL THEN CASE WHEN v = pend THEN v END WHEN acc THEN v ELSE cur END, CASE WHEN cur IS NULL AND v <> pend THEN v ELSE pend END, CASE WHEN acc THEN v END, CASE WHEN acc THEN v - cur END
         FROM (SELECT b.clip_id, b.seq, a.cur, a.pend, b.v, a.cur IS NOT NULL AND b.v - a.cur BETWEEN 1 AND 2 AND b.ok AS acc FROM walk a JOIN v b ON b.clip_id = a.clip_id AND b.seq = a.seq + 1))

@@ -77,7 +77,7 @@ HOUR_US, DAY_US = 3_600_000_000, 86_400_000_000
 
 def _counter_sql() -> str:
     """The batch counter's SQL over places in time, without confirmation by a missing row."""
-    return f"SELECT c.clip_id, s.t_us, c.v, c.step FROM ({SEQUENCE['counter_scan'].replace(', true) AS ok', ', false) AS ok')}) c JOIN (WITH {SEG} SELECT clip_id, seq, t_us FROM seg) s USING (clip_id, seq)"
+    return f"SELECT c.clip_id, s.t_us, c.v, c.step FROM ({SEQUENCE['counter_steps'].replace(', true) AS ok', ', false) AS ok')}) c JOIN (WITH {SEG} SELECT clip_id, seq, t_us FROM seg) s USING (clip_id, seq)"
 
 
 ORACLES = {

@@ -88,13 +88,6 @@ def confirmed_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
-def segment_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accepted counter steps of each segment, with the score boosts that they give."""
-    steps = sq.counter_events(segments(spark, sf_dir).withColumn("v", F.floor(F.col("value") / 25)), CLIP, "seq", "v", 3)
-    return steps.withColumn("extra", F.when(F.col("step") > 1, 0.8).otherwise(0.3))
-
-
-_SC = "floor(value / 25)::BIGINT"
 ORACLES = {
     "event_gates": f"WITH {HIT} SELECT event_id, label, conf FROM hit WHERE conf >= CASE label WHEN 'goal' THEN 0.6 WHEN 'faceoff_cutscene' THEN 0.3 ELSE 0.5 END",
     "joint_gate": f"WITH {HIT} SELECT event_id, (conf < event_id % 10 / 10)::INT AS which FROM hit WHERE greatest(conf, event_id % 10 / 10) >= 0.75 AND event_id % 7 / 7 >= 0.8",
@@ -118,11 +111,6 @@ ORACLES = {
     "latest_runs": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) <= 3",
     "confirmed_periods": f"WITH {PASS} SELECT clip_id, declared::INT AS period FROM pas WHERE declared IS NOT NULL UNION SELECT clip_id, (event_id % 3)::INT FROM pas WHERE starts",
     "period_transitions": None,
-    "segment_counter": f"""WITH RECURSIVE {SEG}, v AS (SELECT clip_id, seq, {_SC} AS v, coalesce(lead({_SC}) OVER (PARTITION BY clip_id ORDER BY seq) BETWEEN {_SC} AND {_SC} + 1, true) AS ok FROM seg),
-      walk AS (SELECT clip_id, seq, NULL::BIGINT AS cur, v AS pend, NULL::BIGINT AS hit, NULL::BIGINT AS diff FROM v WHERE seq = 0
-        UNION ALL SELECT clip_id, seq, CASE WHEN cur IS NULL THEN CASE WHEN v = pend THEN v END WHEN acc THEN v ELSE cur END, CASE WHEN cur IS NULL AND v <> pend THEN v ELSE pend END, CASE WHEN acc THEN v END, CASE WHEN acc THEN v - cur END
-        FROM (SELECT b.clip_id, b.seq, a.cur, a.pend, b.v, a.cur IS NOT NULL AND b.v - a.cur BETWEEN 1 AND 3 AND b.ok AS acc FROM walk a JOIN v b ON b.clip_id = a.clip_id AND b.seq = a.seq + 1))
-      SELECT clip_id, seq, hit AS v, diff AS step, (CASE WHEN diff > 1 THEN 0.8 ELSE 0.3 END)::DOUBLE AS extra FROM walk WHERE hit IS NOT NULL""",
 }
 from .sequence_plans import ORACLES as _SEQUENCE  # noqa: E402
 
