@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..shared import shared_dir
 from ..sources import media
+from ..streaming import state as js
 from ..streaming import streams as st
 from . import event_plans
 from .base import HIT, SEG, S, micros, segments, table
@@ -46,6 +47,23 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("clip_id", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"), "n")
 
 
+JOB_KINDS = {"signup": "started", "view": "finished", "click": "not_sent", "error": "broken", "purchase": "sent"}
+
+
+def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state table that a stream of job events leaves: every user is a job, every event changes its state."""
+    rows = st.read_stream(spark, f"{sf_dir}/events.parquet*", table(spark, sf_dir, "events").schema)
+    kind, e = F.create_map(*[F.lit(x) for pair in JOB_KINDS.items() for x in pair])[F.col("event_type")], F.col("event_id").cast("string")
+    told = lambda k, text: F.when(F.col("event_type") == k, F.concat(F.lit(text), e))
+    events = rows.select(
+        F.concat(F.lit("local-"), F.col("user_id").cast("string")).alias("video_id"), F.col("event_id").alias("at"), kind.alias("kind"), told("signup", "title ").alias("title"), told("signup", "raw/").alias("local_source"),
+        told("view", "exports/").alias("reel_path"), F.when(F.col("event_id") % 2 == 0, told("view", "text/")).alias("description_path"), F.coalesce(told("click", "token "), told("error", "code ")).alias("error"),
+    )
+    jobs = js.StateTable(spark, f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}", 8)
+    jobs.follow(events)
+    return jobs.read().withColumnRenamed("at", "last_event")
+
+
 def uniform_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = segments(spark, sf_dir)
     a = media.uniform_samples(F.lit(0), F.col("dur_us"), 5)
@@ -84,6 +102,10 @@ ORACLES = {
     "stream_throttle": event_plans.ORACLES["throttle_events"],
     # As in the batch scan, but the last row of all is not confirmed.
     "stream_counter": _counter_sql(),
+    "job_states": """WITH e AS (SELECT 'local-' || user_id AS video_id, event_id AS n, event_type AS k FROM events), s AS (SELECT *, max(n) FILTER (k = 'signup') OVER (PARTITION BY video_id) AS st FROM e), c AS (SELECT * FROM s WHERE st IS NULL OR n >= st)
+      SELECT video_id, CASE arg_max(k, n) WHEN 'signup' THEN 'processing' WHEN 'view' THEN 'uploading' WHEN 'click' THEN 'upload_failed' WHEN 'error' THEN 'error' ELSE 'done' END AS status, 'title ' || max(st) AS title, 'raw/' || max(st) AS local_source,
+        'exports/' || max(n) FILTER (k = 'view') AS reel_path, 'text/' || max(n) FILTER (k = 'view' AND n % 2 = 0) AS description_path,
+        CASE arg_max(k, n) FILTER (k <> 'view') WHEN 'click' THEN 'token ' || max(n) FILTER (k <> 'view') WHEN 'error' THEN 'code ' || max(n) FILTER (k <> 'view') END AS error, max(n) AS last_event FROM c GROUP BY video_id""",
     "stream_settled": f"WITH {HIT} SELECT event_id, ({SETTLE_NOW} - t_us >= {S})::INT AS taken FROM hit",
     "stream_sessions": f"""WITH {HIT}, s AS (SELECT *, sum(new) OVER (PARTITION BY clip_id ORDER BY t_us ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, CASE WHEN t_us - lag(t_us) OVER (PARTITION BY clip_id ORDER BY t_us) >= {DAY_US} THEN 1 ELSE 0 END AS new FROM hit))
       SELECT clip_id, min(t_us) AS first_us, max(t_us) AS last_us, count(*) AS n FROM s GROUP BY clip_id, session HAVING max(t_us) + {DAY_US} <= (SELECT max(t_us) FROM hit) - {HOUR_US}""",
