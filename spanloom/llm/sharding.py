@@ -3,7 +3,8 @@
 Rows have one total order: (bucket, hot-text rank, text hash, salt, doc_id).
 A bucket is the top bits of the text's hash, so equal texts stand together. A
 text that holds more than ``1 / hot_share`` of all rows is salted by doc_id into
-buckets of its own, so that no task ever sorts an unbounded group. Per-bucket
+buckets of its own, so that no task ever sorts an unbounded group; these stand
+together too, and what the text holds in all is known from their totals. Per-bucket
 totals (at most ``buckets`` + hot_share * salts rows) are summed up into each
 bucket's first byte and row, a window adds what comes before a row inside its
 bucket, and the cuts fall at equal byte targets.
@@ -51,22 +52,28 @@ def shard(docs: DataFrame, n_shards: int = SHARDS, overhead: int = OVERHEAD, buc
     A row goes to the shard in which its first byte falls when the whole table
     is cut into ``n_shards`` equal byte ranges, so each shard is within one
     row's size of the target. Equal texts stand together, and a group of them of
-    at most ``1 / group_share`` of a shard isn't cut: it goes where its first
-    byte falls. Every row counts (repeated doc_ids too); an empty
-    table gives no rows; null text counts ``overhead`` bytes.
+    at most ``1 / group_share`` of a shard isn't cut, however many rows it has: it
+    goes where its first byte falls. Every row counts (repeated doc_ids and rows
+    too); an empty table gives no rows; null text counts ``overhead`` bytes, a very
+    long one its own and goes whole.
     """
     rows = written(sizes(docs, overhead), "sizes")
     ordered = _order(rows, buckets, hot_share, salts)
     totals = ordered.groupBy("bucket").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(F.lit(0))
+    # The buckets of one salted text: they follow each other.
+    text = Window.partitionBy("bucket.b", "bucket.h")
+    salted = F.col("bucket.h") != 0
     # One row a bucket: bounded by the parameters, not by the input.
     first = totals.select(
         "bucket",
         F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"),
         F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"),
         F.sum("bytes").over(everything).alias("all_bytes"),
+        F.when(salted, F.sum("bytes").over(text)).alias("text_bytes"),
     )
+    first = first.withColumn("text_byte", F.when(salted, F.min("bytes_before").over(text)))
     inside = Window.partitionBy("bucket").orderBy("key", "doc_id", "size", "text_crc32")
     group = Window.partitionBy("bucket", "key")
     placed = (
@@ -75,8 +82,8 @@ def shard(docs: DataFrame, n_shards: int = SHARDS, overhead: int = OVERHEAD, buc
         .join(F.broadcast(first), "bucket")
         .withColumn("row", F.col("row") + F.col("rows_before"))
         .withColumn("byte", F.col("byte") + F.col("bytes_before"))
-        .withColumn("group_bytes", F.sum("size").over(group))
-        .withColumn("group_byte", F.min("byte").over(group))
+        .withColumn("group_bytes", F.coalesce("text_bytes", F.sum("size").over(group)))
+        .withColumn("group_byte", F.coalesce("text_byte", F.min("byte").over(group)))
         .withColumn("byte", F.when(F.col("group_bytes") * n_shards * group_share <= F.col("all_bytes"), F.col("group_byte")).otherwise(F.col("byte")))
         .withColumn("shard", F.expr(f"int((byte * {n_shards}) div greatest(all_bytes, 1))"))
     )
