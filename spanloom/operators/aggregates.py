@@ -75,10 +75,37 @@ def levels(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return r.withColumn("db", 20 * F.log10(F.col("rms") / r.agg(F.max("rms")).scalar()))
 
 
+def quantiles(df: DataFrame, by: list[str], value: str, share: float, bins: int = 4_096) -> DataFrame:
+    """by, level (the interpolated quantile of numbers of any size), above (values greater than it) and n, without bringing a key's rows together.
+
+    Equal values are counted first. Counts of bins between each key's least and
+    greatest value show where the one or two values lie that the quantile is made of,
+    and only those bins are looked at value by value.
+    """
+    span = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    bin_of = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))).otherwise(F.lit(0).cast("long"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_k")).join(span, by).withColumn("_bin", bin_of)
+    per = counts.groupBy(*by, "_bin").agg(F.sum("_k").alias("_rows"))
+    ahead = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_before", F.coalesce(F.sum("_rows").over(ahead), F.lit(0))).withColumn("n", F.sum("_rows").over(Window.partitionBy(*by)))
+    place = (F.col("n") - 1) * F.lit(share)
+    lower, upper = F.floor(place), F.ceil(place)
+    holds = lambda at, before, rows: (F.col(before) <= at) & (at < F.col(before) + F.col(rows))
+    inside = counts.join(per.where(holds(lower, "_before", "_rows") | holds(upper, "_before", "_rows")), [*by, "_bin"])
+    within = Window.partitionBy(*by, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("_at", F.col("_before") + F.coalesce(F.sum("_k").over(within), F.lit(0)))
+    pick = lambda at, c: F.max(F.when(holds(at, "_at", "_k"), c))
+    found = inside.groupBy(*by, "n").agg(pick(lower, F.col(value)).alias("_a"), pick(upper, F.col(value)).alias("_b"), pick(upper, F.col("_at")).alias("_from"), pick(upper, F.col("_at") + F.col("_k")).alias("_to"))
+    part = place - lower
+    level = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(F.col("_a") * (1 - part) + F.col("_b") * part)
+    # All values up to the upper one aren't above the level, and that one isn't if it is the level.
+    above = F.col("n") - F.when(F.col("_b") <= F.col("level"), F.col("_to")).otherwise(F.col("_from"))
+    return found.withColumn("level", level).select(*by, "level", above.alias("above"), "n")
+
+
 def above_percentile(df: DataFrame, by: list[str], value: str, share: float) -> DataFrame:
     """Each key's percentile (interpolated) and how many of its values are above it: level and above."""
-    p = df.groupBy(*by).agg(F.percentile(value, share).alias("level"))
-    return df.join(p, by).groupBy(*by).agg(F.first("level").alias("level"), F.count_if(F.col(value) > F.col("level")).alias("above"))
+    return quantiles(df, by, value, share).drop("n")
 
 
 def widths(df: DataFrame, by: list[str], columns: dict[str, str]) -> DataFrame:

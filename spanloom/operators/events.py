@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .folds import Step, ordered_fold
-from .scans import PART, lag, last_before, max_before, running_sum, scan, split, whole_max
+from .scans import PART, lag, last_before, max_before, row_number, running_sum, scan, split, whole_max
 
 
 def _w(by: list[str], *order: str | Column):
@@ -178,6 +178,12 @@ def virtual_steps(df: DataFrame, by: list[str], seq: str, replay: Column) -> Dat
     return scan(rows, by, [seq], {"step": running_sum("_c")}).drop("_r", "_b", "_c")
 
 
+def replaced(df: DataFrame, new: DataFrame, by: list[str], at: str, kind: str, order: list[str]) -> DataFrame:
+    """Events with those of ``new`` in place of all of the same kind in the same group, in order of time again: adds pos (from 0)."""
+    rows = df.join(new.select(*by, kind).distinct(), [*by, kind], "left_anti").unionByName(new)
+    return scan(rows, by, [at, *order], {"pos": row_number()}).withColumn("pos", F.col("pos") - 1)
+
+
 def last_of_kind(df: DataFrame, by: list[str], at: str, kind: str, kinds: list[str]) -> DataFrame:
     """Of the listed kinds only the last row of each group stays; other rows all do."""
     last = df.where(F.col(kind).isin(kinds)).groupBy(*by, kind).agg(F.max(at).alias("_last"))  # at most a row for each kind and group

@@ -28,6 +28,12 @@ def point_in_interval(points: DataFrame, intervals: DataFrame, by: list[str], at
     return points.withColumn("_b", _bucket(at, bucket)).join(spread, [*by, "_b"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_b")
 
 
+def declared_periods(events: DataFrame, segments: DataFrame, by: list[str], seq: str, at: str, start: str, end: str, period: str, bucket: int) -> DataFrame:
+    """The highest period that any event on a segment declares (a stray lower match doesn't overwrite it); null where none does. Pass events that are past their gate."""
+    tagged = point_in_interval(events.where(F.col(period).isNotNull()).select(*by, at, period), segments.select(*by, seq, start, end), by, at, start, end, bucket)
+    return segments.select(*by, seq).join(tagged.groupBy(*by, seq).agg(F.max(period).alias(period)), [*by, seq], "left")
+
+
 def overlapping(a: DataFrame, b: DataFrame, by: list[str], a_span: tuple[str, str], b_span: tuple[str, str], bucket: int) -> DataFrame:
     """Pairs of intervals that share more than an end, each pair once (in the bucket where the later starts)."""
     spread = lambda df, span: df.withColumn("_b", F.explode(F.sequence(_bucket(span[0], bucket), F.greatest(_bucket(span[0], bucket), _bucket(F.col(span[1]) - 1, bucket)))))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregates import quantiles
+
 #: A run tells of the cost for each segment with more than so many, of frames with more than so many.
 LEAST_SEGMENTS, LEAST_FRAMES = 10, 100
 #: A time of a step beyond this many seconds is a stall.
@@ -12,20 +14,8 @@ STALL = 7_200
 
 
 def medians(df: DataFrame, by: list[str], value: str, bins: int = 4_096) -> DataFrame:
-    """by and median of numbers of any size: counts of bins between each key's least and greatest show where the middle is, and only those bins are looked at value by value."""
-    span = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    bin_of = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))).otherwise(F.lit(0).cast("long"))
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_k")).join(span, by).withColumn("_bin", bin_of)
-    per = counts.groupBy(*by, "_bin").agg(F.sum("_k").alias("_rows"))
-    ahead = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_before", F.coalesce(F.sum("_rows").over(ahead), F.lit(0))).withColumn("_n", F.sum("_rows").over(Window.partitionBy(*by)))
-    lower, upper = F.expr("(_n - 1) div 2"), F.expr("_n div 2")
-    holds = lambda at, before, rows: (F.col(before) <= at) & (at < F.col(before) + F.col(rows))
-    inside = counts.join(per.where(holds(lower, "_before", "_rows") | holds(upper, "_before", "_rows")), [*by, "_bin"])
-    within = Window.partitionBy(*by, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumn("_at", F.col("_before") + F.coalesce(F.sum("_k").over(within), F.lit(0)))
-    middle = lambda at: F.max(F.when(holds(at, "_at", "_k"), F.col(value)))
-    return inside.groupBy(*by, "_n").agg(((middle(lower) + middle(upper)) / 2).alias("median")).select(*by, "median")
+    """by and median of numbers of any size."""
+    return quantiles(df, by, value, 0.5, bins).select(*by, F.col("level").alias("median"))
 
 
 def step_times(headers: DataFrame, runs: DataFrame, run: list[str], order: str, at: str, step: str, final: str) -> DataFrame:

@@ -60,6 +60,18 @@ def goal_chains(df: DataFrame, by: list[str], seq: str, goal: Column, rows: int,
     return ordered_fold(part, [*by, "goal_no"], ["seq"], lambda: _Chain(rows, gap, skip), "seq long, goal_seq long, chain_order long, kind string")
 
 
+#: What each place in a chain takes off the goal's score, and the least confidence of what is chained.
+CHAIN_STEP, CHAIN_CONFIDENCE = 0.01, 0.9
+
+
+def chain_scores(chains: DataFrame, rows: DataFrame, by: list[str], seq: str, score: str, conf: str) -> DataFrame:
+    """Score and confidence of chained rows (see :func:`goal_chains`): score falls with the place behind the goal's score, or its confidence where that is null."""
+    goal = rows.select(*by, F.col(seq).alias("goal_seq"), F.coalesce(score, conf, F.lit(1.0)).alias("_base"))
+    own = rows.select(*by, F.col(seq).alias("seq"), F.col(conf).alias("_conf"))
+    both = chains.join(goal, [*by, "goal_seq"]).join(own, [*by, "seq"])
+    return both.withColumn("score", F.col("_base") - F.col("chain_order") * CHAIN_STEP).withColumn("conf", F.greatest(F.coalesce("_conf", F.lit(0.0)), F.lit(CHAIN_CONFIDENCE))).drop("_base", "_conf")
+
+
 class _Infer(Step):
     def __init__(self, state: str | None):
         self.state = state or NORMAL

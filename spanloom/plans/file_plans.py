@@ -71,6 +71,20 @@ def config_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", c.alias("c")).select("page_id", "c.fps", "c.model", "c.gate", F.col("c.local").cast("int").alias("local"))
 
 
+def yaml_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A YAML document for each page, with a section, a list, quotes and comments; some are more than is read."""
+    raw = F.expr("""concat('# of page ', page_id, '\nfps: ', page_id % 50, '  # frames\n', CASE page_id % 3 WHEN 0 THEN concat('model: "m # ', page_id, '"\n') WHEN 1 THEN concat('model: ', substring(url, 1, 12), '\n') ELSE '' END,
+      CASE page_id % 4 WHEN 0 THEN 'gate: 0.5\nlocal: true\n' WHEN 1 THEN 'gate: null\nmore:\n  fps: 7\n  labels:\n    - goal\n    - "a b"\n  last: yes\nlocal: false\n' WHEN 2 THEN 'sizes: [1, 2]\n' ELSE 'labels:\n- goal\n- hit\n' END)""")
+    c = media.settings(media.yaml_json(raw), {"fps": 30, "model": "base", "gate": 0.25, "local": False})
+    return table(spark, sf_dir, "pages").select("page_id", c.alias("c")).select("page_id", "c.fps", "c.model", "c.gate", F.col("c.local").cast("int").alias("local"))
+
+
+def cut_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training clips to cut around confident hits, by label."""
+    h = hits(spark, sf_dir).withColumn("source", F.concat(F.lit("raw/clip."), F.col("clip_id").cast("string"), F.lit(".mp4"))).withColumn("s", F.col("t_us") - 1_704_067_200_000_000 - 4 * S).withColumn("e", F.col("s") + 7 * S)
+    return media.cut_list(h, F.when((F.col("conf") >= 0.5) & (F.col("label") != "other"), F.col("label")), "source", "s", "e", "clips/")
+
+
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables of one CSV folder a market segment, written and read back; cells with quotes and commas are whole."""
     c = table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", F.concat(F.lit('"'), "c_name", F.lit('", '), F.col("c_nationkey").cast("string")).alias("cell"))
@@ -183,6 +197,10 @@ ORACLES = {
       SELECT *, CASE WHEN target IS NULL THEN 'as_is' WHEN page_id % 5 >= 3 THEN 'make' WHEN page_id * 37 % 40000 > 10000 THEN 'skip' ELSE 'remake' END AS action FROM t""",
     "cache_misses": "SELECT page_id FROM pages WHERE page_id % 4 = 0 OR page_id * 37 % 40000 <= 10000",
     "config_settings": "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN page_id % 50 ELSE 30 END AS fps, CASE WHEN page_id % 4 = 1 THEN 'm' || page_id ELSE 'base' END AS model, CASE WHEN page_id % 4 = 1 THEN 0.5 ELSE 0.25 END::DOUBLE AS gate, 0 AS local FROM pages",
+    "yaml_settings": """SELECT page_id, CASE WHEN page_id % 4 = 2 THEN 30 ELSE page_id % 50 END AS fps, CASE WHEN page_id % 4 = 2 OR page_id % 3 = 2 THEN 'base' WHEN page_id % 3 = 0 THEN 'm # ' || page_id ELSE substr(url, 1, 12) END AS model,
+      CASE WHEN page_id % 4 = 0 THEN 0.5 ELSE 0.25 END::DOUBLE AS gate, (page_id % 4 = 0)::INT AS local FROM pages""",
+    "cut_list": f"""WITH {HIT}, c AS (SELECT 'raw/clip.' || clip_id || '.mp4' AS source, greatest(t_us - 1704067200000000 - {4 * S}, 0) AS start_us, t_us - 1704067200000000 + {3 * S} AS end_us, label, clip_id FROM hit WHERE conf >= 0.5 AND label <> 'other')
+      SELECT source, start_us, end_us, 'clips/' || label || '/clip.' || clip_id || '_' || CASE WHEN start_us // 1000 < 1000000000 THEN lpad((start_us // 1000)::VARCHAR, 9, '0') ELSE (start_us // 1000)::VARCHAR END || '.mp4' AS target FROM c WHERE end_us > start_us""",
     "csv_round_trip": "SELECT c_mktsegment, c_custkey, '\"' || c_name || '\", ' || c_nationkey AS cell FROM customer",
     "timeline_json": f"WITH {SEG} SELECT clip_id, '[' || string_agg('{{\"seq\":' || seq || ',\"label\":\"' || label || '\",\"start_us\":' || start_us || ',\"end_us\":' || end_us || '}}', ',' ORDER BY seq) || ']' AS json FROM seg WHERE conf >= 0.6 GROUP BY clip_id",
     "failure_causes": f"WITH {_K} SELECT k, CASE WHEN k % 5 = 0 THEN 'disk full' WHEN k % 4 < 2 THEN 'signal ' || (2 - k % 4) WHEN k % 4 = 3 THEN 'error' END AS cause FROM o",

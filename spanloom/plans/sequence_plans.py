@@ -30,6 +30,14 @@ def goal_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sq.goal_chains(passes(spark, sf_dir), CLIP, "seq", F.col("label") == "goal", 25, 10 * S, 3 * S).drop("goal_no")
 
 
+def chain_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chained rows with the score and confidence that the chain gives them."""
+    p = passes(spark, sf_dir)
+    chains = sq.goal_chains(p, CLIP, "seq", F.col("label") == "goal", 25, 10 * S, 3 * S).select("clip_id", "seq", "goal_seq", "chain_order")
+    found = sq.chain_scores(chains, p.withColumn("score", F.when(F.col("event_id") % 2 == 0, F.col("conf") + 0.1)), CLIP, "seq", "score", "conf")
+    return found.select("clip_id", "seq", "chain_order", F.round("score", 9).alias("score"), "conf")
+
+
 def empty_goals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Goals that no chained row names."""
     p = passes(spark, sf_dir)
@@ -96,6 +104,8 @@ _CHAIN = f"""gn AS (SELECT clip_id, seq, label, dur_us, sum((label = 'goal')::IN
 ORACLES = {
     "prior_context": f"WITH {PASS}, {_CTX} SELECT clip_id, seq, context FROM ctx",
     "goal_chain": f"WITH RECURSIVE {PASS}, {_CHAIN} SELECT * FROM chain",
+    "chain_scores": f"""WITH RECURSIVE {PASS}, {_CHAIN} SELECT c.clip_id, c.seq, c.chain_order, round(CASE WHEN g.event_id % 2 = 0 THEN g.conf + 0.1 ELSE g.conf END - 0.01 * c.chain_order, 9) AS score, greatest(p.conf, 0.9) AS conf
+      FROM chain c JOIN pas g ON g.clip_id = c.clip_id AND g.seq = c.goal_seq JOIN pas p ON p.clip_id = c.clip_id AND p.seq = c.seq""",
     "empty_goals": f"WITH RECURSIVE {PASS}, {_CHAIN} SELECT clip_id, seq FROM pas p WHERE label = 'goal' AND NOT EXISTS (SELECT 1 FROM chain c WHERE c.clip_id = p.clip_id AND c.goal_seq = p.seq)",
     "infer_goals": f"""WITH RECURSIVE {PASS}, st AS (SELECT *, sum(c) OVER (PARTITION BY clip_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS step FROM (SELECT *, CASE WHEN label = 'goal_replay' AND coalesce(lag(label) OVER (PARTITION BY clip_id ORDER BY seq), '') = 'goal_replay' THEN 0 ELSE 1 END AS c FROM pas)),
       nx AS (SELECT *, first_value(CASE WHEN label = 'goal' THEN -1 WHEN label = 'faceoff_cutscene' AND conf >= 0.6 THEN step END IGNORE NULLS) OVER (PARTITION BY clip_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nstep FROM st),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import events as ev
+from ..operators import joins as jn
 from ..operators import rules as ru
 from ..operators import selection as sl
 from ..operators import sequence as sq
@@ -48,6 +50,21 @@ def anchor_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.anchored(s, ["clip_id", "seq"], shots, "at_us", "dur_us", 5 * S, 3 * S, 20 * S, S)
 
 
+def declared_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The period that confident face-offs declare on each segment."""
+    s = segments(spark, sf_dir)
+    e = hits(spark, sf_dir).where(tr.event_gate(F.col("label"), F.col("conf"), {"faceoff_cutscene": 0.3, "goal": 0.6}, 0.9)).select("event_id", F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 4).alias("period"))
+    at = s.where("dur_us > 0").select("clip_id", "event_id", (F.col("start_us") + F.least(F.col("dur_us") * 2, F.lit(90 * S))).alias("at_us")).join(e, "event_id")
+    return jn.declared_periods(at, s, CLIP, "seq", "at_us", "start_us", "end_us", "period", 60 * S)
+
+
+def replaced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of goals and errors each clip keeps a later second look, in order of time with all other events."""
+    h = hits(spark, sf_dir).select("clip_id", "t_us", "event_id", "label")
+    new = h.where("label in ('goal', 'other') and event_id % 5 = 0").withColumn("t_us", F.col("t_us") + 10 * S)
+    return ev.replaced(h, new, CLIP, "t_us", "label", ["event_id"])
+
+
 def chance_trims(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = segments(spark, sf_dir).where("label in ('scoring_chance', 'other')")
     ws = F.when(F.col("event_id") % 2 == 0, F.floor(F.col("dur_us") / 4))
@@ -106,6 +123,10 @@ ORACLES = {
       w AS (SELECT clip_id, seq, conf AS own, s1 AS s, e1 AS e, conf AS c, true AS p FROM c UNION ALL SELECT clip_id, seq, conf, s2, e2, 0.9, false FROM c UNION ALL SELECT clip_id, seq, conf, s3, e3, 0.2, false FROM c),
       i AS (SELECT *, sum(new) OVER (PARTITION BY clip_id, seq ORDER BY s, e, c, p ROWS UNBOUNDED PRECEDING)::BIGINT AS number FROM (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY clip_id, seq ORDER BY s, e, c, p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {S} THEN 1 ELSE 0 END AS new FROM w))
       SELECT clip_id, seq, number, min(s) AS start_us, max(e) AS end_us, CASE WHEN bool_or(p) THEN any_value(own) ELSE max(c) END AS conf FROM i GROUP BY clip_id, seq, number""",
+    "declared_periods": f"""WITH {SEG}, e AS (SELECT clip_id, start_us + least(dur_us * 2, {90 * S}) AS t, CASE WHEN event_id % 3 > 0 THEN event_id % 4 END AS p FROM seg WHERE dur_us > 0 AND conf >= CASE label WHEN 'faceoff_cutscene' THEN 0.3 WHEN 'goal' THEN 0.6 ELSE 0.9 END)
+      SELECT s.clip_id, s.seq, max(p) AS period FROM seg s LEFT JOIN e ON e.clip_id = s.clip_id AND e.t >= s.start_us AND e.t < s.end_us GROUP BY s.clip_id, s.seq""",
+    "replaced_events": f"""WITH {HIT}, n AS (SELECT clip_id, t_us + {10 * S} AS t_us, event_id, label FROM hit WHERE label IN ('goal', 'other') AND event_id % 5 = 0),
+      a AS (SELECT clip_id, t_us, event_id, label FROM hit h WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.clip_id = h.clip_id AND n.label = h.label) UNION ALL SELECT * FROM n) SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY t_us, event_id) - 1 AS pos FROM a""",
     "fallback_intro": f"""WITH {SEG}, f AS (SELECT clip_id, min(start_us) AS a FROM seg WHERE label = 'other' AND dur_us > 0 GROUP BY clip_id), r AS (SELECT f.clip_id, f.a AS start_us, least((SELECT max(end_us) FROM seg t WHERE t.clip_id = f.clip_id), f.a + {30 * S}, coalesce((SELECT min(start_us) FROM seg g WHERE g.clip_id = f.clip_id AND g.label = 'goal' AND g.start_us > f.a), 9e18::BIGINT)) AS end_us FROM f WHERE f.a <= {60 * S})
       SELECT * FROM r WHERE end_us - start_us >= {4 * S}""",
     "latest_runs": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) <= 3",

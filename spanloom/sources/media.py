@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,8 +80,74 @@ def missing_outputs(inputs: DataFrame, outputs: DataFrame, on: str = "stem", lea
 _KINDS = {bool: "boolean", int: "long", float: "double", str: "string"}
 
 
+def yaml_json(document: Column) -> Column:
+    """A YAML document of nested block mappings, lists of scalars and comments as JSON; null where it is more than that (flow collections, anchors, several lines of text). Documents are small: one a file."""
+
+    def scalar(text: str):
+        if text[:1] in "\"'" and len(text) > 1 and text[-1] == text[0]:
+            return text[1:-1]
+        if text in ("", "~", "null"):
+            return None
+        if text in ("true", "false"):
+            return text == "true"
+        if text[0] in "[{&*|>!%@`":
+            raise ValueError(text)
+        for kind in (int, float):
+            try:
+                return kind(text)
+            except ValueError:
+                continue
+        return text
+
+    def bare(line: str) -> str:
+        quote = ""
+        for i, c in enumerate(line):
+            if quote:
+                quote = "" if c == quote else quote
+            elif c in "\"'" and (not line[:i].strip(" -") or line[i - 1] in " :"):
+                quote = c
+            elif c == "#" and (not i or line[i - 1] in " \t"):
+                return line[:i].rstrip()
+        return line.rstrip()
+
+    def parsed(text: str | None) -> str | None:
+        top: dict = {}
+        open_: list[tuple[int, dict | list | None, dict | None, str | None]] = [(-1, top, None, None)]
+        try:
+            for raw in (text or "").splitlines():
+                line = bare(raw)
+                if not line.strip() or line in ("---", "..."):
+                    continue
+                depth, body = len(line) - len(line.lstrip(" ")), line.strip()
+                item = body.startswith("- ") or body == "-"
+                while depth < open_[-1][0] or (depth == open_[-1][0] and not (item and not isinstance(open_[-1][1], dict))):
+                    open_.pop()
+                level, inside, parent, name = open_[-1]
+                if item:
+                    if not isinstance(inside, list):
+                        inside = parent[name] = []  # the value of the key above
+                        open_[-1] = (depth, inside, parent, name)
+                    inside.append(scalar(body[1:].strip()))
+                    continue
+                key, colon, value = body.partition(":")
+                if not colon or (value and value[0] not in " \t"):
+                    raise ValueError(body)
+                if not isinstance(inside, dict):
+                    inside = parent[name] = {}
+                    open_[-1] = (level, inside, parent, name)
+                key = str(scalar(key.strip()))
+                inside[key] = scalar(value.strip())
+                if not value.strip():
+                    open_.append((depth, None, inside, key))
+        except (ValueError, TypeError):
+            return None
+        return json.dumps(top)
+
+    return F.pandas_udf(lambda texts: texts.map(parsed), "string")(document)
+
+
 def settings(document: Column, defaults: dict) -> Column:
-    """A settings document (JSON, or YAML in its JSON form) as a struct: each value of ``defaults``, one level deep, unless the document has its own."""
+    """A settings document (JSON; YAML through :func:`yaml_json`) as a struct: each value of ``defaults``, one level deep, unless the document has its own."""
     kinds = ", ".join(f"`{k}` {_KINDS[type(v)]}" for k, v in defaults.items())
     own = F.from_json(document, kinds)
     return F.struct(*(F.coalesce(own[k], F.lit(v)).alias(k) for k, v in defaults.items()))
@@ -132,6 +200,16 @@ def edit_list(rows: DataFrame, by: list[str], seq: str, path: str, start: str, e
     return rows.select(*by, F.col(seq).alias("pos"), F.coalesce(path, fallback).alias("path"), F.col(start).alias("start_us"), F.col(end).alias("end_us"))
 
 
+def cut_list(rows: DataFrame, label: Column, source: str, start: str, end: str, root: str, suffix: str = ".mp4") -> DataFrame:
+    """Where each part of a source goes as a training clip: source, start and end (kept from zero on) and target, in a folder of its label, named by source and start in milliseconds."""
+    stem = F.regexp_replace(F.regexp_extract(source, r"([^/]*)$", 1), r"\.[^.]*$", "")
+    at = F.greatest(F.col(start), F.lit(0))
+    millis = F.floor(at / 1_000).cast("string")
+    name = F.concat(stem, F.lit("_"), F.when(F.length(millis) < 9, F.lpad(millis, 9, "0")).otherwise(millis), F.lit(suffix))
+    kept = rows.withColumn("_label", label).where(F.col("_label").isNotNull() & (F.col(end) > at))
+    return kept.select(F.col(source).alias("source"), at.alias("start_us"), F.col(end).alias("end_us"), F.concat(F.lit(root.rstrip("/") + "/"), F.col("_label"), F.lit("/"), name).alias("target"))
+
+
 def failure_cause(stderr: Column, code: Column) -> Column:
     """Why a program failed: disk full, a signal, or another error."""
     return F.when(F.lower(stderr).contains("no space left"), "disk full").when(code < 0, F.concat(F.lit("signal "), (-code).cast("string"))).when(code != 0, "error")

@@ -1,14 +1,18 @@
 """Tables and cards read off screens, and the time that runs take, against plain Python."""
 
+import json
 import random
 import statistics
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from spanloom.operators import aggregates as ag
 from spanloom.operators import joins as jn
 from spanloom.operators import progress as pg
 from spanloom.operators import screens as scr
+from spanloom.sources import media
 
 
 def rows(df):
@@ -104,3 +108,29 @@ def test_candidates_of_the_fuzzy_join_are_few(spark):
     left, right = (spark.createDataFrame([(n,) for n in names], "n string").select("n", jn._fuzzy_keys(0.85, dict(often), first)("n").alias("k")).selectExpr("n", "explode(k) as k") for first in (True, False))
     pairs = left.join(right.withColumnRenamed("n", "m"), "k").select("n", "m").distinct().count()
     assert pairs < 0.01 * len(names) ** 2
+
+
+@pytest.mark.parametrize("bins", [1, 7, 4_096])
+def test_quantiles_and_what_is_above(spark, bins):
+    draw = random.Random(bins)
+    data = [(k, draw.choice([1.0, 2.0, 2.5, draw.random() * 40, None])) for k in "abcd" for _ in range(draw.randrange(3, 70))]
+    for share in (0.0, 0.3, 0.85, 1.0):
+        got = {r.k: (r.level, r.above) for r in ag.quantiles(spark.createDataFrame(data, "k string, v double"), ["k"], "v", share, bins).collect()}
+        for k in "abcd":
+            own = sorted(v for x, v in data if x == k and v is not None)
+            place = (len(own) - 1) * share
+            low, part = int(place), place - int(place)
+            level = own[low] if low + 1 >= len(own) else own[low] * (1 - part) + own[low + 1] * part
+            assert got[k][0] == pytest.approx(level, abs=1e-12) and got[k][1] == sum(v > got[k][0] for v in own)
+
+
+def test_yaml_documents(spark):
+    cases = {
+        "a: 1\nb: 0.5 # half\nc: \"x # y\"\nd: 'q'\ne: ~\nf:\ng: true\n": {"a": 1, "b": 0.5, "c": "x # y", "d": "q", "e": None, "f": None, "g": True},
+        "# only\n---\ntop:\n  in:\n    deep: 3\n  more: no\nlast: z:z\n": {"top": {"in": {"deep": 3}, "more": "no"}, "last": "z:z"},
+        "l:\n  - a\n  - 2\n  - \"b c\"\nm:\n- x\nn: 1": {"l": ["a", 2, "b c"], "m": ["x"], "n": 1},
+        "": {}, "a: [1]": None, "a: |\n  x": None, "just words": None, "a: &x 1": None,
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*cases, None])], "i int, t string")
+    got = [r.j and json.loads(r.j) for r in df.select("i", media.yaml_json(F.col("t")).alias("j")).orderBy("i").collect()]
+    assert got == [*cases.values(), {}]
