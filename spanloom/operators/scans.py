@@ -18,9 +18,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Column with the number of a group's range, from 0 in order; only there if some group is split.
 PART = "_part"
+#: Column with a number for a text's place.
+PLACE = "_place"
 #: Rows of one group that a task takes.
 ROWS = 200_000
 #: A group is cut in at most so many ranges; its cuts are one array.
@@ -38,7 +41,8 @@ def ranged(df: DataFrame, by: list[str], at: str, rows: int | None = None) -> Da
     """``df`` with ``PART``, if any group has more than ``rows`` rows; equal values of ``at`` stay together.
 
     Groups are counted first, unless the whole table is no longer than that. The cuts
-    of long groups are quantiles, merged from sketches of all tasks.
+    of long groups are quantiles, merged from sketches of all tasks. Of texts the bytes
+    that follow what all of a group begin with stand for their order.
     """
     rows = rows or ROWS
     if df.count() <= rows:
@@ -50,10 +54,15 @@ def ranged(df: DataFrame, by: list[str], at: str, rows: int | None = None) -> Da
     k = min(-(-found["most"] // rows), MOST_RANGES)
     small = found["n"] * k <= BROADCAST_CUTS
     sent = (lambda t: F.broadcast(t)) if small else (lambda t: t)
+    if isinstance(df.schema[at].dataType, StringType):
+        ends = df.join(sent(long.select(*by)), by, "left_semi").groupBy(*by).agg(F.min(at).alias("_a"), F.max(at).alias("_b"))
+        ends = ends.select(*by, F.expr("aggregate(sequence(1, greatest(1, least(length(_a), length(_b)))), 0, (n, i) -> if(n = i - 1 and substring(_a, i, 1) = substring(_b, i, 1), i, n))").alias("_same"))
+        df = df.join(sent(ends), by, "left").withColumn(PLACE, F.conv(F.rpad(F.substring(F.hex(F.encode(F.substr(at, F.col("_same") + 1), "UTF-8")), 1, 14), 14, "0"), 16, 10).cast("long"))
+        at = PLACE
     cuts = df.join(sent(long.select(*by)), by, "left_semi").groupBy(*by).agg(F.percentile_approx(at, [i / k for i in range(1, k)], 20 * k).alias("_cuts"), F.ceil(F.count("*") / rows).alias("_own"))
     # The longest group has k ranges, a shorter one as many as its own length asks for.
     part = F.floor(F.size(F.filter("_cuts", lambda c: c < F.col(at))) * F.least("_own", F.lit(k)) / k)
-    return df.join(sent(cuts), by, "left").withColumn(PART, F.coalesce(part, F.lit(0)).cast("long")).drop("_cuts", "_own")
+    return df.join(sent(cuts), by, "left").withColumn(PART, F.coalesce(part, F.lit(0)).cast("long")).drop("_cuts", "_own", "_same", PLACE)
 
 
 @dataclass

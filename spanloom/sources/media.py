@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import scans as sc
+
 # The kinds of files that are taken, transfer functions of high dynamic range, endings of made files, and the least size of a whole one.
 MEDIA = (".mp4", ".mov", ".mkv", ".avi", ".webm")
 HDR = ("smpte2084", "arib-std-b67")
@@ -48,8 +50,8 @@ def segment_files(rows: DataFrame, root: str, suffix: str = ".mp4") -> DataFrame
     deep = below.withColumn("match", F.regexp_extract(F.substr("folder", F.lit(len(root.rstrip("/")) + 1)), r"^/([^/]+)$", 1))
     deep = deep.where((F.col("match") != "") | (F.col("folder") == root.rstrip("/")))
     any_match = deep.agg(F.coalesce(F.bool_or(F.col("match") != ""), F.lit(False))).scalar()
-    w = Window.partitionBy("match").orderBy("name")
-    return deep.where(any_match == (F.col("match") != "")).withColumn("pos", F.row_number().over(w).cast("long"))
+    chosen = sc.ranged(deep.where(any_match == (F.col("match") != "")), ["match"], "name")
+    return sc.scan(chosen, ["match"], ["name"], {"pos": sc.row_number()}).drop(sc.PART)
 
 
 def is_hdr(transfer: Column) -> Column:

@@ -39,6 +39,17 @@ def test_split_scans_equal_plain_windows(spark, seed):
     assert plain == split
 
 
+def test_texts_are_cut_by_what_follows_their_common_beginning(spark):
+    draw = random.Random(1)
+    names = sorted({f"raw/match 7/scene-{draw.randrange(10**6)}{draw.choice(['', 'é', 'x', '日本'])}.mp4" for _ in range(300)}, key=str.encode)
+    df = spark.createDataFrame([("a", n) for n in names] + [("b", "z"), ("b", "")], "g string, n string").repartition(3)
+    cut = sc.ranged(df, ["g"], "n", 30)
+    sizes = [r["count"] for r in cut.where("g = 'a'").groupBy(sc.PART).count().collect()]
+    assert len(sizes) >= 9 and max(sizes) <= 45 and cut.columns == ["g", "n", sc.PART]
+    got = sc.scan(cut, ["g"], ["n"], {"pos": sc.row_number()}).where("g = 'a'").orderBy("pos").collect()
+    assert [r.n for r in got] == names and [r.pos for r in got] == list(range(1, len(names) + 1))
+
+
 def test_short_groups_are_not_cut(spark):
     df = spark.createDataFrame([(i % 40, i) for i in range(200)], "c long, t long")
     assert sc.ranged(df, ["c"], "t", 10).columns == ["c", "t"]
