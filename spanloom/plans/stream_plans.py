@@ -12,6 +12,7 @@ from ..shared import shared_dir
 from ..sources import media
 from ..streaming import state as js
 from ..streaming import streams as st
+from ..streaming import timers as tm
 from . import event_plans
 from .base import HIT, SEG, S, micros, segments, table
 from .sequence_plans import ORACLES as SEQUENCE
@@ -47,6 +48,14 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("clip_id", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"), "n")
 
 
+def stream_counter_timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counter with timers: a clip that is quiet for a day is over, its last value is accepted, and it starts anew."""
+    rows = _stream(spark, sf_dir).withColumn("v", F.floor(F.col("v") / 20).cast("long"))
+    with tm.settings(spark):
+        out = st.run_once(tm.counter(rows, "clip_id", "t_us", "v", "ts", 2, event_plans.DAY, "1 hour"), shared_dir(spark))
+    return out.withColumn("late", F.col("late").cast("int"))
+
+
 JOB_KINDS = {"signup": "started", "view": "finished", "click": "not_sent", "error": "broken", "purchase": "sent"}
 
 
@@ -102,6 +111,12 @@ ORACLES = {
     "stream_throttle": event_plans.ORACLES["throttle_events"],
     # As in the batch scan, but the last row of all is not confirmed.
     "stream_counter": _counter_sql(),
+    "stream_counter_timed": f"""WITH RECURSIVE {HIT}, {event_plans._LABELLED}, q AS (SELECT *, floor(value / 20)::BIGINT AS v, row_number() OVER (PARTITION BY clip_id, session ORDER BY t_us) AS n, session < max(session) OVER (PARTITION BY clip_id) OR (max(t_us) OVER (PARTITION BY clip_id) + {DAY_US}) // 1000 + 1 <= max(t_us) OVER () // 1000 - 3600000 AS closed FROM sess),
+      s AS (SELECT clip_id, session, t_us, v, n, coalesce(lead(v) OVER (PARTITION BY clip_id, session ORDER BY t_us) BETWEEN v AND v + 1, closed) AS ok FROM q),
+      walk AS (SELECT clip_id, session, n, t_us, NULL::BIGINT AS cur, v AS pend, NULL::BIGINT AS hit, NULL::BIGINT AS diff FROM s WHERE n = 1
+        UNION ALL SELECT clip_id, session, n, t_us, CASE WHEN cur IS NULL THEN CASE WHEN v = pend THEN v END WHEN acc THEN v ELSE cur END, v, CASE WHEN acc THEN v END, CASE WHEN acc THEN v - cur END
+        FROM (SELECT b.*, a.cur, a.pend, coalesce(b.v - a.cur BETWEEN 1 AND 2 AND b.ok, false) AS acc FROM walk a JOIN s b ON b.clip_id = a.clip_id AND b.session = a.session AND b.n = a.n + 1))
+      SELECT clip_id, t_us, hit AS v, diff AS step, 0 AS late FROM walk WHERE hit IS NOT NULL""",
     "job_states": """WITH e AS (SELECT 'local-' || user_id AS video_id, event_id AS n, event_type AS k FROM events), s AS (SELECT *, max(n) FILTER (k = 'signup') OVER (PARTITION BY video_id) AS st FROM e), c AS (SELECT * FROM s WHERE st IS NULL OR n >= st)
       SELECT video_id, CASE arg_max(k, n) WHEN 'signup' THEN 'processing' WHEN 'view' THEN 'uploading' WHEN 'click' THEN 'upload_failed' WHEN 'error' THEN 'error' ELSE 'done' END AS status, 'title ' || max(st) AS title, 'raw/' || max(st) AS local_source,
         'exports/' || max(n) FILTER (k = 'view') AS reel_path, 'text/' || max(n) FILTER (k = 'view' AND n % 2 = 0) AS description_path,

@@ -9,9 +9,10 @@ counted as late and sent on as such, not dropped in silence.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -149,3 +150,16 @@ def counter(stream: DataFrame, key: str, at: str, value: str, ts: str, most: int
 
 #: Settings of a session that runs these.
 SETTINGS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+@contextmanager
+def settings(spark: SparkSession):
+    """A session with ``SETTINGS`` while a stream is started, and as before after it."""
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

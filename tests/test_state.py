@@ -72,12 +72,8 @@ def test_a_stream_of_job_events_goes_on_where_it_stopped(spark, tmp_path):
 
 @pytest.fixture
 def timed(spark):
-    before = {k: spark.conf.get(k, None) for k in tm.SETTINGS}
-    for k, v in tm.SETTINGS.items():
-        spark.conf.set(k, v)
-    yield spark
-    for k, v in before.items():
-        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    with tm.settings(spark):
+        yield spark
 
 
 S, BASE = 1_000_000, 10**12  # a watermark begins at 0
