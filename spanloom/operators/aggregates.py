@@ -15,8 +15,8 @@ def first_peak(df: DataFrame, by: list[str], at: str, score: str) -> DataFrame:
 def weighted_vote(df: DataFrame, by: list[str], value: str, weight: str, order: str) -> DataFrame:
     """The value of the largest total weight; of ties the one seen first."""
     votes = df.groupBy(*by, value).agg(F.sum(weight).alias("votes"), F.min(order).alias("seen"))
-    w = Window.partitionBy(*by).orderBy(F.col("votes").desc(), "seen")
-    return votes.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    best = F.max_by(F.struct(value, "votes", "seen"), F.struct(F.col("votes").alias("v"), (-F.col("seen")).alias("s"))).alias("_m")
+    return votes.groupBy(*by).agg(best).select(*by, "_m.*")
 
 
 def best_by(df: DataFrame, by: list[str], ranks: list[Column], order: str, columns: list[str]) -> DataFrame:

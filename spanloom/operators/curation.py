@@ -56,8 +56,10 @@ def batches(df: DataFrame, by: list[str], key: str, size: int = 3, most: int | N
 
 def collision_names(df: DataFrame, name: str, folder: str, key: str) -> DataFrame:
     """Adds target: the name, with the folder before it for all but the first of one name."""
-    w = Window.partitionBy(name).orderBy(key)
-    return df.withColumn("target", F.when(F.row_number().over(w) == 1, F.col(name)).otherwise(F.concat_ws("_", folder, name)))
+    first = df.groupBy(name).agg(F.min(key).alias("_first"))  # a row for each name, however many files have it
+    same = F.col(name).eqNullSafe(F.col("_name"))
+    rows = df.join(first.withColumnRenamed(name, "_name"), same, "left").drop("_name")
+    return rows.withColumn("target", F.when(F.col(key) == F.col("_first"), F.col(name)).otherwise(F.concat_ws("_", folder, name))).drop("_first")
 
 
 def classes_with(df: DataFrame, label: str, least: int) -> DataFrame:
