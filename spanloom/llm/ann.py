@@ -46,6 +46,8 @@ MAX_DEPTH = 17
 TRIALS, RECALL = 100, 0.96
 #: Rows and queries of a leaf that meet in one task, and pairs whose exact products are held at once.
 MEMBER_CHUNK, QUERY_CHUNK, PAIRS = 4_096, 2_048, 100_000
+#: Leaves up to which what a query found is merged at once.
+FEW_LEAVES = 64
 
 
 def _medians(value, level: int, depth: int, cuts: np.ndarray, node: np.ndarray) -> None:
@@ -203,7 +205,7 @@ def directions(x: np.ndarray) -> np.ndarray:
 
 
 _BEST = pa.list_(pa.struct([("s", pa.float64()), ("id", pa.int64())]))
-_RANKED = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("best", _BEST)])
+_RANKED = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("part", pa.int32()), ("best", _BEST)])
 
 
 def _products(a: np.ndarray, b: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -226,7 +228,7 @@ def _products(a: np.ndarray, b: np.ndarray, k: int) -> Iterator[tuple[np.ndarray
         low = high
 
 
-def _ranked(rows: pa.Table, k: int, kind) -> pa.Table:
+def _ranked(rows: pa.Table, k: int, kind, part: int) -> pa.Table:
     """Of one chunk of a leaf: each query's best ids by exact inner product (as its negative, so that order is ascending)."""
     asking = pc.fill_null(rows["asking"], False)
     q, m = rows.filter(asking), rows.filter(pc.invert(asking))
@@ -249,7 +251,7 @@ def _ranked(rows: pa.Table, k: int, kind) -> pa.Table:
         negative.append(minus[order])
     cut = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
     cells = pa.StructArray.from_arrays([pa.array(np.concatenate(negative)), pa.array(np.concatenate(found))], ["s", "id"])
-    return pa.Table.from_arrays([q["k1"].combine_chunks(), q["k2"].combine_chunks(), pa.ListArray.from_arrays(cut, cells)], schema=_RANKED)
+    return pa.Table.from_arrays([q["k1"].combine_chunks(), q["k2"].combine_chunks(), pa.array(np.full(q.num_rows, part, np.int32)), pa.ListArray.from_arrays(cut, cells)], schema=_RANKED)
 
 
 def _share(routed: DataFrame, forest, sizes: np.ndarray, total: int, k: int, trials: int, recall: float, kind) -> float:
@@ -318,9 +320,10 @@ def nearest(vectors: DataFrame, is_query, k: int = K, trees: int = TREES, leaf_r
     counts = members.groupBy("tree", "leaf").agg(F.count("*").alias("n"))
     sizes = np.zeros((trees, 1 << depth), np.int64)
     held = counts.toArrow()
+    fold = math.isqrt(held.num_rows) if held.num_rows > FEW_LEAVES else 1
     sizes[held["tree"].to_numpy(), held["leaf"].to_numpy()] = held["n"].to_numpy()
     reach = spark.sparkContext.broadcast((sizes, math.inf if recall >= 1 else total * _share(routed, forest, sizes, total, k, trials, recall, kind)))
-    visit = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("v", pa.binary()), ("tree", pa.int32()), ("leaf", pa.int32())])
+    visit = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("tree", pa.int32()), ("leaf", pa.int32())])
 
     def walk(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -331,20 +334,23 @@ def nearest(vectors: DataFrame, is_query, k: int = K, trees: int = TREES, leaf_r
             for i, key in enumerate(zip(column(batch, "k1").to_pylist(), column(batch, "k2").to_pylist(), strict=True)):
                 places = sent.value.walk(x[i], *reach.value)
                 n = len(places)
-                yield record_batch(visit, [key[0]] * n, [key[1]] * n, [vectors_[i]] * n, [p[0] for p in places], [p[1] for p in places])
+                yield record_batch(visit, [key[0]] * n, [key[1]] * n, [p[0] for p in places], [p[1] for p in places])
 
-    visits = routed.where("asks").select("k1", "k2", "v").repartition("k1", "k2").mapInArrow(walk, "k1 long, k2 long, v binary, tree int, leaf int")
+    visits = routed.where("asks").select("k1", "k2", "v").repartition("k1", "k2").mapInArrow(walk, "k1 long, k2 long, tree int, leaf int")
     visits = store.written(visits, "visits")
     plan = counts.join(visits.groupBy("tree", "leaf").agg(F.count("*").alias("q")), ["tree", "leaf"])
     plan = F.broadcast(plan.select("tree", "leaf", F.ceil(F.col("n") / MEMBER_CHUNK).cast("int").alias("mc"), F.ceil(F.col("q") / QUERY_CHUNK).cast("int").alias("qc")))
     number = lambda n: F.pmod(F.xxhash64("k2"), F.col(n).cast("long")).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = members.join(plan, ["tree", "leaf"]).select("tree", "leaf", "k1", "k2", "v", "ids", F.lit(False).alias("asking"), number("mc").alias("m"), each("qc").alias("q"))
-    right = visits.join(plan, ["tree", "leaf"]).select("tree", "leaf", "k1", "k2", "v", F.lit(None).cast("array<long>").alias("ids"), F.lit(True).alias("asking"), each("mc").alias("m"), number("qc").alias("q"))
-    by_leaf = left.unionByName(right).groupBy("tree", "leaf", "m", "q").applyInArrow(lambda t: _ranked(t, k, kind), "k1 long, k2 long, best array<struct<s:double,id:long>>")
+    # Vectors of queries join their visits only now, by query and chunk.
+    right = visits.join(plan, ["tree", "leaf"]).join(routed.where("asks").select("k1", "k2", "v"), ["k1", "k2"]).select("tree", "leaf", "k1", "k2", "v", F.lit(None).cast("array<long>").alias("ids"), F.lit(True).alias("asking"), each("mc").alias("m"), number("qc").alias("q"))
+    by_leaf = left.unionByName(right).groupBy("tree", "leaf", "m", "q").applyInArrow(lambda key, t: _ranked(t, k, kind, (key[0].as_py() * 7_919 + key[1].as_py()) % fold), "k1 long, k2 long, part int, best array<struct<s:double,id:long>>")
     # One row of a member stands in each tree once, so k + 1 different ones are among so many.
+    # A query's leaves are merged by parts first: no list holds more than the root of their number, times k + 1.
     top = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, (k + 1) * trees)
-    best = store.written(by_leaf.groupBy("k1", "k2").agg(F.slice(F.array_distinct(top), 1, k + 1).alias("best")), "best")
+    best = by_leaf.groupBy("k1", "k2", "part").agg(F.slice(F.array_distinct(top), 1, k + 1).alias("best")) if fold > 1 else by_leaf
+    best = store.written(best.groupBy("k1", "k2").agg(F.slice(F.array_distinct(top), 1, k + 1).alias("best")), "best")
     store.drop(routed)
     store.drop(visits)
     own = asked.select(F.col("vec_id").alias("query_id"), "k1", "k2").join(best, ["k1", "k2"])
