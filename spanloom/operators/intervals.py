@@ -42,18 +42,18 @@ def by_route(df: DataFrame, duration: str, longest: int, width: int, stride: int
     return long.unionByName(short)
 
 
-def scene_clusters(windows: DataFrame, by: list[str], start: str, end: str, label: str, conf: str, order: str, gap: int, span: int, gate: float = 0.45, below: float = 0.20) -> DataFrame:
+def scene_clusters(windows: DataFrame, by: list[str], start: str, end: str, label: str, conf: str, order: str, gap: int, span: int, gate: float = 0.45, below: float = 0.20, keep: tuple[str, ...] = ()) -> DataFrame:
     """Clusters of each scene's windows: start_us, end_us, conf, peak_start_us, peak_end_us and label.
 
     The best label that isn't ``other`` leads (the first of ties by ``order``), and
     ``other`` where there is none; chances are pooled with it; what is within ``gap`` of a cluster's end joins it
-    unless it grows over ``span``.
+    unless it grows over ``span``. Columns to ``keep`` are the same in all rows of a scene.
     """
     best = F.max(F.struct((F.col(label) != "other").alias("real"), F.col(conf).alias("c"), (-F.col(order)).alias("o"), F.col(label).alias("l"))).alias("_m")
-    lead = windows.groupBy(*by).agg(best).select(*by, F.col("_m.c").alias("_best"), F.col("_m.l").alias("_lead"))
-    pool = windows.join(lead, by).where(((F.col(label) == F.col("_lead")) | (F.col(label) == "scoring_chance")) & (F.col(conf) >= F.least(F.lit(gate), F.col("_best") - below)))
+    lead = windows.groupBy(*by).agg(best, *[F.max(c).alias(c) for c in keep]).select(*by, F.col("_m.c").alias("_best"), F.col("_m.l").alias("_lead"), *keep)
+    pool = windows.join(lead.drop(*keep), by).where(((F.col(label) == F.col("_lead")) | (F.col(label) == "scoring_chance")) & (F.col(conf) >= F.least(F.lit(gate), F.col("_best") - below)))
     found = capped_clusters(pool, by, start, end, conf, gap, span)
-    return found.join(lead.select(*by, F.col("_lead").alias("label")), by)
+    return found.join(lead.select(*by, F.col("_lead").alias("label"), *keep), by)
 
 
 def trim_of(start: Column, end: Column, peak_start: Column, peak_end: Column, duration: Column, before: int, after: int, longest: int) -> Column:
@@ -90,8 +90,7 @@ def scene_trims(
     null: it is decided later. Times are from the scene's start; ``duration`` is the
     same in all rows of a scene.
     """
-    whole = windows.groupBy(*by).agg(F.max(duration).alias("_dur"))
-    found = scene_clusters(windows, by, start, end, label, conf, start, gap, span).join(whole, by)
+    found = scene_clusters(windows, by, start, end, label, conf, start, gap, span, keep=(duration,)).withColumnRenamed(duration, "_dur")
     trim = trim_of(F.col("start_us"), F.col("end_us"), F.col("peak_start_us"), F.col("peak_end_us"), F.col("_dur"), before, after, longest)
     chance = F.col("label") == "scoring_chance"
     window = lambda primary: F.struct(trim["s"].alias("s"), trim["e"].alias("e"), F.col("conf").alias("c"), F.lit(primary).alias("p"))

@@ -45,8 +45,7 @@ def _scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def peak_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All clusters of each scene, padded and cut."""
     h = _scenes(spark, sf_dir)
-    c = iv.scene_clusters(h, SCENE, "s", "e", "label", "conf", "s", 4 * S, 20 * S)
-    c = c.join(h.groupBy(*SCENE).agg(F.max("dur").alias("dur")), SCENE)
+    c = iv.scene_clusters(h, SCENE, "s", "e", "label", "conf", "s", 4 * S, 20 * S, keep=("dur",))
     t = iv.trim_of(F.col("start_us"), F.col("end_us"), F.col("peak_start_us"), F.col("peak_end_us"), F.col("dur"), 7 * S, 5 * S, 16 * S)
     i = F.row_number().over(Window.partitionBy(*SCENE).orderBy("start_us")) - 1
     return c.withColumn("t", t).withColumn("i", i.cast("long")).select(*SCENE, "i", "label", "conf", F.col("t.s").alias("trim_start_us"), F.col("t.e").alias("trim_end_us"))
