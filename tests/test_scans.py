@@ -73,7 +73,7 @@ def test_a_hot_clip_is_no_large_task(spark):
     most, middle = sizes.agg(F.max("count"), F.median("count")).first()
     assert most <= 2 * middle
     plan = sc.scan(cut, ["c"], ["t"], {"n": sc.row_number()})._jdf.queryExecution().toString()
-    assert f"windowspecdefinition(c#" in plan and f"{sc.PART}#" in plan
+    assert "windowspecdefinition(c#" in plan and f"{sc.PART}#" in plan
 
 
 @pytest.fixture(scope="module")
