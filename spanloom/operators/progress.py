@@ -45,14 +45,14 @@ def step_cost(n_segments: Column, n_frames: Column) -> Column:
     return F.coalesce(frames, F.when(n_segments > 0, F.col("per_segment") * n_segments), F.col("flat"), F.lit(0.0))
 
 
-def time_left(headers: DataFrame, runs: DataFrame, steps: DataFrame, times: DataFrame, run: list[str], order: str, at: str, step: str, by_frame: list[str]) -> DataFrame:
+def time_left(headers: DataFrame, runs: DataFrame, steps: list[str], times: DataFrame, run: list[str], order: str, at: str, step: str, by_frame: list[str]) -> DataFrame:
     """At each header of the running ``runs``: total, elapsed and remaining seconds, and the frames a second of the step before it, if that is bound by frames.
 
-    ``steps`` (step, ord) are the steps in order, ``times`` what was :func:`learned`.
-    What remains is the cost of the step that begins and of all after it.
+    ``steps`` are all steps in order, ``times`` what was :func:`learned`. What remains
+    is the cost of the step that begins and of all after it.
     """
-    known = steps.join(times, step, "left")
-    cost = runs.join(F.broadcast(known)).withColumn("_cost", step_cost(F.col("n_segments"), F.col("n_frames")))  # a run's steps: ``steps`` is the program's own list
+    each = runs.select("*", F.posexplode(F.array(*map(F.lit, steps))).alias("ord", step))
+    cost = each.join(F.broadcast(times.where(F.col(step).isin(steps))), step, "left").withColumn("_cost", step_cost(F.col("n_segments"), F.col("n_frames")))  # at most a row for each step
     later = Window.partitionBy(*run).orderBy(F.col("ord").desc()).rowsBetween(Window.unboundedPreceding, 0)
     cost = cost.withColumn("remaining", F.sum("_cost").over(later)).withColumn("total", F.sum("_cost").over(Window.partitionBy(*run)))
     w = Window.partitionBy(*run).orderBy(order)

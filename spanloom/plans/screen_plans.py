@@ -70,8 +70,7 @@ def time_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = runs.groupBy("clip_id").agg(F.max("run").alias("run"))
     past = pg.step_times(h.join(last, _RUN, "left_anti"), runs, _RUN, "event_id", "at", "step", "error")
     times = pg.learned(past, "step", ["view"], ["click"])
-    steps = spark.createDataFrame([(s, i) for i, s in enumerate(STEPS)], "step string, ord int")
-    now = pg.time_left(h.join(last, _RUN), runs.join(last, _RUN), steps, times, _RUN, "event_id", "at", "step", ["click"])
+    now = pg.time_left(h.join(last, _RUN), runs.join(last, _RUN), list(STEPS), times, _RUN, "event_id", "at", "step", ["click"])
     return now.select("clip_id", "run", "event_id", "step", *[F.round(c, 6).alias(c) for c in ("total", "elapsed", "remaining", "frames_a_second")])
 
 

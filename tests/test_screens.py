@@ -92,7 +92,7 @@ def test_time_left_by_frames_segments_or_as_always(spark):
     times = pg.learned(pg.step_times(h, r, ["run"], "i", "at", "step", "end"), "step", ["look"], ["split"])
     # split: 100, 200, 50; of runs 1 and 3 10 and 40 frames a second. look: 60, 20 (7,800 is a stall). end: 30, 30 (run 3 wasn't completed).
     assert rows(times) == [("end", 30.0, None, None), ("look", 40.0, (60 / 20 + 20 / 40) / 2, None), ("split", 100.0, None, 25.0)]
-    steps = spark.createDataFrame([("split", 0), ("look", 1), ("end", 2), ("more", 3)], "step string, ord int")
+    steps = ["split", "look", "end", "more"]
     now = spark.createDataFrame([(9, 12, 500), (8, None, None)], "run long, n_segments long, n_frames long")
     head = spark.createDataFrame([(9, 0, 1_000, "split"), (9, 1, 1_010, "look"), (8, 0, 5, "end")], "run long, i long, at long, step string")
     got = {(x.run, x.step): (x.total, x.elapsed, x.remaining, x.frames_a_second) for x in pg.time_left(head, now, steps, times, ["run"], "i", "at", "step", ["split"]).collect()}
