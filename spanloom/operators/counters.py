@@ -7,12 +7,14 @@ it is a small step up and still holds a moment later.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .folds import Step, chunked_fold
 from .joins import first_within
-from .scans import PART, lag, last_before, scan, split
+from .scans import PART, lag, last_before, lead, scan, split
 from .sequence import counter_rows
 
 SIDES = ("home", "away")
@@ -23,11 +25,45 @@ def _held(later: Column, value: Column) -> Column:
     return F.coalesce((later >= value) & (later <= value + 1), F.lit(True))
 
 
-def _long(reads: DataFrame, by: list[str], at: str, kinds: dict[str, int]) -> DataFrame:
-    """by, at, kind, side and value of what was read; columns are named kind_side."""
-    series = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(s).alias("side"), F.col(f"{k}_{s}").cast("long").alias("value")) for k in kinds for s in SIDES])
-    rows = reads.select(*by, F.col(at).cast("long").alias("at"), F.explode(series).alias("x"), *split(reads))
-    return rows.select(*by, "at", "x.kind", "x.side", "x.value", *split(reads)).where("value is not null")
+def _long(rows: DataFrame, by: list[str], kinds: Iterable[str], extra: Callable[[str], dict[str, Column]]) -> DataFrame:
+    """by, at, kind, side and value of what was read, and what ``extra`` has for a column; columns are named kind_side."""
+    series = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(s).alias("side"), F.col(n := f"{k}_{s}").alias("value"), *[c.alias(x) for x, c in extra(n).items()]) for k in kinds for s in SIDES])
+    return rows.select(*by, "at", F.explode(series).alias("x"), *split(rows)).select(*by, "at", "x.*", *split(rows)).where("value is not null")
+
+
+def _wide(reads: DataFrame, by: list[str], at: str, kinds: Iterable[str]) -> DataFrame:
+    return reads.select(*by, F.col(at).cast("long").alias("at"), *[F.col(f"{k}_{s}").cast("long").alias(f"{k}_{s}") for k in kinds for s in SIDES], *split(reads))
+
+
+def _sampled(reads: DataFrame, by: list[str], at: str, kinds: Iterable[str], every: int, gap: int) -> DataFrame:
+    """Every ``every``-th frame, long, with whether each reading holds ``gap`` frames later.
+
+    Of the frames only samples and those ``gap`` later are kept, in order, so the later
+    one is among the next few rows; nothing is joined.
+    """
+    wanted = lambda d: (d % every == 0) | ((d - gap) % every == 0)
+    rows = _wide(reads, by, at, kinds).where(wanted(F.col("at")))
+    names = [f"{k}_{s}" for k in kinds for s in SIDES]
+    rows = rows.withColumn("_n0", F.struct("at", *names))
+    hops = sum(bool(wanted(d)) for d in range(1, gap + 1))
+    for i in range(hops):
+        rows = scan(rows, by, ["at"], {f"_n{i + 1}": lead(f"_n{i}")})
+    later = F.coalesce(*[F.when(F.col(f"_n{i}.at") == F.col("at") + gap, F.col(f"_n{i}")) for i in range(hops + 1)])
+    rows = rows.where(F.col("at") % every == 0).withColumn("_later", later)
+    return _long(rows, by, kinds, lambda n: {"confirmed": _held(F.col(f"_later.{n}"), F.col(n))})
+
+
+def _probes(reads: DataFrame, by: list[str], at: str, kinds: Iterable[str], refine: int) -> DataFrame:
+    """Frames, long, that may be the first to show a new value.
+
+    Looked at one by one, a frame that shows the same as the one read before it is none:
+    either that one is as good, or it is the last that showed the old value.
+    """
+    rows = _wide(reads, by, at, kinds)
+    if refine > 1:
+        return _long(rows, by, kinds, lambda n: {}).drop(PART)
+    rows = scan(rows, by, ["at"], {f"_b_{k}_{s}": last_before(f"{k}_{s}") for k in kinds for s in SIDES})
+    return _long(rows, by, kinds, lambda n: {"_b": F.col(f"_b_{n}")}).where(~F.col("value").eqNullSafe(F.col("_b"))).drop("_b", PART)
 
 
 def counter_scan(reads: DataFrame, by: list[str], at: str, kinds: dict[str, int], every: int, gap: int, refine: int, refined: set[str], replicated: set[str]) -> DataFrame:
@@ -42,26 +78,18 @@ def counter_scan(reads: DataFrame, by: list[str], at: str, kinds: dict[str, int]
     yet); of one frame, home comes first.
     """
     key = [*by, "kind", "side"]
-    rows = _long(reads, by, at, kinds)
-    plain = rows.drop(PART)
-    samples = rows.where(F.col("at") % every == 0)
-    later = plain.select(*key, (F.col("at") - gap).alias("at"), F.col("value").alias("_later"))
-    samples = samples.join(later, [*key, "at"], "left").withColumn("confirmed", _held(F.col("_later"), F.col("value"))).drop("_later")
+    samples = _sampled(reads, by, at, kinds, every, gap)
     most = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.col("kind")]
     found = counter_rows(samples, key, "at", "value", F.col("confirmed"), most)
     # Both sides' believed values, in one order: one row for each change, so few.
-    changes = found.select(*key, F.col("seq").alias("at"), F.col("v").alias("value"), "step").withColumn("turn", F.when(F.col("side") == "home", 0).otherwise(1))
+    changes = found.select(*key, F.col("seq").alias("at"), F.col("v").alias("value"), "step", "lo").withColumn("turn", F.when(F.col("side") == "home", 0).otherwise(1))
     mine = {s: F.when(F.col("side") == s, F.col("value")) for s in SIDES}
     both = scan(changes, [*by, "kind"], ["at", "turn"], {f"_{s}": last_before(c) for s, c in mine.items()})
-    events = both.where("step is not null").select(*key, "at", "step", *[F.coalesce(mine[s], F.col(f"_{s}")).alias(s) for s in SIDES], F.coalesce(*mine.values()).alias("value"))
-    # The last sample that showed the old value: a counter has each value once.
-    shown = samples.select(*key, F.col("at").alias("_at"), F.col("value").alias("_old"))
-    old = events.where(F.col("kind").isin(*refined)).withColumn("_old", F.col("value") - F.col("step")).join(shown, [*key, "_old"]).where(F.col("_at") < F.col("at"))
-    lo = old.groupBy(*key, "at", "value").agg(F.max("_at").alias("lo"))
-    on_grid = ((F.col("probe") - F.col("lo") - 1) % refine == 0) & (F.col("seen") >= F.col("value")) & (F.col("seen") <= F.col("value") + 1)
-    probes = plain.select(*key, F.col("at").alias("probe"), F.col("value").alias("seen"))
-    placed = first_within(lo, probes, key, "lo", "at", "at", "probe", on_grid, 64 * every).select(*key, "at", F.col("refined_us").alias("event_at"))
-    out = events.join(placed, [*key, "at"], "left").withColumn("event_at", F.coalesce("event_at", "at"))
+    lo = F.when(F.col("kind").isin(*refined), F.col("lo")).alias("lo")
+    events = both.where("step is not null").select(*key, "at", "step", *[F.coalesce(mine[s], F.col(f"_{s}")).alias(s) for s in SIDES], F.col("value").alias("new"), lo)
+    on_grid = ((F.col("probe") - F.col("lo") - 1) % refine == 0) & (F.col("seen") >= F.col("new")) & (F.col("seen") <= F.col("new") + 1)
+    probes = _probes(reads, by, at, [k for k in kinds if k in refined], refine).select(*key, F.col("at").alias("probe"), F.col("value").alias("seen"))
+    out = first_within(events, probes, key, "lo", "at", "at", "probe", on_grid, 8 * every).withColumnRenamed("refined_us", "event_at")
     times = F.when(F.col("kind").isin(*replicated), F.col("step")).otherwise(F.lit(1)).cast("int")
     return out.withColumn("n", F.explode(F.sequence(F.lit(1), times))).select(*key, "at", "event_at", F.col("n").cast("long").alias("n"), *SIDES)
 

@@ -101,6 +101,9 @@ class _From(Step):
             self.step = self.make(row[-1])
         return self.step.row(row[:-1])
 
+    def end(self):
+        return self.step.end() if self.step else ()
+
 
 def chunked_fold(df: DataFrame, by: list[str], seq: str, make: Callable[[object], Step], trial: Callable[[], Step], kind: str, schema: str, other: object = None) -> DataFrame:
     """An ordered fold by ``seq`` of steps whose ``state`` is one value of the SQL type ``kind``, None at a group's start.
@@ -110,7 +113,7 @@ def chunked_fold(df: DataFrame, by: list[str], seq: str, make: Callable[[object]
     that change in it and what each becomes (a row of two arrays), for all ranges at
     once; then it is known what each starts in. A state that a range doesn't list goes
     through it unchanged, or, with ``other``, as that state does. A step's ``end`` is
-    not called.
+    called for each range.
     """
     if PART not in df.columns:
         return ordered_fold(df, by, [seq], lambda: make(None), schema)

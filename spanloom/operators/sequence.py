@@ -144,22 +144,27 @@ def period_numbers(df: DataFrame, by: list[str], seq: str) -> DataFrame:
 
 
 class _Counter(Step):
-    """A counter that only grows by small steps, from its first value on."""
+    """A counter that only grows by small steps, from its first value on; at the end a row of where its value was last shown."""
 
     def __init__(self, state: int | None):
-        self.state = state
+        self.state, self.last = state, None
 
     def row(self, row):
         seq, v, confirmed, first_seq, first, most = row
         if seq == first_seq:
-            self.state = first
-            return ((seq, v, None),)
+            self.state, self.last = first, seq
+            return ((seq, v, None, None, False),)
         step = v - self.state
-        if confirmed and 1 <= step <= most:
-            self.state = v
-            return ((seq, v, step),)
+        if step == 0:
+            self.last = seq
+        elif confirmed and 1 <= step <= most:
+            lo, self.state, self.last = self.last, v, seq
+            return ((seq, v, step, lo, False),)
         return ()
 
+    def end(self):
+        return () if self.last is None else ((self.last, self.state, None, None, True),)
+
 
 class _CounterTrial(Step):
     """What a chunk makes of every value that the counter may have before it: a reading moves on whoever stands just below it, and from then on those go together."""
@@ -196,17 +201,28 @@ def counter_events(df: DataFrame, by: list[str], seq: str, value: str, most: int
     """
     rows = scan(df, by, [seq], {"_later": lead(value)})
     probe = F.coalesce((F.col("_later") >= F.col(value)) & (F.col("_later") <= F.col(value) + 1), F.lit(True))
-    return counter_rows(rows, by, seq, value, probe, most).where("step is not null")
+    return counter_rows(rows, by, seq, value, probe, most).where("step is not null").drop("lo")
 
 
 def counter_rows(df: DataFrame, by: list[str], seq: str, value: str, confirmed: Column, most: int | Column) -> DataFrame:
-    """seq, v and step of what a counter is believed to show: its first value (step is null), then confirmed increments."""
+    """seq, v, step and lo of what a counter is believed to show: its first value (step is null), then confirmed increments; lo is where the value before was last read.
+
+    Of equal readings in a row only the first and last, and the first confirmed after one
+    that isn't, can change anything; the fold gets no others.
+    """
     most = F.lit(most) if isinstance(most, int) else most
     part = df.withColumn("confirmed", confirmed).withColumn("most", most.cast("long")).select(*by, F.col(seq).alias("seq"), F.col(value).cast("long").alias("v"), "confirmed", "most", *split(df)).where("v is not null")
     part = scan(part, by, ["seq"], {"_before": lag("v")}).withColumn("_again", F.when(F.col("v") == F.col("_before"), F.struct("seq", "v")))
     part = scan(part, by, ["seq"], {"_first": whole_min("_again")}).where("seq >= _first.seq")
     part = part.select(*by, "seq", "v", "confirmed", F.col("_first.seq").alias("first_seq"), F.col("_first.v").alias("first"), "most", *split(df))
-    return chunked_fold(part, by, "seq", _Counter, _CounterTrial, "long", "seq long, v long, step long")
+    part = scan(part, by, ["seq"], {"_b": lag(F.struct("v", "confirmed")), "_a": lead("v")})
+    inside = F.col("_b.v").eqNullSafe(F.col("v")) & F.col("_a").eqNullSafe(F.col("v")) & (~F.col("confirmed") | F.col("_b.confirmed"))
+    part = part.where(~inside).drop("_b", "_a")
+    found = chunked_fold(part, by, "seq", _Counter, _CounterTrial, "long", "seq long, v long, step long, lo long, shown boolean")
+    if split(df):  # a value last read in a range before
+        found = scan(found, by, ["seq", "shown"], {"_lo": last_before(F.when(F.col("shown"), F.col("seq")))})
+        found = found.withColumn("lo", F.when(F.col("step").isNotNull(), F.coalesce("lo", "_lo"))).drop("_lo")
+    return found.where("not shown").drop("shown")
 
 
 def groups_of(df: DataFrame, by: list[str], seq: str, flag: Column, name: str = "run") -> DataFrame:
