@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from .folds import Step, chunked_fold
 from .joins import first_within
@@ -102,35 +103,31 @@ def _pair(home, away) -> str | None:
 class _Segment(Step):
     """One segment a row: its samples against the pair that the last segment left, if that was visible.
 
-    ``state`` is that pair, None where nothing was visible (or at the start).
+    ``state`` is that pair, None where nothing was visible (or at the start). Samples are
+    one list of at, home, away and which of both hold (see :func:`_flat`).
     """
 
     def __init__(self, most: int, state: str | None):
         self.most, self.state = most, state or None
 
     def row(self, row):
-        seq, samples = row
+        seq, samples, *rest = row
         run = tuple(map(int, self.state.split(","))) if self.state else None
         seen, good, shots = None, None, []
-        for x in samples or ():
-            home, away = x["shots_home"], x["shots_away"]
-            if home is None or away is None:
-                continue
+        for at, home, away, holds in zip(*[iter(samples or ())] * 4, strict=True):
             if run is None:
                 run = seen = home, away
-                good = x["at"]
+                good = at
                 continue
-            up = home - run[0], away - run[1]
-            if up == (0, 0):
-                seen, good = run, x["at"]
-            elif all(0 <= d <= self.most for d in up):
-                held = all(not d or p is None or v <= p <= v + 1 for d, v, p in zip(up, (home, away), (x["later_home"], x["later_away"]), strict=True))
-                if held:
-                    shots.append({"at": x["at"], "lo": good, "home": home if up[0] else None, "away": away if up[1] else None, "n": sum(up)})
-                    run = seen = home, away
-                    good = x["at"]
+            left, right = home - run[0], away - run[1]
+            if left == right == 0:
+                seen, good = run, at
+            elif 0 <= left <= self.most and 0 <= right <= self.most and (not left or holds & 1) and (not right or holds & 2):
+                shots.append({"at": at, "lo": good, "home": home if left else None, "away": away if right else None, "n": left + right})
+                run = seen = home, away
+                good = at
         self.state = _pair(*seen) if seen else None
-        return ((seq, seen is not None, *(seen or (None, None)), shots),)
+        return ((seq, seen is not None, *(seen or (None, None)), shots, *rest),)
 
 
 class _SegmentTrial(Step):
@@ -147,9 +144,8 @@ class _SegmentTrial(Step):
     def row(self, row):
         if self.at is None:
             near = {None, OUT_OF_REACH}
-            for x in row[1] or ():
-                if x["shots_home"] is not None and x["shots_away"] is not None:
-                    near |= {_pair(x["shots_home"] - i, x["shots_away"] - j) for i in range(self.most + 1) for j in range(self.most + 1)}
+            for _, home, away, _ in zip(*[iter(row[1] or ())] * 4, strict=True):
+                near |= {_pair(home - i, away - j) for i in range(self.most + 1) for j in range(self.most + 1)}
             self.at = {state: [state] for state in near}
         after: dict = {}
         for state, starts in self.at.items():
@@ -190,13 +186,16 @@ def segment_counters(segments: DataFrame, by: list[str], seq: str, samples: str,
     (where the old pair was last seen in the segment, or null), the new values of the
     sides that changed, and n.
     """
-    part = segments.select(*by, F.col(seq).alias("seq"), samples, *split(segments))
+    # A segment stays one row: its own score, and what its shots need, go through the fold together.
+    score = _own_score(samples, segments.schema[samples].dataType)
+    part = segments.select(*by, F.col(seq).alias("seq"), samples, *split(segments)).withColumn("_s", score)
+    part = part.select(*by, "seq", _flat(samples).alias("samples"), F.col("_s.h").alias("score_home"), F.col("_s.a").alias("score_away"), *[F.col(c).alias("_range") for c in split(part)], *split(part))
     shot = "array<struct<at:bigint,lo:bigint,home:bigint,away:bigint,n:bigint>>"
-    seen = chunked_fold(
+    both = chunked_fold(
         part, by, "seq", lambda state: _Segment(most, state), lambda: _SegmentTrial(most), "string",
-        f"seq long, hud_visible boolean, shots_home long, shots_away long, shots {shot}", OUT_OF_REACH,
+        f"seq long, hud_visible boolean, shots_home long, shots_away long, shots {shot}, score_home long, score_away long" + ", _range long" * len(split(part)), OUT_OF_REACH,
     )
-    both = seen.join(_each(part, by, samples), [*by, "seq"])
+    both = both.withColumnRenamed("_range", PART)
     pair = F.when(F.col("score_home").isNotNull(), F.struct(F.col("score_home").alias("h"), F.col("score_away").alias("a")))
     both = scan(both, by, ["seq"], {"_visible": lag("hud_visible"), "_last": last_before(pair)})
     changed = F.col("_visible") & score_up(F.col("score_home") - F.col("_last.h"), F.col("score_away") - F.col("_last.a"))
@@ -204,8 +203,19 @@ def segment_counters(segments: DataFrame, by: list[str], seq: str, samples: str,
     return both.select(*by, "seq", "hud_visible", "shots_home", "shots_away", "score_home", "score_away", F.coalesce(changed, F.lit(False)).alias("score_changed"), count.alias("shot_count"), "shots")
 
 
-def _each(segments: DataFrame, by: list[str], samples: str) -> DataFrame:
-    """Each segment's own score; nothing is carried, so rows stay where they are: a fold over its few samples."""
+def _flat(samples: str) -> Column:
+    """at, shots_home, shots_away and a number (1: home holds, 2: away does) of each sample with both shots, one after the other in one array."""
+
+    def four(x: Column) -> Column:
+        home, away = x["shots_home"].cast("long"), x["shots_away"].cast("long")
+        holds = F.when(_held(x["later_home"], home), 1).otherwise(0) + F.when(_held(x["later_away"], away), 2).otherwise(0)
+        return F.array(x["at"].cast("long"), home, away, holds.cast("long"))
+
+    return F.flatten(F.transform(F.filter(samples, lambda x: x["shots_home"].isNotNull() & x["shots_away"].isNotNull()), four))
+
+
+def _own_score(samples: str, kind: DataType) -> Column:
+    """A segment's own score (h and a); nothing is carried from others: a fold over its few samples."""
     start = F.struct(F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("a"))
 
     def step(best: Column, x: Column) -> Column:
@@ -214,7 +224,7 @@ def _each(segments: DataFrame, by: list[str], samples: str) -> DataFrame:
         held = ((up[0] == 0) | _held(x["then_home"], new["h"])) & ((up[1] == 0) | _held(x["then_away"], new["a"]))
         return F.when(new["h"].isNull() | new["a"].isNull(), best).when(best["h"].isNull() | (score_up(*up) & held), new).otherwise(best)
 
-    return segments.withColumn("_s", F.aggregate(F.coalesce(samples, F.array().cast(segments.schema[samples].dataType)), start, step)).select(*by, "seq", F.col("_s.h").alias("score_home"), F.col("_s.a").alias("score_away"), *split(segments))
+    return F.aggregate(F.coalesce(samples, F.array().cast(kind)), start, step)
 
 
 def shot_times(counters: DataFrame, reads: DataFrame, by: list[str], seq: str, at: str, refine: int, bucket: int) -> DataFrame:
@@ -224,6 +234,5 @@ def shot_times(counters: DataFrame, reads: DataFrame, by: list[str], seq: str, a
     probes = reads.select(*by, F.col(seq).alias("seq"), F.col(at).alias("probe"), "shots_home", "shots_away")
     shows = lambda new, now: F.col(new).isNull() | F.coalesce((F.col(now) >= F.col(new)) & (F.col(now) <= F.col(new) + 1), F.lit(False))
     accepts = ((F.col("probe") - F.col("lo") - 1) % refine == 0) & shows("home", "shots_home") & shows("away", "shots_away")
-    placed = first_within(shots.where("lo is not null"), probes, key, "lo", "at", "at", "probe", accepts, bucket).select(*key, "at", F.col("refined_us").alias("event_at"))
-    rows = shots.join(placed, [*key, "at"], "left").withColumn("event_at", F.coalesce("event_at", "at"))
+    rows = first_within(shots, probes, key, "lo", "at", "at", "probe", accepts, bucket).withColumnRenamed("refined_us", "event_at")
     return rows.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*key, "n", "at", "event_at")
