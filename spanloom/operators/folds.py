@@ -11,6 +11,7 @@ cuts anywhere.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,7 +39,7 @@ def ordered_fold(df: DataFrame, by: list[str], order: list[str | Column], make:
     def run(batches):
         step, seen, out = None, None, []
         for batch in batches:
-            cells = {c: batch.column(i).to_pylist() for i, c in enumerate(batch.schema.names)}
+            cells = {c: _cells(batch.column(i)) for i, c in enumerate(batch.schema.names)}
             for key, row in zip(zip(*(cells[c] for c in by), strict=True), zip(*(cells[c] for c in names), strict=True), strict=True):
                 if step is None or key != seen:
                     if step is not None:
@@ -56,6 +57,19 @@ def ordered_fold(df: DataFrame, by: list[str], order: list[str | Column], make:
     return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, kinds)
 
 
+def _cells(column: pa.Array) -> list:
+    """``to_pylist``; numbers and lists of them at once instead of one by one."""
+    kind = column.type
+    if pa.types.is_list(kind):
+        values = _cells(column.values)
+        out = [values[a:b] for a, b in pairwise(column.offsets.to_pylist())]
+    elif pa.types.is_integer(kind):
+        out = (column.fill_null(0) if column.null_count else column).to_numpy(zero_copy_only=False).tolist()
+    else:
+        return column.to_pylist()
+    return [v if there else None for v, there in zip(out, column.is_valid().to_pylist(), strict=True)] if column.null_count else out
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(map(list, zip(*rows, strict=True)), schema, strict=True)], schema=schema)
 
