@@ -6,6 +6,11 @@ fits on it, so they are grouped by screen and never by clip.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
+from collections.abc import Callable
+from itertools import pairwise
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,12 +62,62 @@ def cells(words: DataFrame, screen: list[str], columns: DataFrame, rows: DataFra
     return first.select(*screen, "row_no", "column", tx.clean_numeric(F.col("_text"), F.col("column")).alias("value"))
 
 
+def _place(pixel: Column, centres: list[float], shifts: list[float]) -> Column:
+    """The upper end of the stretch of pixels around one that has the same nearest of ``centres`` as it has under each of ``shifts``."""
+    ordered = sorted(centres)
+    cuts = sorted({(a + b) / 2 + s for a, b in pairwise(ordered) for s in shifts})
+    if not cuts:
+        return F.lit(0.0)
+    low, high = math.floor(cuts[0]), math.floor(cuts[-1]) + 1  # all above are alike, as all below are
+    ends = [float(cuts[i]) if (i := bisect_left(cuts, x)) < len(cuts) else float(high) for x in range(low, high + 1)]
+    return F.get(F.lit(ends), F.least(F.greatest(pixel - low, F.lit(0)), F.lit(high - low)).cast("int"))
+
+
+def _nearest(value: Column, centres: dict, shift: Column) -> Column:
+    """Name of the nearest of a few centres that stand ``shift`` further on; halfway belongs to the lower."""
+    ordered = sorted(centres.items(), key=lambda c: c[1])
+    out = F.lit(ordered[-1][0])
+    for (name, low), (_, high) in reversed(list(pairwise(ordered))):
+        out = F.when(value <= F.lit((low + high) / 2) + shift, F.lit(name)).otherwise(out)
+    return out
+
+
+def page_cells(words: DataFrame, page: list[str], screens: DataFrame, screen: list[str], columns: dict[str, float], rows: dict[int, float], right: list[float], down: list[float], text: Callable[[Column], Column]) -> DataFrame:
+    """What :func:`cells` finds where many screens show the same ``page`` of words, each shifted: screen, row_no, column and value.
+
+    ``words`` have the page's columns, conf, x and y in whole pixels, and key, a long in
+    reading order from which ``text`` gives the word. ``screens`` have
+    screen, page, dx and dy, which are among ``right`` and ``down``; columns and rows are
+    at the same places of all, but for that shift.
+
+    Words are not copied to screens. Words that no shift tells apart stand at one place
+    of their page, and only the first of a place can be the first of a cell; then the
+    first of each column is found for each dx of a page, and of those each screen takes
+    the first in each of its rows. A page has no more places than cuts allow, however
+    many words it has. Group words by page beforehand and they are not shuffled again.
+    """
+    seen = words.where((F.trim(text(F.col("key"))) != "") & (F.col("conf") >= LEAST_WORD))
+    seen = seen.withColumn("_x", _place(F.col("x"), list(columns.values()), right)).withColumn("_y", _place(F.col("y"), list(rows.values()), down)).where("x is not null and y is not null")
+    places = seen.groupBy(*page, "_x", "_y").agg(F.min("key").alias("key"))
+    shown = screens.select(*page, "dx").distinct()
+    across = places.join(shown.hint("shuffle_hash"), page).withColumn("column", _nearest(F.col("_x"), columns, F.col("dx"))).where(F.col("column") != NAMES)
+    strips = across.groupBy(*page, "dx", "column", "_y").agg(F.min("key").alias("key"))
+    found = strips.join(screens.select(*screen, *page, "dx", "dy").hint("shuffle_hash"), [*page, "dx"]).withColumn("row_no", _nearest(F.col("_y"), rows, F.col("dy")))
+    first = found.groupBy(*screen, "row_no", "column").agg(F.min("key").alias("key"))
+    return first.select(*screen, "row_no", "column", tx.clean_numeric(F.trim(text(F.col("key"))), F.col("column")).alias("value"))
+
+
 def tables(words: DataFrame, screen: list[str], columns: DataFrame, rows: DataFrame, names: DataFrame, stop: int = 3) -> DataFrame:
+    """Tables (see :func:`cell_tables`) of each screen's own words."""
+    return cell_tables(cells(words, screen, columns, rows), screen, rows, names, stop)
+
+
+def cell_tables(found: DataFrame, screen: list[str], rows: DataFrame, names: DataFrame, stop: int = 3) -> DataFrame:
     """screen, row_no, name and cells (a map of column to value, empty where nothing was read) of each screen's table, up to the ``stop``-th empty row in a row and without empty rows at its end.
 
     ``names`` (screen, row_no, line) are the lines of the name column.
     """
-    found = cells(words, screen, columns, rows).groupBy(*screen, "row_no").agg(F.map_from_entries(F.collect_list(F.struct("column", "value"))).alias("cells"))
+    found = found.groupBy(*screen, "row_no").agg(F.map_from_entries(F.collect_list(F.struct("column", "value"))).alias("cells"))
     none = F.create_map().cast("map<string,string>")
     grid = rows.select(*screen, "row_no").join(found, [*screen, "row_no"], "left").join(names, [*screen, "row_no"], "left")
     grid = grid.select(*screen, "row_no", F.coalesce(tx.player_line(F.col("line")), F.lit("")).alias("name"), F.coalesce("cells", none).alias("cells"))
@@ -72,9 +127,12 @@ def tables(words: DataFrame, screen: list[str], columns: DataFrame, rows: DataFr
 
 def statistics(tables: DataFrame, screens: DataFrame, screen: list[str], team: list[str], at: str) -> DataFrame:
     """Rows of the fullest screen of each ``team`` (its columns, tab among them); the first of ties. ``screens`` has them, and the time, for each screen."""
-    every = tables.join(screens.select(*screen, *team, at), screen)
-    best = ag.most_rows(every.withColumn("_screen", F.struct(*screen)), team, "_screen", at).select(*team, "_screen")
-    return every.withColumn("_screen", F.struct(*screen)).join(best, [*team, "_screen"], "left_semi").drop("_screen")
+    known = list(dict.fromkeys([*screen, *team, at]))
+    every = tables.join(screens.select(*known), screen)
+    # One row for each screen, with its rows in it: they are not asked for again.
+    whole = every.groupBy(*known).agg(F.collect_list(F.struct(*[c for c in every.columns if c not in known])).alias("_rows"))  # what fits on a screen
+    first = F.row_number().over(Window.partitionBy(*team).orderBy(F.size("_rows").desc(), at, *screen))
+    return whole.withColumn("_n", first).where("_n = 1").select(*known, F.inline("_rows"))
 
 
 def card_peaks(frames: DataFrame, by: list[str], rank: str, at: str, score: str, tail: int, least: float = 0.85) -> DataFrame:

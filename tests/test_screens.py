@@ -134,3 +134,19 @@ def test_yaml_documents(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate([*cases, None])], "i int, t string")
     got = [r.j and json.loads(r.j) for r in df.select("i", media.yaml_json(F.col("t")).alias("j")).orderBy("i").collect()]
     assert got == [*cases.values(), {}]
+
+
+def test_pages_that_many_screens_show_give_what_their_own_words_give(spark):
+    draw = random.Random(4)
+    columns, lines, right, down = {"PLAYER": 20, "G": 61, "A": 110, "MIN": 150}, {i: 30 * i for i in range(1, 6)}, [0, 1, 2, 7], [0, 3, 5]
+    words = [(p, draw.randrange(100), draw.randrange(-20, 220), draw.randrange(-10, 200), i * 8 + draw.randrange(8)) for i, p in enumerate([1, 2] * 400)]
+    screens = [(i, draw.choice([1, 2, 3]), float(draw.choice(right)), float(draw.choice(down))) for i in range(40)]
+    text = lambda key: F.when(key % 8 == 7, F.lit(" ")).otherwise((key % 8).cast("string"))
+    w = spark.createDataFrame(words, "page long, conf int, x long, y long, key long")
+    s = spark.createDataFrame(screens, "screen long, page long, dx double, dy double")
+    got = scr.page_cells(w, ["page"], s, ["screen"], columns, lines, right, down, text)
+    own = s.join(w, "page").select("screen", text(F.col("key")).alias("text"), "conf", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("key").alias("ord"))
+    across = spark.createDataFrame([(i, n, c + dx) for i, _, dx, _ in screens for n, c in columns.items()], "screen long, column string, cx double")
+    along = spark.createDataFrame([(i, n, c + dy) for i, _, _, dy in screens for n, c in lines.items()], "screen long, row_no int, cy double")
+    want = rows(scr.cells(own, ["screen"], across, along).select(*got.columns))
+    assert len(want) > 200 and rows(got) == want
